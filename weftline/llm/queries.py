@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import quality_rules
+from weftline.llm import quality_rules, simhash_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_verdicts(_read(spark, sf_dir, "documents")).drop("removed", "text_hash")
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
