@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import quality_rules, simhash_dedup
+from weftline.llm import decontaminate, quality_rules, simhash_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_decontamination": op3_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
