@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, quality_rules, simhash_dedup
+from weftline.llm import decontaminate, packing, quality_rules, simhash_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,5 +23,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_file())
+
+
+QUERIES = {"op4_packing": op4_packing, "op3_decontamination": op3_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
