@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, packing, quality_rules, secret_scan, simhash_dedup
+from weftline.llm import decontaminate, packing, quality_rules, secret_scan, simhash_dedup, warc_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,5 +37,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_secret_scan": op7_secret_scan, "op4_packing": op4_packing, "op3_decontamination": op3_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
+def op10_warc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_dedup.archive_pages(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op10_warc_dedup": op10_warc_dedup, "op7_secret_scan": op7_secret_scan, "op4_packing": op4_packing, "op3_decontamination": op3_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
