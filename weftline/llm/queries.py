@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sentence_dedup, sharding, simhash_dedup, warc_dedup
+from weftline.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, warc_dedup
 from weftline.llm._shared import shared_folder
 
 
@@ -54,5 +54,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_read(spark, sf_dir, "documents"), shared_folder(spark, "shards"), target_bytes=64 << 20)
 
 
-QUERIES = {"op8_sharding": op8_sharding, "op9_sentence_dedup": op9_sentence_dedup, "op1_html_extraction": op1_html_extraction, "op10_warc_dedup": op10_warc_dedup, "op7_secret_scan": op7_secret_scan, "op4_packing": op4_packing, "op3_decontamination": op3_decontamination, "op2_simhash_dedup": op2_simhash_dedup, "op5_quality_rules": op5_quality_rules}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_read(spark, sf_dir, "documents"), with_rest=False).drop("kept")
+
+
+QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_sharding": op8_sharding,
+    "op9_sentence_dedup": op9_sentence_dedup,
+    "op10_warc_dedup": op10_warc_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
