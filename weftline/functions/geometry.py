@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+COORD = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
 
 def coord_equals(a: Column, b: Column, tolerance: Column) -> Column:
@@ -58,7 +61,7 @@ def interior_point(rings: list[list[tuple[float, float]]]) -> tuple[float, float
     return None
 
 
-@pandas_udf("struct<x:double,y:double>")
+@pandas_udf(COORD)
 def _interior(texts: pd.Series) -> pd.DataFrame:
     points = [interior_point(rings_of_wkt(t)) if t else None for t in texts]
     return pd.DataFrame({"x": [p[0] if p else None for p in points], "y": [p[1] if p else None for p in points]}, dtype="float64")
