@@ -70,4 +70,68 @@ QUERIES = {
     "op9_sentence_dedup": op9_sentence_dedup,
     "op10_warc_dedup": op10_warc_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can state the result; the other operators are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+with texts as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+  from documents
+), items as (
+  select item_id, w, least(10, len(w)) as size from
+    (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+     from benchmark)
+  where len(w) > 0
+), windows as (
+  select distinct item_id, size, array_to_string(w[k:k + size - 1], ' ') as s from
+    (select *, unnest(generate_series(1, len(w) - size + 1)) as k from items)
+), runs as (
+  select doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') as s from
+    (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as k from texts, (select distinct size from windows))
+), hits as (
+  select doc_id, item_id, k, windows.size from runs join windows on windows.size = runs.size and windows.s = runs.s
+), covered as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(k, k + size - 1)) as p from hits) group by 1
+), found as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from
+    (select distinct doc_id, cast(item_id as varchar) as id from hits) group by 1
+)
+select t.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from texts t left join covered using (doc_id) left join found using (doc_id)
+""",
+    "op9_sentence_dedup": r"""
+with parts as (
+  select doc_id, unnest(p) as part, generate_subscripts(p, 1) as place from
+    (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09-\x0D]|\n)', '\1' || chr(1), 'g'), chr(1)) as p from documents)
+), full_parts as (
+  select *, lower(trim(part, E' \t\n\r\x0b\x0c')) as s, row_number() over (partition by doc_id order by place) as pos, count(*) over (partition by doc_id) as n
+  from parts where trim(part, E' \t\n\r\x0b\x0c') <> ''
+), runs as (
+  select doc_id, pos, n, case when n = 1 then s else s || ' ' || lead(s) over (partition by doc_id order by pos) end as run from full_parts
+), counted as (
+  select *, row_number() over (partition by run order by doc_id, pos) as k from runs
+  where run is not null and len(regexp_extract_all(run, ' +')) + 1 >= 12
+), removed as (
+  select distinct doc_id, unnest(case when n = 1 then [pos] else [pos, pos + 1] end) as pos from counted where k > 1
+), kept as (
+  select parts.doc_id, string_agg(parts.part, '' order by parts.place) as text from parts
+  left join full_parts f on f.doc_id = parts.doc_id and f.place = parts.place
+  where not exists (select 1 from removed r where r.doc_id = f.doc_id and r.pos = f.pos) group by 1
+), sentences as (select doc_id, count(*) as n from full_parts group by 1), lost as (select doc_id, count(*) as n from removed group by 1)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_sentences, coalesce(l.n, 0)::bigint as n_removed, coalesce(k.text, '') as text,
+  length(coalesce(k.text, ''))::bigint as kept_chars
+from documents d left join sentences s using (doc_id) left join lost l using (doc_id) left join kept k using (doc_id)
+""",
+    "op10_warc_dedup": r"""
+with hashed as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), digests as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum(list_transform(range(5), lambda j:
+      (strpos('0123456789abcdef', substr(h, cast(1 + (i // 4) * 5 + j as int), 1)) - 1) * cast(16 ** (4 - j) as bigint)))
+      // cast(32 ** (3 - i % 4) as bigint)) % 32)::int, 1)), '') as payload_digest from hashed
+), firsts as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as original from digests)
+select page_id, payload_bytes, payload_digest, case when page_id = original then 'response' else 'revisit' end as record_type,
+  case when page_id <> original then original end as refers_to from firsts
+""",
+}
