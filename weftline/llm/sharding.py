@@ -159,7 +159,7 @@ class ShardStore:
             merged = rows.join(F.broadcast(names), "shard_file").drop("shard_file").repartition(len(runs), "shard_run")
             merged.write.option("compression", "zstd").partitionBy("shard_run").parquet(f"{self.root}/{folder}")
             try:
-                self.commit([s for s in before if s.path not in number] + self._written(folder), version)
+                self.commit([s for s in before if s.path not in run_of] + self._written(folder), version)
             except CommitConflict:
                 continue
         return version
