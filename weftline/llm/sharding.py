@@ -149,15 +149,16 @@ class ShardStore:
     def compact(self) -> int:
         """Merge what `runs` names and commit, until no run is left; the version. A lost race begins anew."""
         while runs := self.runs(before := self.shards(version := self.version())):
-            folder = f"data/{uuid.uuid4().hex}"
-            number = {s.path: k for k, run in enumerate(runs) for s in run}
-            names = self.spark.createDataFrame([(p.rsplit("/", 1)[1], k) for p, k in number.items()], "shard_file string, shard_run int")
-            rows = self.spark.read.parquet(*(f"{self.root}/{p}" for p in number))
-            rows = rows.select("*", F.col("_metadata.file_name").alias("shard_file"))
+            folder = f"data/{(name := uuid.uuid4().hex)}"
+            file, number = f"file_{name}", f"run_{name}"  # no column of the rows has these names
+            run_of = {s.path: k for k, run in enumerate(runs) for s in run}
+            names = self.spark.createDataFrame([(p.rsplit("/", 1)[1], k) for p, k in run_of.items()], f"{file} string, {number} int")
+            rows = self.spark.read.parquet(*(f"{self.root}/{p}" for p in run_of))
+            rows = rows.select("*", F.col("_metadata.file_name").alias(file))
             # A run is about one target file, so a task holds no more; rows of a run keep together.
             # The list that is broadcast has MOST_FILES names at most.
-            merged = rows.join(F.broadcast(names), "shard_file").drop("shard_file").repartition(len(runs), "shard_run")
-            merged.write.option("compression", "zstd").partitionBy("shard_run").parquet(f"{self.root}/{folder}")
+            merged = rows.join(F.broadcast(names), file).drop(file).repartition(len(runs), number)
+            merged.write.option("compression", "zstd").partitionBy(number).parquet(f"{self.root}/{folder}")
             try:
                 self.commit([s for s in before if s.path not in run_of] + self._written(folder), version)
             except CommitConflict:
