@@ -185,14 +185,16 @@ def sharded(docs: DataFrame, root: str, *, arrivals: int = 8, id_col: str = "doc
 
     (doc_id, n_chars, text_sha256, shard, shard_bytes, version) per row: the text as it was
     read back (null: null) and the file that holds the row. Ids deal the parts; null
-    ids go to the first. Rows repeat as they came, and every column of `docs` is stored under its name. Of an
-    empty table the shards are empty files.
+    ids go to the first. Rows repeat as they came, and every column of `docs` is stored under its name. An
+    empty table gives an empty table.
     """
     store = ShardStore(docs.sparkSession, root, **sizes)
     for k in range(arrivals):
         store.append(docs.where(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0)) == k))
     version = store.compact()
-    return store.read(version).select(
+    if (rows := store.read(version)) is None:
+        rows = docs.limit(0).withColumn("_metadata", F.struct(F.lit("").alias("file_name"), F.lit(0).cast("long").alias("file_size")))
+    return rows.select(
         F.col(id_col).alias("doc_id"),
         F.length(text_col).cast("long").alias("n_chars"),
         F.sha2(F.col(text_col).cast("binary"), 256).alias("text_sha256"),
