@@ -173,11 +173,16 @@ def pack_examples(
 class WordTokens:
     """Token ids of texts, word by word: this tokenizer drops white space, so a text's ids are those of its words.
 
-    Ids of words are kept as bytes (little-endian, 32 bits each) in two
-    generations of at most `keep` words; the older goes when the younger is full.
+    A word of Latin letters and signs behind them has the ids of its letters in
+    lower case, then those of the signs. Ids are kept as bytes (little-endian, 32
+    bits each) in two generations of about `keep` words; the older goes when the
+    younger is full.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    #: What may follow a word's letters and shares no token with them.
+    SIGNS = ".,;:!?#*$%&|<>()[]{}\"'-_/"
+
+    def __init__(self, path: str, keep: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,44 +194,51 @@ class WordTokens:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.keep, self.young, self.old = keep, {}, {}
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        young = self.young
-        if missing := [w for w in set(words) if w not in young]:
-            self._learn(missing)
-        return b"".join(map(young.__getitem__, words))
-
-    def trim(self) -> None:
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text; words that are new are learned together."""
+        words = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
+        if missing := set().union(*words).difference(self.young):
+            self._learn(missing)
+        known = self.young.__getitem__
+        return [b"".join(map(known, w)) for w in words]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         young, old = self.young, self.old
-        # "Word." has the ids of "word" and "."; letters and either sign never share a token.
-        stems = {w: (w[:-1].lower(), w[-1]) if w[-1:] in (".", ",") and w[:-1].isascii() else (w.lower() if w.isascii() else w, "") for w in words}
-        need = {s for s, sign in stems.values() if s.isalpha() or not sign} | {"." , ","}
-        need |= {w for w, (s, sign) in stems.items() if sign and not s.isalpha()}
-        simple, other = [], []
-        for s in need:
-            if s not in young:
-                if (ids := old.get(s)) is not None:
-                    young[s] = ids
-                else:
-                    (simple if s.isalpha() else other).append(s)
+        new, tied = set(), []
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+                continue
+            stem = w.rstrip(self.SIGNS)
+            # Lower case and composition change nothing else within Latin-1.
+            if stem.isalpha() and max(stem) < "\u0100":
+                low = stem.lower()
+                if low != w:
+                    rest = w[len(stem) :]
+                    tied.append((w, low, rest))
+                    if rest and rest not in young:
+                        new.add(rest)
+                    w = low
+                if w in young:
+                    continue
+            new.add(w)
+        simple = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
         if simple:
-            ids = np.array(self.tokenizer.encode(" ".join(simple), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(simple):
                 flat, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-                young.update(zip(simple, map(flat.__getitem__, map(slice, cuts, cuts[1:]))))
+                young.update(zip(simple, [flat[a:z] for a, z in zip(cuts, cuts[1:])]))
             else:
                 other += simple
         if other:
-            for s, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            for s, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
                 young[s] = np.array(e.ids, "<u4").tobytes()
-        for w, (s, sign) in stems.items():
-            if w not in young:
-                young[w] = young[s] + young[sign] if sign else young[s]
+        for w, low, rest in tied:
+            young[w] = young[low] + young[rest] if rest else young[low]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -238,6 +250,19 @@ def _tokens(path: str) -> WordTokens:
     return _loaded[path]
 
 
+def _tokenized(words: WordTokens, b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple]:
+    """(id, token ids) of a batch's rows, about `most` characters at a time."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(b.column(0), b.column(1)):
+        ids.append(doc_id.as_py())
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= most:
+            yield from zip(ids, words.ids(texts))
+            ids, texts, size = [], [], 0
+    yield from zip(ids, words.ids(texts))
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -280,12 +305,11 @@ def pack_documents(
 
         for b in batches:
             kind = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0), b.column(1)):
-                ids = (words.ids(text.as_py()) if text.is_valid else b"") + end
-                held[number] = [doc_id.as_py(), ids, len(ids) // 4]
+            for doc_id, ids in _tokenized(words, b):
+                ids += end
+                held[number] = [doc_id, ids, len(ids) // 4]
                 packer.add(number, len(ids) // 4, len(ids) // 4)
                 number += 1
-                words.trim()
                 if len(packer.done) >= 4096:
                     yield out()
         packer.finish()
