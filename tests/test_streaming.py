@@ -12,7 +12,7 @@ def test_stream_joins_static_class_and_drops_duplicates(spark, sf_dir, tmp_path)
     users = spark.range(10_000).select(F.col("id").alias("user_id"), F.concat(F.lit("u"), "id").alias("name"))
     c = Catalog().add(stream, input_id="s", cls="Event", oid="event_id").add(users, input_id="u", cls="User", oid="user_id")
     rule = Rule(
-        "r", "out", "Seen", (Source("e", "Event"), Source("u", "User")), {"ts": "e.ts", "who": "u.name", "event_id": "e.event_id"},
+        "r", "out", "Seen", (Source("e", "Event"), Source("u", "User")), {"ts": "cast(e.ts as timestamp)", "who": "u.name", "event_id": "e.event_id"},
         joins=(Join("u", (("e.user_id", "u.user_id"),)),), identity=("e.event_id",),
     )
     targets = stream_targets(rule, c, event_time="ts", watermark="1000 days")
