@@ -79,5 +79,73 @@ def test_edge_rows(documents):
     assert out == {(None, 5), (5, 5), (7, 7), (8, 7), (9, 9), (10, 10), (None, None)}
     kept = S.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)) == [5, 7, 9, 10]
+    assert sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)) == [5, 7, 8, 9, 10]
+    assert kept.where("doc_id is null").count() == 2
     assert S.near_duplicates(df.limit(0)).count() == 0 and S.keep_one(df.limit(0)).count() == 0
+
+
+def plain_groups(texts, similarity=0.8, size=5):
+    """Smallest id of each group of ids whose shingle sets are alike."""
+    def cut(t):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+    sets = sorted((k, cut(t)) for k, t in texts.items())
+    label = {k: k for k, _ in sets}
+    for i, (a, p) in enumerate(sets):
+        for b, q in sets[i + 1 :]:
+            if p and min(len(p), len(q)) >= similarity * max(len(p), len(q)) and len(p & q) >= similarity * len(p | q):
+                x, y = sorted((label[a], label[b]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    return label
+
+
+def edited(seed, groups, copies):
+    """Texts in groups of copies with a few words changed, all with one passage in common."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
+    passage = [word() for _ in range(30)]
+    out = []
+    for _ in range(groups):
+        base = passage + [word() for _ in range(200)]
+        for _ in range(copies):
+            mine = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                mine[int(rng.integers(0, len(mine)))] = word()
+            out.append(" ".join(mine))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1024, 4])
+def test_similar_groups_equal_plain_version(documents, limit):
+    texts = dict(enumerate(edited(7, 12, 6)))
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items())), bucket_limit=limit).collect()}
+    assert got == plain_groups(texts)
+
+
+def test_leaders_link_groups_over_several_chunks():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 64, (3, S.WIDE), np.uint64)
+    fps = np.repeat(base, 40, axis=0)[rng.permutation(120)]
+    fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
+    u, v = S._bucket_pairs(fps, 20, chunk=16)
+    parent = list(range(120))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(u.tolist(), v.tolist()):
+        assert a != b and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 20
+        parent[top(a)] = top(b)
+    assert len({top(x) for x in range(120)}) == 3
+
+
+def test_wide_distances():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 64, (70, S.WIDE), np.uint64)
+    fps[1::2] = fps[::2] ^ (rng.random((35, S.WIDE)) < 0.5) * (np.uint64(1) << rng.integers(0, 64, (35, S.WIDE)).astype(np.uint64))
+    for radius in (3, 98, 250):
+        bits = np.unpackbits(S.near(fps, S._planes(fps), radius).view(np.uint8), axis=1, bitorder="little")[:, :70]
+        assert (bits == (np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= radius)).all()

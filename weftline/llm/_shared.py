@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from weftline.storage import shared_folder, stored
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/weftline"
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the tasks that were running, never
-    the steps before. The table also has a known size, so Catalyst broadcasts it
-    only below spark.sql.autoBroadcastJoinThreshold, and both sides of a later
-    join get their own exchange, which AQE can split where a key is hot.
-    """
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["n_partitions", "shared_folder", "stored"]
 
 
 def n_partitions(spark: SparkSession) -> int:

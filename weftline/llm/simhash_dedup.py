@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,39 +71,51 @@ def _bands(mask: int, parts: int) -> list[int]:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Row i holds bit i of every fingerprint, 64 lanes a word."""
-    lanes = np.zeros(-(-len(fps) // 64) * 64, U64)
+    """Row i holds bit i of every fingerprint (of one or more words), 64 lanes a word."""
+    fps = fps.reshape(len(fps), -1)
+    lanes = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), U64)
     lanes[: len(fps)] = fps
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(U64)
 
 
 def near(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
-    """Bit matrix (queries x words): which lanes of `planes` lie within `radius` (at most 2) of each query."""
+    """Bit matrix (queries x words): which lanes of `planes` lie within `radius` of each query."""
+    queries = queries.reshape(len(queries), -1)
     q, words = len(queries), planes.shape[1]
     out = np.zeros((q, words), U64)
     at = np.arange(words)
-    ones, twos, over = (np.zeros((q, words), U64) for _ in range(3))
-    flips = [(0 - ((queries >> U64(i)) & U64(1)))[:, None] for i in range(64)]
-    for i in range(0, 64, 2):
-        a, b = planes[i][at] ^ flips[i], planes[i + 1][at] ^ flips[i + 1]
-        half = ones ^ a
-        carry = (ones & a) | (half & b)
-        ones = half ^ b
-        over |= twos & carry
-        twos ^= carry
-        if i % 8 == 6:  # abandon the words that no query can still reach
-            alive = (_beyond(ones, twos, over, radius) != U64(FULL)).any(axis=0)
+    count = [np.zeros((q, words), U64) for _ in range(max(1, radius.bit_length()))]  # vertical counters, lowest bit first
+    over = np.zeros((q, words), U64)
+    for i in range(0, len(planes), 2):
+        flips = [0 - ((queries[:, k // 64] >> U64(k % 64)) & U64(1))[:, None] for k in (i, i + 1)]
+        a, b = planes[i][at] ^ flips[0], planes[i + 1][at] ^ flips[1]
+        half = count[0] ^ a
+        carry = (count[0] & a) | (half & b)
+        count[0] = half ^ b
+        for k in range(1, len(count)):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        over |= carry
+        if i % 8 == 6 and i >= 2 * radius:  # abandon the words that no query can still reach
+            alive = (_beyond(count, over, radius) != U64(FULL)).any(axis=0)
             if not alive.any():
                 return out
             if alive.mean() < 0.7:
-                at, ones, twos, over = at[alive], ones[:, alive], twos[:, alive], over[:, alive]
-    out[:, at] = ~_beyond(ones, twos, over, radius)
+                at, over, count = at[alive], over[:, alive], [c[:, alive] for c in count]
+    out[:, at] = ~_beyond(count, over, radius)
     return out
 
 
-def _beyond(ones: np.ndarray, twos: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-    return over | ((twos & ones) if radius == 2 else twos if radius == 1 else twos | ones)
+def _beyond(count: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose counters exceed `radius`."""
+    more, same = over.copy(), ~over
+    for k in reversed(range(len(count))):
+        if radius >> k & 1:
+            same = same & count[k]
+        else:
+            more |= same & count[k]
+            same = same & ~count[k]
+    return more
 
 
 def _labels(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -258,14 +271,218 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Groups by similarity of texts
+
+
+WIDE = 8  # words of a wide fingerprint
+KEYS = 8  # smallest hashes under different orders
+ORDERS = np.random.default_rng(22).integers(0, 1 << 64, (2, WIDE + KEYS), U64) | U64(1)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = (h ^ ORDERS[1, k]) * ORDERS[0, k]
+    x ^= x >> U64(31)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(29)
+    return x
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """A SimHash of 512 bits over the different shingles of a text, and their smallest hashes; None without words."""
+    words = text.lower().split()
+    if not words:
+        return None
+    columns = [words[i:] for i in range(min(shingle, len(words)))]
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*columns)), U64))
+    total = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(h), 8192):
+        part = np.stack([_mixed(h[at : at + 8192], k) for k in range(WIDE)], axis=1)
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    keys = np.array([_mixed(h, WIDE + k).min() for k in range(KEYS)], U64)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(U64), keys
+
+
+def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits at which sets of this Jaccard similarity differ, and two and a half standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def _nearest(fps: np.ndarray, links: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lanes (rows of the bit matrix `links` over the lanes `to`): the nearest other lane, and the nearest one before."""
+    us, vs = [], []
+    for at in range(0, len(fps), 64):
+        hit = np.unpackbits(links[at : at + 64].view(np.uint8), axis=1, bitorder="little")[:, : len(to)].astype(bool)
+        q, lane = np.nonzero(hit)
+        bits = np.bitwise_count(fps[at + q] ^ to[lane]).sum(axis=1, dtype=np.int64)
+        distance = np.full(hit.shape, 1 << 20)
+        distance[q, lane] = bits
+        own = np.arange(at, min(at + 64, len(fps)))
+        for before in (False, True):
+            allowed = np.arange(len(to)) < own[:, None] if before else np.arange(len(to)) != own[:, None]
+            d = np.where(allowed, distance, 1 << 20)
+            best = d.argmin(axis=1)
+            some = d[np.arange(len(own)), best] < 1 << 20
+            us.append(own[some])
+            vs.append(best[some])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _bucket_pairs(fps: np.ndarray, radius: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of a bucket, two for each member at most and chunk: within a chunk by all its members; of later
+    chunks also against the leaders, which are the members that have no earlier one nearby."""
+    us, vs, lead = [], [], np.zeros(0, int)
+    for at in range(0, len(fps), chunk):
+        own = np.arange(at, min(at + chunk, len(fps)))
+        planes = _planes(fps[own])
+        links = np.concatenate([near(fps[own[k : k + 64]], planes, radius) for k in range(0, len(own), 64)])
+        u, v = _nearest(fps[own], links, fps[own])
+        us.append(own[u])
+        vs.append(own[v])
+        fresh = np.ones(len(own), bool)
+        fresh[u[v < u]] = False
+        for k in range(0, len(lead), 1024):
+            old = lead[k : k + 1024]
+            hits = np.concatenate([near(fps[own[i : i + 64]], _planes(fps[old]), radius) for i in range(0, len(own), 64)])
+            found = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : len(old)].astype(bool)
+            some = np.flatnonzero(found.any(axis=1))
+            us.append(own[some])
+            vs.append(old[found[some].argmax(axis=1)])
+            fresh[some] = False
+        lead = np.r_[lead, own[fresh]]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def similar_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """From (key, node, fp) sorted by key: pairs (u, v) of nodes of one bucket within the radius, the nearest for each."""
+
+    def linked(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pair = starts[sizes == 2]  # most buckets of more than one have two: all of them at once
+        if len(pair):
+            apart = _planes(fps[pair] ^ fps[pair + 1])
+            hit = np.unpackbits(near(np.zeros((1, fps.shape[1]), U64), apart, radius).view(np.uint8), bitorder="little")[: len(pair)].astype(bool)
+            us.append(node[pair[hit]])
+            vs.append(node[pair[hit] + 1])
+        for k in np.flatnonzero(sizes > 2):
+            own = slice(starts[k], starts[k] + sizes[k])
+            u, v = _bucket_pairs(fps[own], radius)
+            us.append(node[own][u])
+            vs.append(node[own][v])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    key, node, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), U64)
+    for b in batches:
+        new = np.frombuffer(b"".join(b.column(2).to_pylist()), U64).reshape(-1, WIDE)
+        key, node = (np.r_[old, c.to_numpy(zero_copy_only=False)] for old, c in zip((key, node), b.columns))
+        fps = np.concatenate([fps, new])
+        cut = int(np.argmax(key == key[-1])) if len(key) else 0
+        if cut:
+            yield linked(key[:cut], node[:cut], fps[:cut])
+            key, node, fps = key[cut:], node[cut:], fps[cut:]
+    if len(key):
+        yield linked(key, node, fps)
+
+
+def shingles(text: bytes, size: int) -> set[bytes]:
+    words = text.lower().split()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(min(size, len(words)))))))
+
+
+def alike(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of `pairs` (u, v: ids) whose texts (doc_id, text) have shingle sets of at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                p, q = (shingles(t.as_buffer().to_pybytes(), shingle) for t in (x, y))
+                both = len(p & q)
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "similar-asked")
+    # A repeated id stands for one text; which one doesn't matter, as equal ids leave one row anyway.
+    some = texts.join(ids, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max("text").alias("text"))
+    some = stored(some, "similar-texts")
+    side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u bigint, v bigint")
+
+
+def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, bucket_limit: int = 1024, depth: int = 3) -> DataFrame:
+    """(doc_id, component_id) per document with an id: groups of texts whose `shingle`-word sets are `similarity` alike.
+
+    Candidates come from SimHashes of 512 bits, which bit-sliced comparison holds
+    against `radius_of(similarity)`; of each text the nearest ones are then compared
+    exactly, by their shingle sets. Texts meet in buckets of an equal smallest
+    shingle hash, under eight orders; alike texts miss all of them with a chance of
+    (1 - similarity) ** 8. A bucket over the limit is split by the smallest hashes
+    under four other orders, `depth` times at most. Equal fingerprints are one node.
+    Documents without words, or without id, are groups of their own, left out here.
+    """
+    radius, spark = radius_of(similarity), docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fps, keys = [], [], []
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                if doc_id.is_valid and text.is_valid and (made := wide_fingerprint(text.as_buffer().to_pybytes(), shingle)):
+                    ids.append(doc_id.as_py())
+                    fps.append(made[0].tobytes())
+                    keys.append(made[1].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"]
+            )
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows = stored(texts.mapInArrow(run, "doc_id bigint, fp binary, keys array<bigint>"), "similar-fingerprints")
+    # Equal fingerprints come from equal shingle sets, but for chance: they have equal keys too.
+    nodes = stored(rows.groupBy("fp", "keys").agg(F.min("doc_id").alias("node")), "similar-nodes")
+    members = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("k", "value"))
+    members = members.select("node", "fp", "keys", "k", F.xxhash64("k", "value").alias("key"))
+    links = None
+    for level in range(depth + 1):
+        large = None
+        if level < depth:
+            large = stored(members.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "similar-large")
+            large = None if large.isEmpty() else large
+        fit = members if large is None else members.join(large, "key", "left_anti")
+        # Buckets of one have no link; their rows need not travel with fingerprints.
+        shared = stored(fit.groupBy("key").count().where("count > 1").select("key"), "similar-shared")
+        fit = fit.join(shared, "key", "left_semi")
+        found = (
+            fit.select("key", "node", "fp")
+            .repartition(n_partitions(spark), "key")
+            .sortWithinPartitions("key", "node")
+            .mapInArrow(lambda batches: similar_links(batches, radius), "u bigint, v bigint")
+        )
+        links = found if links is None else links.union(found)
+        if large is None:
+            break
+        finer = F.explode(F.array(*(F.lit(x) for x in range(1, 5)))).alias("step")
+        members = members.join(large, "key", "left_semi").select("node", "fp", "keys", "key", "k", finer)
+        members = members.withColumn("k", (F.col("k") + F.col("step")) % KEYS)
+        members = stored(members.select("node", "fp", "keys", "k", F.xxhash64("key", "k", F.get("keys", F.col("k"))).alias("key")), "similar-refined")
+    groups = components(alike(texts, stored(links.distinct(), "similar-pairs"), similarity, shingle))
+    named = nodes.join(groups, "node", "left").select("fp", "keys", F.coalesce("label", "node").alias("component_id"))
+    return rows.join(stored(named, "similar-components"), ["fp", "keys"]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One row of `docs` (doc_id, text, ...) for each group of near duplicates: that with the smallest id.
+    """One row of `docs` (doc_id, text, ...) for each of `similar_groups`: that with the smallest id.
 
-    Of rows that repeat this id one stays; rows without an id stay if any of them names its own group.
+    Of rows that repeat this id one stays. Rows without an id, and one for each id
+    without words, stay.
     """
-    kept = near_duplicates(docs, **settings).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.when(F.isnull("doc_id"), 1).otherwise(F.count("*")).alias("n_same"))
-    found = docs.join(stored(kept, "simhash-kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    gone = similar_groups(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.select("doc_id").where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_same"))
+    left = stored(left.join(stored(gone, "similar-gone"), F.col("kept_id") == F.col("gone_id"), "left_anti"), "similar-kept")
+    found = docs.join(left, F.col("doc_id") == F.col("kept_id"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     repeated = found.where("n_same > 1").withColumn("n_same", rank).where("n_same = 1")
-    return found.where("n_same = 1").select(docs.columns).unionByName(repeated.select(docs.columns))
+    one = found.where("n_same = 1").select(docs.columns).unionByName(repeated.select(docs.columns))
+    return one.unionByName(docs.where("doc_id is null"))
