@@ -179,10 +179,10 @@ def repeated_windows(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, lo
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, big: bool) -> Iterator[pa.RecordBatch]:
-    """From (rid, text, asked: [(h, pack)]): the bytes that the windows span, or, of big buckets, each window's hash."""
+    """From (doc_id, rid, text, asked: [(h, pack)]): the bytes that the windows span, or, of big buckets, each window's hash."""
     for b in batches:
         rows: list[tuple] = []
-        for rid, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+        for rid, text, asked in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
             data = text.as_buffer().to_pybytes()
             for x in asked:
                 start, windows = x["pack"] >> 16, x["pack"] >> 8 & 255
@@ -264,11 +264,11 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200
     if not GRAM < length <= GRAM + 223:
         raise ValueError("length must be 33 to 255")
     spark = docs.sparkSession
-    texts = numbered(docs, text_col).select("rid", "text")
+    texts = numbered(docs, text_col)
 
     def rows(with_class: bool) -> DataFrame:
         schema = "h bigint, sig bigint, rid bigint, pack bigint" if with_class else "h bigint"
-        return texts.mapInArrow(lambda batches: _anchor_rows(batches, length, with_class), schema)
+        return texts.select("rid", "text").mapInArrow(lambda batches: _anchor_rows(batches, length, with_class), schema)
 
     grams = rows(False).groupBy("h").count().where("count > 1").select(F.col("h").alias("g"))
     met = stored(rows(True).join(stored(grams, "suffix-grams"), F.col("h") == F.col("g")).drop("g"), "suffix-anchors")
@@ -286,7 +286,8 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200
     def contexts(big: bool) -> DataFrame:
         of_row = asked.where(F.col("big") == big).groupBy(F.col("rid").alias("a_rid")).agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
         schema = "w1 bigint, w2 bigint, rid bigint, at bigint" if big else "h bigint, rid bigint, pack bigint, bytes binary"
-        joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("rid", "text", "asked")
+        # With the columns of the last join, so that Spark deals the texts out once for both.
+        joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("doc_id", "rid", "text", "asked")
         return joined.mapInArrow(lambda batches: _context_rows(batches, length, big), schema)
 
     refined = (
@@ -331,7 +332,7 @@ def without_repeats(docs: DataFrame, *, length: int = 200, bucket_limit: int = 4
     left. Null ids pass through; other columns are not read. `kept` holds the
     remaining bytes (a span may cut a character), or null without `with_rest`.
     """
-    found = stored(repeated_spans(docs, length=length, bucket_limit=bucket_limit), "suffix-spans")
+    found = repeated_spans(docs, length=length, bucket_limit=bucket_limit)
     joined = numbered(docs).join(found.withColumnRenamed("rid", "s_rid"), F.col("rid") == F.col("s_rid"), "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
