@@ -285,6 +285,8 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200
 
     def contexts(big: bool) -> DataFrame:
         of_row = asked.where(F.col("big") == big).groupBy(F.col("rid").alias("a_rid")).agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
+        if big:  # stored, so that its size is known: few rows are broadcast, and then no text is dealt out for them
+            of_row = stored(of_row, "suffix-asked")
         schema = "w1 bigint, w2 bigint, rid bigint, at bigint" if big else "h bigint, rid bigint, pack bigint, bytes binary"
         # With the columns of the last join, so that Spark deals the texts out once for both.
         joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("doc_id", "rid", "text", "asked")
