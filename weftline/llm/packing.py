@@ -182,7 +182,7 @@ class WordTokens:
     #: What may follow a word's letters and shares no token with them.
     SIGNS = ".,;:!?#*$%&|<>()[]{}\"'-_/"
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
