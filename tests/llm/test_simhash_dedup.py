@@ -149,3 +149,19 @@ def test_wide_distances():
     for radius in (3, 98, 250):
         bits = np.unpackbits(S.near(fps, S._planes(fps), radius).view(np.uint8), axis=1, bitorder="little")[:, :70]
         assert (bits == (np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= radius)).all()
+
+
+def test_link_behind_many_nearer_texts_is_found(documents):
+    """Texts that share 400 shingles and are 0.784 alike, each other's nearest by chance; one pair among them is 0.82 alike."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
+    template, texts = [word() for _ in range(404)], {}
+    for pair in range(6):
+        own = [word() for _ in range(10)]
+        for side in range(2):
+            texts[2 * pair + side] = " ".join(template + own + [word() for _ in range(45)])
+    for i in range(12, 120):
+        texts[i] = " ".join(template + [word() for _ in range(55)])
+    expected = plain_groups(texts)
+    assert sorted(k for k, v in expected.items() if k != v) == [1, 3, 5, 7, 9, 11]
+    assert {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items()))).collect()} == expected

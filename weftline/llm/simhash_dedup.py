@@ -304,9 +304,9 @@ def wide_fingerprint(text: bytes, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Bits at which sets of this Jaccard similarity differ, and two and a half standard deviations more."""
+    """Bits at which sets of this Jaccard similarity differ, and four and a half standard deviations more: 3.4e-6 miss it."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + 4.5 * math.sqrt(bits * share * (1 - share)))
 
 
 def _nearest(fps: np.ndarray, links: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -413,12 +413,103 @@ def alike(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u bigint, v bigint")
 
 
+ACROSS = "key bigint, node bigint, fp binary, keys array<bigint>, k int, label bigint"
+
+
+def _across(fps: np.ndarray, keys: np.ndarray, k: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a bucket's lanes: each lane with the later ones within the radius that have another label, if any.
+
+    A pair counts in the first bucket only that it shares: where it agrees in an earlier key, it is left to that.
+    """
+    planes = _planes(fps)
+    for at in range(0, len(fps), 64):
+        hit = np.unpackbits(near(fps[at : at + 64], planes, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)].astype(bool)
+        for i in range(at, min(at + 64, len(fps))):
+            to = i + 1 + np.flatnonzero(hit[i - at, i + 1 :])
+            to = to[label[to] != label[i]]
+            to = to[~(keys[to, : k[i]] == keys[i, : k[i]]).any(axis=1)]
+            if len(to):
+                yield i, to
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch for each value of the first column, which is sorted."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for start, end in itertools.pairwise(cuts):
+            if start == end:
+                continue
+            if kept and kept[-1].column(0)[0] != b.column(0)[start]:
+                yield pa.concat_batches(kept)
+                kept = []
+            kept.append(b.slice(start, end - start))
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def _members(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, keys, number of the key that made the bucket, and labels, of a bucket in the columns of ACROSS."""
+    fps = np.frombuffer(b"".join(b.column(2).to_pylist()), U64).reshape(-1, WIDE)
+    keys = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
+    return fps, keys, b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
+
+
+def unjoined(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Of buckets (ACROSS, sorted by key): the members that have one of another label within the radius."""
+    for b in _buckets(batches):
+        some = np.zeros(b.num_rows, bool)
+        for i, to in _across(*_members(b), radius):
+            some[i] = True
+            some[to] = True
+        if some.any():
+            yield b.filter(pa.array(some))
+
+
+def joined(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Of buckets (ACROSS and text, sorted by key): links (u, v) that join all labels which have alike texts in a bucket.
+
+    Every pair within the radius is compared by its shingles, but those that links join already. Shingles are told
+    apart by 64-bit hashes.
+    """
+    for b in _buckets(batches):
+        fps, keys, k, label = _members(b)
+        hashes = []
+        for t in b.column(6):
+            words = t.as_buffer().to_pybytes().lower().split()
+            columns = [words[i:] for i in range(min(shingle, len(words)))]
+            hashes.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*columns)), U64)))
+        sizes = np.array([len(h) for h in hashes])
+        vocabulary, places = np.unique(np.concatenate(hashes), return_inverse=True)
+        sets = np.split(places, np.cumsum(sizes)[:-1])
+        marked = np.zeros(len(vocabulary), bool)
+        label, us, vs = label.copy(), [], []
+        for i, to in _across(fps, keys, k, label.copy(), radius):
+            # Jaccard is at most the smaller size by the greater.
+            to = to[(label[to] != label[i]) & (np.minimum(sizes[to], sizes[i]) >= similarity * np.maximum(sizes[to], sizes[i]))]
+            marked[sets[i]] = True
+            for part in (to[x : x + 256] for x in range(0, len(to), 256)):
+                both = np.add.reduceat(marked[np.concatenate([sets[j] for j in part])], np.r_[0, np.cumsum(sizes[part])[:-1]], dtype=np.int64)
+                for j in part[both >= similarity * (sizes[part] + sizes[i] - both)].tolist():
+                    if label[j] != label[i]:
+                        us.append(i)
+                        vs.append(j)
+                        label[label == label[j]] = label[i]
+            marked[sets[i]] = False
+        if us:
+            node = b.column(1).to_numpy(zero_copy_only=False)
+            u, v = node[us], node[vs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+
 def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, bucket_limit: int = 1024, depth: int = 3) -> DataFrame:
     """(doc_id, component_id) per document with an id: groups of texts whose `shingle`-word sets are `similarity` alike.
 
     Candidates come from SimHashes of 512 bits, which bit-sliced comparison holds
     against `radius_of(similarity)`; of each text the nearest ones are then compared
-    exactly, by their shingle sets. Texts meet in buckets of an equal smallest
+    exactly, by their shingle sets. Of the groups so found, all other pairs within
+    the radius are compared too, until a pair joins the two groups. Texts meet in buckets of an equal smallest
     shingle hash, under eight orders; alike texts miss all of them with a chance of
     (1 - similarity) ** 8. A bucket over the limit is split by the smallest hashes
     under four other orders, `depth` times at most. Equal fingerprints are one node.
@@ -444,7 +535,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     nodes = stored(rows.groupBy("fp", "keys").agg(F.min("doc_id").alias("node")), "similar-nodes")
     members = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("k", "value"))
     members = members.select("node", "fp", "keys", "k", F.xxhash64("k", "value").alias("key"))
-    links = None
+    links = buckets = None
     for level in range(depth + 1):
         large = None
         if level < depth:
@@ -453,7 +544,8 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
         fit = members if large is None else members.join(large, "key", "left_anti")
         # Buckets of one have no link; their rows need not travel with fingerprints.
         shared = stored(fit.groupBy("key").count().where("count > 1").select("key"), "similar-shared")
-        fit = fit.join(shared, "key", "left_semi")
+        fit = fit.join(shared, "key", "left_semi").select("key", "node", "fp", "keys", "k")
+        buckets = fit if buckets is None else buckets.union(fit)
         found = (
             fit.select("key", "node", "fp")
             .repartition(n_partitions(spark), "key")
@@ -467,7 +559,28 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
         members = members.join(large, "key", "left_semi").select("node", "fp", "keys", "key", "k", finer)
         members = members.withColumn("k", (F.col("k") + F.col("step")) % KEYS)
         members = stored(members.select("node", "fp", "keys", "k", F.xxhash64("key", "k", F.get("keys", F.col("k"))).alias("key")), "similar-refined")
-    groups = components(alike(texts, stored(links.distinct(), "similar-pairs"), similarity, shingle))
+    near_ones = stored(alike(texts, stored(links.distinct(), "similar-pairs"), similarity, shingle), "similar-links")
+    groups = stored(components(near_ones), "similar-first")
+    labelled = buckets.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = stored(
+        labelled.select("key", "node", "fp", "keys", "k", "label")
+        .repartition(n_partitions(spark), "key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(lambda batches: unjoined(batches, radius), ACROSS),
+        "similar-open",
+    )
+    asked = stored(open_.select(F.col("node").alias("id")).distinct(), "similar-open-ids")
+    some = texts.join(asked, F.col("doc_id") == F.col("id")).groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text"))
+    rest = (
+        open_.join(stored(some, "similar-open-texts"), "node")
+        .select("key", "node", "fp", "keys", "k", "label", "text")
+        .repartition(n_partitions(spark), "key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(lambda batches: joined(batches, radius, similarity, shingle), "u bigint, v bigint")
+    )
+    rest = stored(rest, "similar-rest")
+    if not rest.isEmpty():
+        groups = components(near_ones.union(rest))
     named = nodes.join(groups, "node", "left").select("fp", "keys", F.coalesce("label", "node").alias("component_id"))
     return rows.join(stored(named, "similar-components"), ["fp", "keys"]).select("doc_id", "component_id")
 
