@@ -50,3 +50,17 @@ def test_edge_rows(documents, tmp_path):
     assert sorted((r["doc_id"], r["n_chars"]) for r in out if r["doc_id"]) == [(1, 0), (2, 4), (2, 4), (3, 500_000)]
     assert len(out) == 6
     assert sharded(df.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
+def test_files_of_one_name_in_two_runs_keep_their_rows_once(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    first = ShardStore(spark, root, target_bytes=6_000, smallest_bytes=1000, fanout=2)
+    for k in range(8):
+        first.append(spark.range(k * 1000, (k + 1) * 1000).repartition(1))
+    first.compact()
+    names = [s.path.rsplit("/", 1)[1] for s in first.shards()]
+    assert len(set(names)) < len(names)  # a task wrote several runs
+    second = ShardStore(spark, root, target_bytes=1 << 20, smallest_bytes=1 << 16, fanout=2)
+    second.compact()
+    assert len(second.shards()) == 1
+    assert sorted(r["id"] for r in second.read().collect()) == list(range(8000))

@@ -106,6 +106,10 @@ class ShardStore:
                 found.append(Shard(path[path.rindex(f"/{folder}/") + 1 :], status.getLen()))
         return sorted(found, key=lambda s: s.path)
 
+    def _count(self, paths: list[str]) -> int:
+        """Rows of these files, by their footers."""
+        return self.spark.read.parquet(*(f"{self.root}/{p}" for p in paths)).count() if paths else 0
+
     def append(self, arrivals: DataFrame) -> int:
         """Write `arrivals`, a shard a partition, and commit; the new version. Without rows nothing is committed."""
         folder = f"data/{uuid.uuid4().hex}"
@@ -152,15 +156,19 @@ class ShardStore:
             folder = f"data/{(name := uuid.uuid4().hex)}"
             file, number = f"file_{name}", f"run_{name}"  # no column of the rows has these names
             run_of = {s.path: k for k, run in enumerate(runs) for s in run}
-            names = self.spark.createDataFrame([(p.rsplit("/", 1)[1], k) for p, k in run_of.items()], f"{file} string, {number} int")
+            names = self.spark.createDataFrame(list(run_of.items()), f"{file} string, {number} int")
             rows = self.spark.read.parquet(*(f"{self.root}/{p}" for p in run_of))
-            rows = rows.select("*", F.col("_metadata.file_name").alias(file))
+            # Files of different runs may share a name, so the path below the store's folder tells them apart.
+            rows = rows.select("*", F.regexp_extract("_metadata.file_path", "^.*/(data/[0-9a-f]{32}/.+)$", 1).alias(file))
             # A run is about one target file, so a task holds no more; rows of a run keep together.
             # The list that is broadcast has MOST_FILES names at most.
             merged = rows.join(F.broadcast(names), file).drop(file).repartition(len(runs), number)
             merged.write.option("compression", "zstd").partitionBy(number).parquet(f"{self.root}/{folder}")
+            written = self._written(folder)
+            if (had := self._count(list(run_of))) != (has := self._count([s.path for s in written])):
+                raise RuntimeError(f"{had} rows became {has} in {folder}; nothing is committed")
             try:
-                self.commit([s for s in before if s.path not in run_of] + self._written(folder), version)
+                self.commit([s for s in before if s.path not in run_of] + written, version)
             except CommitConflict:
                 continue
         return version
