@@ -165,3 +165,20 @@ def test_link_behind_many_nearer_texts_is_found(documents):
     expected = plain_groups(texts)
     assert sorted(k for k, v in expected.items() if k != v) == [1, 3, 5, 7, 9, 11]
     assert {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items()))).collect()} == expected
+
+
+def test_links_in_buckets_over_the_limit_need_one_common_key_only(documents):
+    """Texts 0.46 alike by a template, so every bucket is large, and ten pairs 0.53 alike."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
+    template, texts = [word() for _ in range(130)], {}
+    for pair in range(10):
+        own = [word() for _ in range(15)]
+        for side in range(2):
+            texts[2 * pair + side] = " ".join(template + own + [word() for _ in range(57)])
+    for i in range(20, 60):
+        texts[i] = " ".join(template + [word() for _ in range(72)])
+    expected = plain_groups(texts, similarity=0.5)
+    assert sum(k != v for k, v in expected.items()) == 10
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items())), similarity=0.5, bucket_limit=4).collect()}
+    assert got == expected

@@ -413,11 +413,15 @@ def alike(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u bigint, v bigint")
 
 
-ACROSS = "key bigint, node bigint, fp binary, keys array<bigint>, k int, label bigint"
+ACROSS = "key bigint, node bigint, fp binary, keys array<bigint>, k int, label bigint, side int"
 
 
-def _across(fps: np.ndarray, keys: np.ndarray, k: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of a bucket's lanes: each lane with the later ones within the radius that have another label, if any.
+def _across(
+    fps: np.ndarray, keys: np.ndarray, k: np.ndarray, label: np.ndarray, side: np.ndarray, radius: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a cell's lanes: each lane with the later ones within the radius that have another label, if any.
+
+    Side 0: all with all, in a cell of one block; 1 and 2: two blocks, held against each other.
 
     A pair counts in the first bucket only that it shares: where it agrees in an earlier key, it is left to that.
     """
@@ -426,7 +430,7 @@ def _across(fps: np.ndarray, keys: np.ndarray, k: np.ndarray, label: np.ndarray,
         hit = np.unpackbits(near(fps[at : at + 64], planes, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)].astype(bool)
         for i in range(at, min(at + 64, len(fps))):
             to = i + 1 + np.flatnonzero(hit[i - at, i + 1 :])
-            to = to[label[to] != label[i]]
+            to = to[(label[to] != label[i]) & ((side[to] != side[i]) | (side[i] == 0))]
             to = to[~(keys[to, : k[i]] == keys[i, : k[i]]).any(axis=1)]
             if len(to):
                 yield i, to
@@ -449,15 +453,15 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(kept)
 
 
-def _members(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, keys, number of the key that made the bucket, and labels, of a bucket in the columns of ACROSS."""
+def _members(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Fingerprints, keys, number of the key that made the bucket, labels and sides, of a cell in the columns of ACROSS."""
     fps = np.frombuffer(b"".join(b.column(2).to_pylist()), U64).reshape(-1, WIDE)
     keys = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
-    return fps, keys, b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
+    return fps, keys, *(b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
 
 
 def unjoined(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of buckets (ACROSS, sorted by key): the members that have one of another label within the radius."""
+    """Of cells (ACROSS, sorted by key): the members that have one of another label within the radius."""
     for b in _buckets(batches):
         some = np.zeros(b.num_rows, bool)
         for i, to in _across(*_members(b), radius):
@@ -468,15 +472,15 @@ def unjoined(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
 
 
 def joined(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, shingle: int) -> Iterator[pa.RecordBatch]:
-    """Of buckets (ACROSS and text, sorted by key): links (u, v) that join all labels which have alike texts in a bucket.
+    """Of cells (ACROSS and text, sorted by key): links (u, v) that join all labels which have alike texts in a cell.
 
     Every pair within the radius is compared by its shingles, but those that links join already. Shingles are told
     apart by 64-bit hashes.
     """
     for b in _buckets(batches):
-        fps, keys, k, label = _members(b)
+        fps, keys, k, label, side = _members(b)
         hashes = []
-        for t in b.column(6):
+        for t in b.column(7):
             words = t.as_buffer().to_pybytes().lower().split()
             columns = [words[i:] for i in range(min(shingle, len(words)))]
             hashes.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*columns)), U64)))
@@ -485,7 +489,7 @@ def joined(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, sh
         sets = np.split(places, np.cumsum(sizes)[:-1])
         marked = np.zeros(len(vocabulary), bool)
         label, us, vs = label.copy(), [], []
-        for i, to in _across(fps, keys, k, label.copy(), radius):
+        for i, to in _across(fps, keys, k, label.copy(), side, radius):
             # Jaccard is at most the smaller size by the greater.
             to = to[(label[to] != label[i]) & (np.minimum(sizes[to], sizes[i]) >= similarity * np.maximum(sizes[to], sizes[i]))]
             marked[sets[i]] = True
@@ -503,16 +507,18 @@ def joined(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, sh
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
-def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, bucket_limit: int = 1024, depth: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, bucket_limit: int = 1024) -> DataFrame:
     """(doc_id, component_id) per document with an id: groups of texts whose `shingle`-word sets are `similarity` alike.
 
     Candidates come from SimHashes of 512 bits, which bit-sliced comparison holds
     against `radius_of(similarity)`; of each text the nearest ones are then compared
     exactly, by their shingle sets. Of the groups so found, all other pairs within
-    the radius are compared too, until a pair joins the two groups. Texts meet in buckets of an equal smallest
-    shingle hash, under eight orders; alike texts miss all of them with a chance of
-    (1 - similarity) ** 8. A bucket over the limit is split by the smallest hashes
-    under four other orders, `depth` times at most. Equal fingerprints are one node.
+    the radius are compared too, until a pair joins the two groups. Texts meet in
+    buckets of an equal smallest shingle hash, under eight orders; alike texts miss
+    all of them with a chance of (1 - similarity) ** 8, whatever the buckets' sizes.
+    A bucket over the limit is dealt into blocks, and every two blocks are held
+    against each other in a cell of their own, so no task takes a whole one: its
+    rows grow with the square of its size. Equal fingerprints are one node.
     Documents without words, or without id, are groups of their own, left out here.
     """
     radius, spark = radius_of(similarity), docs.sparkSession
@@ -533,37 +539,33 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     rows = stored(texts.mapInArrow(run, "doc_id bigint, fp binary, keys array<bigint>"), "similar-fingerprints")
     # Equal fingerprints come from equal shingle sets, but for chance: they have equal keys too.
     nodes = stored(rows.groupBy("fp", "keys").agg(F.min("doc_id").alias("node")), "similar-nodes")
-    members = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("k", "value"))
-    members = members.select("node", "fp", "keys", "k", F.xxhash64("k", "value").alias("key"))
-    links = buckets = None
-    for level in range(depth + 1):
-        large = None
-        if level < depth:
-            large = stored(members.groupBy("key").count().where(F.col("count") > bucket_limit).select("key"), "similar-large")
-            large = None if large.isEmpty() else large
-        fit = members if large is None else members.join(large, "key", "left_anti")
-        # Buckets of one have no link; their rows need not travel with fingerprints.
-        shared = stored(fit.groupBy("key").count().where("count > 1").select("key"), "similar-shared")
-        fit = fit.join(shared, "key", "left_semi").select("key", "node", "fp", "keys", "k")
-        buckets = fit if buckets is None else buckets.union(fit)
-        found = (
-            fit.select("key", "node", "fp")
-            .repartition(n_partitions(spark), "key")
-            .sortWithinPartitions("key", "node")
-            .mapInArrow(lambda batches: similar_links(batches, radius), "u bigint, v bigint")
-        )
-        links = found if links is None else links.union(found)
-        if large is None:
-            break
-        finer = F.explode(F.array(*(F.lit(x) for x in range(1, 5)))).alias("step")
-        members = members.join(large, "key", "left_semi").select("node", "fp", "keys", "key", "k", finer)
-        members = members.withColumn("k", (F.col("k") + F.col("step")) % KEYS)
-        members = stored(members.select("node", "fp", "keys", "k", F.xxhash64("key", "k", F.get("keys", F.col("k"))).alias("key")), "similar-refined")
+    value = F.posexplode("keys").alias("k", "value")
+    keyed = lambda df, *columns: df.select(*columns, value).withColumn("key", F.xxhash64("k", "value")).drop("value")
+    # Buckets of one have no link; their rows need not travel with fingerprints.
+    counted = keyed(nodes).groupBy("key").count().where("count > 1")
+    blocks = F.when(F.col("count") > bucket_limit, F.ceil(F.col("count") * 2 / bucket_limit)).otherwise(1)
+    shared = stored(counted.select("key", blocks.cast("int").alias("n")), "similar-shared")
+    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    links = (
+        keyed(nodes, "node", "fp")
+        .join(shared, "key")
+        .select(F.xxhash64("key", block).alias("key"), "node", "fp")
+        .repartition(n_partitions(spark), "key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(lambda batches: similar_links(batches, radius), "u bigint, v bigint")
+    )
     near_ones = stored(alike(texts, stored(links.distinct(), "similar-pairs"), similarity, shingle), "similar-links")
-    groups = stored(components(near_ones), "similar-first")
-    labelled = buckets.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = components(near_ones)
+    labelled = stored(nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-labels")
+    groups = labelled.select("node", "label")
+    mixed = keyed(labelled, "label").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    mixed = stored(shared.join(mixed.select("key"), "key"), "similar-mixed")
+    cells = keyed(labelled, "node", "fp", "keys", "label").join(mixed, "key").withColumn("block", block)
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = cells.withColumn("side", F.expr("case when block = other then 0 when block < other then 1 else 2 end"))
+    cells = cells.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
     open_ = stored(
-        labelled.select("key", "node", "fp", "keys", "k", "label")
+        cells.select("key", "node", "fp", "keys", "k", "label", "side")
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
         .mapInArrow(lambda batches: unjoined(batches, radius), ACROSS),
@@ -573,7 +575,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     some = texts.join(asked, F.col("doc_id") == F.col("id")).groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text"))
     rest = (
         open_.join(stored(some, "similar-open-texts"), "node")
-        .select("key", "node", "fp", "keys", "k", "label", "text")
+        .select("key", "node", "fp", "keys", "k", "label", "side", "text")
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
         .mapInArrow(lambda batches: joined(batches, radius, similarity, shingle), "u bigint, v bigint")
@@ -581,7 +583,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     rest = stored(rest, "similar-rest")
     if not rest.isEmpty():
         groups = components(near_ones.union(rest))
-    named = nodes.join(groups, "node", "left").select("fp", "keys", F.coalesce("label", "node").alias("component_id"))
+    named = nodes.join(groups.distinct(), "node", "left").select("fp", "keys", F.coalesce("label", "node").alias("component_id"))
     return rows.join(stored(named, "similar-components"), ["fp", "keys"]).select("doc_id", "component_id")
 
 
