@@ -72,3 +72,9 @@ def test_edge_rows(documents):
     assert long["n_repeat_words"] == 5000 and long["base_failed"]
     assert apply_quality_rules(df).columns == df.columns
     assert line_verdicts(df.limit(0)).count() == 0
+
+
+def test_different_documents_that_share_a_passage_count_each(documents):
+    common = "\n".join(" ".join(f"c{line}x{k}" for k in range(10)) for line in range(20))
+    rows = [(i, f"{common}\n" + " ".join(f"own{i}x{k}" for k in range(11)), "a") for i in range(60)]
+    assert not any(v[-1] for v in found(documents(rows)).values())

@@ -1,12 +1,12 @@
 """Quality rules: per-document measures and cross-document line frequency.
 
 DataFrame functions only, no Python on the executors. One pass over the texts
-gives each document's measures, a sketch and the hashes of its normalised lines;
+gives each document's measures and the hashes of its text and normalised lines;
 all later steps work on that small table. A line is over the limit when more
-than `max_docs` distinct documents of one host hold it. Copies and near copies
-of one text count as one document: documents are told apart by the smallest hash
-of their 8-word windows. So a group of copies doesn't condemn its own lines;
-choosing one of the copies is left to near-duplicate removal.
+than `max_docs` distinct documents of one host hold it. Documents are told apart
+by the hash of the whole text: exact copies count as one, so they don't condemn
+their own lines, but near copies count each, as do different documents that
+share a passage.
 
 A document is depleted, and rejected, when its lines within the limit hold fewer
 than `min_left_chars` characters and less than `min_left_share` of its text.
@@ -35,7 +35,7 @@ def _lines(text):
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per row of `docs`: measures, sketch and hashed lines, without texts."""
+    """One row per row of `docs`: measures, text hash and hashed lines, without texts."""
     d = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -65,7 +65,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         .otherwise(F.array(F.xxhash64("words")))
         .alias("windows"),
     )
-    d = d.withColumn("sketch", F.array_min("windows")).withColumn(
+    d = d.withColumn(
         "sorted",
         F.when(
             F.size(F.array_distinct("windows")) < F.size("windows"),
@@ -84,7 +84,6 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         "doc_id",
         "host",
         "text_hash",
-        "sketch",
         "lines",
         *(F.col(c).cast("long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")),
         F.when(
@@ -118,9 +117,9 @@ def line_verdicts(
     lines over the limit (null: none).
     """
     rows = stored(measured(docs, id_col, text_col, host_col), "quality-measures")
-    lines = rows.select("host", "sketch", F.explode("lines.h").alias("h"))
+    lines = rows.dropDuplicates(["host", "text_hash"]).select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
     frequent = stored(
-        lines.groupBy("host", "h").agg(F.count_distinct("sketch").alias("n")).where(F.col("n") > max_docs).select("host", "h"),
+        lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h"),
         "quality-lines",
     ).withColumnsRenamed({"host": "f_host", "h": "f_h"})
     here = rows.select("doc_id", "text_hash", "host", F.explode(F.array_distinct("lines.h")).alias("h"))
