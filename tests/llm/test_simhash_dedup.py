@@ -168,17 +168,19 @@ def test_link_behind_many_nearer_texts_is_found(documents):
 
 
 def test_links_in_buckets_over_the_limit_need_one_common_key_only(documents):
-    """Texts 0.46 alike by a template, so every bucket is large, and ten pairs 0.53 alike."""
+    """Texts about 0.35 alike by a template, so that its buckets are large, and five pairs over 0.4 with one key in common."""
     rng = np.random.default_rng(13)
-    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
-    template, texts = [word() for _ in range(130)], {}
-    for pair in range(10):
-        own = [word() for _ in range(15)]
-        for side in range(2):
-            texts[2 * pair + side] = " ".join(template + own + [word() for _ in range(57)])
-    for i in range(20, 60):
-        texts[i] = " ".join(template + [word() for _ in range(72)])
-    expected = plain_groups(texts, similarity=0.5)
-    assert sum(k != v for k, v in expected.items()) == 10
-    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items())), similarity=0.5, bucket_limit=4).collect()}
+    some = lambda n: ["".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(n)]
+    template, texts = some(110), {}
+    keys = lambda t: S.wide_fingerprint(t.encode(), 5)[1]
+    while len(texts) < 10:
+        own = some(15)
+        one, other = (" ".join(template + own + some(83)) for _ in range(2))
+        if (keys(one) == keys(other)).sum() == 1:
+            texts |= {len(texts): one, len(texts) + 1: other}
+    for i in range(10, 60):
+        texts[i] = " ".join(template + some(98))
+    expected = plain_groups(texts, similarity=0.4)
+    assert sum(k != v for k, v in expected.items()) == 5
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items())), similarity=0.4, bucket_limit=4).collect()}
     assert got == expected
