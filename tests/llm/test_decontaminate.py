@@ -56,10 +56,22 @@ def test_edge_rows(spark, documents):
     assert not any(r["contaminated"] for r in D.contamination(df, bench(spark, [])).collect())
 
 
+def test_long_items_are_cut_into_blocks(spark, documents):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(1, text(100)), (2, text(30))]
+    rows = [(i, text(80)) for i in range(40)]
+    rows += [(100, items[0][1]), (101, items[0][1][20:70])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in D.contamination(documents(rows), bench(spark, items), block_words=20).collect()}
+    assert got == {i: plain(t, items) for i, t in rows}
+
+
 def test_spans_are_cut(spark, documents):
     passage = "One two THREE four five six-seven eight nine ten été"
     rest = "and much more text that is not in any of the items at all so that the document stays"
-    df = documents([(1, f"Before it, {passage}! After it {rest}."), (2, rest), (3, passage), (4, None)])
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in D.remove_contamination(df, bench(spark, [(1, passage)])).collect()}
+    df = documents([(1, f"Before it, {passage}! After it {rest}."), (2, rest), (3, passage), (4, None)], c_text="1", c_row="2", c_had="3")
     text = f"Before it, ! After it {rest}."
-    assert got == {1: (text, len(text)), 2: (rest, len(rest)), 4: (None, None)}
+    for blocks in (200_000, 10):
+        done = D.remove_contamination(df, bench(spark, [(1, passage), (2, "other words of another item that nobody uses")]), block_words=blocks)
+        assert done.columns == df.columns
+        assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in done.collect()} == {1: (text, len(text)), 2: (rest, len(rest)), 4: (None, None)}

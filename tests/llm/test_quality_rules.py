@@ -1,6 +1,5 @@
 import re
-
-import xxhash
+from collections import Counter
 
 from weftline.llm.quality_rules import apply_quality_rules, line_verdicts
 
@@ -8,25 +7,19 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def plain(texts):
-    """Measures of (id, text, host), and the verdict by distinct sketches per host and line."""
+    """Measures of (id, text, host), and the verdict by distinct texts per host and line."""
     rows, holders = [], {}
     for doc_id, text, host in texts:
         text = text or ""
         words = WORD.findall(text)
         grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-        again = {g for g in grams if grams.count(g) > 1}
+        times = Counter(grams)
+        again = {g for g in grams if times[g] > 1}
         covered = {p for i, g in enumerate(grams) if g in again for p in range(i, i + 8)}
         lines = [x for x in text.split("\n") if WORD.search(x)]
 
-        def chained(group):
-            h = 42
-            for w in group:
-                h = xxhash.xxh64_intdigest(w.encode(), h)
-            return h - (1 << 64) if h >> 63 else h
-
-        sketch = min(map(chained, grams)) if grams else chained(words)
         for x in lines:
-            holders.setdefault((host, x.strip(" \t\r\x0b\x0c").lower()), set()).add(sketch)
+            holders.setdefault((host, x.strip(" \t\r\x0b\x0c").lower()), set()).add(text)
         rows.append((doc_id, host, words, lines, len(covered), len(re.findall(r"[#*$%&|<>]", text))))
     out = {}
     for doc_id, host, words, lines, covered, symbols in rows:
@@ -78,3 +71,21 @@ def test_different_documents_that_share_a_passage_count_each(documents):
     common = "\n".join(" ".join(f"c{line}x{k}" for k in range(10)) for line in range(20))
     rows = [(i, f"{common}\n" + " ".join(f"own{i}x{k}" for k in range(11)), "a") for i in range(60)]
     assert not any(v[-1] for v in found(documents(rows)).values())
+
+
+def test_a_long_shared_line_counts_once_for_each_document(documents):
+    line = " ".join(f"shared{k}" for k in range(80))
+    rows = [(i, f"{line}\nown{i}x1 own{i}x2 own{i}x3", "a") for i in range(500)]
+    df = documents(rows, v_id="1", v_hash="2", v_removed="3", own_hash="4", parts="5")
+    assert not any(v[-1] for v in found(df).values())
+    assert apply_quality_rules(df).count() == 0
+
+
+def test_many_removed_lines_in_a_long_text(documents):
+    common = [f"common line number {k} of this host" for k in range(300)]
+    own = lambda i: [" ".join(f"w{i}x{n}x{k}" for k in range(8)) for n in range(300)]
+    rows = [(i, "\n".join(x for pair in zip(common, own(i)) for x in pair), "a") for i in range(25)]
+    df = documents(rows)
+    out = {r["doc_id"]: r for r in apply_quality_rules(df).collect()}
+    assert out[3]["text"] == "\n".join(own(3)) and out[3]["n_chars"] == len(out[3]["text"])
+    assert found(df) == plain(rows)

@@ -69,7 +69,7 @@ def test_edge_rows(documents):
     assert sorted(r["n_assign"] for r in out) == [0, 0, 1, 1, 2, 2]
     assert next(r["spans"] for r in out if r["doc_id"] == 2) == "assign:2:25,assign:30:53"
     assert S.secret_report(df.limit(0)).count() == 0
-    plain_docs = documents(rows)
+    plain_docs = documents(rows, s_text="1", s_spans="2", S_TEXT2="3")
     redacted = {(r["doc_id"], r["text"]) for r in S.redact_secrets(plain_docs).collect()}
     assert (2, "ü [secret] and [secret]") in redacted and (None, "[secret]") in redacted and (None, None) in redacted
     assert S.redact_secrets(plain_docs).columns == plain_docs.columns
@@ -77,3 +77,14 @@ def test_edge_rows(documents):
 
 def test_overlapping_spans_become_one_mark():
     assert S.redact("abcdefgh", [(1, 4), (3, 6)], "#") == "a#gh"
+
+
+def test_long_text_is_indexed_part_by_part(monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT_BYTES", 64)
+    scanner = S.Scanner(S.RULES)
+    text = b"filler " * 30 + b"password=hunter2hunter2 " + b"more " * 40 + b"AKIA" + b"Z" * 16
+    (spans,) = scanner.segment([text])
+    assert [scanner.rules[k][0] for *_, k in spans] == ["assign", "access"]
+    for shift in range(64):
+        (spans,) = scanner.segment([b"x" * shift + b" token=abcdefghij"])
+        assert len(spans) == 1

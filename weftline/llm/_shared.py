@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 from weftline.storage import shared_folder, stored
 
-__all__ = ["n_partitions", "shared_folder", "stored"]
+__all__ = ["free_names", "n_partitions", "shared_folder", "stored"]
 
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """`names`, lengthened where a table has a column of that name (Spark takes names in either case)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out

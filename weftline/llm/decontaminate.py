@@ -1,15 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The normalised benchmark items form one suffix automaton, broadcast as item texts
-and built once per Python worker. Training documents are streamed through it: each
+and built once per task. Training documents are streamed through it: each
 token updates the state and the longest matching length; a length that reaches the
 window (10 words, or a whole shorter item) marks the words it spans. Words outside
 the benchmark's vocabulary reset the automaton, so runs of known words shorter
 than the shortest window are skipped without a step.
 
 The automaton is bounded: items are dealt into blocks of about `block_words` words
-by a hash, and the documents pass one block after the other (a fixed query set
-against all rows), each pass adding to the marks of the one before. No shuffle.
+by a hash, and the documents are held against one block after the other (a stated
+query set against all rows). One block needs one pass and no shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._shared import free_names, stored
+
 WINDOW = 10
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest parts words.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -141,17 +142,6 @@ class SuffixAutomaton:
                 spans.append((start, i))
 
 
-_built: dict[str, SuffixAutomaton] = {}
-
-
-def _automaton(key: str, items: list[tuple[object, bytes]], window: int) -> SuffixAutomaton:
-    """Built at the first batch of a Python worker; one is kept."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = SuffixAutomaton(items, window)
-    return _built[key]
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -162,86 +152,116 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-MARKS = "c_words bigint, c_spans array<struct<start:bigint,end:bigint>>, c_items array<string>"
+SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Number of words, hit word spans, and ids of items of a row.
+Marks = tuple[int, list[tuple[int, int]], list[str]]
 
 
-def marked(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    window: int = WINDOW,
-    block_words: int = 200_000,
-) -> DataFrame:
-    """`docs` with c_words (its words), c_spans (hit word spans) and c_items (items with occurring windows, as strings).
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> tuple[int, DataFrame]:
+    """The number of blocks, and (block, id, text) of the items, about `block_words` words to a block.
 
-    A null text has no words; a null or wordless item has no window; a null item id
-    is left out of c_items but its windows hit. Items that share an id count once.
-    Rows, repeats included, keep their place and other columns; only columns named
-    c_words, c_spans or c_items would be replaced.
+    A longer item comes in parts that share `window` - 1 words, so each of its windows lies in one of them.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).where(
-        "text is not null"
-    )
-    n_words = items.agg(F.sum(F.size(F.split(F.col("text").cast("string"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    blocks = max(1, math.ceil(n_words / block_words))
-    out = docs.drop("c_words", "c_spans", "c_items").withColumns(
-        {"c_words": F.lit(0).cast("long"), "c_spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "c_items": F.expr("cast(array() as array<string>)")}
-    )
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # about block_words words
-        sent = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in part])
-        out = _pass(out.withColumn("c_text", F.col(text_col).cast("binary")), sent, window)
-    return out
-
-
-def _pass(docs: DataFrame, sent, window: int) -> DataFrame:
-    names = [c for c in docs.columns if c != "c_text"]
-    schema = docs.select(names).schema
-    key = uuid.uuid4().hex
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    items = items.withColumn("words", F.filter(F.split("text", SPLIT), lambda w: w != "")).where(F.size("words") > 0)
+    step = block_words - window + 1
+    if step < 1:
+        raise ValueError("block_words must be at least the window")
+    n_parts = F.greatest(F.ceil((F.size("words") - (window - 1)) / step), F.lit(1)).cast("int")
+    items = items.withColumn("at", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    items = items.withColumn("words", F.slice("words", F.col("at") * step + 1, F.lit(block_words)))
+    blocks = max(1, math.ceil((items.agg(F.sum(F.size("words"))).first()[0] or 0) / block_words))
+    block = F.pmod(F.xxhash64("id", "at", "words"), F.lit(blocks)).cast("int")
+    return blocks, items.select(block.alias("block"), "id", F.array_join("words", " ").alias("text"))
+
+
+def _scanned(docs: DataFrame, text_col: str, items: list[tuple], window: int, schema: str | object, finish: Callable) -> DataFrame:
+    """`finish(batch, marks)` over the batches of `docs`. The automaton is built once a task and goes with it."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton(sent.value, window)
         for b in batches:
-            automaton = _automaton(key, sent.value, window)
-            texts = b.column(b.schema.get_field_index("c_text"))
-            before_spans, before_items = (b.column(b.schema.get_field_index(c)) for c in ("c_spans", "c_items"))
-            n, spans, items = [], [], []
-            for i, t in enumerate(texts):
+            marks: list[Marks] = []
+            for t in b.column(b.schema.get_field_index(text_col)):
                 words = words_of(t.as_buffer().to_pybytes()) if t.is_valid else []
-                own, found = automaton.scan(words)
-                n.append(len(words))
-                if had := before_spans[i].as_py():
-                    own = _merged(own + [(x["start"], x["end"]) for x in had])
-                spans.append([{"start": x, "end": y} for x, y in own])
-                ids = {automaton.items[k] for k in found} - {None}
-                items.append(sorted(ids.union(before_items[i].as_py())))
-            new = {
-                "c_words": pa.array(n, pa.int64()),
-                "c_spans": pa.array(spans, before_spans.type),
-                "c_items": pa.array(items, before_items.type),
-            }
-            yield pa.RecordBatch.from_arrays(
-                [new[c] if c in new else b.column(b.schema.get_field_index(c)) for c in names], names=names
-            )
+                spans, found = automaton.scan(words)
+                marks.append((len(words), spans, sorted({automaton.items[k] for k in found} - {None})))
+            yield finish(b, marks)
 
     return docs.mapInArrow(run, schema)
 
 
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, schema: Callable, finish: Callable, *, text_col: str = "text", item_id: str = "item_id",
+            item_text: str = "text", window: int = WINDOW, block_words: int = 200_000) -> DataFrame:
+    """`finish(batch, marks)` over all rows of `docs`, with their marks against the whole benchmark.
+
+    With one block of items this is one pass without a shuffle. With several, the
+    rows are numbered and written once; each block's pass then reads id and text
+    and writes the rows that it hits only, so that one block at a time is held, and
+    the hits, gathered by row, are joined to the rows again.
+    """
+    spark = docs.sparkSession
+    blocks, items = item_blocks(benchmark, item_id, item_text, window, block_words)
+    block = lambda df, k: [(r["id"], r["text"].encode()) for r in df.where(F.col("block") == k).collect()]
+    if blocks == 1:
+        return _scanned(docs, text_col, block(items, 0), window, schema(docs), finish)
+    items = stored(items, "decontaminate-items")
+    rid, had, of_row = free_names(docs.columns, "c_row", "c_had", "c_of_row")
+    docs = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "decontaminate-rows")
+
+    def hits(b: pa.RecordBatch, marks: list[Marks]) -> pa.RecordBatch:
+        some = [i for i, (_, spans, _) in enumerate(marks) if spans]
+        spans = [[{"start": x, "end": y} for x, y in marks[i][1]] for i in some]
+        typed = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(some, pa.int64())), pa.array(spans, typed), pa.array([marks[i][2] for i in some], pa.list_(pa.string()))],
+            names=[of_row, "spans", "items"],
+        )
+
+    found = None
+    for k in range(blocks):
+        one = _scanned(docs.select(rid, text_col), text_col, block(items, k), window, f"{of_row} bigint, spans {SPANS}, items array<string>", hits)
+        one = stored(one, "decontaminate-hits")
+        found = one if found is None else found.union(one)
+    found = found.groupBy(of_row).agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).alias(had))
+    joined = docs.join(found, F.col(rid) == F.col(of_row), "left").drop(rid, of_row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = []
+            for t, h in zip(b.column(b.schema.get_field_index(text_col)), b.column(b.num_columns - 1)):
+                h = h.as_py() or {"spans": [], "items": []}
+                n_words = len(words_of(t.as_buffer().to_pybytes())) if t.is_valid else 0
+                marks.append((n_words, _merged([(x["start"], x["end"]) for x in h["spans"]]), sorted(h["items"])))
+            yield finish(b, marks)
+
+    return joined.mapInArrow(run, schema(docs.drop(rid)))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of `docs`; see `marked`."""
-    m = marked(docs.select("doc_id", "text"), benchmark, **settings)
-    hit = F.aggregate("c_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return m.select(
-        "doc_id",
-        F.col("c_words").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size("c_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("c_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("c_spans") > 0).alias("contaminated"),
-    )
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of `docs`.
+
+    A null or empty text has no words; a null or wordless item has no window; a null
+    item id names no item but its windows hit. Items that share an id count once.
+    Null ids and repeated rows are scanned like others; an empty table gives an
+    empty table, an empty benchmark no hit; other columns are not read.
+    """
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+    def finish(b: pa.RecordBatch, marks: list[Marks]) -> pa.RecordBatch:
+        hit = [sum(y - x for x, y in spans) for _, spans, _ in marks]
+        digest = [hashlib.sha256(",".join(items).encode()).hexdigest() for *_, items in marks]
+        columns = [[m[0] for m in marks], hit, [len(m[2]) for m in marks]]
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=names
+        )
+
+    schema = lambda d: f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    return scanned(docs.select("doc_id", "text"), benchmark, schema, finish, **settings)
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -261,24 +281,23 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, max_coverage:
     """`docs` (doc_id, text, lang, source, n_chars) with hit spans cut from the texts.
 
     A document with more than `max_coverage` of its words hit is removed whole.
-    Untouched texts stay as they are; n_chars follows the text.
+    Untouched texts stay as they are, null and empty ones too; n_chars follows the
+    text. Null ids and repeated rows are treated like others; an empty table gives
+    an empty table; further columns pass through, whatever their names.
     """
-    m = marked(docs, benchmark, **settings)
-    hit = F.aggregate("c_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    m = m.where((hit == 0) | (hit <= max_coverage * F.col("c_words"))).drop("c_words", "c_items")
-    names, schema = docs.columns, docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text, spans = (b.column(b.schema.get_field_index(c)) for c in ("text", "c_spans"))
-            where = b.schema.get_field_index("text")
-            new = text.to_pylist()
-            for i, own in enumerate(spans.to_pylist()):
-                if own:
-                    new[i] = cut(new[i].encode(), [(s["start"], s["end"]) for s in own]).decode()
-            columns = [b.column(b.schema.get_field_index(c)) for c in names]
-            columns[names.index("text")] = pa.array(new, b.schema.field(where).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    touched = m.mapInArrow(run, schema)
+    names = docs.columns
+
+    def finish(b: pa.RecordBatch, marks: list[Marks]) -> pa.RecordBatch:
+        b = b.select(names)
+        where = names.index("text")
+        kept = [sum(y - x for x, y in spans) <= max_coverage * n for n, spans, _ in marks]
+        if any(spans for _, spans, _ in marks):
+            new = [
+                cut(t.as_buffer().to_pybytes(), spans).decode() if spans and stays else t.as_py()
+                for t, (_, spans, _), stays in zip(b.column(where), marks, kept)
+            ]
+            b = b.set_column(where, b.schema.field(where), pa.array(new, b.schema.field(where).type))
+        return b if all(kept) else b.filter(pa.array(kept, pa.bool_()))
+
+    touched = scanned(docs, benchmark, lambda d: d.select(names).schema, finish, **settings)
     return touched.withColumn("n_chars", F.length("text").cast("long")).select(names)

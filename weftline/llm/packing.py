@@ -14,6 +14,7 @@ padding. Every input partition is packed by itself, streaming, with a window of
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -170,19 +171,40 @@ def pack_examples(
     )
 
 
+# The steps before the merges of a tokenizer whose ids are those of its words.
+WORDWISE_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+WORDWISE_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+
+
+def _wordwise(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and parts letters from signs, as `WordTokens` takes for granted."""
+    steps = [json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    return steps[0].get("normalizers") == WORDWISE_NORMALIZER and WORDWISE_SPLIT in steps[1].get("pretokenizers", [])
+
+
 class WordTokens:
-    """Token ids of texts, word by word: this tokenizer drops white space, so a text's ids are those of its words.
+    """Token ids of texts as bytes (little-endian, 32 bits each).
 
-    A word of Latin letters and signs behind them has the ids of its letters in
-    lower case, then those of the signs. Ids are kept as bytes (little-endian, 32
-    bits each) in two generations of about `keep` words; the older goes when the
-    younger is full.
+    Where the tokenizer drops white space, a text's ids are those of its words: a
+    word of Latin letters and signs behind them has the ids of its letters in lower
+    case, then those of the signs. Ids are then kept in two generations of about
+    `keep` words, of 64 characters at most each; the older goes when the younger is
+    full. Texts of any other tokenizer are encoded whole.
     """
 
     #: What may follow a word's letters and shares no token with them.
     SIGNS = ".,;:!?#*$%&|<>()[]{}\"'-_/"
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 150_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -192,17 +214,28 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.wordwise = _wordwise(self.tokenizer)
         self.keep, self.young, self.old = keep, {}, {}
 
+    def forget(self) -> None:
+        """Give the kept words back; the next task of this worker begins without them."""
+        self.young, self.old = {}, {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text; words that are new are learned together."""
+        if not self.wordwise:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
         if missing := set().union(*words).difference(self.young):
             self._learn(missing)
         known = self.young.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        out = [b"".join(map(known, w)) for w in words]
+        for w in missing:
+            if len(w) > 64:  # long words don't come again, and would take the room
+                self.young.pop(w, None)
+        return out
 
     def _learn(self, words: set[str]) -> None:
         young, old = self.young, self.old
@@ -245,7 +278,9 @@ _loaded: dict[str, WordTokens] = {}
 
 
 def _tokens(path: str) -> WordTokens:
+    """Loaded once a worker; its words are forgotten at the end of each task."""
     if path not in _loaded:
+        _loaded.clear()
         _loaded[path] = WordTokens(path)
     return _loaded[path]
 
@@ -303,15 +338,18 @@ def pack_documents(
             columns = list(zip(*table)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind] + [pa.int64()] * 6)], names=names)
 
-        for b in batches:
-            kind = b.schema.field(0).type
-            for doc_id, ids in _tokenized(words, b):
-                ids += end
-                held[number] = [doc_id, ids, len(ids) // 4]
-                packer.add(number, len(ids) // 4, len(ids) // 4)
-                number += 1
-                if len(packer.done) >= 4096:
-                    yield out()
+        try:
+            for b in batches:
+                kind = b.schema.field(0).type
+                for doc_id, ids in _tokenized(words, b):
+                    ids += end
+                    held[number] = [doc_id, ids, len(ids) // 4]
+                    packer.add(number, len(ids) // 4, len(ids) // 4)
+                    number += 1
+                    if len(packer.done) >= 4096:
+                        yield out()
+        finally:
+            words.forget()
         packer.finish()
         if packer.done:
             yield out()

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import stored
+from weftline.llm._shared import free_names, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -30,8 +30,9 @@ def _line_hash(line):
 
 
 def _lines(text):
-    """The \\n-split lines that hold a word."""
-    return F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    """The \\n-split lines that hold a word, each with its place among all lines from 0 on."""
+    placed = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("at")))
+    return F.filter(placed, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -53,8 +54,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOL)).alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.transform("lines", lambda x: F.struct(_line_hash(x).alias("h"), F.length(x).alias("chars"))).alias("lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines.line"))).alias("n_dup_lines"),
+        F.transform("lines", lambda x: F.struct(_line_hash(x["line"]).alias("h"), F.length(x["line"]).alias("chars"), x["at"].alias("at"))).alias("lines"),
         F.when(
             F.size("words") >= WINDOW,
             F.transform(
@@ -113,8 +114,8 @@ def line_verdicts(
     Null or empty text: no words, all measures 0, base_failed true. A null host is
     a host of its own. Rows that repeat an id and text get equal results; a null id
     is a value like any other. An empty table gives an empty table. Other columns
-    of `docs` are not read, whatever their names. `removed` holds the hashes of the
-    lines over the limit (null: none).
+    of `docs` are not read, whatever their names. `removed` holds the places of the
+    lines over the limit among the text's lines, from 0 on (null: none).
     """
     rows = stored(measured(docs, id_col, text_col, host_col), "quality-measures")
     lines = rows.dropDuplicates(["host", "text_hash"]).select("host", F.explode(F.array_distinct("lines.h")).alias("h"))
@@ -122,22 +123,20 @@ def line_verdicts(
         lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h"),
         "quality-lines",
     ).withColumnsRenamed({"host": "f_host", "h": "f_h"})
-    here = rows.select("doc_id", "text_hash", "host", F.explode(F.array_distinct("lines.h")).alias("h"))
+    here = rows.select("doc_id", "text_hash", "host", F.inline("lines"))
     removed = (
         here.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")))
         .groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"))
-        .agg(F.collect_set("h").alias("removed"))
+        .agg(F.collect_set(F.struct("at", "chars")).alias("cut"))
     )
     out = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
     chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    left = F.aggregate(
-        F.filter("lines", lambda x: ~F.array_contains("removed", x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["chars"]
-    )
+    gone = F.coalesce(F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["chars"]), F.lit(0))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = F.col("removed").isNotNull() & (F.col("left") < min_left_chars) & (F.col("left") < min_left_share * F.col("chars"))
+    depleted = (F.col("left") < F.col("chars")) & (F.col("left") < min_left_chars) & (F.col("left") < min_left_share * F.col("chars"))
     return (
         out.withColumn("chars", chars)
-        .withColumn("left", F.when(F.col("removed").isNull(), F.col("chars")).otherwise(left))
+        .withColumn("left", F.col("chars") - gone)
         .select(
             "doc_id",
             "n_words",
@@ -148,7 +147,7 @@ def line_verdicts(
             base_failed.alias("base_failed"),
             (~base_failed & ~depleted).alias("kept"),
             (F.col("chars") - F.col("left")).alias("removed_chars"),
-            "removed",
+            F.col("cut.at").alias("removed"),
             "text_hash",
         )
     )
@@ -158,24 +157,22 @@ def apply_quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """`docs` (doc_id, text, lang, source, n_chars) without rejected documents and without lines over the limit.
 
     Takes the limits of `line_verdicts`. n_chars follows the new text. Every row
-    of a repeated document is kept or rejected alike.
+    of a repeated document is kept or rejected alike. Null and empty texts have too
+    few words and go; null ids and hosts are values like others; ties and repeated
+    rows give equal results; an empty table gives an empty table. Further columns
+    pass through, whatever their names.
     """
+    v_id, v_hash, v_removed, own, parts = free_names(docs.columns, "v_id", "v_hash", "v_removed", "own_hash", "parts")
     v = (
         line_verdicts(docs, **limits)
         .where("kept")
-        .select(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("removed").alias("v_removed"))
-        .dropDuplicates(["v_id", "v_hash"])
-    )
-    kept = docs.withColumn("v_text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        stored(v, "quality-kept"), F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("v_text_hash") == F.col("v_hash"))
+        .select(F.col("doc_id").alias(v_id), F.col("text_hash").alias(v_hash), F.col("removed").alias(v_removed))
+        .dropDuplicates([v_id, v_hash])
     )
-    text = F.when(F.col("v_removed").isNull(), F.col("text")).otherwise(
-        F.array_join(
-            F.filter(
-                F.split("text", "\n", -1),
-                lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("v_removed", _line_hash(x))),
-            ),
-            "\n",
-        )
+    kept = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        stored(v, "quality-kept"), F.col("doc_id").eqNullSafe(F.col(v_id)) & (F.col(own) == F.col(v_hash))
     )
+    kept = kept.withColumn(parts, F.when(F.col(v_removed).isNotNull(), F.split("text", "\n", -1)))
+    stay = f"array_except(sequence(0, size({parts}) - 1), {v_removed})"
+    text = F.expr(f"if({v_removed} is null, text, array_join(transform({stay}, i -> get({parts}, i)), '\\n'))")
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

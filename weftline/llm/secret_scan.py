@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from re import _constants as sre
 from re import _parser
 
@@ -34,6 +34,13 @@ MORE_RULES = {
     "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     "google": (r"AIza[0-9A-Za-z_-]+", 0, 39),
     "stripe": (r"sk_live_[0-9A-Za-z]+", 0, 24),
+    "github_fine": (r"github_pat_[A-Za-z0-9_]+", 0, 82),
+    "gitlab": (r"glpat-[A-Za-z0-9_-]+", 0, 26),
+    "npm": (r"npm_[A-Za-z0-9]+", 0, 40),
+    "pypi": (r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]+", 0, 70),
+    "sendgrid": (r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 69),
+    "slack_hook": (r"hooks\.slack\.com/services/[A-Za-z0-9/]+", 0, 60),
+    "storage_key": (r"AccountKey=[A-Za-z0-9+/=]+", 0, 80),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 }
 RULES = BASE_RULES | MORE_RULES
@@ -125,18 +132,20 @@ class Scanner:
 
     def postings(self, texts: list[bytes]) -> np.ndarray:
         """Bit (trigram, text): which texts of a segment hold the trigram, letters in either case."""
-        # Two zero bytes part the texts, so no trigram reaches over.
+        # Two zero bytes part the texts, so no trigram reaches over. A long text is coded part by part.
         flat = np.frombuffer(b"\0\0".join(texts).lower() + b"\0\0", np.uint8)
-        code = flat[:-2].astype(np.int32)
-        code <<= 8
-        code |= flat[1:-1]
-        code <<= 8
-        code |= flat[2:]
-        gram = self.table[code]
-        at = np.flatnonzero(gram >= 0)
         ends = np.cumsum([len(t) + 2 for t in texts])
         found = np.zeros((len(self.number), len(texts)), bool)
-        found[gram[at], np.searchsorted(ends, at, "right")] = True
+        for start in range(0, len(flat) - 2, SEGMENT_BYTES):
+            part = flat[start : start + SEGMENT_BYTES + 2]
+            code = part[:-2].astype(np.int32)
+            code <<= 8
+            code |= part[1:-1]
+            code <<= 8
+            code |= part[2:]
+            gram = self.table[code]
+            at = np.flatnonzero(gram >= 0)
+            found[gram[at], np.searchsorted(ends, start + at, "right")] = True
         return found
 
     def segment(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
@@ -163,16 +172,6 @@ class Scanner:
         return [sorted(s, key=lambda x: (x[0], x[2])) for s in spans]
 
 
-_scanners: dict[tuple, Scanner] = {}
-
-
-def _scanner(rules: dict[str, tuple[str, int, int]]) -> Scanner:
-    key = tuple(rules.items())
-    if key not in _scanners:
-        _scanners[key] = Scanner(rules)
-    return _scanners[key]
-
-
 def _segments(texts: list[bytes]) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
@@ -185,29 +184,24 @@ def _segments(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def found_secrets(docs: DataFrame, *, text_col: str = "text", rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
-    """`docs` with column s_spans: array of (kind, start, end), code points, end exclusive, by start, then kind as listed.
+Spans = list[tuple[int, int, int]]
+
+
+def scanned(docs: DataFrame, text_col: str, rules: dict[str, tuple[str, int, int]], schema, finish: Callable) -> DataFrame:
+    """`finish(batch, spans of its rows, kinds)` over the batches of `docs`: one pass, no shuffle.
 
     `rules`: kind -> (expression, group, least length of that group). Null and empty
-    texts have no spans. Rows, repeats included, keep their place and columns; only
-    a column named s_spans would be replaced.
+    texts have no spans. The scanner is built once a task and goes with it.
     """
-    names = [c for c in docs.columns if c != "s_spans"]
-    docs = docs.select(names)
-    kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    typed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(rules)
+        scanner = Scanner(rules)
         kinds = [r[0] for r in scanner.rules]
         for b in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(b.num_columns - 1)]
-            spans = [s for part in _segments(texts) for s in scanner.segment(part)]
-            rows = [[{"kind": kinds[k], "start": x, "end": y} for x, y, k in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, typed)], names=[*names, "s_spans"])
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(b.schema.get_field_index(text_col))]
+            yield finish(b, [spans for part in _segments(texts) for spans in scanner.segment(part)], kinds)
 
-    schema = docs.withColumn("s_spans", F.lit(None).cast(kind)).schema
-    return docs.withColumn("s_text", F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _joined(spans):
@@ -215,10 +209,22 @@ def _joined(spans):
     return F.array_join(one, ",")
 
 
-def secret_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row of `docs`; see `found_secrets`."""
-    # The text goes to Python once, as bytes.
-    found = found_secrets(docs.select("doc_id", "text"), text_col="text").drop("text")
+def secret_report(docs: DataFrame, *, rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row of `docs` (doc_id, text).
+
+    Spans are in code points, end exclusive, by start, then kind as listed. Null and
+    empty texts have none. Null ids and repeated rows are scanned like others; an
+    empty table gives an empty table; other columns are not read.
+    """
+    kind = "array<struct<kind:string,start:bigint,end:bigint>>"
+    typed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def finish(b: pa.RecordBatch, spans: list[Spans], kinds: list[str]) -> pa.RecordBatch:
+        rows = [[{"kind": kinds[k], "start": x, "end": y} for x, y, k in s] for s in spans]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, typed)], names=["doc_id", "s_spans"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = scanned(docs.select("doc_id", "text"), "text", rules, f"doc_id {id_type}, s_spans {kind}", finish)
     count = lambda kind: F.size(F.filter("s_spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("s_spans", lambda s: s["kind"].isin(*BASE_RULES))
     return found.select(
@@ -240,18 +246,20 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, *, mark: str = "[secret]", rules: dict[str, tuple[str, int, int]] = RULES) -> DataFrame:
-    """`docs` (doc_id, text, lang, source, n_chars) with every secret in the texts replaced; n_chars follows."""
-    found = found_secrets(docs, rules=rules)
-    names, schema = docs.columns, docs.schema
+    """`docs` (doc_id, text, lang, source, n_chars) with every secret in the texts replaced; n_chars follows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-            texts = columns["text"].to_pylist()
-            for i, spans in enumerate(columns["s_spans"].to_pylist()):
-                if spans:
-                    texts[i] = redact(texts[i], [(s["start"], s["end"]) for s in spans], mark)
-            columns["text"] = pa.array(texts, columns["text"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-    return found.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long")).select(names)
+    Null and empty texts stay as they are. Null ids and repeated rows are treated
+    like others; an empty table gives an empty table; further columns pass through,
+    whatever their names.
+    """
+    names = docs.columns
+    where = names.index("text")
+
+    def finish(b: pa.RecordBatch, spans: list[Spans], kinds: list[str]) -> pa.RecordBatch:
+        if not any(spans):
+            return b
+        new = [redact(t.as_py(), [(x, y) for x, y, _ in s], mark) if s else t.as_py() for t, s in zip(b.column(where), spans)]
+        return b.set_column(where, b.schema.field(where), pa.array(new, b.schema.field(where).type))
+
+    found = scanned(docs, "text", rules, docs.schema, finish)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(names)
