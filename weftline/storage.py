@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
+#: Used only where a local session (tests, notebooks) names no spark.checkpoint.dir.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/weftline"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = DEFAULT_CHECKPOINT_DIR
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
