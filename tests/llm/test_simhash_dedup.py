@@ -74,7 +74,7 @@ def test_long_chains_become_one_component(spark):
 def test_edge_rows(documents):
     text = "a b c d e f g h i j k l"
     rows = [(None, text), (5, text), (5, text), (7, None), (8, ""), (9, "x"), (10, "word " * 70000), (None, "alone here with nobody else around")]
-    df = documents(rows, fp="1", label="2", u="3")
+    df = documents(rows, fp="1", label="2", u="3", n_same="4", gone_id="5", twice_id="6", place="7")
     out = {(r["doc_id"], r["component_id"]) for r in S.near_duplicates(df).collect()}
     assert out == {(None, 5), (5, 5), (7, 7), (8, 7), (9, 9), (10, 10), (None, None)}
     kept = S.keep_one(df)
@@ -123,23 +123,16 @@ def test_similar_groups_equal_plain_version(documents, limit):
     assert got == plain_groups(texts)
 
 
-def test_leaders_link_groups_over_several_chunks():
+def test_each_lane_asks_its_nearest_earlier_one():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 64, (3, S.WIDE), np.uint64)
-    fps = np.repeat(base, 40, axis=0)[rng.permutation(120)]
-    fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)
-    u, v = S._bucket_pairs(fps, 20, chunk=16)
-    parent = list(range(120))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in zip(u.tolist(), v.tolist()):
-        assert a != b and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 20
-        parent[top(a)] = top(b)
-    assert len({top(x) for x in range(120)}) == 3
+    fps = np.repeat(rng.integers(0, 1 << 64, (3, S.WIDE), np.uint64), 50, axis=0)[rng.permutation(150)]
+    for _ in range(12):
+        fps[:, int(rng.integers(0, S.WIDE))] ^= np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
+    u, v, d = S._nearest(fps, 24)
+    between = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2).astype(int)
+    expected = {i: between[i, :i].min() for i in range(1, 150) if between[i, :i].min() <= 24}
+    assert dict(zip(u.tolist(), d.tolist())) == expected and len(expected) == 147
+    assert all(b < a and between[a, b] == n for a, b, n in zip(u, v, d))
 
 
 def test_wide_distances():
@@ -172,7 +165,7 @@ def test_links_in_buckets_over_the_limit_need_one_common_key_only(documents):
     rng = np.random.default_rng(13)
     some = lambda n: ["".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(n)]
     template, texts = some(110), {}
-    keys = lambda t: S.wide_fingerprint(t.encode(), 5)[1]
+    keys = lambda t: S.wide_fingerprint(t.encode(), 5, S.rows_of(0.4))[1]
     while len(texts) < 10:
         own = some(15)
         one, other = (" ".join(template + own + some(83)) for _ in range(2))
@@ -184,3 +177,20 @@ def test_links_in_buckets_over_the_limit_need_one_common_key_only(documents):
     assert sum(k != v for k, v in expected.items()) == 5
     got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items())), similarity=0.4, bucket_limit=4).collect()}
     assert got == expected
+
+
+def test_one_component_and_many_others_in_one_bucket(documents):
+    """A large group of near copies and texts that share its template: blocks of the group, and of the others, over a small limit."""
+    rng = np.random.default_rng(17)
+    some = lambda n: ["".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(n)]
+    template, own = some(200), some(25)
+    texts = {i: " ".join(template + own + some(1)) for i in range(60)}
+    texts |= {60 + i: " ".join(template + some(70)) for i in range(40)}
+    expected = plain_groups(texts)
+    assert len(set(expected.values())) == 41
+    for limit in (8, 1024):
+        assert {r["doc_id"]: r["component_id"] for r in S.similar_groups(documents(list(texts.items())), bucket_limit=limit).collect()} == expected
+
+
+def test_rows_of_a_key_follow_the_similarity():
+    assert [S.rows_of(x) for x in (0.9, 0.8, 0.6, 0.4)] == [3, 3, 1, 1] and (1 - 0.8**3) ** S.KEYS < 5e-6

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.storage import shared_folder, stored
 
-__all__ = ["free_names", "n_partitions", "shared_folder", "stored"]
+__all__ = ["free_names", "n_partitions", "shared_folder", "sized", "stored"]
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -25,3 +26,9 @@ def free_names(taken: Iterable[str], *names: str) -> list[str]:
         used.add(n.lower())
         out.append(n)
     return out
+
+
+def sized(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A stored table of a few numbers a row, for a join with whole texts: broadcast up to `most` rows, which the files'
+    footers tell; beyond that both sides are sorted and merged. The joined rows are the same."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")

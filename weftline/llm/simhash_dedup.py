@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import n_partitions, stored
+from weftline.llm._shared import free_names, n_partitions, sized, stored
 
 SEED = 42
 SHINGLE = 3
@@ -275,31 +275,41 @@ def near_duplicates(
 
 
 WIDE = 8  # words of a wide fingerprint
-KEYS = 8  # smallest hashes under different orders
-ORDERS = np.random.default_rng(22).integers(0, 1 << 64, (2, WIDE + KEYS), U64) | U64(1)
+KEYS = 18  # of a text; each joins some smallest hashes under orders of their own
+MOST_ROWS = 3
+ORDERS = np.random.default_rng(22).integers(0, 1 << 64, (2, WIDE + KEYS * MOST_ROWS), U64) | U64(1)
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    x = (h ^ ORDERS[1, k]) * ORDERS[0, k]
+def _mixed(h: np.ndarray, orders: slice) -> np.ndarray:
+    """A column of new hashes for each order."""
+    x = (h[:, None] ^ ORDERS[1, orders]) * ORDERS[0, orders]
     x ^= x >> U64(31)
     x *= U64(0x94D049BB133111EB)
     x ^= x >> U64(29)
     return x
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """A SimHash of 512 bits over the different shingles of a text, and their smallest hashes; None without words."""
+def rows_of(similarity: float) -> int:
+    """How many smallest hashes a key joins: as many as leave 5e-6 at most of the pairs just alike enough without a common key."""
+    return next((r for r in range(MOST_ROWS, 1, -1) if (1 - similarity**r) ** KEYS <= 5e-6), 1)
+
+
+def wide_fingerprint(text: bytes, shingle: int, rows: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """A SimHash of 512 bits over the different shingles of a text, and its keys; None without words."""
     words = text.lower().split()
     if not words:
         return None
     columns = [words[i:] for i in range(min(shingle, len(words)))]
     h = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*columns)), U64))
-    total = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(h), 8192):
-        part = np.stack([_mixed(h[at : at + 8192], k) for k in range(WIDE)], axis=1)
-        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+    total, least = np.zeros(64 * WIDE, np.int64), np.full(KEYS * rows, FULL, U64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        bits = np.unpackbits(_mixed(part, slice(0, WIDE)).view(np.uint8), axis=1, bitorder="little")
         total += np.add.reduce(bits, axis=0, dtype=np.uint16)
-    keys = np.array([_mixed(h, WIDE + k).min() for k in range(KEYS)], U64)
+        np.minimum(least, _mixed(part, slice(WIDE, WIDE + KEYS * rows)).min(axis=0), out=least)
+    keys = least[:KEYS].copy()
+    for r in range(1, rows):
+        keys = (keys ^ keys >> U64(32)) * ORDERS[0, 0] + least[r * KEYS : (r + 1) * KEYS]
     return np.packbits(total * 2 > len(h), bitorder="little").view(U64), keys
 
 
@@ -309,71 +319,44 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
     return round(bits * share + 4.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def _nearest(fps: np.ndarray, links: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of lanes (rows of the bit matrix `links` over the lanes `to`): the nearest other lane, and the nearest one before."""
-    us, vs = [], []
+def _nearest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's lanes: those with an earlier one within the radius, the nearest earlier one, and its distance."""
+    planes, us, vs, ds = _planes(fps), [], [], []
     for at in range(0, len(fps), 64):
-        hit = np.unpackbits(links[at : at + 64].view(np.uint8), axis=1, bitorder="little")[:, : len(to)].astype(bool)
-        q, lane = np.nonzero(hit)
-        bits = np.bitwise_count(fps[at + q] ^ to[lane]).sum(axis=1, dtype=np.int64)
-        distance = np.full(hit.shape, 1 << 20)
-        distance[q, lane] = bits
+        hit = np.unpackbits(near(fps[at : at + 64], planes, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
         own = np.arange(at, min(at + 64, len(fps)))
-        for before in (False, True):
-            allowed = np.arange(len(to)) < own[:, None] if before else np.arange(len(to)) != own[:, None]
-            d = np.where(allowed, distance, 1 << 20)
-            best = d.argmin(axis=1)
-            some = d[np.arange(len(own)), best] < 1 << 20
-            us.append(own[some])
-            vs.append(best[some])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _bucket_pairs(fps: np.ndarray, radius: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of a bucket, two for each member at most and chunk: within a chunk by all its members; of later
-    chunks also against the leaders, which are the members that have no earlier one nearby."""
-    us, vs, lead = [], [], np.zeros(0, int)
-    for at in range(0, len(fps), chunk):
-        own = np.arange(at, min(at + chunk, len(fps)))
-        planes = _planes(fps[own])
-        links = np.concatenate([near(fps[own[k : k + 64]], planes, radius) for k in range(0, len(own), 64)])
-        u, v = _nearest(fps[own], links, fps[own])
-        us.append(own[u])
-        vs.append(own[v])
-        fresh = np.ones(len(own), bool)
-        fresh[u[v < u]] = False
-        for k in range(0, len(lead), 1024):
-            old = lead[k : k + 1024]
-            hits = np.concatenate([near(fps[own[i : i + 64]], _planes(fps[old]), radius) for i in range(0, len(own), 64)])
-            found = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : len(old)].astype(bool)
-            some = np.flatnonzero(found.any(axis=1))
-            us.append(own[some])
-            vs.append(old[found[some].argmax(axis=1)])
-            fresh[some] = False
-        lead = np.r_[lead, own[fresh]]
-    return np.concatenate(us), np.concatenate(vs)
+        q, lane = np.nonzero(hit.astype(bool) & (np.arange(len(fps)) < own[:, None]))
+        distance = np.full(hit.shape, 64 * WIDE + 1)
+        distance[q, lane] = np.bitwise_count(fps[at + q] ^ fps[lane]).sum(axis=1, dtype=np.int64)
+        best = distance.argmin(axis=1)
+        some = np.unique(q)
+        us.append(own[some])
+        vs.append(best[some])
+        ds.append(distance[some, best[some]])
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
 
 
 def similar_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """From (key, node, fp) sorted by key: pairs (u, v) of nodes of one bucket within the radius, the nearest for each."""
+    """From (key, node, fp) sorted by key and node: of each node the nearest smaller one of its bucket within the radius, as (u, v, d)."""
 
     def linked(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        us, vs, ds = [[np.zeros(0, np.int64)] for _ in range(3)]
         pair = starts[sizes == 2]  # most buckets of more than one have two: all of them at once
         if len(pair):
-            apart = _planes(fps[pair] ^ fps[pair + 1])
-            hit = np.unpackbits(near(np.zeros((1, fps.shape[1]), U64), apart, radius).view(np.uint8), bitorder="little")[: len(pair)].astype(bool)
-            us.append(node[pair[hit]])
-            vs.append(node[pair[hit] + 1])
+            apart = fps[pair] ^ fps[pair + 1]
+            hit = np.unpackbits(near(np.zeros((1, fps.shape[1]), U64), _planes(apart), radius).view(np.uint8), bitorder="little")[: len(pair)].astype(bool)
+            us.append(node[pair[hit] + 1])
+            vs.append(node[pair[hit]])
+            ds.append(np.bitwise_count(apart[hit]).sum(axis=1, dtype=np.int64))
         for k in np.flatnonzero(sizes > 2):
             own = slice(starts[k], starts[k] + sizes[k])
-            u, v = _bucket_pairs(fps[own], radius)
+            u, v, d = _nearest(fps[own], radius)
             us.append(node[own][u])
             vs.append(node[own][v])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+            ds.append(d)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, ds)], names=["u", "v", "d"])
 
     key, node, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), U64)
     for b in batches:
@@ -394,23 +377,25 @@ def shingles(text: bytes, size: int) -> set[bytes]:
 
 
 def alike(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of `pairs` (u, v: ids) whose texts (doc_id, text) have shingle sets of at least this Jaccard similarity."""
+    """Those of the stored `pairs` (u, v: ids; u once) whose texts (doc_id, text) have shingle sets of at least this Jaccard similarity.
+
+    A repeated id stands for one of its texts; which one doesn't matter, as equal ids leave one row anyway.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = (shingles(t.as_buffer().to_pybytes(), shingle) for t in (x, y))
-                both = len(p & q)
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for b in _buckets(batches):
+            u, v, sides = b.column(0)[0].as_py(), b.column(1)[0].as_py(), {}
+            for side, t in zip(b.column(2).to_pylist(), b.column(3)):
+                sides[side] = t
+            p, q = (shingles(sides[k].as_buffer().to_pybytes(), shingle) for k in (0, 1))
+            both = len(p & q)
+            if both >= similarity * (len(p) + len(q) - both):
+                yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([v], pa.int64())], names=["u", "v"])
 
-    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "similar-asked")
-    # A repeated id stands for one text; which one doesn't matter, as equal ids leave one row anyway.
-    some = texts.join(ids, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max("text").alias("text"))
-    some = stored(some, "similar-texts")
-    side = lambda c: some.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u bigint, v bigint")
+    sides = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(0).alias("side")), F.struct(F.col("v").alias("id"), F.lit(1).alias("side"))))
+    asked = stored(pairs.select("u", "v", sides.alias("s")).select("u", "v", "s.*"), "similar-asked")
+    both = texts.join(sized(asked), F.col("doc_id") == F.col("id")).select("u", "v", "side", "text")
+    return both.repartition(n_partitions(texts.sparkSession), "u").sortWithinPartitions("u", "side", F.xxhash64("text")).mapInArrow(run, "u bigint, v bigint")
 
 
 ACROSS = "key bigint, node bigint, fp binary, keys array<bigint>, k int, label bigint, side int"
@@ -507,27 +492,59 @@ def joined(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, sh
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
+def _cells(members: DataFrame, mixed: DataFrame, limit: int) -> DataFrame:
+    """The rows of `members` in the cells of their mixed buckets; `key` becomes the cell's.
+
+    A bucket up to `limit` is one cell. Of a larger one, members of its commonest
+    label and the others are dealt into blocks, and every block of others is held
+    against each block of others and of the commonest label, which isn't held
+    against itself. Rows so grow with the bucket, times the blocks of others.
+    """
+    large = F.col("n_major") + F.col("n_rest") > limit
+    blocks = lambda c: F.when(large, F.ceil(F.col(c) * 2 / limit)).otherwise(1).cast("int")
+    major = large & (F.col("label") == F.col("major"))
+    placed = members.join(mixed, "key").withColumns({"rests": blocks("n_rest"), "majors": F.when(large, blocks("n_major")).otherwise(0), "is_major": major})
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.when(major, F.col("majors")).otherwise(F.col("rests"))).cast("int"))
+    # Others meet others (kind 0, each pair of blocks once), and blocks of the commonest label (kind 1).
+    cell = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.alias("side"))
+    one = F.lit(1)
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("rests") - 1),
+        lambda i: cell(0, F.least(i, F.col("block")), F.greatest(i, F.col("block")), F.when(i == F.col("block"), 0).when(F.col("block") < i, 1).otherwise(2)),
+    )
+    to_major = F.when(
+        F.col("majors") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("majors"), one) - 1), lambda i: cell(1, F.col("block"), i, F.lit(1)))
+    ).otherwise(F.filter(others, lambda _: F.lit(False)))
+    of_major = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: cell(1, i, F.col("block"), F.lit(2)))
+    placed = placed.withColumn("cell", F.explode(F.when(F.col("is_major"), of_major).otherwise(F.concat(others, to_major))))
+    return placed.select(F.xxhash64("key", "cell.kind", "cell.a", "cell.b").alias("key"), "node", "fp", "keys", "k", "label", F.col("cell.side").alias("side"))
+
+
 def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, bucket_limit: int = 1024) -> DataFrame:
     """(doc_id, component_id) per document with an id: groups of texts whose `shingle`-word sets are `similarity` alike.
 
     Candidates come from SimHashes of 512 bits, which bit-sliced comparison holds
-    against `radius_of(similarity)`; of each text the nearest ones are then compared
-    exactly, by their shingle sets. Of the groups so found, all other pairs within
-    the radius are compared too, until a pair joins the two groups. Texts meet in
-    buckets of an equal smallest shingle hash, under eight orders; alike texts miss
-    all of them with a chance of (1 - similarity) ** 8, whatever the buckets' sizes.
-    A bucket over the limit is dealt into blocks, and every two blocks are held
-    against each other in a cell of their own, so no task takes a whole one: its
-    rows grow with the square of its size. Equal fingerprints are one node.
-    Documents without words, or without id, are groups of their own, left out here.
+    against `radius_of(similarity)`. Texts meet in buckets of an equal key of
+    `rows_of(similarity)` smallest shingle hashes; of 18 keys alike texts miss all
+    with a chance of 2.5e-6, whatever the buckets' sizes.
+
+    1. In each bucket (over the limit: in each of its blocks) a text proposes the
+       nearest one before it; the nearest of all buckets is compared exactly, by
+       shingle sets. So every text asks once, and large groups become one component.
+    2. In buckets that still hold several components every pair within the radius
+       is compared exactly, until a pair joins its two components; see `_cells`.
+
+    Equal fingerprints with equal keys are one node. Documents without words, or
+    without id, are groups of their own, left out here. Repeated rows get equal
+    results, an empty table gives an empty table, other columns are not read.
     """
-    radius, spark = radius_of(similarity), docs.sparkSession
+    radius, spark, rows_a_key = radius_of(similarity), docs.sparkSession, rows_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, fps, keys = [], [], []
             for doc_id, text in zip(b.column(0), b.column(1)):
-                if doc_id.is_valid and text.is_valid and (made := wide_fingerprint(text.as_buffer().to_pybytes(), shingle)):
+                if doc_id.is_valid and text.is_valid and (made := wide_fingerprint(text.as_buffer().to_pybytes(), shingle, rows_a_key)):
                     ids.append(doc_id.as_py())
                     fps.append(made[0].tobytes())
                     keys.append(made[1].view(np.int64).tolist())
@@ -535,9 +552,9 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
                 [pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"]
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     rows = stored(texts.mapInArrow(run, "doc_id bigint, fp binary, keys array<bigint>"), "similar-fingerprints")
-    # Equal fingerprints come from equal shingle sets, but for chance: they have equal keys too.
+    # Equal fingerprints and keys come from equal shingle sets, but for chance.
     nodes = stored(rows.groupBy("fp", "keys").agg(F.min("doc_id").alias("node")), "similar-nodes")
     value = F.posexplode("keys").alias("k", "value")
     keyed = lambda df, *columns: df.select(*columns, value).withColumn("key", F.xxhash64("k", "value")).drop("value")
@@ -545,44 +562,43 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     counted = keyed(nodes).groupBy("key").count().where("count > 1")
     blocks = F.when(F.col("count") > bucket_limit, F.ceil(F.col("count") * 2 / bucket_limit)).otherwise(1)
     shared = stored(counted.select("key", blocks.cast("int").alias("n")), "similar-shared")
-    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    block = F.pmod(F.xxhash64("node", "key"), F.col("n")).cast("int")
     links = (
         keyed(nodes, "node", "fp")
         .join(shared, "key")
         .select(F.xxhash64("key", block).alias("key"), "node", "fp")
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda batches: similar_links(batches, radius), "u bigint, v bigint")
+        .mapInArrow(lambda batches: similar_links(batches, radius), "u bigint, v bigint, d bigint")
     )
-    near_ones = stored(alike(texts, stored(links.distinct(), "similar-pairs"), similarity, shingle), "similar-links")
+    pairs = stored(links.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select("u", "best.v"), "similar-pairs")
+    near_ones = stored(alike(texts, pairs, similarity, shingle), "similar-links")
     groups = components(near_ones)
     labelled = stored(nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-labels")
     groups = labelled.select("node", "label")
-    mixed = keyed(labelled, "label").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    mixed = stored(shared.join(mixed.select("key"), "key"), "similar-mixed")
-    cells = keyed(labelled, "node", "fp", "keys", "label").join(mixed, "key").withColumn("block", block)
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = cells.withColumn("side", F.expr("case when block = other then 0 when block < other then 1 else 2 end"))
-    cells = cells.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    by_label = keyed(labelled, "label").groupBy("key", "label").count()
+    mixed = by_label.groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("labels"))
+    mixed = mixed.where("labels > 1").select("key", F.col("most.label").alias("major"), F.col("most.count").alias("n_major"), (F.col("n") - F.col("most.count")).alias("n_rest"))
     open_ = stored(
-        cells.select("key", "node", "fp", "keys", "k", "label", "side")
+        _cells(keyed(labelled, "node", "fp", "keys", "label"), stored(mixed, "similar-mixed"), bucket_limit)
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
         .mapInArrow(lambda batches: unjoined(batches, radius), ACROSS),
         "similar-open",
     )
-    asked = stored(open_.select(F.col("node").alias("id")).distinct(), "similar-open-ids")
-    some = texts.join(asked, F.col("doc_id") == F.col("id")).groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text"))
-    rest = (
-        open_.join(stored(some, "similar-open-texts"), "node")
-        .select("key", "node", "fp", "keys", "k", "label", "side", "text")
-        .repartition(n_partitions(spark), "key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda batches: joined(batches, radius, similarity, shingle), "u bigint, v bigint")
-    )
-    rest = stored(rest, "similar-rest")
-    if not rest.isEmpty():
-        groups = components(near_ones.union(rest))
+    if not open_.isEmpty():
+        asked = stored(open_.select(F.col("node").alias("id")).distinct(), "similar-open-ids")
+        some = texts.join(sized(asked), F.col("doc_id") == F.col("id")).groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text"))
+        rest = (
+            open_.join(some, "node")
+            .select("key", "node", "fp", "keys", "k", "label", "side", "text")
+            .repartition(n_partitions(spark), "key")
+            .sortWithinPartitions("key", "node")
+            .mapInArrow(lambda batches: joined(batches, radius, similarity, shingle), "u bigint, v bigint")
+        )
+        rest = stored(rest, "similar-rest")
+        if not rest.isEmpty():
+            groups = components(near_ones.union(rest))
     named = nodes.join(groups.distinct(), "node", "left").select("fp", "keys", F.coalesce("label", "node").alias("component_id"))
     return rows.join(stored(named, "similar-components"), ["fp", "keys"]).select("doc_id", "component_id")
 
@@ -591,13 +607,18 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """One row of `docs` (doc_id, text, ...) for each of `similar_groups`: that with the smallest id.
 
     Of rows that repeat this id one stays. Rows without an id, and one for each id
-    without words, stay.
+    without words (null and empty texts), stay. An empty table gives an empty table;
+    further columns pass through, whatever their names.
     """
-    gone = similar_groups(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.select("doc_id").where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_same"))
-    left = stored(left.join(stored(gone, "similar-gone"), F.col("kept_id") == F.col("gone_id"), "left_anti"), "similar-kept")
-    found = docs.join(left, F.col("doc_id") == F.col("kept_id"))
+    gone_id, twice_id, place = free_names(docs.columns, "gone_id", "twice_id", "place")
+    gone = similar_groups(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(sized(stored(gone, "similar-gone")), F.col("doc_id") == F.col(gone_id), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice_id)).agg(F.count("*").alias("n")).where("n > 1").select(twice_id)
+    twice = stored(twice, "similar-repeated")
+    if twice.isEmpty():
+        return left
+    of_twice = F.col("doc_id") == F.col(twice_id)
+    once = left.join(sized(twice), of_twice, "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    repeated = found.where("n_same > 1").withColumn("n_same", rank).where("n_same = 1")
-    one = found.where("n_same = 1").select(docs.columns).unionByName(repeated.select(docs.columns))
-    return one.unionByName(docs.where("doc_id is null"))
+    repeated = left.join(sized(twice), of_twice, "left_semi").withColumn(place, rank).where(F.col(place) == 1)
+    return once.unionByName(repeated.select(docs.columns))
