@@ -1,8 +1,13 @@
 import html as H
+import math
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
+from weftline.llm import html_extract as X
 from weftline.llm.html_extract import extract, main_text
 
 
@@ -35,6 +40,10 @@ PAGES = [
     ("<div><p>a < b and c > d</p></div>", "a < b and c > d"),
     ("<p title=\"x>y\">t</p>", "t"),
     ("<script>never closed", ""),
+    ("<p>x &lt<i>;</i></p>", "x <;"),
+    ("text > more <!-- gone", "text > more"),
+    ("text > more <b", "text > more <b"),
+    (f"<main><p>{LONG}</p><p><a href=x>A linked paragraph</a></p></main>", f"{LONG.strip()}\nA linked paragraph"),
     ("", ""),
     (None, ""),
 ]
@@ -57,3 +66,92 @@ def test_edge_rows(spark):
     out = extract(df)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(None, None, "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (2, None, "", 0)], key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["div", "main", "article"])
+def test_density_decides_within_the_article(tag):
+    links = "".join(f"<li><a href=x{i}>Another headline number {i} of this site</a></li>" for i in range(8))
+    page = f"<body><{tag}><h1>T</h1><p>{LONG}</p><h3>Read next</h3><ul>{links}</ul><p>{LONG}</p></{tag}></body>"
+    assert main_text(page) == f"T\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 330_000, "x > " + "<a " * 300_000, "<i>" * 30_000 + "<div>" * 30_000, "<i>" * 60_000 + "</b>" * 60_000, "</script " * 60_000, '<p title="' + "x>" * 200_000],
+    ids=["unclosed", "after a sign", "deep", "stray ends", "stray raw ends", "quote"],
+)
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
+class Tree(HTMLParser):
+    """Nested lists [tag, children]; texts are strings."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["html", []]
+        self.at = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.at[-1][1].append(node := [tag, []])
+        self.at.append(node)
+
+    def handle_endtag(self, tag):
+        self.at.pop()
+
+    def handle_data(self, data):
+        self.at[-1][1].append(data)
+
+
+def counts(node, linked=False):
+    """Characters, link characters, tags and link tags below a node."""
+    linked = linked or node[0] == "a"
+    c = l = t = lt = 0
+    for x in node[1]:
+        if isinstance(x, str):
+            c, l = c + len(x.strip()), l + len(x.strip()) * linked
+        else:
+            c2, l2, t2, lt2 = counts(x, linked)
+            c, l, t, lt = c + c2, l + l2, t + t2 + 1, lt + lt2 + (x[0] == "a")
+    return c, l, t, lt
+
+
+def composite(node, share, linked=False):
+    c, l, t, lt = counts(node, linked)
+    t = max(t, 1)
+    return c / t * math.log(c / max(l, 1) * t / max(lt, 1) + 1) / math.log(math.log(c / max(c - l, 1) * l + share * c + math.e) + 1) if c else 0.0
+
+
+def walk(node, linked=False):
+    yield node, linked
+    for x in node[1]:
+        if not isinstance(x, str):
+            yield from walk(x, linked or node[0] == "a")
+
+
+def grown(rng, depth=0):
+    """A well-formed random element."""
+    tag = rng.choice(["div", "section", "p", "span", "a"] if depth else ["body"])
+    inner = []
+    for _ in range(rng.randrange(1, 5)):
+        inner.append(grown(rng, depth + 1) if depth < 4 and tag not in ("p", "a") and rng.random() < 0.7 else "word " * rng.randrange(1, 30))
+    return f"<{tag}>{''.join(inner)}</{tag}>"
+
+
+def test_densities_equal_the_plain_version():
+    rng = random.Random(9)
+    for _ in range(60):
+        page = grown(rng)
+        root = Tree(page).root
+        c, l, *_ = counts(root)
+        nodes = list(walk(root))
+        expected = [composite(node, l / max(c, 1), linked) for node, linked in nodes]
+        sums = [sum(composite(x, l / max(c, 1), linked or node[0] == "a") for x in node[1] if not isinstance(x, str)) or e for (node, linked), e in zip(nodes, expected)]
+        dom = X.Dom(page)
+        assert dom.tags == [node[0] for node, _ in nodes]
+        density, got, _ = X._densities(dom, [False] * len(dom.tags))
+        assert density == pytest.approx(expected) and got == pytest.approx(sums)
+        assert X._content(dom, [False] * len(dom.tags))[max(range(len(sums)), key=lambda i: (round(sums[i], 9), -i))]

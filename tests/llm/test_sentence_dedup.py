@@ -26,12 +26,27 @@ def test_short_runs_stay(documents):
     assert all(r["n_removed"] == 0 for r in without_repeats(documents(rows)).collect())
 
 
+def test_repeated_passages_of_short_sentences_go(documents):
+    short = " ".join(f"Go {w}." for w in "north south east west up down left right in out".split())
+    rows = [(1, f"Here the first text has its own beginning, unlike others. {short}"), (2, f"{short} And this is how the second text goes on by itself.")]
+    got = {r["doc_id"]: r for r in without_repeats(documents(rows)).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "And this is how the second text goes on by itself."
+
+
+def test_texts_without_blanks_count_by_characters(documents):
+    chinese = "这是一个没有空格的句子它有很多的字用来测试重复的段落。这里还有第二个句子它也没有空格而且一样长所以可以算作一段。"
+    tabs = "\t".join(f"w{k}" for k in range(20)) + "."
+    rows = [(1, chinese), (2, chinese * 2), (3, tabs), (4, tabs)]
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in without_repeats(documents(rows), min_weight=8).collect()}
+    assert got == {1: (2, 0), 2: (4, 4), 3: (1, 0), 4: (1, 1)}
+
+
 def test_edge_rows(documents):
     single = "one sentence only with more than twelve words in it so that it counts as a run"
     rows = [(None, None), (None, single), (1, ""), (2, single), (2, single), (5, single), (6, "A b c. " * 30_000)]
     df = documents(rows, h="1", at="2", removed="3", parts="4")
     got = sorted(((r["doc_id"], r["n_removed"]) for r in without_repeats(df).collect()), key=repr)
-    assert got == sorted([(None, 0), (None, 1), (1, 0), (2, 0), (2, 0), (5, 1), (6, 0)], key=repr)
+    assert got == sorted([(None, 0), (None, 1), (1, 0), (2, 0), (2, 0), (5, 1), (6, 29_999)], key=repr)
     assert without_repeats(df.limit(0)).count() == 0
     long = "Several words make this sentence long enough. " * 3
     (r,) = without_repeats(documents([(1, long)])).collect()

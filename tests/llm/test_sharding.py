@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -26,10 +27,60 @@ def test_tiers_merge_and_old_versions_stay(spark, store):
     version = store.compact()
     assert version > 7 and len(store.shards()) < 7 and not store.runs(store.shards())
     assert store.read().distinct().count() == 7000 and store.read(3).count() == 3000
-    assert store.vacuum() > 0 and store.read().count() == 7000
+    assert store.vacuum() == 0 and store.vacuum(min_age_seconds=0) > 0 and store.read().count() == 7000
     assert all(s.bytes <= 2 * store.target_bytes for s in store.shards())
 
 
+def test_vacuum_spares_what_is_not_committed_yet(spark, store):
+    store.append(spark.range(100))
+    version = store.version()
+    spark.range(100, 200).write.parquet(f"{store.root}/data/{'0' * 32}")
+    draft = store._written(f"data/{'0' * 32}")
+    assert store.vacuum() == 0
+    store.commit(store.shards() + draft, version)
+    assert store.read().count() == 200
+
+
+def test_each_run_is_a_task_and_a_file_of_its_own(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/store", target_bytes=8_000, smallest_bytes=1000, fanout=2)
+    for k in range(16):
+        store.append(spark.range(k * 1000, (k + 1) * 1000).repartition(1))
+    runs = store.runs(store.shards())
+    assert len(runs) > 4
+    last = store.compact()
+    assert last == 17 and len(store.shards()) <= len(runs) + 1
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(16_000))
+
+
+def plain_runs(sizes, target, smallest, fanout):
+    """Runs by a plain reading of the rule: a tier is a power of the fanout, a run is closed once it reaches the target."""
+    def tier(n):
+        t = 0
+        while n >= smallest * fanout**t:
+            t += 1
+        return t
+
+    out = []
+    for t in range(40):
+        members = sorted(n for n in sizes if n < target / 2 and tier(n) == t)
+        if len(members) >= fanout:
+            while members:
+                run = []
+                while members and sum(run) < target:
+                    run.append(members.pop(0))
+                if len(run) > 1 or sum(run) >= target:
+                    out.append(run)
+    return out
+
+
+def test_runs_equal_the_plain_rule(store):
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [int(10 ** rng.uniform(2, 5)) for _ in range(rng.randrange(0, 60))]
+        runs = store.runs([Shard(f"s{i:03d}", n) for i, n in enumerate(sizes)])
+        assert [[s.bytes for s in r] for r in runs] == plain_runs(sizes, store.target_bytes, store.smallest_bytes, store.fanout)
+
+
 def test_only_similar_sizes_meet(store):
     sizes = [1500, 1600, 1700, 9000, 9500, 30_000, 45_000]
     runs = store.runs([Shard(f"s{i}", n) for i, n in enumerate(sizes)])

@@ -27,6 +27,7 @@ BLOCK = set(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th"
     " thead tr ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - set("caption legend option tbody td tfoot th thead tr body html".split())
 #: A start tag ends open elements of these names, up to the nearest of the scope.
 IMPLIED = {
@@ -50,6 +51,11 @@ NAMED = set(
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+DECLARATION = re.compile(r"<[!?]")
+#: Deeper elements are children of the deepest open one, as in browsers.
+MOST_DEPTH = 512
+#: So many links make a list of links.
+LIST_LINKS = 3
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -61,13 +67,17 @@ class Dom:
         self.tags, self.parent, self.attributes = ["html"], [-1], [""]
         self.texts: list[tuple[int, str, int]] = []  # element, text, number of the block that it stands in
         self._stack, self._block = [0], 0
+        self._open: dict[str, int] = {}  # how many elements of a name are open
         at, end = 0, len(page)
+        last = page.rfind(">") + 1  # no tag ends behind it, and up to there each one ends, so no part is searched twice
         while at < end:
-            m = TOKEN.search(page, at)
-            self._text(page[at : m.start() if m else end])
+            m = TOKEN.search(page, at, last) if at < last else None
             if not m:
+                rest = DECLARATION.search(page, at)
+                self._text(page[at : rest.start() if rest else end])
                 break
-            at = m.end()
+            self._text(page[at : m.start()])
+            at = end if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
             if name := m[2]:
                 name = name.lower()
                 if m[1]:
@@ -75,7 +85,7 @@ class Dom:
                 else:
                     self._start(name, m[3])
                     if name in RAW and not m[3].endswith("/"):
-                        close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                        close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                         at = close.end() if close else end
                         self._end(name)
 
@@ -83,11 +93,18 @@ class Dom:
         if text:
             self.texts.append((self._stack[-1], text, self._block))
 
+    def _close(self, k: int) -> None:
+        for i in self._stack[k:]:
+            self._open[self.tags[i]] -= 1
+        del self._stack[k:]
+
     def _pop(self, names: set[str], scope: set[str]) -> None:
+        if not any(self._open.get(n) for n in names):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             tag = self.tags[self._stack[k]]
             if tag in names:
-                del self._stack[k:]
+                self._close(k)
                 self._block += 1
                 if tag == "p":
                     return
@@ -106,14 +123,15 @@ class Dom:
         self.tags.append(name)
         self.parent.append(self._stack[-1])
         self.attributes.append(attributes)
-        if name not in VOID and not (attributes.endswith("/") and name not in BLOCK):
+        if name not in VOID and not (attributes.endswith("/") and name not in BLOCK) and len(self._stack) < MOST_DEPTH:
             self._stack.append(len(self.tags) - 1)
+            self._open[name] = self._open.get(name, 0) + 1
 
     def _end(self, name: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
+        for k in range(len(self._stack) - 1, 0, -1) if self._open.get(name) else ():
             tag = self.tags[self._stack[k]]
             if tag == name:
-                del self._stack[k:]
+                self._close(k)
                 break
             if name not in BLOCK and tag in BLOCK:
                 break  # a stray inline end tag closes no block
@@ -127,17 +145,20 @@ class Dom:
         for i in range(n - 1, 0, -1):
             if holds[i] or self.tags[i] in ("article", "main", "h1"):
                 holds[self.parent[i]] = True
-        out = [False] * n
+        out, inside = [False] * n, [False] * n  # inside: of an article or the main part
+        first = self.tags.index("article") if "article" in self.tags else -1
         for i in range(1, n):
-            out[i] = out[self.parent[i]] or self._foreign(i, holds[i])
+            p = self.parent[i]
+            inside[i] = inside[p] or self.tags[p] in ("article", "main")
+            out[i] = out[p] or self._foreign(i, holds[i], inside[i], i == first)
         return out
 
-    def _foreign(self, i: int, holds: bool) -> bool:
+    def _foreign(self, i: int, holds: bool, inside: bool, first: bool) -> bool:
         tag = self.tags[i]
         if tag in DROP:
             return True
         if tag == "header":
-            return not self._within(i, ("article", "main")) or not holds
+            return not inside or not holds
         if not self.attributes[i]:
             return False
         values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(self.attributes[i])}
@@ -148,22 +169,12 @@ class Dom:
         if values.get("role", "").lower() in ROLES and not holds:
             return True
         words = {w.lower() for k in ("class", "id") for w in NAME_WORD.findall(values.get(k, ""))}
-        return bool(words & NAMED) and (not holds or bool(words & {"comment", "comments"})) and not (tag == "article" and self._first_article() == i)
-
-    def _first_article(self) -> int:
-        return self.tags.index("article") if "article" in self.tags else -1
-
-    def _within(self, i: int, names: tuple[str, ...]) -> bool:
-        i = self.parent[i]
-        while i > 0:
-            if self.tags[i] in names:
-                return True
-            i = self.parent[i]
-        return False
+        return bool(words & NAMED) and (not holds or bool(words & {"comment", "comments"})) and not first
 
 
-def _densities(dom: Dom, out: list[bool]) -> tuple[list[float], list[float]]:
-    """Composite density of every element, and the sum over its children."""
+def _densities(dom: Dom, out: list[bool]) -> tuple[list[float], list[float], list[bool]]:
+    """Composite density of every element, the sum over its children, and whether it is a list of links:
+    several, with most of its characters."""
     n = len(dom.tags)
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
@@ -192,13 +203,14 @@ def _densities(dom: Dom, out: list[bool]) -> tuple[list[float], list[float]]:
     sums = [0.0] * n
     for i in range(1, n):
         sums[dom.parent[i]] += density[i]
-    return density, [s or d for s, d in zip(sums, density)]  # a leaf stands for itself
+    sums = [s or d for s, d in zip(sums, density)]  # a leaf stands for itself
+    return density, sums, [2 * x > c and k >= LIST_LINKS for x, c, k in zip(links, chars, link_tags)]
 
 
 def _content(dom: Dom, out: list[bool]) -> list[bool]:
     """Which elements are content."""
     n = len(dom.tags)
-    density, sums = _densities(dom, out)
+    density, sums, link_list = _densities(dom, out)
     best = max(range(n), key=lambda i: (sums[i], -i))
     threshold, i = density[best], best
     while i > 0 and dom.tags[i] != "body":
@@ -218,6 +230,20 @@ def _content(dom: Dom, out: list[bool]) -> list[bool]:
             whole = i
         i = dom.parent[i]
     taken[best] = taken[whole] = True
+    # Lists of links below the threshold are none of the article, nor are headings right before them.
+    out, below, path, i = list(out), [False] * n, {best}, best
+    while i > 0:
+        i = dom.parent[i]
+        path.add(i)
+    before: dict[int, int] = {}  # of an element: its last child so far
+    for i in range(1, n):
+        p = dom.parent[i]
+        below[i] = below[p] or p == whole
+        if below[i] and not out[i] and i not in path and dom.tags[i] in BLOCK and link_list[i] and density[i] < threshold:
+            out[i] = True
+            if dom.tags[before.get(p, 0)] in HEADINGS:
+                out[before[p]] = True
+        before[p] = i
     if whole == best:
         seen = [False] * n
         for i in range(1, n):
@@ -226,6 +252,7 @@ def _content(dom: Dom, out: list[bool]) -> list[bool]:
             if not seen[i] and not out[i] and dom.tags[i] != "body" and density[i] >= threshold > 0:
                 taken[top[i]] = True
     for i in range(1, n):
+        out[i] = out[i] or out[dom.parent[i]]
         taken[i] = (taken[i] or taken[dom.parent[i]]) and not out[i]
     return taken
 
@@ -240,8 +267,8 @@ def main_text(page: str | None) -> str:
     blocks: dict[int, list[str]] = {}
     for e, text, block in dom.texts:
         if taken[e]:
-            blocks.setdefault(block, []).append(text)
-    lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
+            blocks.setdefault(block, []).append(html.unescape(text))  # a reference doesn't reach over a tag
+    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 

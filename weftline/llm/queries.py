@@ -102,17 +102,28 @@ from texts t left join covered using (doc_id) left join found using (doc_id)
     "op9_sentence_dedup": r"""
 with parts as (
   select doc_id, unnest(p) as part, generate_subscripts(p, 1) as place from
-    (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09-\x0D]|\n)', '\1' || chr(1), 'g'), chr(1)) as p from documents)
+    (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09-\x0D]|[\n\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), chr(1)) as p from documents)
 ), full_parts as (
   select *, lower(trim(part, E' \t\n\r\x0b\x0c')) as s, row_number() over (partition by doc_id order by place) as pos, count(*) over (partition by doc_id) as n
   from parts where trim(part, E' \t\n\r\x0b\x0c') <> ''
+), weighed as (
+  select *, greatest(len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')), length(s) // 6) as w from full_parts
+), summed as (
+  select *, sum(w) over (partition by doc_id order by pos) as c from weighed
+), reached as (
+  select a.doc_id, a.pos as first, b.pos as last from summed a join summed b
+  on a.doc_id = b.doc_id and b.pos between a.pos + 1 and a.pos + 11 and b.c - a.c + a.w >= 12
+), places as (
+  select doc_id, first, min(last) as last from reached group by 1, 2
+  union select doc_id, max(first), last from reached group by doc_id, last
+  union select doc_id, pos, pos from weighed where n = 1 and w >= 12
 ), runs as (
-  select doc_id, pos, n, case when n = 1 then s else s || ' ' || lead(s) over (partition by doc_id order by pos) end as run from full_parts
+  select p.doc_id, p.first, p.last, string_agg(f.s, ' ' order by f.pos) as run
+  from places p join full_parts f on f.doc_id = p.doc_id and f.pos between p.first and p.last group by 1, 2, 3
 ), counted as (
-  select *, row_number() over (partition by run order by doc_id, pos) as k from runs
-  where run is not null and len(regexp_extract_all(run, ' +')) + 1 >= 12
+  select *, row_number() over (partition by run order by doc_id, first) as k from runs
 ), removed as (
-  select distinct doc_id, unnest(case when n = 1 then [pos] else [pos, pos + 1] end) as pos from counted where k > 1
+  select distinct doc_id, unnest(generate_series(first, last)) as pos from counted where k > 1
 ), kept as (
   select parts.doc_id, string_agg(parts.part, '' order by parts.place) as text from parts
   left join full_parts f on f.doc_id = parts.doc_id and f.place = parts.place

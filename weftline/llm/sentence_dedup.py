@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of `span` consecutive sentences is hashed, runs are joined globally, and
-the sentences that a non-first repeated run covers are removed. A run counts from
-`min_words` words on, so chance meetings of very short sentences stay. The first
-of equal runs is that in the document with the smallest id, and there the earliest.
-DataFrame functions only; rows that move are hashes, and texts move once.
+Runs of consecutive sentences are hashed and joined globally, and the sentences
+that a non-first repeated run covers are removed. From each sentence a run goes
+forward, and one backward, over `span` sentences at least and on until it weighs
+`min_weight`: short sentences make longer runs, and every repeated passage of that
+weight is covered by runs that lie within it. A sentence weighs its words, or a
+sixth of its characters where that is more, so texts without spaces count as well.
+The first of equal runs is that in the document with the smallest id, and there
+the earliest. DataFrame functions only; rows that move are hashes, and texts move once.
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm._shared import stored
 
-#: Sentences end behind . ! or ? with white space after it, and at line ends; the parts joined give the text.
-ENDS = r"(?<=[.!?][\x20\x09-\x0D])|(?<=\n)"
+#: Sentences end behind . ! or ? with white space after it, behind full-width ones, and at line ends; the parts joined give the text.
+ENDS = r"(?<=[.!?][\x20\x09-\x0D])|(?<=[\n\u3002\uFF01\uFF1F])"
 BLANKS = " \t\n\r\x0b\x0c"
+WORD = r"[^\x20\x09-\x0D]+"
+CHARS_A_WORD = 6
+#: A run is one number, its first sentence times this and its length.
+MOST = 4096
 
 
 def _parts(text: Column) -> Column:
@@ -27,56 +34,64 @@ def _normal(part: Column) -> Column:
     return F.lower(F.btrim(part, F.lit(BLANKS)))
 
 
-def spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, n_sentences, runs): of each run that counts its hash h, the number `at` of its first sentence
-    from 0 on, and whether an equal run came earlier in the text."""
+def spans(docs: DataFrame, span: int, min_weight: int) -> DataFrame:
+    """(doc_id, text_hash, runs): of each run its hash h, the number `at` of its first sentence from 1 on, its sentences `n`,
+    and whether an equal run came earlier in the text."""
+    reach = max(span, min_weight)  # a sentence weighs 1 at least, so no run is longer
+    if not 1 <= span <= reach < MOST:
+        raise ValueError(f"span and min_weight must be below {MOST}")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.filter(F.transform(_parts(F.col("text")), _normal), lambda s: s != "").alias("sentences"),
     )
-    d = d.withColumn("last", F.greatest(F.size("sentences") - span + 1, F.least(F.size("sentences"), F.lit(1))))
-
-    def run(i: Column) -> Column:
-        words = F.array_join(F.slice("sentences", i, span), " ")
-        return F.when(F.regexp_count(words, F.lit(" +")) + 1 >= min_words, F.xxhash64(words))
-
-    d = d.select(
-        "doc_id",
-        "text_hash",
-        F.size("sentences").alias("n_sentences"),
-        F.when(F.col("last") > 0, F.transform(F.sequence(F.lit(1), F.greatest("last", F.lit(1))), run)).alias("hashes"),
-    )
-    d = d.withColumn("runs", F.expr("filter(transform(hashes, (h, i) -> struct(h as h, i as at)), x -> x.h is not null)"))
+    weight = lambda s: F.greatest(F.regexp_count(s, F.lit(WORD)), F.floor(F.length(s) / CHARS_A_WORD).cast("int"))
+    d = d.withColumn("weights", F.transform("sentences", weight)).withColumn("backward", F.reverse("weights"))
+    d = d.withColumn("total", F.size("weights"))
+
+    def length(weights: str, i: str) -> str:
+        """Sentences of the run that begins at place `i` of `weights`; 0 where they end before it weighs enough."""
+        full = f"a.n >= {span} and a.w >= {min_weight}"
+        walk = f"aggregate(slice({weights}, {i}, {reach}), struct(0 as n, 0 as w), (a, x) -> if({full}, a, struct(a.n + 1 as n, a.w + x as w)), a -> if({full}, a.n, 0))"
+        return walk
+
+    forward = f"transform(sequence(1, total), i -> i * {MOST}L + {length('weights', 'i')})"
+    backward = f"transform(sequence(1, total), i -> struct(i as i, {length('backward', 'i')} as n))"
+    backward = f"transform({backward}, x -> (total - x.i - x.n + 2) * {MOST}L + x.n)"
+    alone = f"if(total < {span} and aggregate(weights, 0, (a, x) -> a + x) >= {min_weight}, array({MOST}L + total), cast(array() as array<bigint>))"
+    codes = f"filter(array_distinct(concat({forward}, {backward}, {alone})), c -> c % {MOST} > 0)"
+    d = d.withColumn("codes", F.expr(f"if(total > 0, {codes}, cast(array() as array<bigint>))"))
+    run = f"struct(xxhash64(array_join(slice(sentences, cast(c div {MOST} as int), cast(c % {MOST} as int)), ' ')) as h, cast(c div {MOST} as int) as at, cast(c % {MOST} as int) as n)"
+    d = d.select("doc_id", "text_hash", F.expr(f"transform(codes, c -> {run})").alias("runs"))
     d = d.withColumn("ordered", F.when(F.size(F.array_distinct("runs.h")) < F.size("runs"), F.sort_array("runs")))
     runs = F.expr(
-        "coalesce(transform(ordered, (x, i) -> struct(x.h as h, x.at as at, get(ordered, i - 1).h <=> x.h as later)),"
-        " transform(runs, x -> struct(x.h as h, x.at as at, false as later)))"
+        "coalesce(transform(ordered, (x, i) -> struct(x.h as h, x.at as at, x.n as n, get(ordered, i - 1).h <=> x.h as later)),"
+        " transform(runs, x -> struct(x.h as h, x.at as at, x.n as n, false as later)))"
     )
-    return d.select("doc_id", "text_hash", "n_sentences", runs.alias("runs"))
+    return d.select("doc_id", "text_hash", runs.alias("runs"))
 
 
-def removed_sentences(docs: DataFrame, *, span: int = 2, min_words: int = 12) -> DataFrame:
+def removed_sentences(docs: DataFrame, *, span: int = 2, min_weight: int = 12) -> DataFrame:
     """(doc_id, text_hash, removed) for each different id and text with removed sentences; these are numbered from 1 on."""
-    rows = stored(spans(docs, span, min_words), "sentence-runs")
+    rows = stored(spans(docs, span, min_weight), "sentence-runs")
     repeated = (
         rows.select("doc_id", F.explode("runs.h").alias("r_h"))
         .groupBy("r_h")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
+        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"))
+        .where("times > 1")
         .select("r_h", "first_id")
     )
-    each = rows.select("doc_id", "text_hash", "n_sentences", F.inline("runs"))
+    each = rows.select("doc_id", "text_hash", F.inline("runs"))
     again = each.join(stored(repeated, "sentence-repeats"), F.col("h") == F.col("r_h")).where(
         ~F.col("doc_id").eqNullSafe(F.col("first_id")) | F.col("later")
     )
-    covered = again.groupBy("doc_id", "text_hash", "n_sentences").agg(F.collect_set("at").alias("starts"))
-    numbers = F.flatten(F.transform("starts", lambda s: F.sequence(s + 1, F.least(s + span, F.col("n_sentences")))))
-    return covered.select("doc_id", "text_hash", F.array_distinct(numbers).alias("removed"))
+    covered = again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("at") * F.lit(MOST).cast("long") + F.col("n")).alias("codes"))
+    numbers = f"flatten(transform(codes, c -> sequence(cast(c div {MOST} as int), cast(c div {MOST} + c % {MOST} - 1 as int))))"
+    return covered.select("doc_id", "text_hash", F.array_distinct(F.expr(numbers)).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 12) -> DataFrame:
+def without_repeats(docs: DataFrame, *, span: int = 2, min_weight: int = 12) -> DataFrame:
     """(doc_id, n_sentences, n_removed, kept_chars, text) per row of `docs` (doc_id, text).
 
     Null and empty texts have no sentences. A text of fewer than `span` sentences is
@@ -84,7 +99,7 @@ def without_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 12) -> D
     rows that share an id hold a first run together; a null id is first only where
     all documents with the run have none. Other columns are not read.
     """
-    found = removed_sentences(docs, span=span, min_words=min_words).withColumnsRenamed({"doc_id": "r_id", "text_hash": "r_hash"})
+    found = removed_sentences(docs, span=span, min_weight=min_weight).withColumnsRenamed({"doc_id": "r_id", "text_hash": "r_hash"})
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     d = d.join(
         stored(found, "sentence-removed"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left"

@@ -6,7 +6,9 @@ all runs. A manifest lists the live shards of a version; it's written beside and
 moved into place, and the move fails where that version exists, so of two writers
 one commits and the other begins anew. Readers see whole versions only. Only file
 names and sizes pass through the driver; all file access is by Hadoop's file
-systems, so a store may lie wherever Spark can write.
+systems. Several writers need a file system whose rename fails onto an existing
+name in one step (HDFS, local and shared disks); on an object store without that,
+let one writer commit.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,24 +100,47 @@ class ShardStore:
 
     # Data
 
-    def _written(self, folder: str) -> list[Shard]:
+    def _listed(self, folder: str) -> list[tuple[Shard, int]]:
+        """Data files below a folder, each with the time of its last change in milliseconds."""
+        if not self._fs.exists(self._path(f"{self.root}/{folder}")):
+            return []
         found, files = [], self._fs.listFiles(self._path(f"{self.root}/{folder}"), True)
         while files.hasNext():
             status = files.next()
             path = status.getPath().toString()
             if path.endswith(".parquet"):
-                found.append(Shard(path[path.rindex(f"/{folder}/") + 1 :], status.getLen()))
-        return sorted(found, key=lambda s: s.path)
+                found.append((Shard(path[path.rindex(f"/{folder}/") + 1 :], status.getLen()), status.getModificationTime()))
+        return found
+
+    def _written(self, folder: str) -> list[Shard]:
+        return sorted((s for s, _ in self._listed(folder)), key=lambda s: s.path)
 
     def _count(self, paths: list[str]) -> int:
         """Rows of these files, by their footers."""
         return self.spark.read.parquet(*(f"{self.root}/{p}" for p in paths)).count() if paths else 0
 
     def append(self, arrivals: DataFrame) -> int:
-        """Write `arrivals`, a shard a partition, and commit; the new version. Without rows nothing is committed."""
+        """Write `arrivals`, a shard a partition, and commit; the new version.
+
+        Rows are stored as they are: nulls, empty texts, ties and repeats stay, and
+        columns keep their names. An empty table commits a version with the shards
+        before it and files without rows, if Spark writes any.
+        """
         folder = f"data/{uuid.uuid4().hex}"
         arrivals.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        new = self._written(folder)
+        return self._add(self._written(folder))
+
+    def append_each(self, rows: DataFrame, arrival: Column, n: int) -> int:
+        """Write rows that came in `n` arrivals (`arrival`: 0 to n - 1) in one scan, and commit each as a version of its own."""
+        folder = f"data/{(name := uuid.uuid4().hex)}"
+        number = f"arrival_{name}"  # no column of the rows has this name
+        rows.withColumn(number, arrival).write.option("compression", "zstd").partitionBy(number).parquet(f"{self.root}/{folder}")
+        written = self._written(folder)
+        for k in range(n):
+            version = self._add([s for s in written if s.path.startswith(f"{folder}/{number}={k}/")])
+        return version
+
+    def _add(self, new: list[Shard]) -> int:
         while True:
             version = self.version()
             try:
@@ -151,7 +177,10 @@ class ShardStore:
         return [run for _, run in most] or [run[:MOST_FILES] for run in found[:1]]
 
     def compact(self) -> int:
-        """Merge what `runs` names and commit, until no run is left; the version. A lost race begins anew."""
+        """Merge what `runs` names and commit, until no run is left; the version. A lost race begins anew.
+
+        Rows keep their values and repeats; an empty store stays as it is.
+        """
         while runs := self.runs(before := self.shards(version := self.version())):
             folder = f"data/{(name := uuid.uuid4().hex)}"
             file, number = f"file_{name}", f"run_{name}"  # no column of the rows has these names
@@ -160,9 +189,9 @@ class ShardStore:
             rows = self.spark.read.parquet(*(f"{self.root}/{p}" for p in run_of))
             # Files of different runs may share a name, so the path below the store's folder tells them apart.
             rows = rows.select("*", F.regexp_extract("_metadata.file_path", "^.*/(data/[0-9a-f]{32}/.+)$", 1).alias(file))
-            # A run is about one target file, so a task holds no more; rows of a run keep together.
+            # Each run goes to a task of its own, which writes one file of about the target size.
             # The list that is broadcast has MOST_FILES names at most.
-            merged = rows.join(F.broadcast(names), file).drop(file).repartition(len(runs), number)
+            merged = rows.join(F.broadcast(names), file).drop(file).repartitionById(len(runs), F.col(number))
             merged.write.option("compression", "zstd").partitionBy(number).parquet(f"{self.root}/{folder}")
             written = self._written(folder)
             if (had := self._count(list(run_of))) != (has := self._count([s.path for s in written])):
@@ -178,11 +207,18 @@ class ShardStore:
         shards = self.shards(version)
         return self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in shards)) if shards else None
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete data that none of the last `keep` versions lists; the number of deleted files."""
+    def vacuum(self, keep: int = 1, min_age_seconds: float = 86_400) -> int:
+        """Delete data that none of the last `keep` versions lists; the number of deleted files.
+
+        Files younger than `min_age_seconds` stay: a writer may be about to commit
+        them. Choose an age beyond the longest append or compaction. An empty store
+        has nothing to delete.
+        """
+        before = (time.time() - min_age_seconds) * 1000
+        old = [s for s, changed in self._listed("data") if changed <= before]  # listed before the versions are read
         version = self.version()
         live = {s.path for v in range(max(1, version - keep + 1), version + 1) for s in self.shards(v)}
-        old = [s for s in self._written("data") if s.path not in live] if version else []
+        old = [s for s in old if s.path not in live] if version else []
         for s in old:
             self._fs.delete(self._path(f"{self.root}/{s.path}"), False)
         return len(old)
@@ -197,8 +233,8 @@ def sharded(docs: DataFrame, root: str, *, arrivals: int = 8, id_col: str = "doc
     empty table gives an empty table.
     """
     store = ShardStore(docs.sparkSession, root, **sizes)
-    for k in range(arrivals):
-        store.append(docs.where(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0)) == k))
+    arrival = F.when(F.col(id_col).isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col), F.lit(arrivals))).cast("int")
+    store.append_each(docs, arrival, arrivals)
     version = store.compact()
     if (rows := store.read(version)) is None:
         rows = docs.limit(0).withColumn("_metadata", F.struct(F.lit("").alias("file_name"), F.lit(0).cast("long").alias("file_size")))

@@ -15,11 +15,13 @@ smallest hash. Equal windows have equal anchors at equal offsets, so
    the identifiers at later offsets, as long as it has two members. Sorted order and
    common-prefix lengths then give, for every window offset, which windows are equal.
 
-A bucket with over `bucket_limit` classes isn't sorted in one task: its windows are
-counted one by one by their 128-bit hashes, in Spark. Nothing is left out.
-
-Rows are told apart by their place in the input, so `docs` must be a stored table
-(Parquet files or the like) that each scan reads alike.
+A bucket with over `bucket_limit` classes isn't sorted in one task. It is refined
+across tasks by the same pointers: its windows' offsets are halved, windows of a
+half share the bytes at later offsets, and the identifier of these bytes parts the
+bucket. Again one member of each class goes on, and halves are halved until a part
+is small enough to sort; a part of one offset has one class, so this ends. Strings
+are taken for equal by 128 bits of hashes: those of the q-gram or of the part, and
+that of the bytes. Rows are numbered once, in a stored copy of ids and texts.
 """
 
 from __future__ import annotations
@@ -178,39 +180,36 @@ def repeated_windows(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, lo
     return found
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch], length: int, big: bool) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, rid, text, asked: [(h, pack)]): the bytes that the windows span, or, of big buckets, each window's hash."""
+def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, rid, text, asked: [(h, pack)]): the bytes that the windows span."""
     for b in batches:
         rows: list[tuple] = []
         for rid, text, asked in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
             data = text.as_buffer().to_pybytes()
             for x in asked:
                 start, windows = x["pack"] >> 16, x["pack"] >> 8 & 255
-                if big:
-                    for w in range(start, start + windows + 1):
-                        digest = xxhash.xxh3_128_digest(data[w : w + length])
-                        rows.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), rid, w))
-                else:
-                    rows.append((x["h"], rid, x["pack"], data[start : start + windows + length]))
+                rows.append((x["h"], rid, x["pack"], data[start : start + windows + length]))
             if len(rows) >= 8192:
-                yield _batch(rows, big)
+                yield _batch(rows)
                 rows = []
         if rows:
-            yield _batch(rows, big)
+            yield _batch(rows)
 
 
-def _batch(rows: list[tuple], big: bool) -> pa.RecordBatch:
-    names = ["w1", "w2", "rid", "at"] if big else ["h", "rid", "pack", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if big else pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "rid", "pack", "bytes"])
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int, most: int = 16384) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by h: the spans (rid, start, end) of windows with an equal; whole buckets at a time."""
+    """From contexts sorted by bucket: the spans (rid, start, end) of windows with an equal; whole buckets at a time.
+
+    Of a context the windows that start `low` to `high` bytes before its anchor count.
+    """
 
     def spans(table: pa.Table) -> pa.RecordBatch:
-        h, rid, pack = (table.column(c).to_numpy() for c in ("h", "rid", "pack"))
-        start, windows, offset = pack >> 16, pack >> 8 & 255, pack & 255
+        h, rid, pack, least, most_ = (table.column(c).to_numpy() for c in ("bucket", "rid", "pack", "low", "high"))
+        start, offset = pack >> 16, pack & 255
         n = len(h)
         column = table.column("bytes").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
@@ -223,7 +222,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int, most: int =
         left = np.where(to_left >= places[:-1, None], flat[np.maximum(to_left, 0)], 0).astype(np.uint8)
         right = np.where(to_right < places[1:, None], flat[np.minimum(to_right, len(flat) - 1)], 0).astype(np.uint8)
         bucket = np.unique(h, return_inverse=True)[1]
-        found = repeated_windows(bucket, left, right, offset - windows, offset)
+        found = repeated_windows(bucket, left, right, least, most_)
         # Offsets fall as windows move on: runs of offsets are runs of windows.
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge == 1)
@@ -238,14 +237,14 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int, most: int =
         held.append(b)
         if sum(x.num_rows for x in held) >= most:
             table = pa.Table.from_batches(held)
-            h = table.column("h").to_numpy()
+            h = table.column("bucket").to_numpy()
             cut = int(np.argmax(h == h[-1]))  # the last bucket may go on
             if cut:
                 for part in _whole_buckets(h[:cut], most):
                     yield spans(table.slice(part.start, part.stop - part.start))
                 held = table.slice(cut).to_batches()
     if held and (table := pa.Table.from_batches(held)).num_rows:
-        for part in _whole_buckets(table.column("h").to_numpy(), most):
+        for part in _whole_buckets(table.column("bucket").to_numpy(), most):
             yield spans(table.slice(part.start, part.stop - part.start))
 
 
@@ -259,60 +258,89 @@ def _whole_buckets(h: np.ndarray, most: int) -> Iterator[slice]:
         at = end
 
 
-def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 200, bucket_limit: int = 4096) -> DataFrame:
-    """(rid, spans): the byte spans that repeated strings cover, unordered and overlapping, per row that has any."""
+OFFSET, WINDOWS, FIRST = "(pack & 255)", "(shiftright(pack, 8) & 255)", "shiftright(pack, 16)"
+
+
+def _halves(members: DataFrame, length: int) -> DataFrame:
+    """Of contexts (bucket, rid, pack, bytes, a, b): a row for each half of the offsets a to b that has windows of theirs.
+
+    The half's windows share the bytes from a before the anchor on, up to where the
+    window ends that starts b before it; with these the bucket is parted. `low` to
+    `high` are the context's own windows of the half, `sig` is what they span.
+    """
+    halves = F.expr("explode(array(struct(a as a, (a + b) div 2 as b), struct((a + b) div 2 + 1 as a, b as b)))")
+    parts = members.select("bucket", "rid", "pack", "bytes", halves.alias("half")).where("half.a <= half.b")
+    parts = parts.select("bucket", "rid", "pack", "bytes", "half.*").withColumns(
+        {"low": F.expr(f"greatest(a, {OFFSET} - {WINDOWS})"), "high": F.expr(f"least(b, {OFFSET})")}
+    )
+    shared = f"substring(bytes, cast({OFFSET} - a + 1 as int), cast(a + {length} - b as int))"
+    own = f"substring(bytes, cast({OFFSET} - high + 1 as int), cast(high + {length} - low as int))"
+    return parts.where("low <= high").select(
+        F.expr(f"xxhash64(bucket, a, b, {shared})").alias("bucket"), "rid", "pack", "bytes", "a", "b", "low", "high", F.expr(f"xxhash64(low, high, {own})").alias("sig")
+    )
+
+
+def _told(rows: DataFrame, label: str) -> DataFrame:
+    """`rows` (bucket, sig, rid, pack ...) of buckets with two members: with n, how many are of the same class, the
+    bucket's `kinds` of classes, and whether the row is the one that stands for its class (`sends`)."""
+    classes = stored(rows.groupBy("bucket", "sig").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pack")).alias("sender")), f"{label}-classes")
+    kinds = stored(classes.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1"), f"{label}-buckets")
+    classes = classes.join(kinds, "bucket", "left").where("n > 1 or kinds is not null")
+    classes = stored(classes.select(F.col("bucket").alias("c_bucket"), F.col("sig").alias("c_sig"), "n", "sender", F.coalesce("kinds", F.lit(1)).alias("kinds")), f"{label}-classes")
+    met = rows.join(classes, (F.col("bucket") == F.col("c_bucket")) & (F.col("sig") == F.col("c_sig")))
+    return met.withColumn("sends", F.struct("rid", "pack") == F.col("sender")).drop("c_bucket", "c_sig", "sender")
+
+
+def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1024) -> DataFrame:
+    """(rid, spans): the byte spans that repeated strings cover, unordered and overlapping, per row of `numbered` texts that has any."""
     if not GRAM < length <= GRAM + 223:
         raise ValueError("length must be 33 to 255")
-    spark = docs.sparkSession
-    texts = numbered(docs, text_col)
+    spark = texts.sparkSession
 
     def rows(with_class: bool) -> DataFrame:
         schema = "h bigint, sig bigint, rid bigint, pack bigint" if with_class else "h bigint"
         return texts.select("rid", "text").mapInArrow(lambda batches: _anchor_rows(batches, length, with_class), schema)
 
     grams = rows(False).groupBy("h").count().where("count > 1").select(F.col("h").alias("g"))
-    met = stored(rows(True).join(stored(grams, "suffix-grams"), F.col("h") == F.col("g")).drop("g"), "suffix-anchors")
-    classes = met.groupBy("h", "sig").agg(F.count("*").alias("n"), F.min("rid").alias("sender"))
-    classes = stored(classes, "suffix-classes")
-    kinds = stored(classes.groupBy(F.col("h").alias("k_h")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-buckets")
-    classes = classes.join(kinds, F.col("h") == F.col("k_h"), "left").where("n > 1 or kinds is not null")
-    classes = stored(classes.select(F.col("h").alias("c_h"), F.col("sig").alias("c_sig"), "n", "sender", "kinds"), "suffix-classes")
-    told = stored(met.join(classes, (F.col("h") == F.col("c_h")) & (F.col("sig") == F.col("c_sig"))), "suffix-told")
-
-    first, windows = F.shiftright("pack", 16), F.shiftright("pack", 8).bitwiseAND(F.lit(255))
-    whole = told.where("n > 1").select("rid", first.alias("start"), (first + windows + length).alias("end"))
-    asked = told.where("kinds is not null and rid = sender").withColumn("big", F.col("kinds") > bucket_limit)
-
-    def contexts(big: bool) -> DataFrame:
-        of_row = asked.where(F.col("big") == big).groupBy(F.col("rid").alias("a_rid")).agg(F.collect_list(F.struct("h", "pack")).alias("asked"))
-        if big:  # stored, so that its size is known: few rows are broadcast, and then no text is dealt out for them
+    met = stored(rows(True).join(stored(grams, "suffix-grams"), F.col("h") == F.col("g")).select(F.col("h").alias("bucket"), "sig", "rid", "pack"), "suffix-anchors")
+    told = stored(_told(met, "suffix"), "suffix-told")
+    spans = told.where("n > 1").select("rid", F.expr(f"{FIRST} as start"), F.expr(f"{FIRST} + {WINDOWS} + {length} as end"))
+    asked = told.where("kinds > 1 and sends")
+
+    def contexts(large: bool) -> DataFrame:
+        of_row = asked.where(F.col("kinds") > bucket_limit if large else F.col("kinds") <= bucket_limit)
+        of_row = of_row.groupBy(F.col("rid").alias("a_rid")).agg(F.collect_list(F.struct(F.col("bucket").alias("h"), "pack")).alias("asked"))
+        if large:  # stored, so that its size is known: few rows are broadcast, and then no text is dealt out for them
             of_row = stored(of_row, "suffix-asked")
-        schema = "w1 bigint, w2 bigint, rid bigint, at bigint" if big else "h bigint, rid bigint, pack bigint, bytes binary"
         # With the columns of the last join, so that Spark deals the texts out once for both.
         joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("doc_id", "rid", "text", "asked")
-        return joined.mapInArrow(lambda batches: _context_rows(batches, length, big), schema)
-
-    refined = (
-        contexts(False)
-        .repartition(n_partitions(spark), "h")
-        .sortWithinPartitions("h")
-        .mapInArrow(lambda batches: _sorted_buckets(batches, length), "rid bigint, start bigint, end bigint")
-    )
-    spans = whole.union(refined)
-    if not kinds.where(F.col("kinds") > bucket_limit).isEmpty():
-        single = stored(contexts(True), "suffix-windows")
-        twice = stored(
-            single.groupBy(F.col("w1").alias("t1"), F.col("w2").alias("t2")).count().where("count > 1").select("t1", "t2"), "suffix-twice"
+        return joined.mapInArrow(lambda batches: _context_rows(batches, length), "bucket bigint, rid bigint, pack bigint, bytes binary")
+
+    def sorted_in_tasks(members: DataFrame) -> DataFrame:
+        return (
+            members.select("bucket", "rid", "pack", "bytes", "low", "high")
+            .repartition(n_partitions(spark), "bucket")
+            .sortWithinPartitions("bucket")
+            .mapInArrow(lambda batches: _sorted_buckets(batches, length), "rid bigint, start bigint, end bigint")
         )
-        hit = single.join(twice, (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
-        spans = spans.union(hit.select("rid", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+
+    spans = spans.union(sorted_in_tasks(contexts(False).withColumns({"low": F.expr(f"{OFFSET} - {WINDOWS}"), "high": F.expr(OFFSET)})))
+    if not told.where(F.col("kinds") > bucket_limit).isEmpty():
+        large = stored(contexts(True).withColumns({"a": F.lit(0).cast("long"), "b": F.lit(length - GRAM).cast("long")}), "suffix-contexts")
+        while not large.isEmpty():
+            parted = stored(_told(stored(_halves(large, length), "suffix-halves"), "suffix-parts"), "suffix-parted")
+            place = f"{FIRST} + {OFFSET}"
+            spans = spans.union(parted.where("n > 1").select("rid", F.expr(f"{place} - high as start"), F.expr(f"{place} - low + {length} as end")))
+            left = parted.where("kinds > 1 and sends")
+            spans = spans.union(sorted_in_tasks(left.where(F.col("kinds") <= bucket_limit)))
+            large = left.where(F.col("kinds") > bucket_limit)
     return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def numbered(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.select(
-        F.col("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("rid")
-    )
+    """(doc_id, text, rid), written once, so that every later scan gives a row the same number."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    return stored(docs.select("doc_id", text, F.monotonically_increasing_id().alias("rid")), "suffix-rows")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -326,16 +354,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def without_repeats(docs: DataFrame, *, length: int = 200, bucket_limit: int = 4096, with_rest: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, *, length: int = 200, bucket_limit: int = 1024, with_rest: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of `docs` (doc_id, text).
 
     A null text is empty; texts shorter than `length` bytes stay whole. Repeated
     rows are occurrences of their own, so from `length` bytes on nothing of them is
-    left. Null ids pass through; other columns are not read. `kept` holds the
-    remaining bytes (a span may cut a character), or null without `with_rest`.
+    left. Null ids pass through; an empty table gives an empty table; other columns
+    are not read. `kept` holds the remaining bytes (a span may cut a character), or
+    null without `with_rest`.
     """
-    found = repeated_spans(docs, length=length, bucket_limit=bucket_limit)
-    joined = numbered(docs).join(found.withColumnRenamed("rid", "s_rid"), F.col("rid") == F.col("s_rid"), "left")
+    texts = numbered(docs)
+    found = repeated_spans(texts, length=length, bucket_limit=bucket_limit)
+    joined = texts.join(found.withColumnRenamed("rid", "s_rid"), F.col("rid") == F.col("s_rid"), "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
