@@ -3,6 +3,7 @@ import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.sources import formats, geopackage, shapefile, transferfile
 from weftline.sources.formats import read_input, write_output
@@ -128,3 +129,63 @@ def test_transfer_file(spark, tmp_path):
     df = read_input(spark, f"{tmp_path}/m.itf", {"table": "Axis", "fields": "name,note,n"})
     assert rows(df) == [("Roads", "10", "main road", None, "7", "LINESTRING (1.0 2.0, 3.0 4.0)"), ("Roads", "11", "a", "b", "c", None)]
     assert [o[2] for o in transferfile.objects(TRANSFER)] == ["10", "11", "1"]
+
+
+def test_areas_of_transfer_files(spark, tmp_path):
+    from weftline.sources import transferfile
+
+    shape = "POLYGON ((0 0, 10 0, 10 10, 0 0), (1 1, 2 1, 2 2, 1 1))"
+    df = spark.createDataFrame([("1", None, "x" * 60, "long text behind it", shape), ("2", None, "b", None, None)], "_oid string, _basket string, a string, b string, geometry string")
+    formats.write_output(df, f"{tmp_path}/itf", {"class": "M.T.Plot"}, "itf")
+    text = "".join(p.read_text() for p in tmp_path.glob("itf/*/*.txt"))
+    assert "CONT " in text and max(map(len, text.split("\n"))) <= 80
+    plots = formats.read_input(spark, f"{tmp_path}/itf/*", {"table": "Plot", "fields": "a,b"}, "itf")
+    rings = formats.read_input(spark, f"{tmp_path}/itf/*", {"table": "Plot_geometry", "fields": "plot"}, "itf")
+    got = {r["_oid"]: (r["b"], r["geometry"]) for r in transferfile.with_areas(plots, rings, "plot").collect()}
+    assert got == {"1": ("long text behind it", shape), "2": (None, None)}
+    with pytest.raises(Exception, match="no whole number"):
+        formats.write_output(df.withColumn("_oid", F.lit("x1")), f"{tmp_path}/bad", {"class": "M.T.Plot"}, "itf")
+
+
+def test_wkb_of_all_kinds():
+    import struct
+
+    from weftline.functions.geometry import wkt_of_wkb
+
+    point = lambda x, y, e="<": struct.pack(f"{e}BIdd", e == "<", 1, x, y)
+    line = lambda *p, e="<": struct.pack(f"{e}BII", e == "<", 2, len(p)) + b"".join(struct.pack(f"{e}dd", *x) for x in p)
+    ring = struct.pack("<BIII", 1, 3, 1, 3) + b"".join(struct.pack("<dd", *x) for x in ((0, 0), (1, 0), (0, 0)))
+    assert wkt_of_wkb(point(1, 2.5)) == wkt_of_wkb(point(1, 2.5, ">")) == "POINT (1 2.5)"
+    assert wkt_of_wkb(line((0, 0), (1, 1), e=">")) == "LINESTRING (0 0, 1 1)"
+    assert wkt_of_wkb(ring) == "POLYGON ((0 0, 1 0, 0 0))"
+    assert wkt_of_wkb(struct.pack("<BII", 1, 6, 1) + ring) == "MULTIPOLYGON (((0 0, 1 0, 0 0)))"
+    assert wkt_of_wkb(struct.pack("<BII", 1, 7, 2) + point(1, 2) + line((0, 0), (1, 1))) == "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 1 1))"
+    assert wkt_of_wkb(struct.pack("<BIIddd", 1, 0xA0000001, 4326, 1, 2, 3)) == wkt_of_wkb(struct.pack("<BIddd", 1, 1001, 1, 2, 3)) == "POINT (1 2)"
+    assert wkt_of_wkb(b"") is None
+
+
+def test_dialects():
+    assert formats.dialect_of("jdbc:postgresql://h/d") == "postgresql" and formats.dialect_of("jdbc:derby:x") == "default"
+
+
+def test_wrapped_bags_are_unwrapped(spark):
+    from weftline.operators.bags import unwrapped
+
+    df = spark.createDataFrame([((((1, 2),),),), (None,)], "b struct<w:struct<v:struct<x:int,y:int>>>")
+    got = df.select(unwrapped(F.col("b"), df.schema["b"].dataType).alias("b")).collect()
+    assert [tuple(x) for x in got[0]["b"]] == [(1, 2)] and got[1]["b"] is None
+
+
+def test_shapefile_fields_have_types(spark, tmp_path):
+    df = spark.sql("select 'POINT (1 2)' as geometry, 7 as n, 2.5d as x, true as b, date'2024-01-31' as d, cast(1.25 as decimal(6,2)) as m, 'text' as t, 'b1' as _basket")
+    write_output(df, f"{tmp_path}/a.shp", {"shapeType": "point", "prj": "LOCAL_CS[]"})
+    head = (tmp_path / "a.dbf").read_bytes()
+    kinds = {head[32 + 32 * i : 43 + 32 * i].rstrip(b"\0").decode(): chr(head[43 + 32 * i]) for i in range(6)}
+    assert kinds == {"n": "N", "x": "N", "b": "L", "d": "D", "m": "N", "t": "C"}
+    assert (tmp_path / "a.prj").read_text() == "LOCAL_CS[]"
+    with pytest.raises(ValueError, match="type"):
+        write_output(df, f"{tmp_path}/b.shp", {"shapeType": "polygon"})
+    with pytest.raises(ValueError, match="baskets"):
+        write_output(df.unionByName(df.withColumn("_basket", F.lit("b2"))), f"{tmp_path}/c.shp")
+    with pytest.raises(ValueError, match="records"):
+        write_output(df.unionByName(df), f"{tmp_path}/d.shp", {"maxRecords": 1})

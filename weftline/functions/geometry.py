@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import struct
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 COORD = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
@@ -72,3 +73,62 @@ def point_on_surface(wkt: Column, explicit: Column | None = None) -> Column:
     found = _interior(wkt)
     inside = F.when(found["x"].isNotNull(), found)
     return F.coalesce(*([explicit] if explicit is not None else []), wkt_point(wkt), inside)
+
+
+#: Codes of WKB geometries. Fixed values.
+WKB_NAMES = {1: "POINT", 2: "LINESTRING", 3: "POLYGON", 4: "MULTIPOINT", 5: "MULTILINESTRING", 6: "MULTIPOLYGON", 7: "GEOMETRYCOLLECTION"}
+
+
+def wkt_of_wkb(blob: bytes | None) -> str | None:
+    """WKT, in two dimensions, of WKB in either byte order, also with a reference system or further dimensions."""
+    if not blob:
+        return None
+    text, at = _wkt_at(bytes(blob), 0)
+    if at != len(blob):
+        raise ValueError(f"{len(blob) - at} bytes behind a geometry")
+    return text
+
+
+def _wkt_at(b: bytes, at: int, bare: bool = False) -> tuple[str, int]:
+    order = "<" if b[at] else ">"
+    (code,) = struct.unpack_from(f"{order}I", b, at + 1)
+    at += 9 if code & 0x20000000 else 5  # a reference system stands before the coordinates
+    more = bool(code & 0x80000000) + bool(code & 0x40000000)
+    code &= 0xFFFF
+    dimensions, code = 2 + more + {0: 0, 1: 1, 2: 1, 3: 2}[code // 1000], code % 1000
+
+    def number() -> int:
+        nonlocal at
+        (n,) = struct.unpack_from(f"{order}I", b, at)
+        at += 4
+        return n
+
+    def points(n: int) -> str:
+        nonlocal at
+        out = []
+        for _ in range(n):
+            x, y, *_ = struct.unpack_from(f"{order}{dimensions}d", b, at)
+            out.append(f"{x:.15g} {y:.15g}")
+            at += 8 * dimensions
+        return ", ".join(out)
+
+    name = WKB_NAMES[code]
+    if code == 1:
+        inner = f"({points(1)})"
+    elif code == 2:
+        inner = f"({points(number())})"
+    elif code == 3:
+        inner = "(" + ", ".join(f"({points(number())})" for _ in range(number())) + ")"
+    else:
+        parts = []
+        for _ in range(number()):
+            part, at = _wkt_at(b, at, code != 7)
+            parts.append(part)
+        inner = "(" + ", ".join(parts) + ")"
+    return (inner if bare else f"{name} {inner}"), at
+
+
+@pandas_udf(StringType())
+def wkb_text(blobs: pd.Series) -> pd.Series:
+    """WKT of a column of WKB or extended WKB."""
+    return blobs.map(lambda b: wkt_of_wkb(b) if b is not None else None)

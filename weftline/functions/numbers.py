@@ -19,22 +19,52 @@ def _number(x: Column) -> Column:
     return x.try_cast(NUMBER)
 
 
+def _summed(operation, a: Column, b: Column) -> Column:
+    """Spark keeps ten decimals of sums where the operands have 27 digits before the point at most; beyond that, nine."""
+    p, q = _number(a), _number(b)
+    return F.coalesce(operation(p.try_cast("decimal(37,10)"), q.try_cast("decimal(37,10)")).try_cast(NUMBER), operation(p, q).try_cast(NUMBER))
+
+
 def add(a: Column, b: Column) -> Column:
-    return F.try_add(_number(a), _number(b)).try_cast(NUMBER)
+    return _summed(F.try_add, a, b)
 
 
 def sub(a: Column, b: Column) -> Column:
-    return F.try_subtract(_number(a), _number(b)).try_cast(NUMBER)
+    return _summed(F.try_subtract, a, b)
+
+
+def _finer(x: Column) -> Column:
+    """Whether ten decimals don't hold a value: then its double counts."""
+    return x.try_cast("double") != _number(x).cast("double")
 
 
 def mul(a: Column, b: Column) -> Column:
-    # Narrower factors keep Spark's product at ten decimals.
-    return F.try_multiply(a.try_cast("decimal(19,5)"), b.try_cast("decimal(19,5)")).try_cast(NUMBER)
+    """The product to ten decimals; null where it has more than 28 digits before the point.
+
+    Whole parts and fractions are multiplied each, as Spark's product of two such
+    numbers would keep six decimals only. Factors with finer decimals count as doubles.
+    """
+    whole = lambda x: F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).try_cast("decimal(27,0)")
+    p, q = _number(a), _number(b)
+    pw, qw = whole(p), whole(q)
+    pf, qf = ((x % F.lit(1)).try_cast("decimal(10,10)") for x in (p, q))
+    parts = [F.try_multiply(x, y).try_cast(NUMBER) for x, y in ((pw, qw), (pw, qf), (pf, qw), (pf, qf))]
+    exact = parts[0]
+    for part in parts[1:]:
+        exact = add(exact, part)
+    return F.when(_finer(a) | _finer(b), (a.try_cast("double") * b.try_cast("double")).try_cast(NUMBER)).otherwise(exact)
 
 
 def div(a: Column, b: Column) -> Column:
-    """To ten decimals, half up; by zero: null."""
-    return F.round(F.try_divide(a.try_cast("decimal(20,10)"), b.try_cast("decimal(18,6)")), 10).try_cast(NUMBER)
+    """To ten decimals, half up; by zero: null.
+
+    A dividend of over 18 digits before the point gives six decimals. Operands with
+    finer decimals than ten count as doubles.
+    """
+    p, q = _number(a), _number(b)
+    # With these types Spark's quotient has ten decimals.
+    exact = F.coalesce(F.try_divide(p.try_cast("decimal(28,10)"), q).try_cast(NUMBER), F.try_divide(p, q).try_cast(NUMBER))
+    return F.when(_finer(a) | _finer(b), F.try_divide(a.try_cast("double"), b.try_cast("double")).try_cast(NUMBER)).otherwise(exact)
 
 
 def round_to(x: Column, scale: int) -> Column:
@@ -57,6 +87,10 @@ def max_of(a: Column, b: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers without a decimal point, others as a double's text."""
-    x = _number(x)
-    return F.when(x == F.floor(x), x.try_cast("bigint").cast("string")).otherwise(x.cast("double").cast("string"))
+    """Digits without an exponent: whole numbers without a decimal point, others without zeros at the end; finer than
+    ten decimals: a double's text."""
+    n = F.abs(_number(x))
+    whole = F.floor(n)
+    rest = F.lpad(((n % F.lit(1)) * F.lit(10**10)).cast("bigint").cast("string"), 10, "0")
+    shown = F.concat(F.when(_number(x) < 0, "-").otherwise(""), whole.cast("string"), F.regexp_replace(F.concat(F.lit("."), rest), r"\.?0+$", ""))
+    return F.when(x.isNotNull(), F.when(_finer(x), x.try_cast("double").cast("string")).otherwise(shown))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def embed(
@@ -39,9 +40,12 @@ def embed_where(
 ) -> DataFrame:
     """Like `embed`, by any condition over both sides (their columns must differ by name).
 
-    Give an equality among the conditions wherever there is one: without it Spark
-    must compare all parents with all children.
+    An equality must be among the conditions: without it Spark would compare all
+    parents with all children, which is refused.
     """
+    plan = parents.join(children, condition)._jdf.queryExecution().executedPlan().toString()
+    if "NestedLoop" in plan or "CartesianProduct" in plan:
+        raise ValueError("the condition has no equality between parents and children")
     item = F.struct(order.isNull().alias("_last"), order.alias("_order"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("_item"))
     bags = parents.join(children, condition).groupBy(F.col(parent_key).alias("_bag_key")).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
     bags = bags.select("_bag_key", F.transform("_rows", lambda x: x["_item"]).alias(bag))
@@ -70,6 +74,17 @@ def overflow(df: DataFrame, bag: str, max_items: int, oid: str = "_oid") -> Data
     return df.where(lost > 0).select(F.col(oid).alias("source_oid"), F.lit("BAG_MAX_ITEMS_EXCEEDED").alias("reason_code"), lost.alias("n_lost"))
 
 
+def unwrapped(c: Column, kind: DataType, most: int = 4) -> Column:
+    """A bag without the elements that wrap it: up to `most` structures of one field each give way to that field.
+
+    What is left becomes an array where it was wrapped structures; anything else stays.
+    """
+    depth = 0
+    while isinstance(kind, StructType) and len(kind) == 1 and depth < most and isinstance(kind[0].dataType, StructType | ArrayType):
+        c, kind, depth = c[kind[0].name], kind[0].dataType, depth + 1
+    return F.when(c.isNotNull(), F.array(c)) if depth and isinstance(kind, StructType) else c
+
+
 def first_of(bag: str, field: str) -> Column:
     """A field of the first structure; null for an empty bag."""
     return F.try_element_at(F.col(bag), F.lit(1))[field]

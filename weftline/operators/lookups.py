@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.storage import stored
-
 
 def first_matches(table: DataFrame, key: Column, values: dict[str, Column], order: Column) -> DataFrame:
     """(k, <name>, <name>_ambiguous ...): per key the value of the first record by `order`, and whether others differ.
@@ -52,8 +50,3 @@ def exists(df: DataFrame, on: list[tuple[Column, Column]], table: DataFrame, nam
         condition = condition & (F.col(f"_l{i}") == F.col(f"_t{i}"))
     joined = left.join(keys, condition, "left").withColumn(name, F.coalesce("_hit", F.lit(False)))
     return joined.drop("_hit", *(f"{s}{i}" for i in range(len(on)) for s in ("_l", "_t")))
-
-
-def reused(df: DataFrame, label: str) -> DataFrame:
-    """A table that several lookups or rules read, written once."""
-    return stored(df, label)

@@ -94,11 +94,15 @@ def severity(outcome: str, policy: str) -> str:
 
 
 def attach(objects: DataFrame, resolved: DataFrame, roles: dict[str, int | None], oid: str = "_oid") -> DataFrame:
-    """`objects` with a column for each role: the target's identifier, or an array of them for roles that take several."""
+    """`objects` with a column for each role: the target's identifier, or an array of them for roles that take several.
+
+    Owners are told apart by class and identifier, as two classes may share identifiers.
+    """
     if not roles:
         return objects
-    good = resolved.where("outcome = 'RESOLVED'").groupBy(F.col("owner_oid").alias("_owner"))
+    good = resolved.where("outcome = 'RESOLVED'").groupBy(F.col("owner_class").alias("_owner_class"), F.col("owner_oid").alias("_owner"))
     of_role = lambda r: F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("ord", "target_oid"))))
     gathered = good.agg(*(of_role(r).alias(r) for r in roles))
     columns = [(F.try_element_at(F.col(r), F.lit(1))["target_oid"] if most == 1 else F.transform(r, lambda x: x["target_oid"])).alias(r) for r, most in roles.items()]
-    return objects.join(gathered.select("_owner", *columns), F.col(oid) == F.col("_owner"), "left").drop("_owner")
+    own = (F.col(oid) == F.col("_owner")) & (F.col("_class") == F.col("_owner_class"))
+    return objects.join(gathered.select("_owner_class", "_owner", *columns), own, "left").drop("_owner_class", "_owner")

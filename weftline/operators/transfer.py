@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.rules import Catalog
+from weftline.operators.identity import numbered_oids
+from weftline.operators.rules import ENVELOPE, Catalog
 from weftline.storage import stored
 
 
@@ -29,6 +30,82 @@ def inventory_references(catalog: Catalog, references: dict[str, list[str]]) ->
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def inventory_values(catalog: Catalog, attributes: dict[str, list[str]]) -> DataFrame:
+    """(cls, attribute, value, n) of classification attributes by class; null is a value."""
+    parts = [
+        catalog.records(cls).groupBy(F.col(a).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(cls).alias("cls"), F.lit(a).alias("attribute"), "value", "n")
+        for cls, names in attributes.items()
+        for a in names
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+#: How a text of geometry begins, by kind. Fixed values.
+GEOMETRY_WORDS = {"POINT": "COORD", "LINESTRING": "POLYLINE", "MULTILINESTRING": "POLYLINE", "POLYGON": "SURFACE", "MULTIPOLYGON": "SURFACE"}
+
+
+def inventory_geometries(catalog: Catalog, attributes: dict[str, list[str]]) -> DataFrame:
+    """(cls, attribute, kind, n) of attributes that hold WKT; rows without geometry aren't counted."""
+    kinds = F.create_map(*(F.lit(x) for kv in GEOMETRY_WORDS.items() for x in kv))
+    parts = []
+    for cls, names in attributes.items():
+        for a in names:
+            kind = F.coalesce(F.try_element_at(kinds, F.upper(F.regexp_extract(F.col(a), r"^\s*([A-Za-z]+)", 1))), F.lit("UNKNOWN"))
+            rows = catalog.records(cls).where(F.col(a).isNotNull()).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+            parts.append(rows.select(F.lit(cls).alias("cls"), F.lit(a).alias("attribute"), "kind", "n"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def model_inventory(catalog: Catalog) -> DataFrame:
+    """(cls, input, place, attribute, type, nullable) of all classes; from schemas, no data is read."""
+    rows = []
+    spark = None
+    for cls, input_id in catalog.classes():
+        df = catalog.records(cls, (input_id,))
+        spark = df.sparkSession
+        fields = [f for f in df.schema if f.name not in ENVELOPE]
+        rows += [(cls, input_id, i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "cls string, input string, place int, attribute string, type string, nullable boolean")
+
+
+def reference_edges(catalog: Catalog, references: dict[str, list[str]]) -> DataFrame:
+    """(src, dst, attribute) between objects, named by class and identifier: those that hold a reference, and every object
+    with the identifier referred to. A reference attribute is an identifier or an array of them."""
+    objects = reduce(lambda a, b: a.unionByName(b), (catalog.records(c, (i,)).select("_class", "_oid") for c, i in catalog.classes()))
+    held = []
+    for cls, names in references.items():
+        df = catalog.records(cls)
+        for a in names:
+            to = F.col(a) if df.schema[a].dataType.typeName() == "array" else F.array(a)
+            held.append(df.select(node_of("_class", "_oid").alias("src"), F.lit(a).alias("attribute"), F.explode(to.cast("array<string>")).alias("_to")))
+    refs = reduce(lambda a, b: a.unionByName(b), held).where("_to is not null")
+    return refs.join(objects, F.col("_to") == F.col("_oid")).select("src", node_of("_class", "_oid").alias("dst"), "attribute")
+
+
+def node_of(cls: str, oid: str) -> Column:
+    return F.concat_ws("#", cls, oid)
+
+
+def seeds_of(catalog: Catalog, pattern: str, how: str = "equals") -> DataFrame:
+    """(node) of all objects whose class equals `pattern`, ends in it after a dot, or contains it."""
+    tests = {"equals": lambda c: c == pattern, "suffix": lambda c: c == pattern or c.endswith(f".{pattern}"), "contains": lambda c: pattern in c}
+    found = [catalog.records(c, (i,)).select(node_of("_class", "_oid").alias("node")) for c, i in catalog.classes() if tests[how](c)]
+    if not found:
+        raise KeyError(f"no class {how} {pattern!r}")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def extract(catalog: Catalog, references: dict[str, list[str]], seeds: DataFrame, *, max_depth: int, max_objects: int | None = None) -> tuple[dict[tuple[str, str], DataFrame], DataFrame]:
+    """The part of a transfer that the seeds reach over references in either direction: its records by class and input, in
+    their original order, and the provenance (node, depth) of every object."""
+    reached = stored(subgraph(reference_edges(catalog, references), seeds, max_depth=max_depth, max_objects=max_objects), "graph-reached")
+    parts = {}
+    for cls, input_id in catalog.classes():
+        df = catalog.records(cls, (input_id,)).withColumn("_node", node_of("_class", "_oid"))
+        parts[cls, input_id] = df.join(reached.select("node"), F.col("_node") == F.col("node"), "left_semi").drop("_node").orderBy("_ord")
+    return parts, reached
+
+
 def subgraph(edges: DataFrame, seeds: DataFrame, *, max_depth: int, both_ways: bool = True, max_objects: int | None = None) -> DataFrame:
     """(node, depth): what the seeds reach over `edges` (src, dst) in at most `max_depth` steps.
 
@@ -43,16 +120,18 @@ def subgraph(edges: DataFrame, seeds: DataFrame, *, max_depth: int, both_ways: b
     if max_objects is not None:
         seen = stored(seen.orderBy("node").limit(max_objects), "graph-seen")
     levels = [seen]
+    count = seen.count() if max_objects is not None else 0
     for depth in range(1, max_depth + 1):
-        known = reduce(lambda a, b: a.union(b), levels)
+        # Over links in both directions a node's neighbours lie in its own level, the one before or the one after.
+        known = reduce(lambda a, b: a.union(b), levels[-2:] if both_ways and max_objects is None else levels)
         step = levels[-1].join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         step = step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         if max_objects is not None:
-            left = max_objects - known.count()
-            step = step.orderBy("node").limit(max(left, 0))
+            step = step.orderBy("node").limit(max(max_objects - count, 0))
         step = stored(step, "graph-level")
-        if step.isEmpty():
+        if not (new := step.count()):
             break
+        count += new
         levels.append(step)
     return reduce(lambda a, b: a.union(b), levels)
 
@@ -116,6 +195,13 @@ def output_order(objects: DataFrame, references: list[str]) -> DataFrame:
     return objects.orderBy("_basket", has, "_class", "_oid")
 
 
+def output_places(objects: DataFrame, references: list[str], name: str = "place") -> DataFrame:
+    """`objects` with their place, from 1 on, in the order of `output_order`; no task sees them all."""
+    has = reduce(lambda a, b: a | b, (F.col(r).isNotNull() for r in references), F.lit(False))
+    placed = numbered_oids(objects.withColumn("_has", has), ["_basket", "_has", "_class", "_oid"], name=name)
+    return placed.withColumn(name, F.col(name).cast("long")).drop("_has")
+
+
 @dataclass(frozen=True)
 class Constraint:
     attribute: str

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import copy
 import hashlib
-import re
 from pathlib import Path
 
 
@@ -38,16 +37,44 @@ def assemble(modules: dict[str, dict], base: dict) -> dict:
             for ref in r.get("refs", []):
                 if ref.get("targetRule") in ids:
                     ref["targetRule"] = f"{module}.{ref['targetRule']}"
-            for part in ("assign", "defaults"):
-                r[part] = {k: _renamed(e, renamed) for k, e in r.get(part, {}).items()}
+            r = _renamed(r, renamed)
             rules.append(r)
     return out
 
 
-def _renamed(expression: str, names: dict[str, str]) -> str:
-    for old, new in names.items():
-        expression = re.sub(rf":{re.escape(old)}\b", f":{new}", expression)
-    return expression
+#: Calls whose second argument names a value map.
+MAPPED = {"enummap", "enummapdefault", "enummapstrict"}
+
+
+def _renamed(x, names: dict[str, str]):
+    """A rule's plain form with the names of value maps changed, wherever a call refers to one."""
+    if isinstance(x, dict):
+        if len(x) == 1:
+            ((call, args),) = x.items()
+            if call.lower() in MAPPED and isinstance(args, list) and len(args) > 1:
+                return {call: [_renamed(args[0], names), names.get(args[1], args[1]), *(_renamed(a, names) for a in args[2:])]}
+        return {k: _renamed(v, names) for k, v in x.items()}
+    return [_renamed(v, names) for v in x] if isinstance(x, list) else x
+
+
+def run_bundle(spark, manifest: dict, modules: dict[str, dict], *, source: str | None = None, expected: dict | None = None, commit: bool = True) -> dict:
+    """Check the source's digest, put the modules together, run the job and hold its summary against the expected one.
+
+    `manifest`: base (the job's plain form without rules), source {path, sha256} and
+    expectedSummary. Gives the report, the summary, the differences, and `ok`.
+    """
+    from weftline.plans.job import job_of
+    from weftline.plans.runner import run
+
+    told = manifest.get("source") or {}
+    path = source or told.get("path")
+    if told.get("sha256") and not source_matches(path, told["sha256"]):
+        raise BundleConflict(f"source {path} is not the one that the bundle was made for")
+    report = run(spark, job_of(assemble(modules, manifest["base"])), commit=commit)
+    expected = expected if expected is not None else manifest.get("expectedSummary")
+    found = summary(report)
+    differences = summaries_match(expected, found) if expected is not None else []
+    return {"report": report, "summary": found, "differences": differences, "ok": report["status"] != "ROLLED_BACK" and not differences}
 
 
 def source_matches(path: str, sha256: str) -> bool:
@@ -65,7 +92,7 @@ def summary(report: dict) -> dict:
     for d in report["diagnostics"]:
         codes[d["code"]] = codes.get(d["code"], 0) + d["n"]
         by_rule[d.get("rule") or ""] = by_rule.get(d.get("rule") or "", 0) + d["n"]
-    return {"rules": {r["rule"]: {k: r[k] for k in ("visited", "created")} for r in report["rules"]}, "diagnostics": codes, "diagnosticsByRule": by_rule}
+    return {"rules": {r["rule"]: {k: r[k] for k in ("visited", "filtered", "created")} for r in report["rules"]}, "diagnostics": codes, "diagnosticsByRule": by_rule}
 
 
 def summaries_match(expected: dict, actual: dict) -> list[str]:

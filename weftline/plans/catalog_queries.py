@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import functions as W
+from weftline.functions.geometry import wkb_text
 from weftline.operators import bags, identity, lookups, references, transfer
 from weftline.operators.rules import Catalog, Create, Join, Loss, Ref, Rule, Source, lower, matched, metrics
+from weftline.plans import bundle, runner
+from weftline.plans.job import job_of, rule_of
+from weftline.sources import formats
+from weftline.storage import shared_folder
 
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
@@ -544,10 +549,13 @@ def inventory_references(spark, sf_dir):
     return transfer.inventory_references(_catalog(spark, sf_dir, "orders"), {"tpch.Main.orders": ["o_custkey"]})
 
 
-@query("select 'sales' as rule, count(*) as visited, count(*) filter (o_orderstatus = 'F') as created from orders")
+@query(
+    "select 'sales' as rule, count(*) as visited, count(*) filter (o_orderstatus = 'F') as matches, count(*) filter (o_orderstatus = 'F' and o_totalprice <= 100000) as filtered,"
+    " count(*) filter (o_orderstatus = 'F' and o_totalprice > 100000) as created from orders"
+)
 def rule_metrics(spark, sf_dir):
     c = _catalog(spark, sf_dir, "orders")
-    return metrics([lower(Rule("sales", "out", "Sale", (Source("o", "tpch.Main.orders", where="o.o_orderstatus = 'F'"),), {}), c)])
+    return metrics([lower(Rule("sales", "out", "Sale", (Source("o", "tpch.Main.orders", where="o.o_orderstatus = 'F'"),), {}, where="o.o_totalprice > 100000"), c)])
 
 
 @query(
@@ -584,3 +592,410 @@ def compare_diff(spark, sf_dir):
 def constraint_violations(spark, sf_dir):
     limits = [transfer.Constraint("o_totalprice", low=1000, high=300000), transfer.Constraint("o_orderstatus", mandatory=True, max_length=3, values=("F", "O"))]
     return transfer.violations(_table(spark, sf_dir, "orders"), limits, "o_orderkey").select(F.col("oid").alias("o_orderkey"), "code")
+
+
+# Jobs: rules from their plain form, with calls, lookups and bags
+
+
+def _job_rule(spark, sf_dir, rule: dict, *names: str, enums=None, catalog=None, **strategies):
+    plain = {"id": "r", "target": {"output": "out", "class": "tpch.Main.T"}, **rule}
+    return lower(rule_of(plain), catalog or _catalog(spark, sf_dir, *names), enums=enums or {}, **strategies)
+
+
+_O = [{"alias": "o", "class": "tpch.Main.orders"}]
+_C = [{"alias": "c", "class": "tpch.Main.customer"}]
+
+
+@query("select c_custkey, c_name as name, c_acctbal as balance from customer")
+def prj_assign_copy(spark, sf_dir):
+    assign = {"c_custkey": "c.c_custkey", "name": "c.c_name", "balance": "c.c_acctbal"}
+    return _job_rule(spark, sf_dir, {"sources": _C, "assign": assign}, "customer").targets.select(*assign)
+
+
+@query("select c_custkey, case when c_acctbal > 0 then c_name end as name, 'CHF' as currency, 1 as version from customer")
+def prj_defaults(spark, sf_dir):
+    """A null assignment doesn't fall through to the default."""
+    rule = {"sources": _C, "assign": {"c_custkey": "c.c_custkey", "name": "if(c.c_acctbal > 0, c.c_name, null)"}, "defaults": {"name": "'none'", "currency": "'CHF'"}}
+    f = _job_rule(spark, sf_dir, rule, "customer", defaults={"currency": "'EUR'", "version": "1"})
+    return f.targets.select("c_custkey", "name", "currency", "version")
+
+
+@query(
+    "select o_orderkey, case o_orderstatus when 'F' then 'finished' when 'O' then 'open' end as status, case o_orderstatus when 'F' then 'finished' when 'O' then 'open' else 'other' end as status_or,"
+    " case when o_totalprice > 200000 then 'big' when o_orderpriority like '1%' then 'urgent' else o_orderstatus || '!' end as kind, substr(o_orderpriority, 1, 3) as short,"
+    " o_totalprice <= 200000 as small, true as lte_null, false as lt_null, o_orderstatus = 'F' and o_totalprice > 200000 as both_true, not (o_orderstatus = 'F') as negated,"
+    " strftime(cast(o_orderdate as date), '%Y%m%d') as compact, cast(o_custkey as varchar) as ref, o_custkey = o_orderkey as same from orders"
+)
+def job_functions(spark, sf_dir):
+    assign = {
+        "o_orderkey": "o.o_orderkey",
+        "status": {"enumMap": ["o.o_orderstatus", "states"]},
+        "status_or": {"enumMapDefault": ["o.o_orderstatus", "states", "'other'"]},
+        "kind": {"if": [{"gt": ["o.o_totalprice", 200000]}, "'big'", {"if": ["o.o_orderpriority like '1%'", "'urgent'", {"concat": ["o.o_orderstatus", "'!'", None]}]}]},
+        "short": {"truncate": [{"enumName": ["o.o_orderpriority"]}, 3]},
+        "small": {"lte": ["o.o_totalprice", 200000]},
+        "lte_null": {"lte": ["o.o_totalprice", None]},
+        "lt_null": {"lt": ["o.o_totalprice", None]},
+        "both_true": {"and": [{"eq": ["o.o_orderstatus", "'F'"]}, "o.o_totalprice > 200000"]},
+        "negated": {"not": [{"eq": ["o.o_orderstatus", "'F'"]}]},
+        "compact": {"toInterlis1Date": ["cast(o.o_orderdate as date)"]},
+        "ref": {"refOid": ["o.o_custkey"]},
+        "same": {"refEquals": ["o.o_custkey", "o.o_orderkey"]},
+    }
+    return _job_rule(spark, sf_dir, {"sources": _O, "assign": assign}, "orders", enums={"states": STATUS}).targets.select(*assign)
+
+
+@query("select 'ENUM_NO_MATCH' as code, o_orderstatus as key, count(*) as n from orders where o_orderstatus not in ('F', 'O') group by 2")
+def job_enum_problems(spark, sf_dir):
+    rule = {"sources": _O, "assign": {"status": {"enumMap": ["o.o_orderstatus", "states"]}}}
+    f = _job_rule(spark, sf_dir, rule, "orders", enums={"states": STATUS})
+    return f.diagnostics.groupBy("code", "key").agg(F.count("*").alias("n"))
+
+
+@query("select event_id from events where event_type is not null and event_type <> '' and value is not null and value <> 0")
+def flt_truthy_where(spark, sf_dir):
+    rule = {"sources": [{"alias": "e", "class": "tpch.Main.events", "where": "e.event_type"}], "where": "e.value", "assign": {"event_id": "e.event_id"}}
+    return _job_rule(spark, sf_dir, rule, "events").targets.select("event_id")
+
+
+@query(
+    "select c_custkey, arg_min(o_orderstatus, o_orderkey) as first_status, arg_min(o_totalprice, o_orderkey) as first_price, count(o_orderkey) > 0 as found,"
+    " count(o_orderkey) filter (o_orderstatus = 'F') > 0 as closed from customer left join orders on o_custkey = c_custkey group by c_custkey"
+)
+def job_lookups(spark, sf_dir):
+    look = lambda name, back: {name: ["tpch.Main.orders", "o_custkey", "c.c_custkey", back]}
+    exists = lambda *more: {"existsIn": ["tpch", "tpch.Main.orders", "o_custkey", "c.c_custkey", *more]}
+    assign = {
+        "c_custkey": "c.c_custkey", "first_status": look("lookup", "o_orderstatus"), "first_price": look("lookupOptional", "o_totalprice"),
+        "found": exists(), "closed": exists("o_orderstatus", "'F'"),
+    }
+    return _job_rule(spark, sf_dir, {"sources": _C, "assign": assign}, "customer", "orders").targets.select(*assign)
+
+
+@query("select 'LOOKUP_NO_MATCH' as code, count(*) as n from customer where c_custkey * 3 not in (select o_custkey from orders)")
+def lookup_optional(spark, sf_dir):
+    """Only the plain lookup reports what it misses."""
+    found = []
+    for name in ("lookup", "lookupOptional"):
+        f = _job_rule(spark, sf_dir, {"sources": _C, "assign": {"x": {name: ["tpch.Main.orders", "o_custkey", "c.c_custkey * 3", "o_custkey"]}}}, "customer", "orders")
+        found.append(f.diagnostics)
+    return found[0].union(found[1]).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey, (select min(s_name) from supplier where s_nationkey = n_nationkey and s_suppkey = (select min(s_suppkey) from supplier where s_nationkey = n_nationkey)) as party from nation")
+def lookup_scoped(spark, sf_dir):
+    c = _catalog(spark, sf_dir, "nation")
+    c.add(_table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_nationkey as nation", "c_name as name"), input_id="clients", cls="Party", oid="k", order="k")
+    c.add(_table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "s_nationkey as nation", "s_name as name"), input_id="suppliers", cls="Party", oid="k", order="k")
+    assign = {"n_nationkey": "n.n_nationkey", "party": {"lookupIn": ["suppliers", "Party", "nation", "n.n_nationkey", "name"]}}
+    return _job_rule(spark, sf_dir, {"sources": [{"alias": "n", "class": "tpch.Main.nation"}], "assign": assign}, catalog=c).targets.select(*assign)
+
+
+@query(
+    "select c_custkey, exists(select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT') as urgent"
+    " from customer where exists(select 1 from orders where o_custkey = c_custkey)"
+)
+def exists_in_multi(spark, sf_dir):
+    exists = lambda *more: {"existsIn": ["tpch", "tpch.Main.orders", "o_custkey", "c.c_custkey", *more]}
+    assign = {"c_custkey": "c.c_custkey", "urgent": exists("o_orderstatus", "'F'", "o_orderpriority", "'1-URGENT'")}
+    return _job_rule(spark, sf_dir, {"sources": _C, "assign": assign, "where": exists()}, "customer", "orders").targets.select(*assign)
+
+
+_ORDER_BAG = {"from": {"class": "tpch.Main.orders", "alias": "o", "where": "o.o_orderstatus = 'F'"}, "assign": {"key": "o.o_orderkey", "price": "o.o_totalprice"}}
+
+
+@query(
+    "with o as (select * from orders where o_orderstatus = 'F'), l as (select l_orderkey, count(*) as n, min(l_linenumber) as low from lineitem group by 1)"
+    " select c_custkey, count(o_orderkey) as n_orders, min(o_orderkey) as first_key, arg_min(o_totalprice, o_orderkey) as first_price, coalesce(sum(l.n), 0)::bigint as n_lines"
+    " from customer left join o on o_custkey = c_custkey left join l on l_orderkey = o_orderkey group by 1"
+)
+def job_bags(spark, sf_dir):
+    """A bag of orders, each with a bag of its lines."""
+    c = _catalog(spark, sf_dir, "customer", "orders")
+    line = F.expr("concat_ws('.', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate)")
+    lines = _table(spark, sf_dir, "lineitem").withColumn("place", F.monotonically_increasing_id())
+    c.add(lines, input_id="tpch", cls="tpch.Main.lineitem", oid=F.concat_ws(".", line, "place"), order="l_linenumber")
+    inner = {"lines": {"from": {"class": "tpch.Main.lineitem", "alias": "l"}, "parentRef": {"attribute": "l_orderkey"}, "assign": {"line": "l.l_linenumber"}}}
+    bag = {**_ORDER_BAG, "parentRef": {"attribute": "o_custkey"}, "nestedBags": inner}
+    f = _job_rule(spark, sf_dir, {"sources": _C, "assign": {"c_custkey": "c.c_custkey"}, "bags": {"orders": bag}}, catalog=c)
+    n_lines = F.aggregate("orders", F.lit(0).cast("long"), lambda a, x: a + F.size(x["lines"]))
+    return f.targets.select(
+        "c_custkey", F.size("orders").cast("long").alias("n_orders"), bags.first_of("orders", "key").alias("first_key"), bags.first_of("orders", "price").alias("first_price"), n_lines.alias("n_lines")
+    )
+
+
+@query(
+    "select c_custkey, count(o_orderkey) as n, case when max(c_acctbal) > 0 then 1 else 0 end::bigint as noted from customer left join orders"
+    " on o_custkey = c_custkey and o_orderstatus = 'F' and o_totalprice > c_acctbal * 10 group by 1"
+)
+def job_bag_condition(spark, sf_dir):
+    """The reference to the parent stands in the condition, which names the parent too; and a bag made from the parent."""
+    where = {"and": [{"refEquals": ["o.o_custkey", "c"]}, {"gt": ["o.o_totalprice", "c.c_acctbal * 10"]}]}
+    note = {"assign": {"balance": "c.c_acctbal"}, "where": "c.c_acctbal > 0"}
+    f = _job_rule(spark, sf_dir, {"sources": _C, "assign": {"c_custkey": "c.c_custkey"}, "bags": {"orders": {**_ORDER_BAG, "where": where}, "notes": note}}, "customer", "orders")
+    return f.targets.select("c_custkey", F.size("orders").cast("long").alias("n"), F.size("notes").cast("long").alias("noted"))
+
+
+@query(
+    "select c_custkey, place - 1 as place, o_orderkey, k.n as total from (select o_custkey as c_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as place"
+    " from orders) join (select o_custkey, count(*) as n from orders group by 1) k on k.o_custkey = c_custkey where place <= 3 and c_custkey in (select c_custkey from customer)"
+)
+def job_bag_expand(spark, sf_dir):
+    """Every structure of a bag becomes an object that refers to its parent; the rest is reported as lost."""
+    nested = _embedded(spark, sf_dir).withColumnRenamed("bag", "orders")
+    c = Catalog().add(nested, input_id="tpch", cls="Client", oid="c_custkey")
+    bag = {"mode": "expand", "items": "orders", "alias": "x", "target": "Order", "maxItems": 3, "parentRef": {"role": "client"}, "assign": {"o_orderkey": "x.key"}}
+    f = _job_rule(spark, sf_dir, {"sources": [{"alias": "c", "class": "Client"}], "assign": {"c_custkey": "c.c_custkey"}, "bags": {"orders": bag}}, catalog=c)
+    place = F.regexp_extract("_oid", "-([0-9]+)$", 1).cast("long")
+    rows = f.expanded[0].select("client", place.alias("place"), "o_orderkey").join(f.targets.select(F.col("_oid").alias("client"), "c_custkey"), "client")
+    lost = f.losses.select(F.col("source_oid").cast("long").alias("l_key"), (F.split("description", " ")[0].cast("long") + 3).alias("beyond"))
+    sizes = nested.select(F.col("c_custkey").alias("s_key"), F.size("orders").cast("long").alias("n"))
+    rows = rows.join(sizes, F.col("c_custkey") == F.col("s_key")).join(lost, F.col("c_custkey") == F.col("l_key"), "left")
+    return rows.select("c_custkey", "place", "o_orderkey", F.coalesce("beyond", "n").alias("total"))
+
+
+@query("select c_custkey, arg_min(o_orderpriority, o_orderkey) as first_priority from customer left join orders on o_custkey = c_custkey group by 1")
+def bag_first(spark, sf_dir):
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    nested = bags.embed(c, F.col("c_custkey"), o, F.col("o_custkey"), {"priority": F.col("o_orderpriority")}, order=F.col("o_orderkey"), bag="orders")
+    catalog = Catalog().add(nested, input_id="tpch", cls="Client", oid="c_custkey")
+    assign = {"c_custkey": "c.c_custkey", "first_priority": {"bagFirst": ["c", "orders", "priority"]}}
+    return _job_rule(spark, sf_dir, {"sources": [{"alias": "c", "class": "Client"}], "assign": assign}, catalog=catalog).targets.select(*assign)
+
+
+@query("select cast(o_custkey as varchar) as parent, o_orderkey as key from orders join customer on o_custkey = c_custkey")
+def bag_structures_as_records(spark, sf_dir):
+    c = Catalog().add(_embedded(spark, sf_dir), input_id="tpch", cls="Client", oid="c_custkey").add_structures("Client", "bag")
+    return c.records("Client.bag").select(F.col("_parent_oid").alias("parent"), "key")
+
+
+# Numbers at their limits
+
+
+@query(
+    "select s_suppkey, cast((cast(s_suppkey as hugeint) * 7 * 20000000000 + 13) // 26 as bigint) as unscaled, s_suppkey as back, cast((123456789012345 + s_suppkey) * 10::hugeint as varchar) as large,"
+    " cast(s_suppkey * 10000000::bigint as varchar) as by_small, case when s_suppkey % 10 = 0 then (s_suppkey // 10)::varchar else (s_suppkey // 10) || '.' || (s_suppkey % 10) end as tenth,"
+    " '0.0001' as tiny, '12345678901234567890' as beyond_long, cast(12345678901 + s_suppkey as varchar) as long_ratio from supplier"
+)
+def num_limits(spark, sf_dir):
+    k, dec = F.col("s_suppkey"), lambda x: F.lit(x).cast("decimal(38,10)")
+    text = W.number_text
+    return _table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.replace(W.div(k * 7, F.lit(13)).cast("string"), F.lit("."), F.lit("")).cast("long").alias("unscaled"),
+        W.mul(W.mul(k, dec("0.000001")), F.lit(1000000)).cast("long").alias("back"),
+        text(W.mul(F.lit(123456789012345) + k, F.lit(10))).alias("large"),
+        text(W.div(k, dec("0.0000001"))).alias("by_small"),
+        text(W.div(k, F.lit(10))).alias("tenth"),
+        text(dec("0.0001")).alias("tiny"),
+        text(dec("12345678901234567890")).alias("beyond_long"),
+        text(W.div((F.lit(12345678901) + k).cast("decimal(38,0)") * 10, F.lit(10))).alias("long_ratio"),
+    )
+
+
+# Baskets, references, order
+
+
+@query("select n_nationkey, cast(n_regionkey as varchar) as basket from nation")
+def basket_preserve(spark, sf_dir):
+    c = Catalog().add(_table(spark, sf_dir, "nation"), input_id="tpch", cls="tpch.Main.nation", oid="n_nationkey", basket_id="n_regionkey")
+    f = _job_rule(spark, sf_dir, {"sources": [{"alias": "n", "class": "tpch.Main.nation"}], "assign": {"n_nationkey": "n.n_nationkey"}}, catalog=c)
+    return f.targets.select("n_nationkey", F.col("_basket").alias("basket"))
+
+
+@query("select o_orderkey from orders left join customer on o_custkey = c_custkey where not coalesce(c_acctbal > 0, false)")
+def ref_unresolved(spark, sf_dir):
+    clients, sales = _order_refs(spark, sf_dir, target_rule="clients")
+    missing = references.resolve(sales.refs, clients.id_map).where("outcome = 'UNRESOLVED'").select("owner_oid")
+    return sales.targets.join(missing, F.col("_oid") == F.col("owner_oid"), "left_semi").select(F.col("k").alias("o_orderkey"))
+
+
+@query(
+    "select 'Shop' as cls, s_suppkey as key, cast(s_nationkey as varchar) as place from supplier union all select 'Client', c_custkey, cast(c_nationkey + 100 as varchar) from customer"
+)
+def ref_attach_by_class(spark, sf_dir):
+    """Two classes that share identifiers keep their own references."""
+    c = _catalog(spark, sf_dir, "customer", "supplier", "nation")
+    n = lower(Rule("n", "out", "Nation", (Source("n", "tpch.Main.nation"),), {}), c, oid="preserve")
+    c.add(_table(spark, sf_dir, "nation").selectExpr("n_nationkey + 100 as k"), input_id="more", cls="More", oid="k")
+    more = lower(Rule("m", "out", "Nation", (Source("m", "More"),), {}), c, oid="preserve")
+    shop = lower(Rule("s", "out", "Shop", (Source("s", "tpch.Main.supplier"),), {"key": "s.s_suppkey"}, refs=(Ref("place", "s.s_nationkey", "n"),)), c, oid="preserve")
+    client = lower(Rule("c", "out", "Client", (Source("c", "tpch.Main.customer"),), {"key": "c.c_custkey"}, refs=(Ref("place", "c.c_nationkey + 100", "m"),)), c, oid="preserve")
+    resolved = references.resolve(shop.refs.unionByName(client.refs), n.id_map.unionByName(more.id_map))
+    rows = shop.targets.unionByName(client.targets)
+    return references.attach(rows, resolved, {"place": 1}).select(F.col("_class").alias("cls"), "key", "place")
+
+
+def _sales_job(sf_dir: str, folder: str, **strategy) -> dict:
+    return {
+        "job": {
+            "name": "sales",
+            "inputs": [
+                {"id": "c", "class": "Customer", "path": f"{sf_dir}/customer.parquet", "oid": "c_custkey"},
+                {"id": "o", "class": "Order", "path": f"{sf_dir}/orders.parquet", "oid": "o_orderkey"},
+            ],
+            "outputs": [{"id": "out", "path": folder}],
+        },
+        "mapping": {
+            "oidStrategy": strategy or {"default": "deterministicUuid", "namespace": "ns"},
+            "rules": [
+                {"id": "clients", "target": {"output": "out", "class": "Client"}, "sources": [{"alias": "c", "class": "Customer"}], "assign": {"name": "c.c_name"}},
+                {
+                    "id": "sales", "target": {"output": "out", "class": "Sale"}, "sources": [{"alias": "o", "class": "Order"}], "assign": {"k": "o.o_orderkey"}, "where": "o.o_totalprice > 50000",
+                    "refs": [{"role": "client", "sourceRef": "o.o_custkey", "targetRule": "clients"}, {"role": "clients", "sourceRef": "o.o_custkey", "targetRule": "clients", "max": 5}],
+                    "create": [{"class": "Note", "assign": {"k": "o.o_orderkey"}}],
+                },
+            ],
+        },
+    }
+
+
+@query(
+    "with n as (select c_custkey, row_number() over (order by cast(c_custkey as varchar)) as number from customer), s as (select *, row_number() over (order by cast(o_orderkey as varchar)) as r"
+    " from orders where o_totalprice > 50000) select 'Sale' as cls, o_orderkey as k, cast((select count(*) from customer) + r as varchar) as oid, cast(number as varchar) as client,"
+    " case when number is null then 0 else 1 end::bigint as n_clients, cast(number as varchar) as first_of_several from s left join n on o_custkey = c_custkey union all"
+    " select 'Note', o_orderkey, cast((select count(*) from customer) + (select count(*) from s) + row_number() over (order by cast(o_orderkey as varchar)) as varchar), null, null, null from orders"
+)
+def job_integer_oids(spark, sf_dir):
+    """Numbers over targets and created objects, and in roles of one and of several targets."""
+    folder = shared_folder(spark, "job-integer")
+    runner.run(spark, job_of(_sales_job(sf_dir, folder, default="integer")))
+    sale, note = (spark.read.parquet(f"{folder}/{c}") for c in ("Sale", "Note"))
+    sale = sale.select(
+        F.lit("Sale").alias("cls"), "k", F.col("_oid").alias("oid"), "client", F.coalesce(F.size("clients"), F.lit(0)).cast("long").alias("n_clients"),
+        F.try_element_at("clients", F.lit(1)).alias("first_of_several"),
+    )
+    return sale.unionByName(note.select(F.lit("Note").alias("cls"), "k", F.col("_oid").alias("oid")), allowMissingColumns=True)
+
+
+@query(
+    "select 'clients' as rule, count(*) as visited, 0::bigint as filtered, count(*) as created from customer union all"
+    " select 'sales', count(*), count(*) filter (o_totalprice <= 50000), count(*) filter (o_totalprice > 50000) from orders"
+)
+def bundle_summary(spark, sf_dir):
+    plain = _sales_job(sf_dir, shared_folder(spark, "bundle"))
+    base = {"job": plain["job"], "mapping": {"oidStrategy": plain["mapping"]["oidStrategy"]}}
+    found = bundle.run_bundle(spark, {"base": base}, {"m": plain}, commit=False)["summary"]["rules"]
+    return spark.createDataFrame([(k.removeprefix("m."), v["visited"], v["filtered"], v["created"]) for k, v in found.items()], "rule string, visited bigint, filtered bigint, created bigint")
+
+
+@query(
+    "select o_orderkey, row_number() over (order by o_orderstatus, case when o_custkey % 2 = 0 then 1 else 0 end, 'Sale', cast(o_orderkey as varchar)) as place from orders"
+)
+def sort_output(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("_basket"), F.lit("Sale").alias("_class"), F.col("o_orderkey").cast("string").alias("_oid"),
+        F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("client"),
+    )
+    return transfer.output_places(o, ["client"]).select("o_orderkey", "place")
+
+
+# Whole transfers
+
+
+@query("select o_orderstatus as value, count(*) as n from orders group by 1")
+def inventory_values(spark, sf_dir):
+    return transfer.inventory_values(_catalog(spark, sf_dir, "orders"), {"tpch.Main.orders": ["o_orderstatus"]}).select("value", "n")
+
+
+@query("select case when s_suppkey % 2 = 0 then 'COORD' else 'SURFACE' end as kind, count(*) as n from supplier group by 1")
+def inventory_geometries(spark, sf_dir):
+    shape = F.expr("if(s_suppkey % 2 = 0, concat('POINT (', s_suppkey, ' 1)'), 'POLYGON ((0 0, 1 0, 1 1, 0 0))')")
+    c = Catalog().add(_table(spark, sf_dir, "supplier").withColumn("shape", shape), input_id="tpch", cls="Shop", oid="s_suppkey")
+    return transfer.inventory_geometries(c, {"Shop": ["shape"]}).select("kind", "n")
+
+
+@query("select 'r_regionkey' as attribute, 'int' as type union all select 'r_name', 'string' union all select 'n_nationkey', 'int' union all select 'n_name', 'string' union all select 'n_regionkey', 'int'")
+def model_inventory(spark, sf_dir):
+    return transfer.model_inventory(_catalog(spark, sf_dir, "region", "nation")).select("attribute", "type")
+
+
+_REFS = {"tpch.Main.nation": ["n_regionkey"], "tpch.Main.customer": ["c_nationkey"], "tpch.Main.orders": ["o_custkey"]}
+
+
+@query(
+    "select c_custkey as k, 'n' as hit from customer where c_nationkey in (select n_nationkey from nation) union all select c_custkey, 'c' from customer where c_nationkey in (select c_custkey from customer)"
+    " union all select c_custkey, 'r' from customer where c_nationkey in (select r_regionkey from region)"
+)
+def graph_edges(spark, sf_dir):
+    """An identifier that several classes have is referred to in each of them."""
+    edges = transfer.reference_edges(_catalog(spark, sf_dir, "region", "nation", "customer"), {"tpch.Main.customer": ["c_nationkey"]})
+    hit = F.when(F.col("dst").contains(".nation#"), "n").when(F.col("dst").contains(".customer#"), "c").otherwise("r")
+    return edges.select(F.element_at(F.split("src", "#"), 2).cast("long").alias("k"), hit.alias("hit"))
+
+
+@query(
+    "with e as (select 'n' || n_nationkey as src, 'r' || n_regionkey as dst from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier),"
+    " b as (select src, dst from e union select dst, src from e), l0 as (select 'r' || r_regionkey as node from region),"
+    " l1 as (select distinct dst as node from b where src in (select node from l0) and dst not in (select node from l0)),"
+    " l2 as (select distinct dst as node from b where src in (select node from l1) and dst not in (select node from l0 union select node from l1))"
+    " select node, 0 as depth from l0 union all select node, 1 from l1 union all select node, 2 from l2"
+)
+def graph_extract(spark, sf_dir):
+    """Seeds by class; the records of the part and how far they lie from a seed."""
+    c = Catalog()
+    for t, k, ref in (("region", "r", None), ("nation", "n", ("n_regionkey", "r")), ("supplier", "s", ("s_nationkey", "n"))):
+        df = _table(spark, sf_dir, t)
+        df = df.withColumn("id", F.concat(F.lit(k), KEYS[t])).withColumn("ref", F.concat(F.lit(ref[1]), ref[0]) if ref else F.lit(None).cast("string"))
+        c.add(df, input_id="tpch", cls=f"tpch.Main.{t}", oid="id")
+    references_ = {"tpch.Main.nation": ["ref"], "tpch.Main.supplier": ["ref"]}
+    parts, reached = transfer.extract(c, references_, transfer.seeds_of(c, "region", "suffix"), max_depth=2)
+    rows = None
+    for (cls, _), df in parts.items():
+        one = df.select(transfer.node_of("_class", "_oid").alias("node"), F.col("_oid").alias("oid"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.join(reached, "node").select(F.col("oid").alias("node"), "depth")
+
+
+# Formats: what is written and read back
+
+
+@query("select n_nationkey as key, n_name as name, case when n_regionkey = 0 then null else n_regionkey end as region from nation")
+def format_csv(spark, sf_dir):
+    path = shared_folder(spark, "format-csv")
+    rows = _table(spark, sf_dir, "nation").selectExpr("n_nationkey as key", "n_name as name", "if(n_regionkey = 0, null, n_regionkey) as region")
+    rows.write.option("header", True).option("sep", ";").csv(path)
+    return formats.read_input(spark, path, {"separator": "semicolon", "schema": "key int, name string, region int"}, "csv")
+
+
+@query(
+    "select cast(c_custkey as varchar) as oid, c_name || ' <&>' as name, cast(c_nationkey as varchar) as basket, count(o_orderkey) as n, min(o_orderkey) as first_key, 'x' || c_nationkey as nation"
+    " from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name, c_nationkey"
+)
+def format_xtf(spark, sf_dir):
+    """Objects with a bag and a role."""
+    path = shared_folder(spark, "format-xtf")
+    rows = _embedded(spark, sf_dir).select(
+        F.col("c_custkey").cast("string").alias("_oid"), F.col("c_nationkey").cast("string").alias("_basket"), F.concat("c_name", F.lit(" <&>")).alias("name"),
+        F.transform("bag", lambda x: F.struct(x["key"].alias("key"))).alias("orders"), F.concat(F.lit("x"), "c_nationkey").alias("nation"),
+    )
+    formats.write_output(rows, path, {"class": "Client", "roles": ["nation"], "structures": {"orders": "OrderKey"}}, "xtf")
+    schema = "name string, orders struct<OrderKey:array<struct<key:bigint>>>, nation struct<_a_ref:string>"
+    read = formats.read_input(spark, path, {"class": "Client", "basketTag": "basket", "schema": schema}, "xtf")
+    n = F.coalesce(F.size("orders"), F.lit(0)).cast("long")
+    return read.select(F.col("_oid").alias("oid"), "name", F.col("_basket").alias("basket"), F.greatest(n, F.lit(0)).alias("n"), F.try_element_at("orders", F.lit(1))["key"].alias("first_key"), "nation")
+
+
+@query("select cast(s_suppkey as varchar) as oid, s_name as name, case when s_suppkey % 2 = 0 then 'a b' end as note, 'POINT (' || s_suppkey || ' 7)' as geometry from supplier")
+def format_itf(spark, sf_dir):
+    path = shared_folder(spark, "format-itf")
+    rows = _table(spark, sf_dir, "supplier").selectExpr(
+        "cast(s_suppkey as string) as _oid", "cast(null as string) as _basket", "s_name as name", "if(s_suppkey % 2 = 0, 'a b', null) as note", "concat('POINT (', s_suppkey, ' 7)') as geometry"
+    )
+    formats.write_output(rows, path, {"class": "M.T.Shop"}, "itf")
+    return formats.read_input(spark, f"{path}/*", {"table": "Shop", "fields": "name,note"}, "itf").select(F.col("_oid").alias("oid"), "name", "note", "geometry")
+
+
+@query("select s_suppkey, 'POINT (' || (s_suppkey + 1) || ' 0.5)' as shape from supplier")
+def geometry_wkb(spark, sf_dir):
+    """WKB points, made of the bits of their coordinates."""
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    bits = _double_bits(F.col("s_suppkey") + 1)
+    df = _table(spark, sf_dir, "supplier").withColumn("big", F.concat(F.unhex(F.lit("0000000001")), number(bits), F.unhex(F.lit("3FE0000000000000"))))
+    return df.select("s_suppkey", wkb_text("big").alias("shape"))
+
+
+def _double_bits(k):
+    """The bits of a positive whole number as a double."""
+    exponent = F.floor(F.log2(k.cast("double")) + 1e-12).cast("int")
+    return F.expr("1023L * 4503599627370496L") + exponent.cast("long") * 4503599627370496 + ((k.cast("double") / F.pow(F.lit(2.0), exponent) - 1) * 4503599627370496).cast("long")

@@ -1,19 +1,20 @@
 """Jobs: inputs, rules and outputs as plain data (YAML or dicts), checked before anything runs.
 
-Expressions in a job are Spark SQL over the aliases of a rule's sources; Spark
-parses, types and plans them.
+Expressions in a job are Spark SQL over the aliases of a rule's sources, which
+Spark parses, types and plans, or calls of named functions as data:
+{"enumMap": ["o.status", "states"]}. See functions.registry.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 import yaml
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import functions as F
 
-from weftline.operators.rules import Catalog, Create, Join, Loss, Ref, Rule, Source, matched
+from weftline.functions.registry import JOINED, REGISTRY, Context, calls_in, column_of, deterministic, expression_of
+from weftline.operators.rules import Bag, Catalog, Create, Join, Loss, Ref, Rule, Source, matched, prepared
 
 OIDS = {"preserve", "integer", "uuid", "deterministicUuid"}
 BASKETS = {"preserve", "generateUuid", "preserveOrGenerateUuid", "byTopic"}
@@ -30,6 +31,9 @@ class Input:
     basket: str | None = None
     order: str | None = None
     options: dict = field(default_factory=dict)
+    #: Of a database: how to connect, and the query that gives the class.
+    connection: dict = field(default_factory=dict)
+    query: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,8 @@ class Job:
     basket: str = "preserve"
     enums: dict[str, dict[str, str]] = field(default_factory=dict)
     defaults: dict[str, str] = field(default_factory=dict)
+    #: The file that the job came from; relative files of embedded databases lie beside it.
+    base: str = field(default="", compare=False)
     #: Mandatory attributes by target class, for coverage checks.
     mandatory: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
@@ -66,51 +72,97 @@ class Diagnostic:
 
 def _source(d: dict) -> Source:
     inputs = d.get("inputs") or ([d["input"]] if d.get("input") else [])
-    return Source(d["alias"], d["class"], tuple(inputs), d.get("where"))
+    return Source(d["alias"], d["class"], tuple(inputs), _maybe(d.get("where")))
 
 
-def _rule(d: dict) -> Rule:
+def _maybe(e):
+    return None if e is None else expression_of(e)
+
+
+def _assign(d: dict | None) -> dict:
+    return {k: expression_of(e) for k, e in (d or {}).items()}
+
+
+def _bag(attribute: str, d: dict) -> Bag:
+    """A bag from its plain form: from {class, alias, input(s), where}, parentRef {attribute, role}, nestedBags."""
+    start, parent = d.get("from"), d.get("parentRef") or {}
+    mode = d.get("mode", "embed")
+    ref = parent.get("attribute")
+    if ref and start and "." not in ref:
+        ref = f"{start['alias']}.{ref}"
+    return Bag(
+        attribute,
+        _assign(d.get("assign")),
+        _source(start) if start and mode == "embed" else None,
+        mode,
+        _maybe(d.get("where")),
+        ref,
+        _maybe(d.get("order")),
+        d.get("items"),
+        (start or {}).get("alias", d.get("alias", "item")),
+        d.get("target"),
+        parent.get("role"),
+        d.get("maxItems"),
+        tuple(d.get("mandatory", [])),
+        tuple(_bag(k, b) for k, b in (d.get("nestedBags") or {}).items()),
+    )
+
+
+def rule_of(d: dict) -> Rule:
+    """A rule from its plain form."""
     target = d.get("target") or {"output": d.get("output"), "class": d.get("targetClass")}
     return Rule(
         d["id"],
         target["output"],
         target["class"],
         tuple(_source(s) for s in d.get("sources", [])),
-        dict(d.get("assign", {})),
-        tuple(Join(j["right"], tuple((p[0], p[1]) for p in j["on"]), j.get("type", "inner")) for j in d.get("joins", [])),
-        d.get("where"),
-        dict(d.get("defaults", {})),
+        _assign(d.get("assign")) | {a["target"]: expression_of(a["expr"]) for a in d.get("attributes", [])},
+        tuple(Join(j["right"], tuple((expression_of(p[0]), expression_of(p[1])) for p in j["on"]), j.get("type", "inner")) for j in d.get("joins", [])),
+        _maybe(d.get("where")),
+        _assign(d.get("defaults")),
         tuple((d.get("identity") or {}).get("sourceKey", [])),
         tuple(
-            Ref(r["role"], r.get("sourceRef"), r.get("targetRule"), r.get("sourceClass"), r.get("sourceInput"), r.get("expectedClass"), r.get("required", False), r.get("max", 1), r.get("singleton", False))
+            Ref(r["role"], _maybe(r.get("sourceRef")), r.get("targetRule"), r.get("sourceClass"), r.get("sourceInput"), r.get("expectedClass"), r.get("required", False), r.get("max", 1), r.get("singleton", False))
             for r in d.get("refs", [])
         ),
-        tuple(Loss(x["sourcePath"], x["reasonCode"], x.get("description", ""), x.get("when")) for x in d.get("losses", [])),
-        tuple(Create(c["class"], dict(c["assign"])) for c in d.get("create", [])),
+        tuple(Loss(x["sourcePath"], x["reasonCode"], x.get("description", ""), _maybe(x.get("when"))) for x in d.get("losses", [])),
+        tuple(Create(c["class"], _assign(c["assign"])) for c in d.get("create", [])),
+        tuple(_bag(k, b) for k, b in (d.get("bags") or {}).items()),
+        tuple(sorted((str(k), str(v)) for k, v in (d.get("metadata") or {}).items())),
     )
 
 
+def _inputs(d: dict) -> list[Input]:
+    """An input, or one for each query of a database input."""
+    if "queries" in d:
+        return [
+            Input(d["id"], q["class"], "", q.get("oidColumn", ""), "jdbc", None, None, {}, dict(d.get("connection", {})), {**q, "id": q.get("id", d["id"])})
+            for q in d["queries"]
+        ]
+    return [Input(d["id"], d["class"], d["path"], d["oid"], d.get("format"), d.get("basket"), d.get("order"), dict(d.get("options", {})))]
+
+
 def job_of(d: dict) -> Job:
     """A job from its plain form; older field names (input, targetClass, output) are understood."""
     job, mapping = d.get("job", {}), d.get("mapping", {})
     oid, basket = mapping.get("oidStrategy") or {}, mapping.get("basketStrategy") or {}
     return Job(
         job.get("name", ""),
-        tuple(Input(i["id"], i["class"], i["path"], i["oid"], i.get("format"), i.get("basket"), i.get("order"), dict(i.get("options", {}))) for i in job.get("inputs", [])),
+        tuple(x for i in job.get("inputs", []) for x in _inputs(i)),
         tuple(Output(o["id"], o["path"], o.get("format", "parquet"), dict(o.get("options", {}))) for o in job.get("outputs", [])),
-        tuple(_rule(r) for r in mapping.get("rules", [])),
+        tuple(rule_of(r) for r in mapping.get("rules", [])),
         job.get("failPolicy", "strict"),
         oid.get("default", "integer"),
         oid.get("namespace", ""),
         basket.get("default", "preserve"),
         {k: {str(a): str(b) for a, b in v.items()} for k, v in mapping.get("enums", {}).items()},
-        dict(mapping.get("defaults", {})),
-        {k: tuple(v) for k, v in mapping.get("mandatory", {}).items()},
+        _assign(mapping.get("defaults")),
+        mandatory={k: tuple(v) for k, v in mapping.get("mandatory", {}).items()},
     )
 
 
 def load_job(path: str) -> Job:
-    return job_of(yaml.safe_load(Path(path).read_text()))
+    return replace(job_of(yaml.safe_load(Path(path).read_text())), base=path)
 
 
 def rule_order(rules: tuple[Rule, ...]) -> list[str]:
@@ -129,6 +181,9 @@ def check_structure(job: Job) -> list[Diagnostic]:
     """Names, references among parts, strategies, coverage of mandatory attributes, identity keys."""
     out: list[Diagnostic] = []
     error = lambda code, text, rule=None: out.append(Diagnostic(code, "ERROR", text, rule))
+    for i in job.inputs:
+        if i.format == "jdbc" and not (i.connection.get("url") and i.query.get("sql")):
+            error("MAP-JDBC-INPUT", f"input {i.id}: a database needs a connection's url and a query's sql")
     for kind, names in (("INPUT", [(i.id, i.cls) for i in job.inputs]), ("OUTPUT", [o.id for o in job.outputs]), ("RULE", [r.id for r in job.rules])):
         for n in {n for n in names if names.count(n) > 1}:
             error(f"MAP-DUPLICATE-{kind}", f"{kind.lower()} {n} is defined twice")
@@ -164,7 +219,20 @@ def check_structure(job: Job) -> list[Diagnostic]:
                 error("MAP-UNKNOWN-RULE", f"reference {x.role} to no rule {x.target_rule!r}", r.id)
             elif x.target_rule and x.expected_class and rules[x.target_rule].cls != x.expected_class:
                 error("MAP-REF-CLASS", f"rule {x.target_rule} makes {rules[x.target_rule].cls}, reference {x.role} expects {x.expected_class}", r.id)
-        covered = {*r.assign, *r.defaults, *job.defaults, *(x.role for x in r.refs)}
+        for b in r.bags:
+            out.extend(_check_bag(r, b, classes))
+        bags = {b.attribute for b in r.bags if b.mode == "embed"}
+        if twice := bags & {*r.assign, *r.defaults}:
+            error("MAP-DUPLICATE-ATTRIBUTE", f"{sorted(twice)} are bags and have values", r.id)
+        for c in (c for e in _expressions(r, job) for c in calls_in(e)):
+            f = REGISTRY.get(c.name.lower())
+            if not f and c.name.lower() not in JOINED:
+                error("EXPR-UNKNOWN-FUNCTION", f"no function {c.name!r}", r.id)
+            elif f and (len(c.args) < f.least or f.most is not None and len(c.args) > f.most):
+                error("EXPR-ARITY", f"{f.name} with {len(c.args)} arguments", r.id)
+            elif f and not f.deterministic:
+                out.append(Diagnostic("EXPR-NON-DETERMINISTIC", "WARNING", f"{f.name} gives another value in every run", r.id))
+        covered = {*r.assign, *r.defaults, *job.defaults, *(x.role for x in r.refs), *bags}
         for a in job.mandatory.get(r.cls, ()):
             if a not in covered:
                 error("MAP-MANDATORY-MISSING", f"mandatory attribute {a} of {r.cls} has no value", r.id)
@@ -175,19 +243,104 @@ def check_structure(job: Job) -> list[Diagnostic]:
     return out
 
 
+def _expressions(r: Rule, job: Job) -> list:
+    bags = [e for b in _all_bags(r.bags) for e in (*b.assign.values(), b.where, b.order, b.source and b.source.where)]
+    of_rule = [*r.assign.values(), *r.defaults.values(), r.where, *(s.where for s in r.sources), *(x.source_oid for x in r.refs), *(x.when for x in r.losses)]
+    return [e for e in [*job.defaults.values(), *of_rule, *bags, *(e for c in r.create for e in c.assign.values())] if e is not None]
+
+
+def _all_bags(bags: tuple[Bag, ...]):
+    for b in bags:
+        yield b
+        yield from _all_bags(b.bags)
+
+
+def _check_bag(r: Rule, b: Bag, classes: set[str]) -> list[Diagnostic]:
+    out = []
+    if b.mode not in ("embed", "expand"):
+        out.append(Diagnostic("MAP-BAG-MODE", "ERROR", f"bag {b.attribute}: mode {b.mode!r}", r.id))
+    if b.source and b.source.cls not in classes:
+        out.append(Diagnostic("MAP-UNKNOWN-CLASS", "ERROR", f"bag {b.attribute}: no input has class {b.source.cls!r}", r.id))
+    if b.max_items is not None and b.max_items < 1:
+        out.append(Diagnostic("MAP-BAG-MAX-ITEMS", "ERROR", f"bag {b.attribute}: maxItems {b.max_items}", r.id))
+    if b.mode == "expand" and not b.target:
+        out.append(Diagnostic("MAP-BAG-TARGET", "ERROR", f"bag {b.attribute}: an expanded bag names the class of its objects", r.id))
+    return [*out, *(d for x in b.bags for d in _check_bag(r, x, classes))]
+
+
+PLANNING = (AnalysisException, ParseException, KeyError, ValueError)
+
+
+def _planned(job: Job, r: Rule, catalog: Catalog, attributes: dict) -> Context:
+    one = r if r.joins or len(r.sources) == 1 else Rule(r.id, r.output, r.cls, r.sources[:1], {}, refs=r.refs, bags=r.bags)
+    context = Context(enums=job.enums)
+    df, _ = matched(one, catalog, context)
+    context.df = prepared(one, one.sources[0], df, catalog, context, attributes)
+    return context
+
+
 def check_plans(job: Job, catalog: Catalog) -> list[Diagnostic]:
     """Expressions that Spark can't resolve or type, found by planning each rule without running it."""
     out = []
     for r in job.rules:
+        attributes = {**job.defaults, **r.defaults, **r.assign}
         try:
-            df, _ = matched(r, catalog) if r.joins or len(r.sources) == 1 else matched(Rule(r.id, r.output, r.cls, r.sources[:1], {}), catalog)
-        except (AnalysisException, ParseException, KeyError, ValueError) as e:
+            context = _planned(job, r, catalog, attributes)
+        except PLANNING as e:
             out.append(Diagnostic("EXPR-INVALID", "ERROR", str(e).splitlines()[0], r.id))
             continue
-        for name, e in {**job.defaults, **r.defaults, **r.assign}.items():
+        for name, e in attributes.items():
             try:
-                df.select(F.expr(e) if isinstance(e, str) else e)
-            except (AnalysisException, ParseException) as error:
+                context.df.select(column_of(e, context))
+            except PLANNING as error:
                 out.append(Diagnostic("EXPR-INVALID", "ERROR", f"{name}: {str(error).splitlines()[0]}", r.id))
+        for key in r.identity:
+            try:
+                if not (kind := context.df.select(key).schema[0].dataType.typeName()) or kind in ("array", "struct", "map", "binary"):
+                    out.append(Diagnostic("MAP-IDENTITY-KEY", "ERROR", f"identity key {key} is {kind}", r.id))
+            except PLANNING as error:
+                out.append(Diagnostic("MAP-IDENTITY-KEY", "ERROR", f"{key}: {str(error).splitlines()[0]}", r.id))
+    return out
+
+
+def lineage(job: Job, catalog: Catalog) -> list[dict]:
+    """Of every attribute of every rule: the source columns that its analysed plan refers to, and whether it is deterministic."""
+    out = []
+    for r in job.rules:
+        attributes = {**job.defaults, **r.defaults, **r.assign}
+        context = _planned(job, r, catalog, attributes)
+        for name, e in attributes.items():
+            column = column_of(e, context)
+            tree = context.df.select(column.alias("x"))._jdf.queryExecution().analyzed().expressions().head()
+            found = tree.references().iterator()
+            names = set()
+            while found.hasNext():
+                a = found.next()
+                names.add(".".join([*(q for q in a.qualifier().mkString(".").split(".") if q), a.name()]))
+            out.append({"rule": r.id, "attribute": name, "columns": sorted(names), "deterministic": bool(tree.deterministic()) and deterministic(e)})
     return out
 
+
+#: Domains of identifiers, and which strategies make identifiers that fit them. Fixed values.
+OID_DOMAINS = {"UUIDOID": {"uuid", "deterministicUuid", "preserve"}, "STANDARDOID": {"preserve"}, "I32OID": {"integer", "preserve"}, "ANYOID": OIDS}
+
+
+def check_oid_domain(strategy: str, domain: str | None) -> Diagnostic | None:
+    """A finding where a class's domain of identifiers doesn't take what the strategy makes; no domain takes all."""
+    if domain is None or strategy in OID_DOMAINS.get(domain.upper(), OIDS):
+        return None
+    return Diagnostic("MAP-OID-TYPE", "ERROR", f"strategy {strategy} makes no {domain}")
+
+
+#: Kinds of geometry, and the kinds that each may be assigned to. Fixed values.
+GEOMETRY_FITS = {"COORD": {"COORD"}, "POLYLINE": {"POLYLINE"}, "SURFACE": {"SURFACE", "AREA"}, "AREA": {"AREA", "SURFACE"}}
+
+
+def check_geometry(source: str, target: str, source_dimension: int = 2, target_dimension: int = 2) -> Diagnostic | None:
+    """Surfaces and areas fit each other, other kinds only their own; three dimensions don't go into two."""
+    if target.upper() not in GEOMETRY_FITS.get(source.upper(), set()):
+        return Diagnostic("GEOM-TYPE", "ERROR", f"{source} can't become {target}")
+    if source_dimension > target_dimension:
+        return Diagnostic("GEOM-DIMENSION", "ERROR", f"{source_dimension} dimensions can't become {target_dimension}")
+    return None
+

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftline.functions.geometry import wkb_text
 from weftline.sources import geopackage, shapefile, transferfile, xmltransfer
 
 
@@ -98,11 +99,38 @@ def read_jdbc(spark: SparkSession, connection: dict, query: dict, base_dir: str
     else:
         reader = reader.option("query", query["sql"])
     df = reader.option("fetchsize", query.get("fetchSize", 10_000)).load()
+    for g in query.get("geometry", []):
+        column = next((c for c in df.columns if c.lower() == g["column"].lower()), None)
+        if column is None:
+            raise ValueError(f"the query has no column {g['column']!r}")
+        df = df.withColumn(column, geometry_text(df, column, g.get("encoding", "wkb"), dialect_of(connection["url"])))
+        df = df.withColumnRenamed(column, g.get("attribute", column))
     if query.get("asText"):
         df = df.select(*(scalar_text(df, c, query.get("blobEncoding")).alias(c) for c in df.columns))
     return df.withColumnsRenamed(query.get("columns", {}))
 
 
+#: Encodings of geometries that a database's columns may have. Fixed values.
+DIALECTS = {"default": ("wkt", "wkb"), "postgresql": ("wkt", "wkb", "ewkb"), "duckdb": ("wkt", "wkb")}
+
+
+def dialect_of(url: str) -> str:
+    name = url.removeprefix("jdbc:").partition(":")[0].lower()
+    return name if name in DIALECTS else "default"
+
+
+def geometry_text(df: DataFrame, column: str, encoding: str, dialect: str = "default"):
+    """WKT of a geometry column; empty is null."""
+    if encoding not in DIALECTS[dialect]:
+        raise ValueError(f"column {column}: {dialect} has no encoding {encoding!r}")
+    c = F.col(column)
+    if encoding == "wkt":
+        return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    # Bytes, or their hexadecimal text, which some databases give.
+    raw = c if df.schema[column].dataType.typeName() == "binary" else F.unhex(F.nullif(F.trim(c.cast("string")), F.lit("")))
+    return wkb_text(raw)
+
+
 def connection_url(url: str, base_dir: str | None) -> str:
     """A relative file of an embedded database lies below `base_dir`."""
     head, sep, file = url.partition("jdbc:sqlite:")
@@ -124,7 +152,7 @@ def scalar_text(df: DataFrame, column: str, blob_encoding: str | None = None):
 
 FORMATS = [
     Format("xtf", ("xtf", "xml"), xmltransfer.read, xmltransfer.write),
-    Format("itf", ("itf",), transferfile.read, None),
+    Format("itf", ("itf",), transferfile.read, transferfile.write),
     Format("csv", ("csv",), read_csv, None),
     Format("gpkg", ("gpkg",), geopackage.read, None),
     Format("shp", ("shp", "zip"), shapefile.read, shapefile.write),

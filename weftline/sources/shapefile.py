@@ -177,6 +177,15 @@ def field_names(names: list[str], strategy: str = "strict") -> dict[str, str]:
     return out
 
 
+def dbf_field(kind) -> tuple[str, int, int]:
+    """Type, width and decimals of the DBF field for a column's type."""
+    name = kind.typeName()
+    if name.startswith("decimal"):
+        return "N", min(kind.precision + 2, 40), kind.scale
+    whole = {"byte": 4, "short": 6, "integer": 11, "long": 20}
+    return ("N", whole[name], 0) if name in whole else {"boolean": ("L", 1, 0), "date": ("D", 8, 0), "float": ("N", 24, 8), "double": ("N", 32, 10)}.get(name, ("C", 254, 0))
+
+
 def encoded(wkt: str | None) -> bytes:
     """The record content of a WKT point, line string or polygon."""
     import re
@@ -198,17 +207,31 @@ def encoded(wkt: str | None) -> bytes:
 
 
 def write(df: DataFrame, path: str, options: dict) -> None:
-    """One shapefile at a local `path`: rows come to the driver one partition at a time.
+    """One shapefile at a local `path`: rows come to the driver one partition at a time, so `maxRecords` (1,000,000) bounds them.
 
-    Options: geometryAttribute, fieldNameStrategy (strict, truncate, stable),
-    dbfEncoding, overflowPolicy (strict, truncate), writeSidecarMapping.
+    Options: geometryAttribute, shapeType (point, polyline, polygon: what the
+    geometries must be), fieldNameStrategy (strict, truncate, stable), dbfEncoding,
+    overflowPolicy (strict, truncate), writeSidecarMapping, prj (text of the
+    reference system, written beside), failOnMultipleBaskets (true). Fields have the
+    types of the columns: numbers, dates, booleans and texts.
     """
+    limit = int(options.get("maxRecords", 1_000_000))
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} records; a shapefile is one file, written by the driver")
+    if "_basket" in df.columns and str(options.get("failOnMultipleBaskets", True)).lower() != "false" and df.select("_basket").distinct().limit(2).count() > 1:
+        raise ValueError("objects of several baskets; set failOnMultipleBaskets to false")
+    wanted = {None: None, "point": 1, "polyline": 3, "polygon": 5}[options.get("shapeType")]
+    fields = {c: dbf_field(df.schema[c].dataType) for c in df.columns}
     geometry, encoding = options.get("geometryAttribute", "geometry"), options.get("dbfEncoding", "UTF-8")
     names = [c for c in df.columns if c != geometry and not c.startswith("_")]
     shorts = field_names(names, options.get("fieldNameStrategy", "strict"))
-    stem, width = path.removesuffix(".shp"), 254
+    stem, row_width = path.removesuffix(".shp"), 1 + sum(fields[c][1] for c in names)
     box, n, at, code = [float("inf"), float("inf"), float("-inf"), float("-inf")], 0, HEADER, 0
-    ordered = df.select(*(F.col(c).cast("string").alias(c) for c in [*names, geometry]))
+    # A cell is text: dates without hyphens, booleans T and F, numbers plain, to the field's decimals.
+    cell = {"D": lambda c, _: F.date_format(c, "yyyyMMdd"), "L": lambda c, _: F.when(c, "T").otherwise("F"), "C": lambda c, _: c.cast("string")}
+    cell["N"] = lambda c, decimals: c.cast(f"decimal(38,{decimals})").cast("string")
+    typed = [F.when(F.col(c).isNotNull(), cell[fields[c][0]](F.col(c), fields[c][2])).alias(c) for c in names]
+    ordered = df.select(*typed, F.col(geometry).cast("string").alias(geometry))
     with open(f"{stem}.shp", "wb") as shp, open(f"{stem}.shx", "wb") as shx, open(f"{stem}.dbf", "wb") as dbf:
         for f in (shp, shx):
             f.write(b"\0" * HEADER)
@@ -221,13 +244,17 @@ def write(df: DataFrame, path: str, options: dict) -> None:
             shp.write(struct.pack(">ii", n, len(record) // 2) + record)
             at += 8 + len(record)
             if row[geometry]:
-                code = struct.unpack_from("<i", record)[0]
+                own_code = struct.unpack_from("<i", record)[0]
+                if own_code != (code or own_code) or wanted and own_code != wanted:
+                    raise ValueError(f"record {n} has a geometry of type {own_code}; the file has type {wanted or code}")
+                code = own_code
                 own = struct.unpack_from("<dd", record, 4) * 2 if code == 1 else struct.unpack_from("<dddd", record, 4)
                 box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
             cells = [(row[c] or "").encode(encoding) for c in names]
-            if options.get("overflowPolicy", "strict") == "strict" and any(len(c) > width for c in cells):
-                raise ValueError(f"record {n} has a text longer than {width} bytes")
-            dbf.write(b" " + b"".join(c[:width].ljust(width) for c in cells))
+            wide = [c for c, x in zip(names, cells) if len(x) > fields[c][1]]
+            if any(fields[c][0] != "C" or options.get("overflowPolicy", "strict") == "strict" for c in wide):
+                raise ValueError(f"record {n} has a value too long for {wide}")
+            dbf.write(b" " + b"".join(x.rjust(fields[c][1]) if fields[c][0] == "N" else x[: fields[c][1]].ljust(fields[c][1]) for c, x in zip(names, cells)))
         dbf.write(b"\x1a")
         box = box if n and code else [0.0] * 4
         for f, size in ((shp, at), (shx, HEADER + 8 * n)):
@@ -235,10 +262,14 @@ def write(df: DataFrame, path: str, options: dict) -> None:
             f.write(struct.pack(">i20xi", MAGIC, size // 2) + struct.pack("<ii4d32x", VERSION, code, *box))
         dbf.seek(0)
         today = date.today()
-        dbf.write(struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, head_size, 1 + width * len(names)))
+        dbf.write(struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, head_size, row_width))
         for c in names:
-            dbf.write(struct.pack("<11sc4xB15x", shorts[c].encode(encoding), b"C", width))
+            kind, width, decimals = fields[c]
+            dbf.write(struct.pack("<11sc4xBB14x", shorts[c].encode(encoding), kind.encode(), width, decimals))
         dbf.write(b"\r")
     if shorts != {c: c for c in names} and str(options.get("writeSidecarMapping", True)).lower() != "false":
         with open(f"{stem}.fields.json", "w") as f:
             json.dump(shorts, f)
+    if options.get("prj"):
+        with open(f"{stem}.prj", "w") as f:
+            f.write(options["prj"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
+
+from weftline.operators.bags import unwrapped
 
 
 def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
@@ -11,7 +14,9 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
 
     The envelope comes from the identifier attribute (option `oid`, 'tid') to
     `_oid`. With option `basketTag`, rows are the baskets of that element; each
-    gives its objects and, as `_basket`, its own identifier (option `bid`).
+    gives its objects and, as `_basket`, its own identifier (option `bid`). Roles,
+    which are elements with a `ref` only, become the identifiers that they refer to;
+    a bag becomes an array of structures, whatever elements wrap them.
     """
     cls, oid, bid = options["class"], options.get("oid", "tid"), options.get("bid", "bid")
     basket = options.get("basketTag")
@@ -24,18 +29,51 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
         kind = df.schema[cls].dataType.typeName()
         objects = F.col(cls) if kind == "array" else F.array(cls)
         df = df.select(F.col(f"_a_{bid}").cast("string").alias("_basket"), F.explode(objects).alias("o")).select("_basket", "o.*")
-    return df.withColumnRenamed(f"_a_{oid}", "_oid").withColumn("_oid", F.col("_oid").cast("string"))
+    df = df.withColumnRenamed(f"_a_{oid}", "_oid").withColumn("_oid", F.col("_oid").cast("string"))
+    return df.select(*(_plain(F.col(f.name), f.dataType).alias(f.name) for f in df.schema))
+
+
+def _plain(c: Column, kind: DataType) -> Column:
+    item = kind.elementType if isinstance(kind, ArrayType) else kind
+    if isinstance(item, StructType) and item.fieldNames() in (["_a_ref"], ["_VALUE", "_a_ref"]):
+        return F.transform(c, lambda x: x["_a_ref"]) if isinstance(kind, ArrayType) else c["_a_ref"]
+    return unwrapped(c, kind)
 
 
 def _struct(fields: str) -> str:
     return ", ".join(f"{n}:{t}" for n, t in (f.strip().split(" ", 1) for f in fields.split(",")))
 
 
-def object_xml(df: DataFrame, cls: str, attributes: list[str]):
-    """An object's element: its identifier as `tid`, its attributes that aren't null as elements."""
+def _content(c: Column, kind: DataType, structure: str) -> Column:
+    """The inside of an element: a scalar's text; a structure's element; those of all structures of a bag."""
+    if isinstance(kind, ArrayType):
+        return F.array_join(F.transform(F.array_compact(c), lambda x: _content(x, kind.elementType, structure)), "")
+    if isinstance(kind, StructType):
+        parts = [_element(c[f.name], f.dataType, f.name, f"{structure}.{f.name}") for f in kind]
+        return F.concat(F.lit(f"<{structure}>"), *parts, F.lit(f"</{structure}>"))
+    return _escaped(c.cast("string"))
+
+
+def _element(c: Column, kind: DataType, name: str, structure: str) -> Column:
+    given = c.isNotNull() if not isinstance(kind, ArrayType) else F.coalesce(F.size(c) > 0, F.lit(False))
+    return F.when(given, F.concat(F.lit(f"<{name}>"), _content(c, kind, structure), F.lit(f"</{name}>"))).otherwise("")
+
+
+def _role(c: Column, kind: DataType, name: str) -> Column:
+    one = lambda x: F.concat(F.lit(f'<{name} ref="'), _escaped(x.cast("string")), F.lit('"/>'))
+    found = F.array_join(F.transform(F.array_compact(c), one), "") if isinstance(kind, ArrayType) else one(c)
+    return F.when(c.isNotNull(), found).otherwise("")
+
+
+def object_xml(df: DataFrame, cls: str, attributes: list[str], roles: tuple[str, ...] = (), structures: dict[str, str] | None = None):
+    """An object's element: its identifier as `tid`, its attributes that aren't null as elements, roles as references.
+
+    A structure's element is named by `structures`, or by class and attribute.
+    """
     escaped = lambda c: _escaped(c.cast("string"))
+    name = lambda a: (structures or {}).get(a, f"{cls}.{a}")
     parts = [
-        F.when(F.col(a).isNotNull(), F.concat(F.lit(f"<{a}>"), escaped(F.col(a)), F.lit(f"</{a}>"))).otherwise("") for a in attributes
+        _role(F.col(a), df.schema[a].dataType, a) if a in roles else _element(F.col(a), df.schema[a].dataType, a, name(a)) for a in attributes
     ]
     return F.concat(F.lit(f'<{cls} tid="'), escaped(F.coalesce("_oid", F.lit(""))), F.lit('">'), *parts, F.lit(f"</{cls}>"))
 
@@ -51,10 +89,11 @@ def write(df: DataFrame, path: str, options: dict) -> None:
     `objectsPerFile` objects each, so that a large basket has many writers.
 
     Objects stand in the order of identifiers; the class's attributes in that of the columns.
+    Options `roles` (names) and `structures` (attribute to element) see `object_xml`.
     """
     cls, basket, most = options["class"], options.get("basketTag", "basket"), int(options.get("objectsPerFile", 1_000_000))
     attributes = [c for c in df.columns if not c.startswith("_")]
-    objects = df.select(F.coalesce("_basket", F.lit("")).alias("_basket"), "_oid", object_xml(df, cls, attributes).alias("value"))
+    objects = df.select(F.coalesce("_basket", F.lit("")).alias("_basket"), "_oid", object_xml(df, cls, attributes, tuple(options.get("roles", ())), options.get("structures")).alias("value"))
     parts = objects.groupBy(F.col("_basket").alias("_b")).agg(F.ceil(F.count("*") / most).alias("_parts"))
     objects = objects.join(parts, F.col("_basket") == F.col("_b"))
     objects = objects.select("_basket", F.pmod(F.xxhash64("_oid", "value"), "_parts").alias("part"), F.lit(1).alias("_rank"), "_oid", "value")
