@@ -492,8 +492,8 @@ def joined(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, sh
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
-def _cells(members: DataFrame, mixed: DataFrame, limit: int) -> DataFrame:
-    """The rows of `members` in the cells of their mixed buckets; `key` becomes the cell's.
+def _cells(members: DataFrame, labelled: DataFrame, mixed: DataFrame, limit: int) -> DataFrame:
+    """The `members` (key, k, node) of mixed buckets in their cells, with what `labelled` says of nodes; `key` becomes the cell's.
 
     A bucket up to `limit` is one cell. Of a larger one, members of its commonest
     label and the others are dealt into blocks, and every block of others is held
@@ -503,7 +503,7 @@ def _cells(members: DataFrame, mixed: DataFrame, limit: int) -> DataFrame:
     large = F.col("n_major") + F.col("n_rest") > limit
     blocks = lambda c: F.when(large, F.ceil(F.col(c) * 2 / limit)).otherwise(1).cast("int")
     major = large & (F.col("label") == F.col("major"))
-    placed = members.join(mixed, "key").withColumns({"rests": blocks("n_rest"), "majors": F.when(large, blocks("n_major")).otherwise(0), "is_major": major})
+    placed = members.join(sized(mixed), "key").join(labelled.select("node", "fp", "keys", "label"), "node").withColumns({"rests": blocks("n_rest"), "majors": F.when(large, blocks("n_major")).otherwise(0), "is_major": major})
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.when(major, F.col("majors")).otherwise(F.col("rests"))).cast("int"))
     # Others meet others (kind 0, each pair of blocks once), and blocks of the commonest label (kind 1).
     cell = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.alias("side"))
@@ -556,16 +556,15 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     rows = stored(texts.mapInArrow(run, "doc_id bigint, fp binary, keys array<bigint>"), "similar-fingerprints")
     # Equal fingerprints and keys come from equal shingle sets, but for chance.
     nodes = stored(rows.groupBy("fp", "keys").agg(F.min("doc_id").alias("node")), "similar-nodes")
-    value = F.posexplode("keys").alias("k", "value")
-    keyed = lambda df, *columns: df.select(*columns, value).withColumn("key", F.xxhash64("k", "value")).drop("value")
-    # Buckets of one have no link; their rows need not travel with fingerprints.
-    counted = keyed(nodes).groupBy("key").count().where("count > 1")
+    # Fingerprints travel only where a bucket has two members: first keys and nodes meet, then these fetch the rest.
+    keyed = nodes.select("node", F.posexplode("keys").alias("k", "value")).select(F.xxhash64("k", "value").alias("key"), "k", "node")
+    counted = keyed.groupBy("key").count().where("count > 1")
     blocks = F.when(F.col("count") > bucket_limit, F.ceil(F.col("count") * 2 / bucket_limit)).otherwise(1)
     shared = stored(counted.select("key", blocks.cast("int").alias("n")), "similar-shared")
+    met = stored(keyed.join(shared, "key"), "similar-met")
     block = F.pmod(F.xxhash64("node", "key"), F.col("n")).cast("int")
     links = (
-        keyed(nodes, "node", "fp")
-        .join(shared, "key")
+        met.join(nodes.select("node", "fp"), "node")
         .select(F.xxhash64("key", block).alias("key"), "node", "fp")
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
@@ -576,11 +575,11 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     groups = components(near_ones)
     labelled = stored(nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-labels")
     groups = labelled.select("node", "label")
-    by_label = keyed(labelled, "label").groupBy("key", "label").count()
+    by_label = met.select("key", "node").join(groups, "node").groupBy("key", "label").count()
     mixed = by_label.groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("labels"))
     mixed = mixed.where("labels > 1").select("key", F.col("most.label").alias("major"), F.col("most.count").alias("n_major"), (F.col("n") - F.col("most.count")).alias("n_rest"))
     open_ = stored(
-        _cells(keyed(labelled, "node", "fp", "keys", "label"), stored(mixed, "similar-mixed"), bucket_limit)
+        _cells(met.drop("n"), labelled, stored(mixed, "similar-mixed"), bucket_limit)
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
         .mapInArrow(lambda batches: unjoined(batches, radius), ACROSS),
