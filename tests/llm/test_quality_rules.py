@@ -1,7 +1,10 @@
 import re
 from collections import Counter
 
+from oracle import assert_same
+
 from weftline.llm.quality_rules import apply_quality_rules, line_verdicts
+from weftline.llm.queries import ORACLE_SQL, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,6 +44,11 @@ def test_equals_plain_version(small):
     assert found(small) == plain(texts)
 
 
+def test_equals_sql(spark, sf_dir):
+    name = "op5_quality_rules"
+    assert_same(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], sf_dir)
+
+
 def test_common_line_depletes_and_copies_do_not(documents):
     line = "this very line stands in each and every one of the documents of this host so it is boilerplate and nothing else at all"
     rows = [(i, f"{line}\n" + " ".join(f"w{i}x{k}" for k in range(60)), "a") for i in range(30)]

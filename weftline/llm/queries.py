@@ -98,6 +98,32 @@ with texts as (
 select t.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from texts t left join covered using (doc_id) left join found using (doc_id)
+""",
+    "op5_quality_rules": r"""
+with t as (
+  select row_number() over () as r, doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select r, k, array_to_string(w[k:k + 7], ' ') as s from (select r, w, unnest(generate_series(1, len(w) - 7)) as k from t)
+), again as (
+  select r, s from windows group by 1, 2 having count(*) > 1
+), covered as (
+  select r, count(distinct p) as n from (select r, unnest(generate_series(k, k + 7)) as p from windows join again using (r, s)) group by 1
+), lines as (
+  select r, source, text, line, lower(trim(line, E' \t\r\x0b\x0c')) as norm from (select r, source, text, unnest(string_split(text, chr(10))) as line from t)
+  where regexp_matches(line, '[^\x20\x09-\x0D]')
+), frequent as (
+  select source, norm from lines group by 1, 2 having count(distinct text) > 20
+), of_lines as (
+  select r, count(*) - count(distinct line) as n_dup, sum(length(line)) as chars, sum(length(line)) filter (f.norm is null) as kept
+  from lines left join frequent f on f.source is not distinct from lines.source and f.norm = lines.norm group by 1
+), m as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(chars, 0) as chars, coalesce(kept, 0) as kept_chars
+  from t left join covered c using (r) left join of_lines using (r)
+), judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, kept_chars < chars and kept_chars < 100 and kept_chars < 0.2 * chars as depleted from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not depleted as kept, (chars - kept_chars)::bigint as removed_chars from judged
 """,
     "op9_sentence_dedup": r"""
 with parts as (
