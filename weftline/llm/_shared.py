@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.storage import shared_folder, stored
 
-__all__ = ["free_names", "n_partitions", "shared_folder", "sized", "stored"]
+__all__ = ["free_names", "n_partitions", "released", "shared_folder", "sized", "stored"]
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -28,6 +31,25 @@ def free_names(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's pass over batches that gives freed memory back to the system at its end.
+
+    Python workers live on when a task ends. What their allocators keep of a pass would
+    lie beside the JVM's heap in the next stage.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def sized(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """A stored table of a few numbers a row, for a join with whole texts: broadcast up to `most` rows, which the files'
     footers tell; beyond that both sides are sorted and merged. The joined rows are the same."""

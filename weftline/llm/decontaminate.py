@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import free_names, stored
+from weftline.llm._shared import free_names, released, stored
 
 WINDOW = 10
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest parts words.
@@ -189,7 +189,7 @@ def _scanned(docs: DataFrame, text_col: str, items: list[tuple], window: int, sc
                 marks.append((len(words), spans, sorted({automaton.items[k] for k in found} - {None})))
             yield finish(b, marks)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._shared import released
+
 
 @dataclass
 class Packer:
@@ -355,4 +357,4 @@ def pack_documents(
             yield out()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}"] + [f"{c} bigint" for c in names[1:]]))
+    return docs.select("doc_id", "text").mapInArrow(released(run), ", ".join([f"doc_id {kind}"] + [f"{c} bigint" for c in names[1:]]))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._shared import released
+
 # The base rules' expressions, and the least length of what counts.
 BASE_RULES = {
     "assign": (r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
@@ -201,7 +203,7 @@ def scanned(docs: DataFrame, text_col: str, rules: dict[str, tuple[str, int, int
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(b.schema.get_field_index(text_col))]
             yield finish(b, [spans for part in _segments(texts) for spans in scanner.segment(part)], kinds)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _joined(spans):

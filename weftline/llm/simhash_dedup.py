@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import free_names, n_partitions, sized, stored
+from weftline.llm._shared import free_names, n_partitions, released, sized, stored
 
 SEED = 42
 SHINGLE = 3
@@ -553,7 +553,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
             )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    rows = stored(texts.mapInArrow(run, "doc_id bigint, fp binary, keys array<bigint>"), "similar-fingerprints")
+    rows = stored(texts.mapInArrow(released(run), "doc_id bigint, fp binary, keys array<bigint>"), "similar-fingerprints")
     # Equal fingerprints and keys come from equal shingle sets, but for chance.
     nodes = stored(rows.groupBy("fp", "keys").agg(F.min("doc_id").alias("node")), "similar-nodes")
     # Fingerprints travel only where a bucket has two members: first keys and nodes meet, then these fetch the rest.
@@ -568,7 +568,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
         .select(F.xxhash64("key", block).alias("key"), "node", "fp")
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda batches: similar_links(batches, radius), "u bigint, v bigint, d bigint")
+        .mapInArrow(released(lambda batches: similar_links(batches, radius)), "u bigint, v bigint, d bigint")
     )
     pairs = stored(links.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select("u", "best.v"), "similar-pairs")
     near_ones = stored(alike(texts, pairs, similarity, shingle), "similar-links")
@@ -582,7 +582,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
         _cells(met.drop("n"), labelled, stored(mixed, "similar-mixed"), bucket_limit)
         .repartition(n_partitions(spark), "key")
         .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda batches: unjoined(batches, radius), ACROSS),
+        .mapInArrow(released(lambda batches: unjoined(batches, radius)), ACROSS),
         "similar-open",
     )
     if not open_.isEmpty():
@@ -593,7 +593,7 @@ def similar_groups(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
             .select("key", "node", "fp", "keys", "k", "label", "side", "text")
             .repartition(n_partitions(spark), "key")
             .sortWithinPartitions("key", "node")
-            .mapInArrow(lambda batches: joined(batches, radius, similarity, shingle), "u bigint, v bigint")
+            .mapInArrow(released(lambda batches: joined(batches, radius, similarity, shingle)), "u bigint, v bigint")
         )
         rest = stored(rest, "similar-rest")
         if not rest.isEmpty():
