@@ -96,3 +96,81 @@ def test_pack_examples(spark, sf_dir):
     rows = P.pack_examples(examples, id_col="conv_id", tokens_col="tokens", loss_col="loss").collect()
     assert sum(r["length"] for r in rows) == sum(r["tokens"] for r in examples.collect())
     assert P.pack_examples(examples.limit(0), id_col="conv_id", tokens_col="tokens", loss_col="loss").count() == 0
+
+
+def plain_pack(items, limits, window):
+    """Bins by the dot-product rule, item by item in plain loops: (key, sequence) of whole items."""
+    waiting, out, sequence, left = [], [], 0, list(limits)
+
+    def place(until):
+        nonlocal sequence, left
+        while len(waiting) > until:
+            fits = [x for x in waiting if all(d <= room for d, room in zip(x[1], left))]
+            if not fits:
+                sequence, left = sequence + 1, list(limits)
+                continue
+            score = lambda x: sum(d / most * room / most for d, room, most in zip(x[1], left, limits))
+            best = max(map(score, fits))
+            chosen = next(x for x in fits if abs(score(x) - best) < 1e-12)
+            waiting.remove(chosen)
+            out.append((chosen[0], sequence))
+            left = [room - d for d, room in zip(chosen[1], left)]
+            if left[0] < 1:
+                sequence, left = sequence + 1, list(limits)
+
+    for key, tokens, loss in items:
+        if len(waiting) == window:
+            place(window // 2)
+        waiting.append((key, (tokens, 1, loss)))
+    place(0)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(1, (2048, 8, 700)), (2, (1000, 3, 1000)), (3, (500, 50, 120))])
+def test_placement_equals_the_plain_rule(seed, limits):
+    rng = np.random.default_rng(seed)
+    items = [(i, n, int(n * rng.random() * min(1, limits[2] / n))) for i, n in enumerate(rng.integers(1, limits[0] // 2, 300).tolist())]
+    p = P.Packer(*limits, cut=False, window=64)
+    for key, tokens, loss in items:
+        p.add(key, tokens, loss)
+    p.finish()
+    bins = lambda rows: sorted(sorted(k for k, s in rows if s == b) for b in {s for _, s in rows})
+    assert bins([(key, sequence) for key, _, _, sequence, _ in p.done]) == bins(plain_pack(items, limits, 64))
+
+
+def test_conversations_keep_all_three_limits(spark, sf_dir):
+    """Instruction data: the assistant's words bear loss, the others are context."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    words = "size(split(text, ' '))"
+    examples = turns.groupBy("conv_id").agg({"turn": "count"}).drop("count(turn)").join(
+        turns.selectExpr("conv_id", f"{words} as n", f"if(role = 'assistant', {words}, 0) as l").groupBy("conv_id").sum("n", "l").withColumnsRenamed({"sum(n)": "tokens", "sum(l)": "loss"}),
+        "conv_id",
+    )
+    rows = P.pack_examples(examples, id_col="conv_id", tokens_col="tokens", loss_col="loss", max_tokens=400, max_segments=3, max_loss=200, cut=True).collect()
+    of = {r["conv_id"]: (r["tokens"], r["loss"]) for r in examples.collect()}
+    use = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        tokens, loss = of[r["id"]]
+        for d, x in enumerate((r["length"], 1, max(0, r["start"] + r["length"] - max(r["start"], tokens - loss)))):
+            use[r["sequence_id"]][d] += x
+    assert all(a <= 400 and b <= 3 and c <= 200 for a, b, c in use.values())
+    assert sum(r["length"] for r in rows) == sum(t for t, _ in of.values())
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = ["A plain sentence, with Words.", "", " two  blanks\n", "été 12"]
+    words = P.WordTokens(path)
+    assert not words.wordwise and P.WordTokens(tokenizer_file()).wordwise
+    direct_ids = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert words.ids(texts) == direct_ids
+
+
+def test_words_are_forgotten_at_the_end():
+    words = P.WordTokens(tokenizer_file(), keep=10)
+    words.ids(["some words " + "x" * 100])
+    assert "some" in words.young and "x" * 100 not in words.young
+    words.forget()
+    assert not words.young and not words.old

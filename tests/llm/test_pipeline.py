@@ -68,3 +68,20 @@ def test_pieces_are_those_of_the_texts(kept):
 def test_run_equals_the_stages(spark, sf_dir, kept):
     total = lambda df: df.agg(F.sum("length"), F.count_distinct("doc_id")).first()
     assert total(corpus_pipeline.run(spark, sf_dir)) == total(kept["packing"])
+
+
+def test_run_on_odd_tables(spark, tmp_path, documents):
+    """Null ids and texts, empty and long texts, repeated rows, columns with the names that stages use; and empty tables."""
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, None), (None, words + " own"), (1, ""), (2, words), (2, words), (3, words + " more"), (4, "long " * 30_000), (5, "token=abcdefghijkl " + " ".join(f"v{k}" for k in range(60)))]
+    extra = dict(v_id="1", v_hash="2", gone_id="3", n_same="4", s_text="5", c_text="6", c_row="7", own_hash="8", parts="9", label="10")
+    bench = spark.createDataFrame([(1, None), (None, "an item of ten words that nobody here has used yet")], "item_id bigint, text string")
+    for name, df, items in (("odd", documents(rows, **extra), bench), ("empty", documents([], **extra), bench.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, f"{tmp_path}/odd").columns == docs.columns
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in out} == {None, 2, 5}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

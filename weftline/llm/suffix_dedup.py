@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import n_partitions, stored
+from weftline.llm._shared import n_partitions, sized, stored
 
 U64 = np.uint64
 GRAM = 32
@@ -280,15 +280,21 @@ def _halves(members: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _told(rows: DataFrame, label: str) -> DataFrame:
+def _told(rows: DataFrame, label: str, with_bytes: bool = False) -> DataFrame:
     """`rows` (bucket, sig, rid, pack ...) of buckets with two members: with n, how many are of the same class, the
-    bucket's `kinds` of classes, and whether the row is the one that stands for its class (`sends`)."""
+    bucket's `kinds` of classes, and whether the row is the one that stands for its class (`sends`).
+
+    Where rows hold bytes, they don't move for this as long as the classes can be broadcast, and go where they aren't needed.
+    """
     classes = stored(rows.groupBy("bucket", "sig").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pack")).alias("sender")), f"{label}-classes")
     kinds = stored(classes.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1"), f"{label}-buckets")
     classes = classes.join(kinds, "bucket", "left").where("n > 1 or kinds is not null")
     classes = stored(classes.select(F.col("bucket").alias("c_bucket"), F.col("sig").alias("c_sig"), "n", "sender", F.coalesce("kinds", F.lit(1)).alias("kinds")), f"{label}-classes")
-    met = rows.join(classes, (F.col("bucket") == F.col("c_bucket")) & (F.col("sig") == F.col("c_sig")))
-    return met.withColumn("sends", F.struct("rid", "pack") == F.col("sender")).drop("c_bucket", "c_sig", "sender")
+    met = rows.join(sized(classes) if with_bytes else classes, (F.col("bucket") == F.col("c_bucket")) & (F.col("sig") == F.col("c_sig")))
+    met = met.withColumn("sends", F.struct("rid", "pack") == F.col("sender")).drop("c_bucket", "c_sig", "sender")
+    if with_bytes:
+        met = met.withColumn("bytes", F.when(F.col("sends") & (F.col("kinds") > 1), F.col("bytes"))).where("n > 1 or bytes is not null")
+    return met
 
 
 def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1024) -> DataFrame:
@@ -326,9 +332,9 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
 
     spans = spans.union(sorted_in_tasks(contexts(False).withColumns({"low": F.expr(f"{OFFSET} - {WINDOWS}"), "high": F.expr(OFFSET)})))
     if not told.where(F.col("kinds") > bucket_limit).isEmpty():
-        large = stored(contexts(True).withColumns({"a": F.lit(0).cast("long"), "b": F.lit(length - GRAM).cast("long")}), "suffix-contexts")
+        large = stored(contexts(True).withColumns({"a": F.lit(0).cast("long"), "b": F.lit(length - GRAM).cast("long")}), "suffix-contexts", "zstd")
         while not large.isEmpty():
-            parted = stored(_told(stored(_halves(large, length), "suffix-halves"), "suffix-parts"), "suffix-parted")
+            parted = stored(_told(_halves(large, length), "suffix-parts", with_bytes=True), "suffix-parted", "zstd")
             place = f"{FIRST} + {OFFSET}"
             spans = spans.union(parted.where("n > 1").select("rid", F.expr(f"{place} - high as start"), F.expr(f"{place} - low + {length} as end")))
             left = parted.where("kinds > 1 and sends")
@@ -340,7 +346,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
 def numbered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, text, rid), written once, so that every later scan gives a row the same number."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    return stored(docs.select("doc_id", text, F.monotonically_increasing_id().alias("rid")), "suffix-rows")
+    return stored(docs.select("doc_id", text, F.monotonically_increasing_id().alias("rid")), "suffix-rows", "zstd")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
