@@ -21,8 +21,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back; `compression` is Spark's own choice unless stated.
 
     Cuts the lineage: a lost executor costs the tasks that were running, never
     the steps before. The table also has a known size, so Catalyst broadcasts it
@@ -30,5 +30,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     join get their own exchange, which AQE can split where a key is hot.
     """
     path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
