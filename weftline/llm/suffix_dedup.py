@@ -181,14 +181,14 @@ def repeated_windows(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, lo
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, rid, text, asked: [(h, pack)]): the bytes that the windows span."""
+    """From (rid, text, asked: [(h, pack, large)]): the bytes that the windows span."""
     for b in batches:
         rows: list[tuple] = []
-        for rid, text, asked in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+        for rid, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             data = text.as_buffer().to_pybytes()
             for x in asked:
                 start, windows = x["pack"] >> 16, x["pack"] >> 8 & 255
-                rows.append((x["h"], rid, x["pack"], data[start : start + windows + length]))
+                rows.append((x["h"], rid, x["pack"], data[start : start + windows + length], x["large"]))
             if len(rows) >= 8192:
                 yield _batch(rows)
                 rows = []
@@ -197,8 +197,8 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "rid", "pack", "bytes"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "rid", "pack", "bytes", "large"])
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int, most: int = 16384) -> Iterator[pa.RecordBatch]:
@@ -313,14 +313,13 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
     spans = told.where("n > 1").select("rid", F.expr(f"{FIRST} as start"), F.expr(f"{FIRST} + {WINDOWS} + {length} as end"))
     asked = told.where("kinds > 1 and sends")
 
-    def contexts(large: bool) -> DataFrame:
-        of_row = asked.where(F.col("kinds") > bucket_limit if large else F.col("kinds") <= bucket_limit)
-        of_row = of_row.groupBy(F.col("rid").alias("a_rid")).agg(F.collect_list(F.struct(F.col("bucket").alias("h"), "pack")).alias("asked"))
-        if large:  # stored, so that its size is known: few rows are broadcast, and then no text is dealt out for them
-            of_row = stored(of_row, "suffix-asked")
-        # With the columns of the last join, so that Spark deals the texts out once for both.
-        joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("doc_id", "rid", "text", "asked")
-        return joined.mapInArrow(lambda batches: _context_rows(batches, length), "bucket bigint, rid bigint, pack bigint, bytes binary")
+    # Texts are dealt out once for the contexts of all buckets, and once more at the end.
+    of_row = asked.groupBy(F.col("rid").alias("a_rid")).agg(
+        F.collect_list(F.struct(F.col("bucket").alias("h"), "pack", (F.col("kinds") > bucket_limit).alias("large"))).alias("asked")
+    )
+    joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("rid", "text", "asked")
+    contexts = joined.mapInArrow(lambda batches: _context_rows(batches, length), "bucket bigint, rid bigint, pack bigint, bytes binary, large boolean")
+    contexts = stored(contexts, "suffix-contexts", "zstd")
 
     def sorted_in_tasks(members: DataFrame) -> DataFrame:
         return (
@@ -330,9 +329,9 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
             .mapInArrow(lambda batches: _sorted_buckets(batches, length), "rid bigint, start bigint, end bigint")
         )
 
-    spans = spans.union(sorted_in_tasks(contexts(False).withColumns({"low": F.expr(f"{OFFSET} - {WINDOWS}"), "high": F.expr(OFFSET)})))
+    spans = spans.union(sorted_in_tasks(contexts.where("not large").withColumns({"low": F.expr(f"{OFFSET} - {WINDOWS}"), "high": F.expr(OFFSET)})))
     if not told.where(F.col("kinds") > bucket_limit).isEmpty():
-        large = stored(contexts(True).withColumns({"a": F.lit(0).cast("long"), "b": F.lit(length - GRAM).cast("long")}), "suffix-contexts", "zstd")
+        large = contexts.where("large").withColumns({"a": F.lit(0).cast("long"), "b": F.lit(length - GRAM).cast("long")})
         while not large.isEmpty():
             parted = stored(_told(_halves(large, length), "suffix-parts", with_bytes=True), "suffix-parted", "zstd")
             place = f"{FIRST} + {OFFSET}"
