@@ -7,12 +7,12 @@ import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.storage import shared_folder, stored
 
-__all__ = ["free_names", "n_partitions", "released", "shared_folder", "sized", "stored"]
+__all__ = ["free_names", "in_blocks", "n_partitions", "released", "shared_folder", "sized", "stored"]
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -54,3 +54,24 @@ def sized(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """A stored table of a few numbers a row, for a join with whole texts: broadcast up to `most` rows, which the files'
     footers tell; beyond that both sides are sorted and merged. The joined rows are the same."""
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def in_blocks(rows: DataFrame, weight: Column, most: int, label: str) -> tuple[list[int], DataFrame]:
+    """The numbers of the blocks that hold rows, and `rows`, stored, with columns `row` and `block`.
+
+    Rows keep the order they have within their partitions (`row`) and fill one block after the other: by a running sum, a
+    block's weights come to `most` and less than one row's weight more. The driver sees one sum a partition.
+    """
+    numbered = rows.withColumns({"w": weight.cast("long"), "part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    numbered = stored(numbered, label)
+    sums = sorted((r["part"], r["w"]) for r in numbered.groupBy("part").agg(F.sum("w").alias("w")).collect())
+    before, offsets = 0, []
+    for part, w in sums:
+        offsets.append((part, before))
+        before += w or 0
+    spark = rows.sparkSession
+    starts = spark.createDataFrame(offsets, "part int, before long")
+    running = F.sum("w").over(Window.partitionBy("part").orderBy("row"))
+    blocks = numbered.join(F.broadcast(starts), "part").withColumn("block", F.floor((F.col("before") + running - F.col("w")) / most).cast("long"))
+    blocks = stored(blocks.drop("w", "part", "before"), label)
+    return sorted(r["block"] for r in blocks.select("block").distinct().collect()), blocks

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, warc_dedup
+from weftline.llm import decontaminate, html_extract, packing, quality_rules, ranked_search, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, warc_dedup
 from weftline.llm._shared import shared_folder
 
 
@@ -58,6 +58,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(_read(spark, sf_dir, "documents"), with_rest=False).drop("kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_sentence_dedup": op9_sentence_dedup,
     "op10_warc_dedup": op10_warc_dedup,
+    "op11_ranked_search": op11_ranked_search,
 }
 #: Where SQL can state the result; the other operators are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -170,5 +175,31 @@ with hashed as (
 ), firsts as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as original from digests)
 select page_id, payload_bytes, payload_digest, case when page_id = original then 'response' else 'revisit' end as record_type,
   case when page_id <> original then original end as refers_to from firsts
+""",
+    "op11_ranked_search": r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+  from documents
+), docs as (
+  select r, doc_id, w, len(w) as n from texts where len(w) > 0
+), totals as (
+  select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from docs
+), asked as (
+  select distinct q, item_id, term from (select q, item_id, unnest(w) as term from
+    (select row_number() over () as q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+     from benchmark))
+), counts as (
+  select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from docs) where term in (select term from asked) group by 1, 2
+), weights as (
+  select term, floor(1000 * ln((2 * max(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from counts, totals group by 1
+), impacts as (
+  select r, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) as impact
+  from counts join weights using (term) join docs using (r), totals
+), scores as (
+  select q, item_id, r, sum(impact)::bigint as score from asked join impacts using (term) group by 1, 2, 3 having sum(impact) > 0
+), ranked as (
+  select item_id, doc_id, score, row_number() over (partition by q order by score desc, doc_id)::int as rank from scores join docs using (r)
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50
 """,
 }
