@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, html_extract, packing, quality_rules, ranked_search, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, warc_dedup
+from weftline.llm import decontaminate, html_extract, norm_search, packing, quality_rules, ranked_search, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, warc_dedup
 from weftline.llm._shared import shared_folder
 
 
@@ -62,6 +62,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_search.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_sentence_dedup": op9_sentence_dedup,
     "op10_warc_dedup": op10_warc_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 #: Where SQL can state the result; the other operators are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -201,5 +206,23 @@ with texts as (
   select item_id, doc_id, score, row_number() over (partition by q order by score desc, doc_id)::int as rank from scores join docs using (r)
 )
 select item_id, rank, doc_id, score from ranked where rank <= 50
+""",
+    "op12_hard_negatives": r"""
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.r, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and b.vec_id is distinct from a.vec_id
+), positives as (
+  select r, anchor_id, id as positive_id, score as positive_score from
+    (select *, row_number() over (partition by r order by score desc, id) as n from scored where same) where n <= 5
+), negatives as (
+  select p.anchor_id, positive_id, row_number() over (partition by p.r, positive_id, positive_score order by score desc, id)::int as rank,
+    id as negative_id, positive_score, score as negative_score
+  from positives p join scored s on s.r = p.r and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+)
+select * from negatives where rank <= 5
 """,
 }
