@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, html_extract, norm_search, packing, quality_rules, ranked_search, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, warc_dedup
+from weftline.llm import decontaminate, html_extract, norm_search, packing, quality_rules, ranked_search, secret_scan, sentence_dedup, sharding, simhash_dedup, suffix_dedup, url_filter, warc_dedup
 from weftline.llm._shared import shared_folder
 
 
@@ -66,6 +66,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.hard_negatives(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_warc_dedup": op10_warc_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_url_filter": op13_url_filter,
 }
 #: Where SQL can state the result; the other operators are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -224,5 +229,49 @@ with v as (
   from positives p join scored s on s.r = p.r and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
 )
 select * from negatives where rank <= 5
+""",
+    "op13_url_filter": r"""
+with rules(name, host, path, verdict) as (
+  values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+    ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), urls as (
+  select row_number() over () as r, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages
+), tokens as (
+  select distinct r, page_id, unnest(list_concat(
+    list_transform(regexp_extract_all(regexp_extract(low, '(?s)^(.*?)://', 1), '[a-z\x{80}-\x{10FFFF}]+'), lambda w: 's:' || w),
+    list_transform(regexp_extract_all(regexp_extract(low, '(?s)^.*?://([^/?#]*)', 1), '[a-z\x{80}-\x{10FFFF}]+'), lambda w: 'h:' || w),
+    list_transform(regexp_extract_all(regexp_extract(low, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[a-z\x{80}-\x{10FFFF}]+'), lambda w: 'p:' || w),
+    list_transform(regexp_extract_all(regexp_extract(low, '(?s)^.*?://[^?#]*(.*)', 1), '[a-z\x{80}-\x{10FFFF}]+'), lambda w: 'q:' || w))) as token
+  from urls
+), told as (
+  select doc_id, bool_or(coalesce(quality = 0, false) or coalesce(toxic = 1, false)) as bad from labels
+  where doc_id is not null and (quality is not null or toxic is not null) group by 1
+), labelled as (
+  select r, bad from urls join told on doc_id = page_id
+), needed as (
+  select greatest(5, ceil(0.002 * count(*))) as least from labelled
+), frequent as (
+  select token from tokens join labelled using (r) where bad group by 1 having count(*) >= (select least from needed)
+), held as (
+  select r, list(token order by token) as items from tokens join frequent using (token) group by 1
+), subsets as (
+  select list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) as items from
+    (select items, unnest(range(1, cast(1::bigint << len(items) as bigint))) as m from held join labelled using (r) where bad)
+), sets as (
+  select items, count(*) as n_bad from subsets group by 1 having count(*) >= (select least from needed)
+), mined as (
+  select s.items from sets s join (select items from held join labelled using (r)) h on list_has_all(h.items, s.items)
+  group by s.items, n_bad having n_bad >= 0.6 * count(*)
+), hits as (
+  select distinct r from held join mined on list_has_all(held.items, mined.items)
+), fit as (
+  select r, name, verdict, row_number() over (partition by r order by length(name) desc) as k from urls join rules
+  on (urls.host = rules.host or ends_with(urls.host, '.' || rules.host)) and starts_with(urls.path, rules.path)
+)
+select page_id, urls.host, urls.path, name as rule, coalesce(verdict, case when hits.r is null then 'allow' else 'block' end) as verdict
+from urls left join fit on fit.r = urls.r and k = 1 left join hits on hits.r = urls.r
 """,
 }
