@@ -103,15 +103,17 @@ def test_edge_rows(documents, tmp_path):
     assert sharded(df.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
-def test_files_of_one_name_in_two_runs_keep_their_rows_once(spark, tmp_path):
+def test_files_of_one_name_in_two_folders_keep_their_rows_once(spark, tmp_path):
     root = f"file://{tmp_path}/store"
-    first = ShardStore(spark, root, target_bytes=6_000, smallest_bytes=1000, fanout=2)
-    for k in range(8):
-        first.append(spark.range(k * 1000, (k + 1) * 1000).repartition(1))
-    first.compact()
-    names = [s.path.rsplit("/", 1)[1] for s in first.shards()]
-    assert len(set(names)) < len(names)  # a task wrote several runs
-    second = ShardStore(spark, root, target_bytes=1 << 20, smallest_bytes=1 << 16, fanout=2)
-    second.compact()
-    assert len(second.shards()) == 1
-    assert sorted(r["id"] for r in second.read().collect()) == list(range(8000))
+    store = ShardStore(spark, root, target_bytes=1 << 20, smallest_bytes=1 << 16, fanout=2)
+    shards = []
+    for k, folder in enumerate(("a" * 32, "b" * 32)):
+        spark.range(k * 1000, (k + 1) * 1000).coalesce(1).write.parquet(f"{root}/draft{k}")
+        (file,) = (tmp_path / "store" / f"draft{k}").glob("part-*.parquet")
+        (tmp_path / "store" / "data" / folder).mkdir(parents=True)
+        file.rename(tmp_path / "store" / "data" / folder / "part-0.parquet")
+        shards.append(Shard(f"data/{folder}/part-0.parquet", (tmp_path / "store" / "data" / folder / "part-0.parquet").stat().st_size))
+    store.commit(shards, 0)
+    assert len(store.runs(shards)) == 1
+    store.compact()
+    assert len(store.shards()) == 1 and sorted(r["id"] for r in store.read().collect()) == list(range(2000))
