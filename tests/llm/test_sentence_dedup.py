@@ -1,3 +1,6 @@
+import random
+import re
+
 from oracle import assert_same
 
 from weftline.llm.queries import ORACLE_SQL, QUERIES
@@ -21,9 +24,34 @@ def test_first_stays_and_others_go(documents):
     assert got[4][1] == 6
 
 
-def test_short_runs_stay(documents):
+def plain(rows):
+    """Every run of two sentences or more, of every length, held against all others."""
+    split = lambda t: [s for p in re.split(r"(?<=[.!?][ \t\n])|(?<=\n)", t) if (s := p.strip().lower())]
+    first, texts = {}, {i: split(t) for i, t in rows}
+    runs = [(tuple(s[a:z]), i, a, z) for i, s in texts.items() for a in range(len(s)) for z in range(a + 2, len(s) + 1)]
+    for run, i, a, _ in runs:
+        first[run] = min(first.get(run, (i, a)), (i, a))
+    removed = {(i, k) for run, i, a, z in runs if first[run] != (i, a) for k in range(a, z)}
+    return {i: sum(j == i for j, _ in removed) for i in texts}
+
+
+def test_equals_all_runs_of_every_length(documents):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["Yes.", "No!", "Why so?", "A longer one it is.", "Odd.", "Even."]) for _ in range(rng.randrange(2, 9)))) for i in range(40)]
+    rows += [(i, " ".join(f"Own {i} {k}." for k in range(5))) for i in range(40, 45)]
+    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(documents(rows)).collect()}
+    assert got == plain(rows) and 0 < sum(got.values()) and not any(got[i] for i in range(40, 45))
+
+
+def test_short_notices_go(documents):
+    notice = "We use cookies. They are fine. Read more."
+    rows = [(1, f"One text starts. {notice}"), (2, f"{notice} Another text ends.")]
+    assert {r["doc_id"]: r["text"] for r in without_repeats(documents(rows)).collect()} == {1: rows[0][1], 2: "Another text ends."}
+
+
+def test_short_runs_stay_below_a_weight(documents):
     rows = [(i, "Yes. No. Yes. No. Yes.") for i in range(5)]
-    assert all(r["n_removed"] == 0 for r in without_repeats(documents(rows)).collect())
+    assert all(r["n_removed"] == 0 for r in without_repeats(documents(rows), min_weight=12).collect())
 
 
 def test_repeated_passages_of_short_sentences_go(documents):

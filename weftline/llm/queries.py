@@ -149,14 +149,8 @@ with parts as (
   from parts where trim(part, E' \t\n\r\x0b\x0c') <> ''
 ), weighed as (
   select *, greatest(len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')), length(s) // 6) as w from full_parts
-), summed as (
-  select *, sum(w) over (partition by doc_id order by pos) as c from weighed
-), reached as (
-  select a.doc_id, a.pos as first, b.pos as last from summed a join summed b
-  on a.doc_id = b.doc_id and b.pos between a.pos + 1 and a.pos + 11 and b.c - a.c + a.w >= 12
 ), places as (
-  select doc_id, first, min(last) as last from reached group by 1, 2
-  union select doc_id, max(first), last from reached group by doc_id, last
+  select doc_id, pos as first, pos + 1 as last from weighed where pos < n
   union select doc_id, pos, pos from weighed where n = 1 and w >= 12
 ), runs as (
   select p.doc_id, p.first, p.last, string_agg(f.s, ' ' order by f.pos) as run

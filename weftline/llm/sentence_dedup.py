@@ -1,11 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 Runs of consecutive sentences are hashed and joined globally, and the sentences
-that a non-first repeated run covers are removed. From each sentence a run goes
-forward, and one backward, over `span` sentences at least and on until it weighs
-`min_weight`: short sentences make longer runs, and every repeated passage of that
-weight is covered by runs that lie within it. A sentence weighs its words, or a
-sixth of its characters where that is more, so texts without spaces count as well.
+that a non-first repeated run covers are removed. A run has `span` sentences: a
+longer repeated run is covered by those within it, so hashing these is hashing all.
+With a `min_weight`, from each sentence a run goes forward, and one backward, on
+until it weighs that much: short sentences make longer runs, and every repeated
+passage of that weight is covered by runs that lie within it. A sentence weighs its
+words, or a sixth of its characters where that is more, so texts without spaces
+count as well. A text of fewer sentences than a run is no run of several; it is
+held against others as a whole where it weighs `alone_weight`.
 The first of equal runs is that in the document with the smallest id, and there
 the earliest. DataFrame functions only; rows that move are hashes, and texts move once.
 """
@@ -34,7 +37,7 @@ def _normal(part: Column) -> Column:
     return F.lower(F.btrim(part, F.lit(BLANKS)))
 
 
-def spans(docs: DataFrame, span: int, min_weight: int) -> DataFrame:
+def spans(docs: DataFrame, span: int, min_weight: int, alone_weight: int) -> DataFrame:
     """(doc_id, text_hash, runs): of each run its hash h, the number `at` of its first sentence from 1 on, its sentences `n`,
     and whether an equal run came earlier in the text."""
     reach = max(span, min_weight)  # a sentence weighs 1 at least, so no run is longer
@@ -59,7 +62,7 @@ def spans(docs: DataFrame, span: int, min_weight: int) -> DataFrame:
     forward = f"transform(sequence(1, total), i -> i * {MOST}L + {length('weights', 'i')})"
     backward = f"transform(sequence(1, total), i -> struct(i as i, {length('backward', 'i')} as n))"
     backward = f"transform({backward}, x -> (total - x.i - x.n + 2) * {MOST}L + x.n)"
-    alone = f"if(total < {span} and aggregate(weights, 0, (a, x) -> a + x) >= {min_weight}, array({MOST}L + total), cast(array() as array<bigint>))"
+    alone = f"if(total < {span} and aggregate(weights, 0, (a, x) -> a + x) >= {alone_weight}, array({MOST}L + total), cast(array() as array<bigint>))"
     codes = f"filter(array_distinct(concat({forward}, {backward}, {alone})), c -> c % {MOST} > 0)"
     d = d.withColumn("codes", F.expr(f"if(total > 0, {codes}, cast(array() as array<bigint>))"))
     run = f"struct(xxhash64(array_join(slice(sentences, cast(c div {MOST} as int), cast(c % {MOST} as int)), ' ')) as h, cast(c div {MOST} as int) as at, cast(c % {MOST} as int) as n)"
@@ -72,9 +75,9 @@ def spans(docs: DataFrame, span: int, min_weight: int) -> DataFrame:
     return d.select("doc_id", "text_hash", runs.alias("runs"))
 
 
-def removed_sentences(docs: DataFrame, *, span: int = 2, min_weight: int = 12) -> DataFrame:
+def removed_sentences(docs: DataFrame, *, span: int = 2, min_weight: int = 0, alone_weight: int = 12) -> DataFrame:
     """(doc_id, text_hash, removed) for each different id and text with removed sentences; these are numbered from 1 on."""
-    rows = stored(spans(docs, span, min_weight), "sentence-runs")
+    rows = stored(spans(docs, span, min_weight, alone_weight), "sentence-runs")
     repeated = (
         rows.select("doc_id", F.explode("runs.h").alias("r_h"))
         .groupBy("r_h")
@@ -91,15 +94,15 @@ def removed_sentences(docs: DataFrame, *, span: int = 2, min_weight: int = 12) -
     return covered.select("doc_id", "text_hash", F.array_distinct(F.expr(numbers)).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, *, span: int = 2, min_weight: int = 12) -> DataFrame:
+def without_repeats(docs: DataFrame, *, span: int = 2, min_weight: int = 0, alone_weight: int = 12) -> DataFrame:
     """(doc_id, n_sentences, n_removed, kept_chars, text) per row of `docs` (doc_id, text).
 
-    Null and empty texts have no sentences. A text of fewer than `span` sentences is
-    one run. Rows with equal id and text are one document with equal results, and
+    Null and empty texts have no sentences. A text of fewer than `span` sentences that
+    weighs `alone_weight` is one run. Rows with equal id and text are one document with equal results, and
     rows that share an id hold a first run together; a null id is first only where
     all documents with the run have none. Other columns are not read.
     """
-    found = removed_sentences(docs, span=span, min_weight=min_weight).withColumnsRenamed({"doc_id": "r_id", "text_hash": "r_hash"})
+    found = removed_sentences(docs, span=span, min_weight=min_weight, alone_weight=alone_weight).withColumnsRenamed({"doc_id": "r_id", "text_hash": "r_hash"})
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     d = d.join(
         stored(found, "sentence-removed"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left"
