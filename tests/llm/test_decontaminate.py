@@ -75,3 +75,16 @@ def test_spans_are_cut(spark, documents):
         done = D.remove_contamination(df, bench(spark, [(1, passage), (2, "other words of another item that nobody uses")]), block_words=blocks)
         assert done.columns == df.columns
         assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in done.collect()} == {1: (text, len(text)), 2: (rest, len(rest)), 4: (None, None)}
+
+
+def test_equal_items_are_one_block(spark, documents):
+    words = " ".join(f"w{k}" for k in range(100))
+    same, ids = bench(spark, [(7, words)] * 400), bench(spark, [(k, words) for k in range(400)] + [(500, "x y z " * 40)])
+    blocks, items = D.item_blocks(same, "item_id", "text", 10, 1000)
+    assert len(blocks) == 1 and D.block_items(items, blocks[0]) == [(["7"], words.encode())]
+    blocks, items = D.item_blocks(ids, "item_id", "text", 10, 300)
+    parts = [D.block_items(items, b) for b in blocks]
+    assert len(blocks) in (2, 3) and all(len(t) + len(i) <= 400 + 1 for p in parts for i, t in [(i, t.split()) for i, t in p])
+    rows = [(1, f"so {words}"), (2, "none")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in D.contamination(documents(rows), ids, block_words=300).collect()}
+    assert got == {i: plain(t, [(k, words) for k in range(400)]) for i, t in rows} and got[1][2] == 400

@@ -7,25 +7,24 @@ window (10 words, or a whole shorter item) marks the words it spans. Words outsi
 the benchmark's vocabulary reset the automaton, so runs of known words shorter
 than the shortest window are skipped without a step.
 
-The automaton is bounded: items are dealt into blocks of about `block_words` words
-by a hash, and the documents are held against one block after the other (a stated
-query set against all rows). One block needs one pass and no shuffle.
+The automaton is bounded: different items fill blocks of about `block_words` words
+by a running sum, and the documents are held against one block after the other (a
+stated query set against all rows). One block needs one pass and no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import free_names, released, stored
+from weftline.llm._shared import free_names, in_blocks, released, stored
 
 WINDOW = 10
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest parts words.
@@ -37,9 +36,9 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences; knows for every 10-word window and whole short item which items hold it."""
+    """Of several word sequences, each with the ids of its items; knows for every 10-word window and whole short item which sequences hold it."""
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[list[str | None], bytes]], window: int = WINDOW):
         self.window, self.items = window, [i for i, _ in items]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -157,10 +156,12 @@ SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 Marks = tuple[int, list[tuple[int, int]], list[str]]
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> tuple[int, DataFrame]:
-    """The number of blocks, and (block, id, text) of the items, about `block_words` words to a block.
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> tuple[list[int], DataFrame]:
+    """The numbers of the blocks, and (block, row, id, text) of the items, about `block_words` words to a block.
 
-    A longer item comes in parts that share `window` - 1 words, so each of its windows lies in one of them.
+    A longer item comes in parts that share `window` - 1 words, so each of its windows lies in one of them. Equal rows
+    count once. Rows of equal text follow each other in a block; the first has the text and its words count, the others
+    have null and count as a word.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
     items = items.withColumn("words", F.filter(F.split("text", SPLIT), lambda w: w != "")).where(F.size("words") > 0)
@@ -169,10 +170,22 @@ def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int,
         raise ValueError("block_words must be at least the window")
     n_parts = F.greatest(F.ceil((F.size("words") - (window - 1)) / step), F.lit(1)).cast("int")
     items = items.withColumn("at", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-    items = items.withColumn("words", F.slice("words", F.col("at") * step + 1, F.lit(block_words)))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.size("words"))).first()[0] or 0) / block_words))
-    block = F.pmod(F.xxhash64("id", "at", "words"), F.lit(blocks)).cast("int")
-    return blocks, items.select(block.alias("block"), "id", F.array_join("words", " ").alias("text"))
+    items = items.select("id", F.array_join(F.slice("words", F.col("at") * step + 1, F.lit(block_words)), " ").alias("text")).distinct()
+    place = Window.partitionBy("text").orderBy("id")
+    placed = items.withColumn("first", F.row_number().over(place) == 1).sortWithinPartitions("text", F.desc("first"))
+    blocks, placed = in_blocks(placed, F.when(F.col("first"), F.size(F.split("text", " "))).otherwise(1), block_words, "decontaminate-items")
+    leads = F.row_number().over(Window.partitionBy("block", "text").orderBy("row")) == 1
+    return blocks, placed.select("block", "row", "id", F.when(leads, F.col("text")).alias("text"))
+
+
+def block_items(items: DataFrame, block: int) -> list[tuple[list[str | None], bytes]]:
+    """The different texts of a block, each with the ids of its items."""
+    out: list[tuple[list[str | None], bytes]] = []
+    for r in items.where(F.col("block") == block).orderBy("row").collect():
+        if r["text"] is not None:
+            out.append(([], r["text"].encode()))
+        out[-1][0].append(r["id"])
+    return out
 
 
 def _scanned(docs: DataFrame, text_col: str, items: list[tuple], window: int, schema: str | object, finish: Callable) -> DataFrame:
@@ -186,7 +199,7 @@ def _scanned(docs: DataFrame, text_col: str, items: list[tuple], window: int, sc
             for t in b.column(b.schema.get_field_index(text_col)):
                 words = words_of(t.as_buffer().to_pybytes()) if t.is_valid else []
                 spans, found = automaton.scan(words)
-                marks.append((len(words), spans, sorted({automaton.items[k] for k in found} - {None})))
+                marks.append((len(words), spans, sorted({i for k in found for i in automaton.items[k]} - {None})))
             yield finish(b, marks)
 
     return docs.mapInArrow(released(run), schema)
@@ -206,10 +219,9 @@ def scanned(docs: DataFrame, benchmark: DataFrame, schema: Callable, finish: Cal
     """
     spark = docs.sparkSession
     blocks, items = item_blocks(benchmark, item_id, item_text, window, block_words)
-    block = lambda df, k: [(r["id"], r["text"].encode()) for r in df.where(F.col("block") == k).collect()]
-    if blocks == 1:
-        return _scanned(docs, text_col, block(items, 0), window, schema(docs), finish)
-    items = stored(items, "decontaminate-items")
+    if len(blocks) <= 1:
+        return _scanned(docs, text_col, block_items(items, blocks[0]) if blocks else [], window, schema(docs), finish)
+    items = stored(items, "decontaminate-blocks")
     rid, had, of_row = free_names(docs.columns, "c_row", "c_had", "c_of_row")
     docs = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "decontaminate-rows")
 
@@ -223,8 +235,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, schema: Callable, finish: Cal
         )
 
     found = None
-    for k in range(blocks):
-        one = _scanned(docs.select(rid, text_col), text_col, block(items, k), window, f"{of_row} bigint, spans {SPANS}, items array<string>", hits)
+    for k in blocks:
+        one = _scanned(docs.select(rid, text_col), text_col, block_items(items, k), window, f"{of_row} bigint, spans {SPANS}, items array<string>", hits)
         one = stored(one, "decontaminate-hits")
         found = one if found is None else found.union(one)
     found = found.groupBy(of_row).agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).alias(had))
