@@ -194,3 +194,13 @@ def test_one_component_and_many_others_in_one_bucket(documents):
 
 def test_rows_of_a_key_follow_the_similarity():
     assert [S.rows_of(x) for x in (0.9, 0.8, 0.6, 0.4)] == [3, 3, 1, 1] and (1 - 0.8**3) ** S.KEYS < 5e-6
+
+
+def test_rows_that_repeat_an_id_are_told_apart_by_their_text(documents):
+    one = " ".join(f"one{k}" for k in range(40))
+    other = " ".join(f"other{k}" for k in range(40))
+    rows = [(1, one), (2, f"{one} end"), (2, other), (3, f"{other} end"), (2, other), (2, None), (2, "")]
+    kept = S.keep_one(documents(rows)).collect()
+    texts = [r["text"] for r in kept if r["text"]]
+    assert len(texts) == 2 and {t.split()[0] for t in texts} == {"one0", "other0"}
+    assert [r["doc_id"] for r in kept if not r["text"]] == [2]
