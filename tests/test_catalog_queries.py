@@ -1,7 +1,10 @@
 import pytest
 from oracle import assert_same
 
-from weftline.plans.catalog_queries import ORACLE_SQL, QUERIES
+from weftline.plans import catalog_queries, job_queries
+
+QUERIES = {**catalog_queries.QUERIES, **job_queries.QUERIES}
+ORACLE_SQL = {**catalog_queries.ORACLE_SQL, **job_queries.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", QUERIES)

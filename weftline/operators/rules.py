@@ -65,8 +65,14 @@ class Loss:
 
 @dataclass(frozen=True)
 class Create:
+    """A further object of every record of the rule's sources. `id` names it among those of its class; references may be
+    stated as a rule's are. `oid` is its own strategy: deterministicUuid, or integer."""
+
     cls: str
     assign: dict[str, Expression]
+    id: str | None = None
+    refs: tuple[Ref, ...] = ()
+    oid: str | None = None
 
 
 @dataclass(frozen=True)
@@ -79,7 +85,8 @@ class Bag:
     Without `source`: one structure made from the parent itself, where `where` holds.
     expand: every structure of the array `items` becomes an object of class `target`,
     numbered, with its parent's identifier as `parent_role`; expressions name the
-    structure by `alias`.
+    structure by `alias`. Bags within it are expanded too. An embedded bag holds
+    embedded ones only.
     """
 
     attribute: str
@@ -129,11 +136,12 @@ class RuleFrames:
     rule: Rule
     full: DataFrame
     losses: DataFrame | None
-    created: list[DataFrame]
+    #: Each with what it was made by.
+    created: list[tuple[Create, DataFrame]]
     misses: DataFrame | None
     visited: DataFrame
     matches: DataFrame
-    expanded: list[DataFrame] = field(default_factory=list)
+    expanded: list[tuple[Bag, DataFrame]] = field(default_factory=list)
 
     @property
     def targets(self) -> DataFrame:
@@ -146,23 +154,9 @@ class RuleFrames:
 
     @property
     def refs(self) -> DataFrame | None:
-        if not self.rule.refs:
-            return None
-        text = lambda v: F.lit(v).cast("string")
-        each = [
-            F.struct(
-                text(r.role).alias("role"), text(r.source_input).alias("src_input"), text(r.source_class).alias("src_class"),
-                F.get("_refs", F.lit(n)).alias("src_oid"), text(r.target_rule).alias("target_rule"), text(r.expected_class).alias("expected_class"),
-                F.lit(r.card_max).cast("int").alias("card_max"), F.lit(r.required).alias("required"), F.lit(n).alias("ord"),
-            )
-            for n, r in enumerate(self.rule.refs)
-        ]
-        rows = self.full.select("_oid", "_source_basket", F.explode(F.array(*each)).alias("r"))
-        return rows.select(
-            F.concat_ws("/", F.lit(self.rule.id), F.col("_oid"), F.col("r.ord").cast("string")).alias("ref_id"),
-            F.lit(self.rule.cls).alias("owner_class"), F.col("_oid").alias("owner_oid"), "r.role", "r.src_input", F.col("_source_basket").alias("src_basket"),
-            "r.src_class", "r.src_oid", "r.target_rule", "r.expected_class", "r.card_max", "r.required", "r.ord",
-        )
+        found = [_references(self.rule.id, self.rule.cls, self.rule.refs, self.full)] if self.rule.refs else []
+        found += [_references(f"{self.rule.id}/{_creation(self.rule, c)}", c.cls, c.refs, df) for c, df in self.created if c.refs]
+        return reduce(lambda a, b: a.unionByName(b), found) if found else None
 
     @property
     def diagnostics(self) -> DataFrame | None:
@@ -173,6 +167,34 @@ class RuleFrames:
         return rows if self.misses is None else self.misses.unionByName(rows)
 
 
+def _references(owner: str, cls: str, refs: tuple[Ref, ...], objects: DataFrame) -> DataFrame:
+    """A row for each of `refs` of each of `objects`, whose `_refs` has the identifiers that they name."""
+    text = lambda v: F.lit(v).cast("string")
+    each = [
+        F.struct(
+            text(r.role).alias("role"), text(r.source_input).alias("src_input"), text(r.source_class).alias("src_class"),
+            F.get("_refs", F.lit(n)).alias("src_oid"), text(r.target_rule).alias("target_rule"), text(r.expected_class).alias("expected_class"),
+            F.lit(r.card_max).cast("int").alias("card_max"), F.lit(r.required).alias("required"), F.lit(n).alias("ord"),
+        )
+        for n, r in enumerate(refs)
+    ]
+    rows = objects.select("_oid", "_source_basket", F.explode(F.array(*each)).alias("r"))
+    return rows.select(
+        F.concat_ws("/", F.lit(owner), F.col("_oid"), F.col("r.ord").cast("string")).alias("ref_id"),
+        F.lit(cls).alias("owner_class"), F.col("_oid").alias("owner_oid"), "r.role", "r.src_input", F.col("_source_basket").alias("src_basket"),
+        "r.src_class", "r.src_oid", "r.target_rule", "r.expected_class", "r.card_max", "r.required", "r.ord",
+    )
+
+
+def _creation(rule: Rule, create: Create) -> str:
+    """Tells a rule's created objects apart: `create`, and the own id, or the place among those of the class behind the first."""
+    if create.id:
+        return f"create/{create.id}"
+    before = [c for c in rule.create if c.cls == create.cls and not c.id]
+    place = next(i for i, c in enumerate(before) if c is create)
+    return f"create/{place}" if place else "create"
+
+
 def as_column(e: Expression, context: Context | None = None) -> Column:
     return column_of(e, context)
 
@@ -328,23 +350,24 @@ def with_bag(df: DataFrame, parent: str, bag: Bag, catalog: Catalog, context: Co
     return joined.withColumn(bag.attribute, F.coalesce(F.col(bag.attribute), F.array().cast(kind)))
 
 
-def expanded_bag(df: DataFrame, rule: Rule, bag: Bag, context: Context, owner: Column, oid: Column, base: list[Column]) -> list[DataFrame]:
-    """The objects of an expanded bag and of the bags within: envelope, parent's identifier and attributes."""
+def expanded_bag(df: DataFrame, rule: Rule, bag: Bag, context: Context, owner: Column, base: list[Column]) -> list[tuple[Bag, DataFrame]]:
+    """The objects of an expanded bag, and of the bags within it, each frame beside its bag: envelope, parent's identifier and
+    attributes. An object's identifier, until it is numbered, is its parent's, the bag's name and its place."""
     items = F.col(bag.items or bag.attribute)
     items = F.slice(items, 1, bag.max_items) if bag.max_items else items
     at = f"_at_{bag.attribute}"
-    rows = df.withColumn("_owner", owner).withColumn("_path", oid).select("*", F.posexplode(items).alias(at, bag.alias))
+    rows = df.withColumn("_owner", owner).select("*", F.posexplode(items).alias(at, bag.alias))
     own = Context(rows, context.enums, context.joined)
     if bag.where is not None:
         rows = rows.where(as_condition(bag.where, own))
-    path = F.concat_ws("-", F.col("_path"), F.col(at).cast("string"))
+    path = F.concat_ws("-", F.col("_owner"), F.lit(bag.attribute), F.col(at).cast("string"))
     columns = [F.lit(rule.output).alias("_output"), F.lit(bag.target or rule.cls).alias("_class"), path.alias("_oid"), *base]
     if bag.parent_role:
         columns.append(F.col("_owner").alias(bag.parent_role))
-    out = [rows.select(*columns, *(column_of(e, own).alias(k) for k, e in bag.assign.items()))]
-    inner = rows.withColumn("_up", path).drop("_owner", "_path")
+    out = [(bag, rows.select(*columns, *(column_of(e, own).alias(k) for k, e in bag.assign.items())))]
+    inner = rows.withColumn("_up", path).drop("_owner")
     for b in bag.bags:
-        out += expanded_bag(inner, rule, b, Context(inner, context.enums, context.joined), F.col("_up"), F.col("_up"), base)
+        out += expanded_bag(inner, rule, b, Context(inner, context.enums, context.joined), F.col("_up"), base)
     return out
 
 
@@ -462,7 +485,7 @@ def lower(
                 if oid == "uuid":
                     raise ValueError(f"rule {rule.id}: expanded bags need identifiers that a second run of the plan gives again")
                 base = [home, F.lit(rule.id).alias("_rule"), own["_oid"].alias("_source_oid")]
-                expanded += expanded_bag(df, rule, b, context, target_oid, target_oid, base)
+                expanded += expanded_bag(df, rule, b, context, target_oid, base)
                 if b.max_items:
                     lost = F.size(F.col(b.items or b.attribute)) - b.max_items
                     losses.append(
@@ -491,17 +514,21 @@ def lower(
         for s in rule.sources:
             rows = _aliased(catalog, s)
             of_rows = Context(rows, enums or {})
-            rows = with_lookups(rows, list(c.assign.values()), catalog, of_rows)
-            created.append(
-                rows.select(
-                    F.lit(rule.output).alias("_output"),
-                    F.lit(c.cls).alias("_class"),
-                    deterministic_uuid(namespace, f"{rule.id}/create", c.cls, {}, {k: F.col(f"{s.alias}._{k}") for k in ("input", "basket", "class", "oid")}).alias("_oid"),
-                    F.col(f"{s.alias}._oid").alias("_source_oid"),
-                    F.lit(rule.id).alias("_rule"),
-                    *(as_column(e, of_rows).alias(n) for n, e in c.assign.items()),
-                )
+            rows = with_lookups(rows, [*c.assign.values(), *(r.source_oid for r in c.refs if r.source_oid is not None)], catalog, of_rows)
+            own = {k: F.col(f"{s.alias}._{k}") for k in ("input", "basket", "class", "oid")}
+            refs = F.array(*((F.lit(None) if r.source_oid is None else as_column(r.source_oid, of_rows)).cast("string") for r in c.refs))
+            made_by = rows.select(
+                F.lit(rule.output).alias("_output"),
+                F.lit(c.cls).alias("_class"),
+                deterministic_uuid(namespace, f"{rule.id}/{_creation(rule, c)}", c.cls, {}, own).alias("_oid"),
+                basket(baskets, own["basket"], F.lit(c.cls.rpartition(".")[0])).alias("_basket"),
+                own["basket"].alias("_source_basket"),
+                own["oid"].alias("_source_oid"),
+                F.lit(rule.id).alias("_rule"),
+                refs.cast("array<string>").alias("_refs"),
+                *(as_column(e, of_rows).alias(n) for n, e in c.assign.items()),
             )
+            created.append((c, made_by))
     union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
     visited = union([catalog.records(s.cls, s.inputs).select(F.lit(rule.id).alias("rule")) for s in (rule.sources[:1] if rule.joins else rule.sources)])
     matches = union([before.select(F.lit(rule.id).alias("rule")) for *_, before, _ in parts])

@@ -38,14 +38,22 @@ def _catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
     return found
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+def registering(queries: dict[str, Callable], sqls: dict[str, str]):
+    """A decorator that takes a query, with its SQL, into these."""
 
-    return keep
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = registering(QUERIES, ORACLE_SQL)
 
 
 def _uuid_sql(name: str) -> str:
@@ -353,7 +361,7 @@ def create_additional(spark, sf_dir):
     c = _catalog(spark, sf_dir, "orders")
     key = {"o_orderkey": "o.o_orderkey"}
     f = lower(Rule("r", "out", "Sale", (Source("o", "tpch.Main.orders", where="o.o_orderstatus = 'F'"),), key, create=(Create("Log", key),)), c)
-    return f.targets.unionByName(f.created[0], allowMissingColumns=True).select("o_orderkey", F.col("_class").alias("cls"))
+    return f.targets.unionByName(f.created[0][1], allowMissingColumns=True).select("o_orderkey", F.col("_class").alias("cls"))
 
 
 @query("select o_orderkey, 'priority' as source_path, 'DROPPED' as reason_code from orders where o_orderpriority like '1%'")
@@ -747,7 +755,7 @@ def job_bag_expand(spark, sf_dir):
     bag = {"mode": "expand", "items": "orders", "alias": "x", "target": "Order", "maxItems": 3, "parentRef": {"role": "client"}, "assign": {"o_orderkey": "x.key"}}
     f = _job_rule(spark, sf_dir, {"sources": [{"alias": "c", "class": "Client"}], "assign": {"c_custkey": "c.c_custkey"}, "bags": {"orders": bag}}, catalog=c)
     place = F.regexp_extract("_oid", "-([0-9]+)$", 1).cast("long")
-    rows = f.expanded[0].select("client", place.alias("place"), "o_orderkey").join(f.targets.select(F.col("_oid").alias("client"), "c_custkey"), "client")
+    rows = f.expanded[0][1].select("client", place.alias("place"), "o_orderkey").join(f.targets.select(F.col("_oid").alias("client"), "c_custkey"), "client")
     lost = f.losses.select(F.col("source_oid").cast("long").alias("l_key"), (F.split("description", " ")[0].cast("long") + 3).alias("beyond"))
     sizes = nested.select(F.col("c_custkey").alias("s_key"), F.size("orders").cast("long").alias("n"))
     rows = rows.join(sizes, F.col("c_custkey") == F.col("s_key")).join(lost, F.col("c_custkey") == F.col("l_key"), "left")

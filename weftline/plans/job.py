@@ -108,6 +108,16 @@ def _bag(attribute: str, d: dict) -> Bag:
     )
 
 
+def _refs(refs: list[dict] | None) -> tuple[Ref, ...]:
+    return tuple(
+        Ref(
+            r["role"], _maybe(r.get("sourceRef")), r.get("targetRule"), r.get("sourceClass"), r.get("sourceInput"), r.get("expectedClass"),
+            r.get("required", False), r.get("max", 1), r.get("singleton", False),
+        )
+        for r in refs or []
+    )
+
+
 def rule_of(d: dict) -> Rule:
     """A rule from its plain form."""
     target = d.get("target") or {"output": d.get("output"), "class": d.get("targetClass")}
@@ -121,12 +131,11 @@ def rule_of(d: dict) -> Rule:
         _maybe(d.get("where")),
         _assign(d.get("defaults")),
         tuple((d.get("identity") or {}).get("sourceKey", [])),
+        _refs(d.get("refs")),
+        tuple(Loss(x["sourcePath"], x["reasonCode"], x.get("description", ""), _maybe(x.get("when"))) for x in d.get("losses", [])),
         tuple(
-            Ref(r["role"], _maybe(r.get("sourceRef")), r.get("targetRule"), r.get("sourceClass"), r.get("sourceInput"), r.get("expectedClass"), r.get("required", False), r.get("max", 1), r.get("singleton", False))
-            for r in d.get("refs", [])
+            Create(c["class"], _assign(c["assign"]), c.get("id"), _refs(c.get("refs")), (c.get("identity") or {}).get("oidStrategy")) for c in d.get("create", [])
         ),
-        tuple(Loss(x["sourcePath"], x["reasonCode"], x.get("description", ""), _maybe(x.get("when"))) for x in d.get("losses", [])),
-        tuple(Create(c["class"], _assign(c["assign"])) for c in d.get("create", [])),
         tuple(_bag(k, b) for k, b in (d.get("bags") or {}).items()),
         tuple(sorted((str(k), str(v)) for k, v in (d.get("metadata") or {}).items())),
     )
@@ -167,7 +176,7 @@ def load_job(path: str) -> Job:
 
 def rule_order(rules: tuple[Rule, ...]) -> list[str]:
     """Rules so that those referred to come first; ValueError names a cycle. A reference to the own rule is none."""
-    needs = {r.id: {x.target_rule for x in r.refs if x.target_rule and x.target_rule != r.id} for r in rules}
+    needs = {r.id: {x.target_rule for x in (*r.refs, *(x for c in r.create for x in c.refs)) if x.target_rule and x.target_rule != r.id} for r in rules}
     done: list[str] = []
     while len(done) < len(needs):
         ready = [k for k in needs if k not in done and needs[k] <= {*done} | (needs[k] - set(needs))]
@@ -214,7 +223,12 @@ def check_structure(job: Job) -> list[Diagnostic]:
                 error("MAP-JOIN-TYPE", f"join type {j.kind!r}", r.id)
         if len(set(r.identity)) < len(r.identity) or any("." not in k or k.partition(".")[0] not in aliases for k in r.identity):
             error("MAP-IDENTITY-KEY", f"identity keys {list(r.identity)} must be distinct and qualified by an alias", r.id)
-        for x in r.refs:
+        for c in r.create:
+            if c.oid not in (None, "deterministicUuid", "integer"):
+                error("MAP-OID-STRATEGY", f"create {c.cls}: strategy {c.oid!r}", r.id)
+            if c.id and [x.id for x in r.create].count(c.id) > 1:
+                error("MAP-DUPLICATE-CREATE", f"create {c.id} is defined twice", r.id)
+        for x in (*r.refs, *(x for c in r.create for x in c.refs)):
             if x.target_rule and x.target_rule not in rules:
                 error("MAP-UNKNOWN-RULE", f"reference {x.role} to no rule {x.target_rule!r}", r.id)
             elif x.target_rule and x.expected_class and rules[x.target_rule].cls != x.expected_class:
@@ -245,7 +259,7 @@ def check_structure(job: Job) -> list[Diagnostic]:
 
 def _expressions(r: Rule, job: Job) -> list:
     bags = [e for b in _all_bags(r.bags) for e in (*b.assign.values(), b.where, b.order, b.source and b.source.where)]
-    of_rule = [*r.assign.values(), *r.defaults.values(), r.where, *(s.where for s in r.sources), *(x.source_oid for x in r.refs), *(x.when for x in r.losses)]
+    of_rule = [*r.assign.values(), *r.defaults.values(), r.where, *(s.where for s in r.sources), *(x.source_oid for x in r.refs), *(x.when for x in r.losses), *(x.source_oid for c in r.create for x in c.refs)]
     return [e for e in [*job.defaults.values(), *of_rule, *bags, *(e for c in r.create for e in c.assign.values())] if e is not None]
 
 
@@ -265,6 +279,11 @@ def _check_bag(r: Rule, b: Bag, classes: set[str]) -> list[Diagnostic]:
         out.append(Diagnostic("MAP-BAG-MAX-ITEMS", "ERROR", f"bag {b.attribute}: maxItems {b.max_items}", r.id))
     if b.mode == "expand" and not b.target:
         out.append(Diagnostic("MAP-BAG-TARGET", "ERROR", f"bag {b.attribute}: an expanded bag names the class of its objects", r.id))
+    for x in b.bags:
+        if x.mode != b.mode:
+            out.append(Diagnostic("MAP-BAG-MODE", "ERROR", f"bag {x.attribute} within {b.attribute}: mode {x.mode!r} within {b.mode!r}", r.id))
+    if b.mode == "expand" and r.joins:
+        out.append(Diagnostic("MAP-BAG-JOIN", "ERROR", f"bag {b.attribute}: a rule with joins can't expand a bag", r.id))
     return [*out, *(d for x in b.bags for d in _check_bag(r, x, classes))]
 
 
