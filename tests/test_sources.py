@@ -113,8 +113,9 @@ OBJE 10 main_road @ 7
 STPT 1.0 2.0
 LIPT 3.0 4.0
 ELIN
-OBJE 11 a
-CONT b c
+OBJE 11 a \\
+CONT b \\
+CONT 13
 ETAB
 TABL Other
 OBJE 1 x
@@ -127,24 +128,107 @@ ENDE
 def test_transfer_file(spark, tmp_path):
     (tmp_path / "m.itf").write_text(TRANSFER)
     df = read_input(spark, f"{tmp_path}/m.itf", {"table": "Axis", "fields": "name,note,n"})
-    assert rows(df) == [("Roads", "10", "main road", None, "7", "LINESTRING (1.0 2.0, 3.0 4.0)"), ("Roads", "11", "a", "b", "c", None)]
+    assert rows(df) == [("Roads", "10", "main road", None, "7", "LINESTRING (1 2, 3 4)"), ("Roads", "11", "a", "b", "13", None)]
     assert [o[2] for o in transferfile.objects(TRANSFER)] == ["10", "11", "1"]
 
 
-def test_areas_of_transfer_files(spark, tmp_path):
-    from weftline.sources import transferfile
-
-    shape = "POLYGON ((0 0, 10 0, 10 10, 0 0), (1 1, 2 1, 2 2, 1 1))"
-    df = spark.createDataFrame([("1", None, "x" * 60, "long text behind it", shape), ("2", None, "b", None, None)], "_oid string, _basket string, a string, b string, geometry string")
-    formats.write_output(df, f"{tmp_path}/itf", {"class": "M.T.Plot"}, "itf")
-    text = "".join(p.read_text() for p in tmp_path.glob("itf/*/*.txt"))
-    assert "CONT " in text and max(map(len, text.split("\n"))) <= 80
-    plots = formats.read_input(spark, f"{tmp_path}/itf/*", {"table": "Plot", "fields": "a,b"}, "itf")
-    rings = formats.read_input(spark, f"{tmp_path}/itf/*", {"table": "Plot_geometry", "fields": "plot"}, "itf")
-    got = {r["_oid"]: (r["b"], r["geometry"]) for r in transferfile.with_areas(plots, rings, "plot").collect()}
-    assert got == {"1": ("long text behind it", shape), "2": (None, None)}
+def test_written_transfer_file_is_as_expected(spark, tmp_path):
+    """Byte by byte: long objects, blanks, undefined values, surfaces, arcs; one file, and none where a task fails."""
+    shape = "POLYGON ((0 0, 10 0, 10 10.5, 0 0), (1 1, 2 1, 2 2, 1 1))"
+    plots = spark.createDataFrame([("10", "b1", "x" * 60, "long text behind it", shape), ("9", "b2", "b", None, None)], "_oid string, _basket string, a string, b string, geometry string")
+    roads = spark.createDataFrame([("3", "main", "COMPOUNDCURVE ((0 0, 1 0), CIRCULARSTRING (1 0, 2 1, 3 0))"), ("4", "end", "POINT (7 8)")], "_oid string, name string, geometry string")
+    formats.format_of("x.itf").write_all({"M.T.Plot": plots, "M.U.Road": roads}, f"{tmp_path}/m.itf", {})
+    assert (tmp_path / "m.itf").read_text() == f"""SCNT
+weftline
+////
+MTID M
+MODL M
+TOPI T
+TABL Plot
+OBJE 9 b @
+OBJE 10 {"x" * 60} \\
+CONT long_text_behind_it
+ETAB
+TABL Plot_geometry
+OBJE 1 10
+STPT 0 0
+LIPT 10 0
+LIPT 10 10.5
+LIPT 0 0
+ELIN
+OBJE 2 10
+STPT 1 1
+LIPT 2 1
+LIPT 2 2
+LIPT 1 1
+ELIN
+ETAB
+ETOP
+TOPI U
+TABL Road
+OBJE 3 main
+STPT 0 0
+LIPT 1 0
+ARCP 2 1
+LIPT 3 0
+ELIN
+OBJE 4 end
+STPT 7 8
+ETAB
+TABL Road_geometry
+ETAB
+ETOP
+EMOD
+ENDE
+"""
+    read = lambda **o: {r["_oid"]: tuple(r)[2:] for r in read_input(spark, f"{tmp_path}/m.itf", o).collect()}
+    got = read(table="Plot", fields="a,b", lines="Plot_geometry", kind="surface")
+    assert got == {"10": ("x" * 60, "long text behind it", "POLYGON ((0 0, 10 0, 10 10.5, 0 0), (1 1, 2 1, 2 2, 1 1))".replace("1 1, 2 1, 2 2, 1 1", "1 1, 2 2, 2 1, 1 1")), "9": ("b", None, None)}
+    assert read(table="Road", fields="name")["3"][1] == "COMPOUNDCURVE ((0 0, 1 0), CIRCULARSTRING (1 0, 2 1, 3 0))"
     with pytest.raises(Exception, match="no whole number"):
-        formats.write_output(df.withColumn("_oid", F.lit("x1")), f"{tmp_path}/bad", {"class": "M.T.Plot"}, "itf")
+        formats.write_output(plots.withColumn("_oid", F.lit("x1")), f"{tmp_path}/bad.itf", {"class": "M.T.Plot"}, "itf")
+    with pytest.raises(FileExistsError):
+        formats.write_output(plots, f"{tmp_path}/m.itf", {"class": "M.T.Plot"}, "itf")
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".m.itf.crc")) == ["m.itf"]
+
+
+def test_areas_of_transfer_files(spark, tmp_path):
+    """A planar map: each boundary once, a point an area; read again the areas are equal."""
+    plots = [("1", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"), ("2", "POLYGON ((10 0, 20 0, 20 10, 10 10, 10 0))"), ("3", "POLYGON ((4 4, 6 4, 6 6, 4 6, 4 4))"), ("4", None)]
+    df = spark.createDataFrame(plots, "_oid string, geometry string")
+    formats.write_output(df, f"{tmp_path}/m.itf", {"class": "M.T.Plot", "geometry": {"Plot": "area"}}, "itf")
+    text = (tmp_path / "m.itf").read_text()
+    assert text.index("TABL Plot_geometry") < text.index("TABL Plot\n") and text.count("LIPT") == 4 + 3 + 4 and text.split("TABL Plot\n")[1].count("STPT") == 3
+    options = {"table": "Plot", "fields": "none", "lines": "Plot_geometry", "kind": "area"}
+    got = {r["_oid"]: r["geometry"] for r in read_input(spark, f"{tmp_path}/m.itf", options).collect()}
+    points = lambda t: t and sorted(tuple(sorted(set(r.split(", ")))) for r in t.replace("POLYGON ((", "").replace("))", "").split("), ("))
+    assert {k: points(v) for k, v in got.items()} == {k: points(v) for k, v in plots}
+    assert [(r["code"], r["key"]) for r in transferfile.area_findings(spark, f"{tmp_path}/m.itf", options).collect()] == [("AREA_WITHOUT_BOUNDARY", "4")]
+
+
+def test_one_xml_transfer(spark, tmp_path):
+    shops = spark.createDataFrame([("s1", "b1", "A & B", None, 1), ("s2", "b2", None, "p1", 2)], "_oid string, _basket string, name string, place string, n int")
+    places = spark.createDataFrame([("p1", "b2", 1.5), ("p2", "b2", None)], "_oid string, _basket string, x double")
+    formats.format_of("x.xtf").write_all({"M.T.Shop": shops, "M.T.Place": places}, f"{tmp_path}/o.xtf", {"roles": {"M.T.Shop": ["place"]}, "sender": "me"})
+    assert (tmp_path / "o.xtf").read_text() == """<?xml version="1.0" encoding="UTF-8"?>
+<TRANSFER xmlns="http://www.interlis.ch/INTERLIS2.3">
+<HEADERSECTION SENDER="me" VERSION="2.3"><MODELS><MODEL NAME="M" VERSION="1" URI=""/></MODELS></HEADERSECTION>
+<DATASECTION>
+<M.T BID="b1">
+<M.T.Shop TID="s1"><name>A &amp; B</name><n>1</n></M.T.Shop>
+</M.T>
+<M.T BID="b2">
+<M.T.Place TID="p1"><x>1.5</x></M.T.Place>
+<M.T.Place TID="p2"></M.T.Place>
+<M.T.Shop TID="s2"><place REF="p1"/><n>2</n></M.T.Shop>
+</M.T>
+</DATASECTION>
+</TRANSFER>
+"""
+    options = {"oid": "TID", "bid": "BID", "basketTag": "M.T"}
+    back = read_input(spark, f"{tmp_path}/o.xtf", {**options, "class": "M.T.Shop", "schema": "name string, place struct<_a_REF:string>, n decimal(10,2)"})
+    assert [tuple(r) for r in back.select("_basket", "_oid", "name", "place", F.col("n").cast("int")).orderBy("_oid").collect()] == [("b1", "s1", "A & B", None, 1), ("b2", "s2", None, "p1", 2)]
+    assert read_input(spark, f"{tmp_path}/o.xtf", {**options, "class": "M.T.Place", "schema": "x double, deep struct<a:int,b:int>"}).count() == 2
 
 
 def test_wkb_of_all_kinds():

@@ -62,17 +62,17 @@ def side_of(ring: Ring, x: float, y: float) -> int:
 
 
 def _edges(lines: DataFrame) -> DataFrame:
-    """(edge, twin, a, b, angle, points): both directions of each line (line, points)."""
+    """(map, edge, twin, a, angle, points): both directions of each line (map, line, points)."""
     way = lambda code, points: F.struct((F.col("line") * 2 + code).alias("edge"), (F.col("line") * 2 + 1 - code).alias("twin"), points.alias("points"))
-    both = lines.select(F.explode(F.array(way(0, F.col("points")), way(1, F.reverse("points")))).alias("e")).select("e.*")
+    both = lines.select("map", F.explode(F.array(way(0, F.col("points")), way(1, F.reverse("points")))).alias("e")).select("map", "e.*")
     at = lambda i: F.element_at("points", i)
     angle = F.atan2(at(2)["y"] - at(1)["y"], at(2)["x"] - at(1)["x"])
-    return both.select("edge", "twin", at(1).alias("a"), at(-1).alias("b"), angle.alias("angle"), "points")
+    return both.select("map", "edge", "twin", at(1).alias("a"), angle.alias("angle"), "points")
 
 
 def _next(edges: DataFrame) -> DataFrame:
     """(edge, twin, next): behind an edge follows, of those that leave its end, the one clockwise of its twin."""
-    around = Window.partitionBy("a").orderBy("angle", "edge")
+    around = Window.partitionBy("map", "a").orderBy("angle", "edge")
     last = F.last("edge").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     # Clockwise of an outgoing edge is the one before it by angle. The twin of an outgoing edge comes in.
     return edges.select(F.col("twin").alias("edge"), F.col("edge").alias("twin"), F.coalesce(F.lag("edge").over(around), last).alias("next"))
@@ -91,10 +91,10 @@ def labelled(pointers: DataFrame) -> DataFrame:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (ring, edges: [(edge, next, points)]): (ring, points, area), points following the pointers, the last like the first."""
+    """From (map, ring, edges: [(edge, next, points)]): (map, ring, points, area), points following the pointers, the last like the first."""
     for b in batches:
         rings, areas = [], []
-        for label, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for label, edges in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             by_edge = {e["edge"]: e for e in edges}
             ring, at = [], label
             for _ in edges:
@@ -103,16 +103,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ring.append(ring[0])
             rings.append([{"x": x, "y": y} for x, y in ring])
             areas.append(signed_area(ring))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), pa.array(areas, pa.float64())], names=["ring", "points", "area"])
+        points = pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), points, pa.array(areas, pa.float64())], names=["map", "ring", "points", "area"])
 
 
 def rings_of(lines: DataFrame) -> DataFrame:
-    """(ring, points, area) of the map that `lines` (points) bound.
+    """(map, ring, points, area) of the maps that `lines` (map, points) bound.
 
     Lines cross nowhere and meet at their ends only; a line of fewer than two points, or a null one, is left out. A
     line with the same face on both sides bounds nothing: dead ends and bridges are left out as well.
     """
-    kept = lines.where(F.size("points") > 1).select(F.monotonically_increasing_id().alias("line"), "points")
+    kept = lines.where(F.size("points") > 1).select(F.coalesce("map", F.lit("")).alias("map"), F.monotonically_increasing_id().alias("line"), "points")
     kept = stored(kept, "areas-lines")
     while True:
         edges = stored(_edges(kept), "areas-edges")
@@ -125,21 +126,21 @@ def rings_of(lines: DataFrame) -> DataFrame:
         if bare.isEmpty():
             break
         kept = stored(kept.join(bare, F.col("line") == F.col("b_line"), "left_anti"), "areas-lines")
-    of_ring = sides.select("edge", "next", "label").join(edges.select("edge", "points"), "edge")
-    rings = of_ring.groupBy(F.col("label").alias("ring")).agg(F.collect_list(F.struct("edge", "next", "points")).alias("edges"))
-    return stored(rings.mapInArrow(_gathered, f"ring bigint, points {POINTS}, area double"), "areas-rings")
+    of_ring = sides.select("edge", "next", "label").join(edges.select("map", "edge", "points"), "edge")
+    rings = of_ring.groupBy("map", F.col("label").alias("ring")).agg(F.collect_list(F.struct("edge", "next", "points")).alias("edges"))
+    return stored(rings.mapInArrow(_gathered, f"map string, ring bigint, points {POINTS}, area double"), "areas-rings")
 
 
 def _boxes(shapes: DataFrame, key: str, shell: Column) -> DataFrame:
-    """A row for each grid cell of a shape's box (four at most): level (a cell is 2 ** level wide), cx, cy."""
+    """A row for each grid cell of a shape's box (four at most), within its map: level (a cell is 2 ** level wide), cx, cy."""
     x, y = (F.transform(shell, _axis(a)) for a in ("x", "y"))
     box = {"x0": F.array_min(x), "x1": F.array_max(x), "y0": F.array_min(y), "y1": F.array_max(y)}
-    boxed = shapes.select(key, *(c.alias(n) for n, c in box.items()))
+    boxed = shapes.select("map", key, *(c.alias(n) for n, c in box.items()))
     wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-300))
     boxed = boxed.withColumn("level", F.ceil(F.log2(wide)).cast("int"))
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
     boxed = boxed.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
-    return boxed.withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1"))))).select(key, "level", "cx", "cy")
+    return boxed.withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1"))))).select("map", key, "level", "cx", "cy")
 
 
 def _axis(name: str):
@@ -157,29 +158,29 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def located(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(point, shape, size) for `points` (point, x, y) that lie strictly within `shapes` (shape, size, rings)."""
+    """(point, shape, size) for `points` (map, point, x, y) that lie strictly within `shapes` (map, shape, size, rings) of their map."""
     cells = stored(_boxes(shapes, "shape", F.col("rings")[0]), "areas-cells")
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # sizes that occur, by powers of two
     if not levels:
         return points.sparkSession.createDataFrame([], f"point {dict(points.dtypes)['point']}, shape {dict(shapes.dtypes)['shape']}, size double")
     asked = points.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
-    asked = asked.select("point", "x", "y", "level", cell("x").alias("cx"), cell("y").alias("cy"))
-    met = asked.join(cells, ["level", "cx", "cy"]).select("point", "x", "y", "shape").join(shapes.select("shape", "size", "rings"), "shape")
+    asked = asked.select("map", "point", "x", "y", "level", cell("x").alias("cx"), cell("y").alias("cy"))
+    met = asked.join(cells, ["map", "level", "cx", "cy"]).select("point", "x", "y", "shape").join(shapes.select("shape", "size", "rings"), "shape")
     schema = f"point {dict(points.dtypes)['point']}, shape {dict(shapes.dtypes)['shape']}, size double"
     return met.select("point", "x", "y", "shape", "size", "rings").mapInArrow(_within, schema)
 
 
 def polygons(lines: DataFrame) -> DataFrame:
-    """(shape, size, rings): the faces of the map of `lines` (points), a shell and its holes, and the shell's area."""
+    """(map, shape, size, rings): the faces of each map of `lines` (map, points), a shell and its holes, and the shell's area."""
     rings = rings_of(lines)
-    shells = rings.where("area > 0").select(F.col("ring").alias("shape"), F.col("area").alias("size"), F.array("points").alias("rings"))
+    shells = rings.where("area > 0").select("map", F.col("ring").alias("shape"), F.col("area").alias("size"), F.array("points").alias("rings"))
     outlines = rings.where("area < 0")
-    first = outlines.select(F.col("ring").alias("point"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+    first = outlines.select("map", F.col("ring").alias("point"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
     homes = located(first, shells).groupBy("point").agg(F.min(F.struct("size", "shape")).alias("home"))
     holes = homes.join(outlines, F.col("point") == F.col("ring")).groupBy(F.col("home.shape").alias("h_shape")).agg(F.sort_array(F.collect_list("points")).alias("holes"))
     whole = shells.join(holes, F.col("shape") == F.col("h_shape"), "left")
-    return whole.select("shape", "size", F.concat("rings", F.coalesce("holes", F.array().cast(f"array<{POINTS}>"))).alias("rings"))
+    return whole.select("map", "shape", "size", F.concat("rings", F.coalesce("holes", F.array().cast(f"array<{POINTS}>"))).alias("rings"))
 
 
 def assembled(objects: DataFrame, lines: DataFrame, geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
@@ -190,9 +191,9 @@ def assembled(objects: DataFrame, lines: DataFrame, geometry: str = "geometry")
     of an area with several points each object gets it (AREA_WITH_SEVERAL_POINTS); an area without one belongs to no
     object (AREA_WITHOUT_OBJECT).
     """
-    shapes = stored(polygons(lines.select(points_of_wkt(F.col("geometry")).alias("points"))), "areas-polygons")
+    shapes = stored(polygons(lines.select(F.lit("").alias("map"), points_of_wkt(F.col("geometry")).alias("points"))), "areas-polygons")
     inner = F.split(F.trim(F.regexp_extract(geometry, r"^\s*POINT\s*\((.*)\)\s*$", 1)), r"\s+")
-    asked = objects.select(F.col("_oid").alias("point"), *(F.try_element_at(inner, F.lit(i)).try_cast("double").alias(n) for i, n in ((1, "x"), (2, "y"))))
+    asked = objects.select(F.lit("").alias("map"), F.col("_oid").alias("point"), *(F.try_element_at(inner, F.lit(i)).try_cast("double").alias(n) for i, n in ((1, "x"), (2, "y"))))
     found = stored(located(asked.where("x is not null and y is not null").distinct(), shapes), "areas-found")
     wkt = found.join(shapes.select("shape", "rings"), "shape").select(F.col("point").alias("_of"), wkt_of_rings(F.col("rings")).alias(geometry))
     named = objects.drop(geometry).join(wkt, F.col("_oid") == F.col("_of"), "left").drop("_of")
@@ -203,6 +204,14 @@ def assembled(objects: DataFrame, lines: DataFrame, geometry: str = "geometry")
     return named, missing.unionByName(several).unionByName(empty)
 
 
+def surfaces(objects: DataFrame, lines: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """`objects` (_oid) with the surface that their own `lines` (owner, WKT line strings in `geometry`) bound: the largest
+    face of each, with its holes; null where they bound none. Surfaces of different objects may overlap."""
+    shapes = stored(polygons(lines.where("owner is not null").select(F.col("owner").alias("map"), points_of_wkt(F.col("geometry")).alias("points"))), "areas-surfaces")
+    whole = shapes.groupBy("map").agg(F.max("size").alias("w_size"), F.max_by("rings", "size").alias("rings"))
+    return objects.drop(geometry).join(whole.select(F.col("map").alias("_of"), wkt_of_rings(F.col("rings")).alias(geometry)), F.col("_oid") == F.col("_of"), "left").drop("_of")
+
+
 def rings_of_wkt(wkt: Column) -> Column:
     """The rings of a WKT polygon, each an array of x and y; null for another geometry."""
     inner = F.regexp_extract(wkt, r"^\s*POLYGON\s*\(\s*\((.*)\)\s*\)\s*$", 1)

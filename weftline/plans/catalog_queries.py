@@ -991,7 +991,7 @@ def format_itf(spark, sf_dir):
         "cast(s_suppkey as string) as _oid", "cast(null as string) as _basket", "s_name as name", "if(s_suppkey % 2 = 0, 'a b', null) as note", "concat('POINT (', s_suppkey, ' 7)') as geometry"
     )
     formats.write_output(rows, path, {"class": "M.T.Shop"}, "itf")
-    return formats.read_input(spark, f"{path}/*", {"table": "Shop", "fields": "name,note"}, "itf").select(F.col("_oid").alias("oid"), "name", "note", "geometry")
+    return formats.read_input(spark, path, {"table": "Shop", "fields": "name,note"}, "itf").select(F.col("_oid").alias("oid"), "name", "note", "geometry")
 
 
 @query("select s_suppkey, 'POINT (' || (s_suppkey + 1) || ' 0.5)' as shape from supplier")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftline.functions.geometry import wkb_text
-from weftline.sources import geopackage, shapefile, transferfile, xmltransfer
+from weftline.sources import geopackage, shapefile, transferfile, transfers, xmltransfer
 
 
 class UnknownFormat(ValueError):
@@ -57,6 +57,8 @@ class Format:
     extensions: tuple[str, ...]
     read: Callable[..., DataFrame] | None
     write: Callable[..., None] | None
+    #: Of formats that hold several classes in one file: writes them all.
+    write_all: Callable[..., None] | None = None
 
 
 def read_parquet(spark: SparkSession, path: str, options: dict) -> DataFrame:
@@ -151,8 +153,8 @@ def scalar_text(df: DataFrame, column: str, blob_encoding: str | None = None):
 
 
 FORMATS = [
-    Format("xtf", ("xtf", "xml"), xmltransfer.read, xmltransfer.write),
-    Format("itf", ("itf",), transferfile.read, transferfile.write),
+    Format("xtf", ("xtf", "xml"), xmltransfer.read, xmltransfer.write, transfers.write_xtf),
+    Format("itf", ("itf",), transferfile.read, lambda df, path, options: transfers.write_itf({options["class"]: df}, path, options), transfers.write_itf),
     Format("csv", ("csv",), read_csv, None),
     Format("gpkg", ("gpkg",), geopackage.read, None),
     Format("shp", ("shp", "zip"), shapefile.read, shapefile.write),

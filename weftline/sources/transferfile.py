@@ -1,4 +1,4 @@
-"""Line-oriented transfer files: TOPI and TABL open a table, OBJE an object, STPT/LIPT/ELIN its lines."""
+"""Line-oriented transfer files: TOPI and TABL open a table, OBJE an object, STPT/LIPT/ARCP/ELIN its lines."""
 
 from __future__ import annotations
 
@@ -8,24 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.curves import Curve, stroked, transfer_lines, wkt_of_curves
+from weftline.operators import areas
+
 
 def objects(text: str) -> Iterator[tuple[str, str, str, list[str | None], str | None]]:
-    """(topic, table, oid, values, WKT of the object's lines): '@' is undefined, '_' a blank, CONT carries on a line.
+    """(topic, table, oid, values, WKT of the object's lines): '@' is undefined, '_' a blank; a line that ends in a
+    backslash goes on in the CONT line behind it.
 
-    ELIN ends a line: several lines of an object are one multi-line. Points of arcs are taken as vertices.
+    ELIN ends a line: several lines of an object are one multi-line. Lines with arcs are curves.
     """
     topic = table = ""
     current, points, ended = None, [], []
-    lines = iter(text.replace("\r\n", "\n").split("\n"))
-    held: list[str] = []
-    for line in lines:
+    for line in text.replace("\r\n", "\n").split("\n"):
         word, _, rest = line.partition(" ")
         if word == "CONT":
-            held.append(rest)
+            if current is not None:
+                current[3].extend(_values(rest))
             continue
-        if held and current is not None:
-            current[3].extend(_values(" ".join(held)))
-        held = []
         if word in ("OBJE", "ETAB", "ETOP", "ENDE") and current is not None:
             yield (*current, _lines(ended + [points] if points else ended))
             current, points, ended = None, [], []
@@ -37,28 +37,59 @@ def objects(text: str) -> Iterator[tuple[str, str, str, list[str | None], str |
             values = _values(rest)
             current = (topic, table, values[0], values[1:])
         elif word in ("STPT", "LIPT", "ARCP"):
-            points.append(rest.strip())
+            x, y = map(float, rest.split()[:2])
+            points.append(((x, y), word == "ARCP"))
         elif word == "ELIN" and points:
             ended.append(points)
             points = []
 
 
 def _values(text: str) -> list[str | None]:
-    return [None if v == "@" else v.replace("_", " ") for v in text.removesuffix("\\").split()]
+    return [None if v == "@" else v.replace("_", " ") for v in text.rstrip().removesuffix("\\").split()]
 
 
-def _lines(lines: list[list[str]]) -> str | None:
-    if len(lines) > 1:
-        return "MULTILINESTRING (" + ", ".join(f"({', '.join(p)})" for p in lines) + ")"
-    points = lines[0] if lines else []
-    return f"LINESTRING ({', '.join(points)})" if len(points) > 1 else f"POINT ({points[0]})" if points else None
+def _lines(lines: list[Curve]) -> str | None:
+    if not lines:
+        return None
+    if len(lines) == 1 and len(lines[0]) == 1:
+        return wkt_of_curves(lines).replace("LINESTRING", "POINT")
+    return wkt_of_curves(lines)
 
 
 def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
     """Objects of option `table` (of option `topic`): `_oid`, the attributes of option `fields` in order, `geometry`.
 
     Option encoding (ISO-8859-1). A file is read whole, as its tables depend on the lines before.
+
+    A polygon's lines stand in a helper table, which option `lines` names. Option `kind` area: the lines bound the areas
+    of all objects, and the point at each object names its own; what doesn't fit is told by `area_findings`. Surface: a
+    row's first attribute names the object that it bounds. Arcs are stroked for that within option `tolerance` (0.001).
     """
+    if not options.get("lines"):
+        return _table(spark, path, options)
+    own, lines = _with_lines(spark, path, options)
+    if options["kind"] == "area":
+        return areas.assembled(own, lines)[0]
+    if options["kind"] != "surface":
+        raise ValueError(f"option kind: {options['kind']!r} is neither area nor surface")
+    return areas.surfaces(own, lines)
+
+
+def area_findings(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """(code, key) of areas without a boundary, without an object, or with several points; options as in `read`."""
+    return areas.assembled(*_with_lines(spark, path, options))[1]
+
+
+def _with_lines(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame, DataFrame]:
+    """The objects of the table, and the line strings (owner, geometry) of its helper table."""
+    helper = {**options, "table": options["lines"], "fields": "owner"}
+    found = _table(spark, path, helper).select("owner", stroked(F.col("geometry"), float(options.get("tolerance", 0.001))).alias("geometry"))
+    inner = F.regexp_extract("geometry", r"^MULTILINESTRING \((.*)\)$", 1)
+    each = F.when(inner != "", F.transform(F.split(inner, r"(?<=\)), *"), lambda p: F.concat(F.lit("LINESTRING "), p))).otherwise(F.array("geometry"))
+    return _table(spark, path, options), found.select("owner", F.explode(each).alias("geometry"))
+
+
+def _table(spark: SparkSession, path: str, options: dict) -> DataFrame:
     fields = [f.strip() for f in options["fields"].split(",")]
     want, topic, encoding = options["table"], options.get("topic"), options.get("encoding", "ISO-8859-1")
 
@@ -75,62 +106,23 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
     return files.mapInPandas(run, ", ".join(f"`{n}` string" for n in ["_topic", "_oid", *fields, "geometry"]))
 
 
-def with_areas(objects: DataFrame, lines: DataFrame, reference: str, geometry: str = "geometry") -> DataFrame:
-    """`objects` with the lines of their helper table as `geometry`: those of its rows whose first attribute, `reference`,
-    names the object. Closed lines of an object make a polygon, the longest first; other lines a multi-line."""
-    inner = F.regexp_extract("geometry", r"^[A-Z]+ \(+(.*?)\)+$", 1)
-    each = lines.select(F.col(reference).cast("string").alias("_of"), F.explode(F.split(inner, r"\), *\(")).alias("_line")).where("_line <> ''")
-    ends = F.element_at(F.split("_line", ", *"), 1) == F.element_at(F.split("_line", ", *"), -1)
-    found = each.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct(F.length("_line").alias("n"), "_line")), asc=False).alias("_all"), F.every(ends).alias("_closed"))
-    parts = F.array_join(F.transform("_all", lambda x: F.concat(F.lit("("), x["_line"], F.lit(")"))), ", ")
-    wkt = F.concat(F.when(F.col("_closed"), "POLYGON (").otherwise("MULTILINESTRING ("), parts, F.lit(")"))
-    return objects.drop(geometry).join(found.select("_of", wkt.alias(geometry)), F.col("_oid") == F.col("_of"), "left").drop("_of")
-
-
 def _value(c: Column) -> Column:
     text = F.regexp_replace(F.trim(c.cast("string")), r"\s", "_")
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("@"))
 
 
-def _point_lines(points: Column) -> Column:
-    """The lines of 'x y, x y': a start, further points, an end."""
-    all_ = F.split(points, ", *")
-    rest = F.transform(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), lambda p: F.concat(F.lit("\nLIPT "), p))
-    return F.concat(F.lit("STPT "), F.element_at(all_, 1), F.array_join(rest, ""), F.lit("\nELIN"))
-
-
-def write(df: DataFrame, path: str, options: dict) -> None:
-    """Objects of one table below `path`: a file a basket, with the head and tail of a transfer.
-
-    Options: class (model.topic.table), geometryAttribute (WKT). Identifiers must be
-    whole numbers, so use the integer strategy. Undefined values are '@', blanks '_';
-    a line longer than 75 characters goes on in CONT lines. A polygon's rings stand in
-    the helper table `table`_`attribute`, whose rows name their object.
-    """
-    cls, geometry = options["class"], options.get("geometryAttribute", "geometry")
-    model, topic, table = ([*cls.split("."), "", ""] if cls.count(".") < 2 else cls.split("."))[:3] if "." in cls else ("Model", "Topic", cls)
-    names = [c for c in df.columns if not c.startswith("_") and c != geometry]
+def object_lines(df: DataFrame, names: list[str], geometry: Column | None = None) -> Column:
+    """The OBJE line of each row and its CONT lines, 75 characters at most but for longer values, and the lines of its geometry (WKT)."""
     number = F.when(F.col("_oid").rlike("^[0-9]+$"), F.col("_oid")).otherwise(F.raise_error(F.concat(F.lit("no whole number: "), F.col("_oid"))))
     line = F.concat_ws(" ", F.lit("OBJE"), number, *(_value(F.col(c)) for c in names))
-    line = F.regexp_replace(line, r"(.{1,75})(?: |$)", "$1 \\\\\nCONT ")
-    line = F.regexp_replace(line, r" \\\\\nCONT $", "")
-    home = F.coalesce("_basket", F.lit(""))
-    wkt = F.col(geometry) if geometry in df.columns else F.lit(None).cast("string")
-    inner = F.regexp_extract(wkt, r"^[A-Za-z]+ *\(+(.*?)\)+$", 1)
-    is_area = F.coalesce(wkt.startswith("POLYGON"), F.lit(False))
-    is_point = F.coalesce(wkt.startswith("POINT"), F.lit(False))
-    drawn = F.when(wkt.isNull() | is_area, "").when(is_point, F.concat(F.lit("\nSTPT "), inner)).otherwise(
-        F.concat(F.lit("\n"), F.array_join(F.transform(F.split(inner, r"\) *, *\("), _point_lines), "\n"))
-    )
-    key = F.lpad("_oid", 20, "0")
-    main = df.select(home.alias("_basket"), F.lit(2).alias("_rank"), key.alias("_key"), F.concat(line, drawn).alias("value"))
-    rings = df.where(is_area).select(home.alias("_basket"), "_oid", key.alias("_key"), F.posexplode(F.split(inner, r"\) *, *\(")).alias("_at", "_ring"))
-    helper = F.concat(F.lit("OBJE "), F.col("_oid"), F.lpad(F.col("_at").cast("string"), 3, "0"), F.lit(" "), F.col("_oid"), F.lit("\n"), _point_lines(F.col("_ring")))
-    rows = main.unionByName(rings.select("_basket", F.lit(4).alias("_rank"), F.concat("_key", F.lpad(F.col("_at").cast("string"), 3, "0")).alias("_key"), helper.alias("value")))
-    baskets = df.select(home.alias("_basket")).distinct()
-    head = f"SCNT\nweftline\n////\nMTID {model}\nMODL {model}\nTOPI {topic}\nTABL {table}"
-    frames = [(1, head), (3, f"ETAB\nTABL {table}_{geometry}"), (5, "ETAB\nETOP\nEMOD\nENDE")] if geometry in df.columns else [(1, head), (5, "ETAB\nETOP\nEMOD\nENDE")]
-    for rank, text in frames:
-        rows = rows.unionByName(baskets.select("_basket", F.lit(rank).alias("_rank"), F.lit("").alias("_key"), F.lit(text).alias("value")))
-    placed = rows.withColumn("basket", F.concat(F.lit("b"), F.md5("_basket"))).repartition("basket")
-    placed.sortWithinPartitions("basket", "_rank", "_key").select("basket", "value").write.option("encoding", options.get("encoding", "ISO-8859-1")).partitionBy("basket").text(path)
+    line = F.regexp_replace(line, r"(.{1,73})(?: |$)", "$1 \\\\\nCONT ")
+    line = F.regexp_replace(line, r" \\\nCONT $", "")
+    return line if geometry is None else F.concat_ws("\n", line, transfer_lines(geometry))
+
+
+def helper_lines(df: DataFrame, geometry: str, kind: str) -> DataFrame:
+    """(owner, geometry): the lines of a helper table for polygons (`_oid`, WKT): each boundary of areas once, or each ring of a surface."""
+    if kind == "area":
+        return areas.boundaries(df, geometry).select(F.lit(None).cast("string").alias("owner"), "geometry")
+    rings = F.split(F.regexp_extract(geometry, r"^\s*POLYGON\s*\(\s*\((.*)\)\s*\)\s*$", 1), r"\)\s*,\s*\(")
+    return df.where(F.col(geometry).isNotNull()).select(F.col("_oid").alias("owner"), F.explode(rings).alias("r")).select("owner", F.concat(F.lit("LINESTRING ("), "r", F.lit(")")).alias("geometry"))
