@@ -142,12 +142,18 @@ def rule_of(d: dict) -> Rule:
 
 
 def _inputs(d: dict) -> list[Input]:
-    """An input, or one for each query of a database input."""
+    """An input, or one for each query of a database input and for each class of a transfer."""
     if "queries" in d:
         return [
             Input(d["id"], q["class"], "", q.get("oidColumn", ""), "jdbc", None, None, {}, dict(d.get("connection", {})), {**q, "id": q.get("id", d["id"])})
             for q in d["queries"]
         ]
+    if "classes" in d:  # several classes of one transfer: each has the input's options and its own
+        shared = {"format": d.get("format"), "basket": d.get("basket"), "order": d.get("order"), "oid": d.get("oid", "_oid")}
+        return [
+            Input(d["id"], cls, d["path"], own.get("oid", shared["oid"]), shared["format"], own.get("basket", shared["basket"]), own.get("order", shared["order"]), {**d.get("options", {}), "class": cls, **own.get("options", {})})
+            for cls, own in d["classes"].items()
+        ]
     return [Input(d["id"], d["class"], d["path"], d["oid"], d.get("format"), d.get("basket"), d.get("order"), dict(d.get("options", {})))]
 
 
@@ -258,15 +264,16 @@ def check_structure(job: Job) -> list[Diagnostic]:
 
 
 def _expressions(r: Rule, job: Job) -> list:
-    bags = [e for b in _all_bags(r.bags) for e in (*b.assign.values(), b.where, b.order, b.source and b.source.where)]
+    bags = [e for b in all_bags(r.bags) for e in (*b.assign.values(), b.where, b.order, b.source and b.source.where)]
     of_rule = [*r.assign.values(), *r.defaults.values(), r.where, *(s.where for s in r.sources), *(x.source_oid for x in r.refs), *(x.when for x in r.losses), *(x.source_oid for c in r.create for x in c.refs)]
     return [e for e in [*job.defaults.values(), *of_rule, *bags, *(e for c in r.create for e in c.assign.values())] if e is not None]
 
 
-def _all_bags(bags: tuple[Bag, ...]):
+def all_bags(bags: tuple[Bag, ...]):
+    """Bags and the bags within them."""
     for b in bags:
         yield b
-        yield from _all_bags(b.bags)
+        yield from all_bags(b.bags)
 
 
 def _check_bag(r: Rule, b: Bag, classes: set[str]) -> list[Diagnostic]:

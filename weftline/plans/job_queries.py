@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.curves import stroked
+from weftline.operators import areas
 from weftline.plans import runner
 from weftline.plans.catalog_queries import registering
 from weftline.plans.job import job_of
+from weftline.sources import formats
 from weftline.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,9 +20,10 @@ ORACLE_SQL: dict[str, str] = {}
 query = registering(QUERIES, ORACLE_SQL)
 
 
-def _job(inputs: list[dict], folder: str, rules: list[dict], oid: str = "integer", **job) -> dict:
+def _job(inputs: list[dict], path: str, rules: list[dict], oid: str = "integer", **job) -> dict:
+    kind = path[-3:] if path.endswith((".itf", ".xtf")) else "parquet"
     return {
-        "job": {"name": "job", "inputs": inputs, "outputs": [{"id": "out", "path": folder}], **job},
+        "job": {"name": "job", "inputs": inputs, "outputs": [{"id": "out", "path": path, "format": kind}], **job},
         "mapping": {"oidStrategy": {"default": oid, "namespace": "ns"}, "rules": rules},
     }
 
@@ -115,3 +119,97 @@ def create_twice(spark, sf_dir):
     same = note.groupBy(F.col("_oid").alias("s_oid")).agg(F.count("*").alias("n_same"))
     rows = note.join(same, F.col("_oid") == F.col("s_oid")).join(client.select(F.col("_oid").alias("c_oid"), "custkey"), F.col("client") == F.col("c_oid"), "left")
     return rows.select("k", "what", "n_same", F.col("_oid").rlike("^[0-9]+$").alias("numbered"), F.col("custkey").alias("client"))
+
+
+# Planar maps
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, x, y): parts as cells of a map, fifty a row."""
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), (k % 50).alias("x"), F.expr("p_partkey div 50").alias("y"))
+
+
+_SQUARE = "concat('POLYGON ((', x, ' ', y, ', ', x + 1, ' ', y, ', ', x + 1, ' ', y + 1, ', ', x, ' ', y + 1, ', ', x, ' ', y, '))')"
+_CELLS = "select p_partkey as k, p_partkey % 50 as x, p_partkey // 50 as y from part"
+_BOXES = f"select k, x::double as x0, y::double as y0, x + 1.0::double as x1, y + 1.0::double as y1 from ({_CELLS})"
+
+
+def _boxes(df: DataFrame) -> DataFrame:
+    shell = areas.rings_of_wkt(F.col("geometry"))[0]
+    x, y = F.transform(shell, lambda p: p["x"]), F.transform(shell, lambda p: p["y"])
+    return df.select("k", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+
+
+@query(_BOXES)
+def areas_assembled(spark, sf_dir):
+    """Cells from the lines that bound them, each line once, whatever its direction, and a point in each cell."""
+    cells = _cells(spark, sf_dir)
+    sides = F.expr("explode(array(struct(x as a, y as b, x + 1 as c, y as d), struct(x as a, y + 1 as b, x + 1 as c, y + 1 as d), struct(x as a, y as b, x as c, y + 1 as d), struct(x + 1 as a, y as b, x + 1 as c, y + 1 as d)))")
+    sides = cells.select(sides.alias("s")).select("s.*").distinct()
+    lines = sides.select(F.expr("if((a + b) % 2 = 0, concat('LINESTRING (', a, ' ', b, ', ', c, ' ', d, ')'), concat('LINESTRING (', c, ' ', d, ', ', a, ' ', b, ')'))").alias("geometry"))
+    points = cells.select("k", F.col("k").cast("string").alias("_oid"), F.expr("concat('POINT (', x + 0.25, ' ', y + 0.5, ')')").alias("geometry"))
+    return _boxes(areas.assembled(points, lines)[0])
+
+
+@query(
+    f"with c as ({_CELLS}) select least(a.k::varchar, b.k::varchar) as owner, greatest(a.k::varchar, b.k::varchar) as other from c a join c b on (b.x = a.x + 1 and b.y = a.y) or (b.x = a.x and b.y = a.y + 1)"
+)
+def areas_boundaries(spark, sf_dir):
+    """The boundaries of two areas, each once."""
+    cells = _cells(spark, sf_dir).select(F.col("k").cast("string").alias("_oid"), F.expr(_SQUARE).alias("geometry"))
+    return areas.boundaries(cells).where("other is not null").select("owner", "other")
+
+
+@query(_BOXES)
+def job_areas_itf(spark, sf_dir):
+    """A job writes areas as the lines of one transfer file; another reads the file and puts them together."""
+    folder = shared_folder(spark, "job-areas")
+    _cells(spark, sf_dir).select("k", F.expr(_SQUARE).alias("geometry")).write.parquet(f"{folder}/cells.parquet")
+    rule = lambda cls: {"id": "r", "target": {"output": "out", "class": cls}, "sources": [{"alias": "c", "class": "Cell"}], "assign": {"k": "cast(c.k as bigint)", "geometry": "c.geometry"}}
+    first = _job([{"id": "c", "class": "Cell", "path": f"{folder}/cells.parquet", "oid": "k"}], f"{folder}/map.itf", [rule("M.T.Plot")])
+    first["job"]["outputs"][0]["options"] = {"geometry": {"Plot": "area"}}
+    runner.run(spark, job_of(first))
+    options = {"table": "Plot", "fields": "k", "lines": "Plot_geometry", "kind": "area"}
+    second = _job([{"id": "c", "class": "Cell", "path": f"{folder}/map.itf", "oid": "_oid", "options": options}], f"{folder}/back", [rule("Plot")])
+    runner.run(spark, job_of(second))
+    return _boxes(spark.read.parquet(f"{folder}/back/Plot"))
+
+
+@query("select s_suppkey as k, s_name as name, n_name as place, s_nationkey::varchar as basket from supplier join nation on s_nationkey = n_nationkey")
+def job_xtf_transfer(spark, sf_dir):
+    """Two classes of one transfer in one file, with references; another job reads both from it."""
+    folder = shared_folder(spark, "job-transfer")
+    rules = [
+        {"id": "n", "target": {"output": "out", "class": "M.T.Nation"}, "sources": [{"alias": "n", "class": "N"}], "assign": {"name": "n.n_name"}},
+        {"id": "s", "target": {"output": "out", "class": "M.T.Shop"}, "sources": [{"alias": "s", "class": "S"}], "assign": {"k": "s.s_suppkey", "name": "s.s_name"}, "refs": [{"role": "place", "sourceRef": "s.s_nationkey", "targetRule": "n"}]},
+    ]
+    inputs = [{**_input(sf_dir, "nation", "n_nationkey", "N"), "basket": "cast(n_nationkey as string)"}, {**_input(sf_dir, "supplier", "concat('s', s_suppkey)", "S"), "basket": "cast(s_nationkey as string)"}]
+    runner.run(spark, job_of(_job(inputs, f"{folder}/t.xtf", rules, "preserve")))
+    classes = {"M.T.Nation": {"options": {"schema": "name string"}}, "M.T.Shop": {"options": {"schema": "k bigint, name string, place struct<_a_REF:string>"}}}
+    back = [
+        {"id": "n", "target": {"output": "out", "class": "Nation"}, "sources": [{"alias": "n", "class": "M.T.Nation"}], "assign": {"name": "n.name"}},
+        {"id": "s", "target": {"output": "out", "class": "Shop"}, "sources": [{"alias": "s", "class": "M.T.Shop"}], "assign": {"k": "s.k", "name": "s.name"}, "refs": [{"role": "place", "sourceRef": "s.place", "targetRule": "n"}]},
+    ]
+    transfer = {"id": "t", "path": f"{folder}/t.xtf", "classes": classes, "options": {"oid": "TID", "bid": "BID", "basketTag": "M.T"}}
+    runner.run(spark, job_of(_job([transfer], f"{folder}/back", back, "preserve")))
+    nation, shop = (spark.read.parquet(f"{folder}/back/{c}") for c in ("Nation", "Shop"))
+    named = nation.select(F.col("_oid").alias("n_oid"), F.col("name").alias("n_name"))
+    return shop.join(named, F.col("place") == F.col("n_oid")).select("k", "name", F.col("n_name").alias("place"), F.col("_basket").cast("string").alias("basket"))
+
+
+@query("select s_suppkey as k, true as close, 'COMPOUNDCURVE ((' || s_suppkey || ' 0, ' || (s_suppkey + 1) || ' 0), CIRCULARSTRING (' || (s_suppkey + 1) || ' 0, ' || (s_suppkey + 2) || ' 1, ' || (s_suppkey + 3) || ' 0))' as back from supplier")
+def curves_stroked(spark, sf_dir):
+    """Arcs written to a transfer file and read back; points in their place lie on the arc, close enough for its chords."""
+    folder = shared_folder(spark, "curves")
+    curve = "concat('COMPOUNDCURVE ((', s_suppkey, ' 0, ', s_suppkey + 1, ' 0), CIRCULARSTRING (', s_suppkey + 1, ' 0, ', s_suppkey + 2, ' 1, ', s_suppkey + 3, ' 0))')"
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("_oid"), F.col("s_suppkey").alias("k"), F.expr(curve).alias("geometry"))
+    formats.write_output(rows, f"{folder}/c.itf", {"class": "M.T.Road"}, "itf")
+    read = formats.read_input(spark, f"{folder}/c.itf", {"table": "Road", "fields": "k"}, "itf")
+    read = read.withColumn("plain", stroked(F.col("geometry"), 0.001))
+    points = F.slice(areas.points_of_wkt(F.col("plain")), 2, 10_000)
+    off = F.transform(points, lambda p: F.abs(F.hypot(p["x"] - F.col("k") - 2, p["y"]) - 1))
+    gaps = F.transform(F.sequence(F.lit(2), F.size(points)), lambda i: F.hypot(F.element_at(points, i)["x"] - F.element_at(points, i - 1)["x"], F.element_at(points, i)["y"] - F.element_at(points, i - 1)["y"]))
+    # The height of an arc over a chord c of a circle of radius 1 is 1 - sqrt(1 - c * c / 4).
+    high = 1 - F.sqrt(1 - F.pow(F.array_max(gaps), 2) / 4)
+    return read.select(F.col("k").cast("int").alias("k"), ((F.array_max(off) < 1e-9) & (high <= 0.001)).alias("close"), F.col("geometry").alias("back"))
