@@ -92,3 +92,13 @@ def test_blocks_follow_a_running_sum(spark):
     rows = spark.range(100).repartition(3).withColumn("n", F.lit(7))
     blocks, df = in_blocks(rows, F.col("n"), 70, "test")
     assert blocks == list(range(10)) and {r["count"] for r in df.groupBy("block").count().collect()} == {10}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from weftline.llm._shared import sized
+
+    plan = lambda df, most: spark.range(9).join(sized(df, most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    numbers, texts = spark.range(100), spark.range(100).withColumn("t", F.lit("x"))
+    assert "strategy=broadcast" in plan(numbers, 4800) and "strategy=merge" in plan(numbers, 4799) and "strategy=merge" in plan(texts, 1 << 20)
+    wide = numbers.withColumn("s", F.struct("id", F.col("id").alias("b")))
+    assert "strategy=broadcast" in plan(wide, 100 * (32 + 24 + 48)) and "strategy=merge" in plan(wide, 100 * (32 + 24 + 32) - 1)

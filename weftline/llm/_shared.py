@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.storage import shared_folder, stored
 
@@ -50,10 +51,24 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return whole
 
 
-def sized(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """A stored table of a few numbers a row, for a join with whole texts: broadcast up to `most` rows, which the files'
-    footers tell; beyond that both sides are sorted and merged. The joined rows are the same."""
-    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+#: Bytes of a value by type, and of a row beside its values, when a table is broadcast as a hash table.
+WIDTHS, ROW = {"long": 8, "double": 8, "integer": 4, "boolean": 1}, 32
+
+
+def _width(kind: T.DataType) -> int | None:
+    """Bytes of a value; None where they depend on the value."""
+    if isinstance(kind, T.StructType):
+        each = [_width(f.dataType) for f in kind]
+        return None if None in each else sum(each) + 8 * len(each)
+    return WIDTHS.get(kind.typeName())
+
+
+def sized(df: DataFrame, most: int = 128 << 20) -> DataFrame:
+    """A stored table of a few numbers a row, for a join with whole texts: broadcast up to `most` bytes, by the number of rows,
+    which the files' footers tell, and the width of a row; beyond that, and with columns of no fixed width, both sides are
+    sorted and merged. The joined rows are the same."""
+    width = _width(df.schema)
+    return F.broadcast(df) if width is not None and df.count() * (ROW + width) <= most else df.hint("merge")
 
 
 def in_blocks(rows: DataFrame, weight: Column, most: int, label: str) -> tuple[list[int], DataFrame]:
