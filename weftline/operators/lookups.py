@@ -15,8 +15,8 @@ def first_matches(table: DataFrame, key: Column, values: dict[str, Column], orde
     rows = table.select(key.cast("string").alias("k"), order.alias("o"), *(v.alias(n) for n, v in values.items())).where("k is not null")
     found = []
     for n in values:
-        kinds = F.count_distinct(n) + F.max(F.col(n).isNull().cast("int"))
-        found += [F.min_by(n, "o").alias(n), (kinds > 1).alias(f"{n}_ambiguous")]
+        differ = F.coalesce(F.min(n) != F.max(n), F.lit(False)) | ((F.count(n) > 0) & (F.count(n) < F.count("*")))
+        found += [F.min_by(n, "o").alias(n), differ.alias(f"{n}_ambiguous")]
     return rows.groupBy("k").agg(*found)
 
 

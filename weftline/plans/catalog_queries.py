@@ -801,6 +801,20 @@ def num_limits(spark, sf_dir):
     )
 
 
+@query(
+    "select s_suppkey, (((2 * s_suppkey + 1) * 300000000001::hugeint + 10) // 20)::bigint as product, (((2 * s_suppkey + 2469135780000001) * 300000000001::hugeint + 10) // 20)::varchar as large,"
+    " ((s_suppkey * 2 * 1000000000000000000000::hugeint // 300000000001 + 1) // 2)::bigint as ratio from supplier"
+)
+def num_finer(spark, sf_dir):
+    """Factors and divisors with more than ten decimals count with all their digits."""
+    k, fine = F.col("s_suppkey"), F.lit(3.00000000001)
+    unscaled = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(""))
+    half = (k.cast("double") + 0.5, k.cast("double") + 1234567890000000.5)
+    return _table(spark, sf_dir, "supplier").select(
+        "s_suppkey", unscaled(W.mul(half[0], fine)).cast("long").alias("product"), unscaled(W.mul(fine, half[1])).alias("large"), unscaled(W.div(k, fine)).cast("long").alias("ratio")
+    )
+
+
 # Baskets, references, order
 
 
