@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.registry import JOINED, Call, Context, Expression, calls_in, column_of
 from weftline.operators import bags as nested
+from weftline.operators.bands import band_join
 from weftline.operators.identity import basket, deterministic_uuid, preserved_oid
 from weftline.operators.lookups import first_matches
 
@@ -82,6 +83,8 @@ class Bag:
     embed: records of `source` whose `parent_ref` is the parent's identifier become
     an array of structures, by `order` (the child's own by default). Without
     `parent_ref` it is taken from a refEquals of `where` with the parent's alias.
+    With `band`, a value and two bounds, of which one side is the child's and the
+    other the parent's, records belong to all parents that the band joins them to.
     Without `source`: one structure made from the parent itself, where `where` holds.
     expand: every structure of the array `items` becomes an object of class `target`,
     numbered, with its parent's identifier as `parent_role`; expressions name the
@@ -103,6 +106,7 @@ class Bag:
     max_items: int | None = None
     mandatory: tuple[str, ...] = ()
     bags: tuple[Bag, ...] = ()
+    band: tuple[Expression, Expression, Expression] | None = None
 
 
 @dataclass(frozen=True)
@@ -321,9 +325,9 @@ def with_bag(df: DataFrame, parent: str, bag: Bag, catalog: Catalog, context: Co
         own = Context(df, context.enums, context.joined, context.problems)
         condition = F.lit(True) if bag.where is None else as_condition(bag.where, own)
         return df.withColumn(bag.attribute, nested.synthetic(condition, {k: column_of(e, own) for k, e in bag.assign.items()}))
-    ref, where = (bag.parent_ref, bag.where) if bag.parent_ref is not None else _parent_ref(bag.where, parent)
-    if ref is None:
-        raise ValueError(f"bag {bag.attribute}: no reference to the parent; name parent_ref, or give refEquals in the condition")
+    ref, where = (bag.parent_ref, bag.where) if bag.parent_ref is not None or bag.band else _parent_ref(bag.where, parent)
+    if ref is None and not bag.band:
+        raise ValueError(f"bag {bag.attribute}: no reference to the parent; name parent_ref or a band, or give refEquals in the condition")
     child = _aliased(catalog, bag.source).dropDuplicates(["_input", "_basket", "_class", "_oid"])
     for b in bag.bags:
         child = with_bag(child, bag.source.alias, b, catalog, Context(child, context.enums))
@@ -333,8 +337,13 @@ def with_bag(df: DataFrame, parent: str, bag: Bag, catalog: Catalog, context: Co
         child = child.where(as_condition(bag.source.where, own))
     fields = {k: column_of(e, own) for k, e in bag.assign.items()} | {b.attribute: F.col(b.attribute) for b in bag.bags}
     order = F.col(f"{bag.source.alias}._ord") if bag.order is None else column_of(bag.order, own)
-    key = column_of(ref, own).cast("string")
     of_parent = F.col(f"{parent}._oid")
+    if bag.band:
+        parents = df.select(*(F.col(f"{parent}.{c}") for c in df.select(f"{parent}.*").columns)).alias(parent)
+        child, key = _banded(parents, child, bag, own), of_parent
+        own = Context(child, context.enums, own.joined)
+    else:
+        key = column_of(ref, own).cast("string")
     if where is not None:
         try:
             child = child.where(as_condition(where, own))
@@ -350,6 +359,16 @@ def with_bag(df: DataFrame, parent: str, bag: Bag, catalog: Catalog, context: Co
     return joined.withColumn(bag.attribute, F.coalesce(F.col(bag.attribute), F.array().cast(kind)))
 
 
+def _banded(parents: DataFrame, child: DataFrame, bag: Bag, own: Context) -> DataFrame:
+    """Children beside the parents that the bag's band joins them to, whichever side has the value."""
+    value, low, high = (column_of(e, own) for e in bag.band)
+    try:
+        child.select(value)
+    except AnalysisException:
+        return band_join(parents, value, child, low, high)
+    return band_join(child, value, parents, low, high)
+
+
 def expanded_bag(df: DataFrame, rule: Rule, bag: Bag, context: Context, owner: Column, base: list[Column]) -> list[tuple[Bag, DataFrame]]:
     """The objects of an expanded bag, and of the bags within it, each frame beside its bag: envelope, parent's identifier and
     attributes. An object's identifier, until it is numbered, is its parent's, the bag's name and its place."""

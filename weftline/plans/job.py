@@ -105,6 +105,7 @@ def _bag(attribute: str, d: dict) -> Bag:
         d.get("maxItems"),
         tuple(d.get("mandatory", [])),
         tuple(_bag(k, b) for k, b in (d.get("nestedBags") or {}).items()),
+        tuple(expression_of(d["band"][k]) for k in ("value", "low", "high")) if d.get("band") else None,
     )
 
 
@@ -264,7 +265,7 @@ def check_structure(job: Job) -> list[Diagnostic]:
 
 
 def _expressions(r: Rule, job: Job) -> list:
-    bags = [e for b in all_bags(r.bags) for e in (*b.assign.values(), b.where, b.order, b.source and b.source.where)]
+    bags = [e for b in all_bags(r.bags) for e in (*b.assign.values(), b.where, b.order, b.source and b.source.where, *(b.band or ()))]
     of_rule = [*r.assign.values(), *r.defaults.values(), r.where, *(s.where for s in r.sources), *(x.source_oid for x in r.refs), *(x.when for x in r.losses), *(x.source_oid for c in r.create for x in c.refs)]
     return [e for e in [*job.defaults.values(), *of_rule, *bags, *(e for c in r.create for e in c.assign.values())] if e is not None]
 

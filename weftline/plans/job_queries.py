@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.curves import stroked
 from weftline.operators import areas
+from weftline.operators.rules import Catalog, lower
 from weftline.plans import runner
 from weftline.plans.catalog_queries import registering
-from weftline.plans.job import job_of
+from weftline.plans.job import job_of, rule_of
 from weftline.sources import formats
 from weftline.storage import shared_folder
 
@@ -213,3 +214,35 @@ def curves_stroked(spark, sf_dir):
     # The height of an arc over a chord c of a circle of radius 1 is 1 - sqrt(1 - c * c / 4).
     high = 1 - F.sqrt(1 - F.pow(F.array_max(gaps), 2) / 4)
     return read.select(F.col("k").cast("int").alias("k"), ((F.array_max(off) < 1e-9) & (high <= 0.001)).alias("close"), F.col("geometry").alias("back"))
+
+
+# Bags by inequality
+
+
+def _banded(spark: SparkSession, sf_dir: str, bag: dict, source: str, *others: str) -> DataFrame:
+    keys = {"supplier": "s_suppkey", "part": "p_partkey", "customer": "c_custkey"}
+    catalog = Catalog()
+    for t in (source, *others):
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        catalog.add(df, input_id="tpch", cls=t, oid=keys[t], order=keys[t])
+    return lower(rule_of({"id": "r", "output": "out", "targetClass": "T", "sources": [{"alias": "p", "class": source}], "assign": {"k": f"p.{keys[source]}"}, "bags": {"bag": bag}}), catalog, oid="preserve").targets
+
+
+@query(
+    "select s_suppkey as k, count(c_custkey) as n, min(c_custkey) as first_key from supplier left join customer on c_acctbal between s_acctbal - 500 and s_acctbal + 500 and c_nationkey <> s_nationkey group by 1"
+)
+def bag_band(spark, sf_dir):
+    """Children whose value lies within a range of the parent's, and another condition over both."""
+    bag = {
+        "from": {"class": "customer", "alias": "c"}, "band": {"value": "c.c_acctbal", "low": "p.s_acctbal - 500", "high": "p.s_acctbal + 500"},
+        "where": "c.c_nationkey <> p.s_nationkey", "assign": {"key": "c.c_custkey"}, "order": "c.c_custkey",
+    }
+    rows = _banded(spark, sf_dir, bag, "supplier", "customer")
+    return rows.select("k", F.size("bag").cast("long").alias("n"), F.try_element_at("bag", F.lit(1))["key"].alias("first_key"))
+
+
+@query("select c_custkey as k, count(s_suppkey) as n from customer left join supplier on c_acctbal between s_acctbal - 500 and s_acctbal + 500 group by 1")
+def bag_band_of_ranges(spark, sf_dir):
+    """Children with ranges that the parent's value lies in."""
+    bag = {"from": {"class": "supplier", "alias": "s"}, "band": {"value": "p.c_acctbal", "low": "s.s_acctbal - 500", "high": "s.s_acctbal + 500"}, "assign": {"key": "s.s_suppkey"}}
+    return _banded(spark, sf_dir, bag, "customer", "supplier").select("k", F.size("bag").cast("long").alias("n"))
