@@ -54,6 +54,22 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div class='responsive-banner-layout'><h2>T</h2><p>{LONG}</p></div></body>", f"T\n{LONG.strip()}"),
+        (f"<body><div class='social-policy'><p>{LONG}</p><div class=share>Share it</div></div></body>", LONG.strip()),
+        (f"<article><h1>T</h1><p>{LONG}</p><section id=search><p>{LONG}</p></section><div id=search>Find</div></article>", f"T\n{LONG.strip()}\n{LONG.strip()}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><div class=reader-discussion><p>{LONG}</p></div></article>", f"T\n{LONG.strip()}"),
+        (f"<main><article><h1>T</h1><p>{LONG}</p></article><article><h2>Next</h2><p>A teaser.</p></article></main>", f"T\n{LONG.strip()}"),
+        (f"<body><div class=sidebar><p>{LONG}</p></div><div><p>{LONG}</p></div></body>", LONG.strip()),
+    ],
+    ids=["wrapper named banner", "wrapper named social", "section named search", "discussion", "teaser", "sidebar"],
+)
+def test_names_lower_the_score_and_dont_judge(page, text):
+    assert main_text(page) == text
+
+
 def test_odd_pages_end_soon():
     assert main_text("<a " + '"' * 20001) is not None
     assert main_text("<b>" * 20000 + "deep") == "deep"

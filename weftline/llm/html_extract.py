@@ -41,13 +41,16 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class names and ids of what is not the article.
+#: Words in class names and ids that speak against an element, and among them those that also name parts of articles.
 NAMED = set(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar side nav navbar"
     " navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay"
-    " newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social related"
+    " newsletter subscribe subscription signup login comment comments discussion disqus respond reply replies share sharing social related"
     " recommended recommendations widget widgets toolbar pagination pager search skip".split()
 )
+VAGUE = set("banner side menu notice notices overlay respond reply replies social search skip subscription".split())
+#: What the sums of elements with such names count for when the best subtree is sought.
+NAMED_WEIGHT = 0.2
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
@@ -138,38 +141,42 @@ class Dom:
         if name in BLOCK:
             self._block += 1
 
-    def pruned(self) -> list[bool]:
-        """Which elements are not article, by element, role or name, or lie within one that isn't."""
+    def pruned(self) -> tuple[list[bool], list[int]]:
+        """Which elements are no article by element, hidden or within such a one; and which have a name or role against them:
+        1 a vague word of a part of the article, else 2."""
         n = len(self.tags)
         holds = [False] * n  # the article, its main part or a main heading stands within
         for i in range(n - 1, 0, -1):
             if holds[i] or self.tags[i] in ("article", "main", "h1"):
                 holds[self.parent[i]] = True
-        out, inside = [False] * n, [False] * n  # inside: of an article or the main part
+        out, named, inside = [False] * n, [0] * n, [False] * n  # inside: of an article or the main part
         first = self.tags.index("article") if "article" in self.tags else -1
         for i in range(1, n):
             p = self.parent[i]
             inside[i] = inside[p] or self.tags[p] in ("article", "main")
-            out[i] = out[p] or self._foreign(i, holds[i], inside[i], i == first)
-        return out
+            kind = self._foreign(i, holds[i], inside[i], i == first)
+            out[i] = out[p] or kind == 3
+            named[i] = kind % 3
+        return out, named
 
-    def _foreign(self, i: int, holds: bool, inside: bool, first: bool) -> bool:
+    def _foreign(self, i: int, holds: bool, inside: bool, first: bool) -> int:
+        """0 nothing speaks against the element; 1 a vague word, 2 another or a role; 3 it is no article."""
         tag = self.tags[i]
-        if tag in DROP:
-            return True
-        if tag == "header":
-            return not inside or not holds
-        if not self.attributes[i]:
-            return False
+        if tag in DROP or tag == "header" and not (inside and holds):
+            return 3
+        if tag == "header" or not self.attributes[i]:
+            return 0
         values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(self.attributes[i])}
         if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
-            return True
+            return 3
         if tag in ("body", "main"):
-            return False
+            return 0
         if values.get("role", "").lower() in ROLES and not holds:
-            return True
-        words = {w.lower() for k in ("class", "id") for w in NAME_WORD.findall(values.get(k, ""))}
-        return bool(words & NAMED) and (not holds or bool(words & {"comment", "comments"})) and not first
+            return 2
+        words = {w.lower() for k in ("class", "id") for w in NAME_WORD.findall(values.get(k, ""))} & NAMED
+        if not words or first or holds and not words & {"comment", "comments"}:
+            return 0
+        return 1 if inside and words <= VAGUE else 2
 
 
 def _densities(dom: Dom, out: list[bool]) -> tuple[list[float], list[float], list[bool]]:
@@ -207,6 +214,37 @@ def _densities(dom: Dom, out: list[bool]) -> tuple[list[float], list[float], lis
     return density, sums, [2 * x > c and k >= LIST_LINKS for x, c, k in zip(links, chars, link_tags)]
 
 
+def _spared(dom: Dom, out: list[bool], named: list[int]) -> list[bool]:
+    """`out`, and the named elements too, but for those that hold the best subtree, and for vague ones that are as dense as what
+    lies on the path from there to the body. Where no article or main part with text is stated, a subtree of named
+    elements can be the best, by what names leave of its sum."""
+    if not any(named):
+        return out
+    n = len(dom.tags)
+    within = [False] * n
+    for i in range(1, n):
+        within[i] = within[dom.parent[i]] or named[i] > 0
+    density, sums, _ = _densities(dom, [o or w for o, w in zip(out, within)])
+    best = max(range(n), key=lambda i: (sums[i], -i))
+    stated = any(density[i] and dom.tags[i] in ("article", "main") for i in range(n))
+    with_named, named_sums, _ = _densities(dom, out)
+    rival = max((i for i in range(n) if within[i] and not out[i]), key=lambda i: (named_sums[i], -i), default=0)
+    if not stated and NAMED_WEIGHT * named_sums[rival] * within[rival] > sums[best]:
+        best = rival
+    i, density = best, with_named
+    threshold, path = density[best], {best}
+    while i > 0:
+        i = dom.parent[i]
+        path.add(i)
+        if dom.tags[i] not in ("body", "html"):
+            threshold = min(threshold, density[i])
+    out = list(out)
+    for i in range(1, n):
+        own = named[i] == 2 or named[i] == 1 and density[i] < threshold
+        out[i] = out[i] or out[dom.parent[i]] or own and i not in path
+    return out
+
+
 def _content(dom: Dom, out: list[bool]) -> list[bool]:
     """Which elements are content."""
     n = len(dom.tags)
@@ -230,11 +268,22 @@ def _content(dom: Dom, out: list[bool]) -> list[bool]:
             whole = i
         i = dom.parent[i]
     taken[best] = taken[whole] = True
-    # Lists of links below the threshold are none of the article, nor are headings right before them.
+    # Lists of links below the threshold are none of the article, nor are headings right before them, nor are further
+    # articles with little of the characters (teasers).
     out, below, path, i = list(out), [False] * n, {best}, best
     while i > 0:
         i = dom.parent[i]
         path.add(i)
+    chars = [0] * n
+    for e, text, _ in dom.texts:
+        if not out[e]:
+            chars[e] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        chars[dom.parent[i]] += chars[i]
+    articles = [i for i in range(1, n) if dom.tags[i] == "article" and not out[i]]
+    own = max((chars[i] for i in articles if i in path), default=0)
+    for i in articles:
+        out[i] = i not in path and best not in _lineage(dom, i) and 3 * chars[i] < own
     before: dict[int, int] = {}  # of an element: its last child so far
     for i in range(1, n):
         p = dom.parent[i]
@@ -257,13 +306,21 @@ def _content(dom: Dom, out: list[bool]) -> list[bool]:
     return taken
 
 
+def _lineage(dom: Dom, i: int) -> set[int]:
+    """The elements that an element lies in."""
+    found: set[int] = set()
+    while i > 0:
+        i = dom.parent[i]
+        found.add(i)
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: one line per block, white space as one space, character references decoded."""
     if not page:
         return ""
     dom = Dom(page)
-    out = dom.pruned()
-    taken = _content(dom, out)
+    taken = _content(dom, _spared(dom, *dom.pruned()))
     blocks: dict[int, list[str]] = {}
     for e, text, block in dom.texts:
         if taken[e]:
