@@ -34,16 +34,19 @@ def wkt_point(text: Column) -> Column:
 
 
 def rings_of_wkt(text: str) -> list[list[tuple[float, float]]]:
-    """Rings of a WKT polygon, the shell first."""
-    return [
-        [tuple(map(float, p.split()[:2])) for p in ring.split(",")]
-        for ring in re.findall(r"\(([^()]+)\)", text)
-        if text.lstrip().upper().startswith("POLYGON")
-    ]
+    """Rings of a WKT polygon, the shell first, or of all polygons of a multi-polygon."""
+    if not text.lstrip().upper().startswith(("POLYGON", "MULTIPOLYGON")):
+        return []
+    return [[tuple(map(float, p.split()[:2])) for p in ring.split(",")] for ring in re.findall(r"\(([^()]+)\)", text)]
 
 
 def interior_point(rings: list[list[tuple[float, float]]]) -> tuple[float, float] | None:
-    """The middle of the widest part of the polygon on a horizontal line halfway between two vertex heights."""
+    """The middle of the widest part of the polygon on a horizontal line halfway between two vertex heights.
+
+    Inside is what an odd number of boundaries lies left of, so rings that cross themselves or touch each other, and
+    the parts of a multi-polygon, need no repair first. Of the heights that nearest to the middle is taken whose line
+    meets the inside; None where there is no inside.
+    """
     ys = sorted({y for ring in rings for _, y in ring})
     best = None
     middle = (ys[0] + ys[-1]) / 2 if ys else 0
@@ -69,7 +72,7 @@ def _interior(texts: pd.Series) -> pd.DataFrame:
 
 
 def point_on_surface(wkt: Column, explicit: Column | None = None) -> Column:
-    """A coordinate inside a WKT polygon; an explicit one, or a WKT point, is taken as it is."""
+    """A coordinate inside a WKT polygon or multi-polygon; an explicit one, or a WKT point, is taken as it is."""
     found = _interior(wkt)
     inside = F.when(found["x"].isNotNull(), found)
     return F.coalesce(*([explicit] if explicit is not None else []), wkt_point(wkt), inside)

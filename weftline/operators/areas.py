@@ -131,7 +131,7 @@ def rings_of(lines: DataFrame) -> DataFrame:
     return stored(rings.mapInArrow(_gathered, f"map string, ring bigint, points {POINTS}, area double"), "areas-rings")
 
 
-def _boxes(shapes: DataFrame, key: str, shell: Column) -> DataFrame:
+def cells_of(shapes: DataFrame, key: str, shell: Column) -> DataFrame:
     """A row for each grid cell of a shape's box (four at most), within its map: level (a cell is 2 ** level wide), cx, cy."""
     x, y = (F.transform(shell, _axis(a)) for a in ("x", "y"))
     box = {"x0": F.array_min(x), "x1": F.array_max(x), "y0": F.array_min(y), "y1": F.array_max(y)}
@@ -159,7 +159,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def located(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(point, shape, size) for `points` (map, point, x, y) that lie strictly within `shapes` (map, shape, size, rings) of their map."""
-    cells = stored(_boxes(shapes, "shape", F.col("rings")[0]), "areas-cells")
+    cells = stored(cells_of(shapes, "shape", F.col("rings")[0]), "areas-cells")
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # sizes that occur, by powers of two
     if not levels:
         return points.sparkSession.createDataFrame([], f"point {dict(points.dtypes)['point']}, shape {dict(shapes.dtypes)['shape']}, size double")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.curves import stroked
-from weftline.operators import areas
+from weftline.operators import areas, checks
 from weftline.operators.rules import Catalog, lower
+from weftline.operators.signatures import compare_signatures
 from weftline.plans import runner
 from weftline.plans.catalog_queries import registering
 from weftline.plans.job import job_of, rule_of
@@ -246,3 +247,49 @@ def bag_band_of_ranges(spark, sf_dir):
     """Children with ranges that the parent's value lies in."""
     bag = {"from": {"class": "supplier", "alias": "s"}, "band": {"value": "p.c_acctbal", "low": "s.s_acctbal - 500", "high": "s.s_acctbal + 500"}, "assign": {"key": "s.s_suppkey"}}
     return _banded(spark, sf_dir, bag, "customer", "supplier").select("k", F.size("bag").cast("long").alias("n"))
+
+
+# Whole transfers: comparison and checks
+
+
+@query(
+    "with t as (select c_nationkey as k from customer where c_custkey = 1) select 'customer' as cls, 'MISSING' as kind, count(*) as n from customer where c_nationkey in (select k from t)"
+    " union all select 'customer', 'UNEXPECTED', count(*) - 1 from customer where c_nationkey in (select k from t) union all select 'nation', 'MISSING', 1 union all select 'nation', 'UNEXPECTED', 1"
+)
+def compare_by_signatures(spark, sf_dir):
+    """Two transfers with other identifiers; one lacks a customer, which shows in its nation and in all that refer to that."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+
+    def catalog(mark: str, customers: DataFrame) -> Catalog:
+        named = lambda c: F.concat(F.lit(mark), F.col(c).cast("string"))
+        made = Catalog().add(customers.withColumn("c_nationkey", named("c_nationkey")), input_id="t", cls="customer", oid=named("c_custkey"))
+        return made.add(nation, input_id="t", cls="nation", oid=named("n_nationkey"))
+
+    expected, actual = catalog("", customer), catalog("x", customer.where("c_custkey <> 1"))
+    return compare_signatures(expected, actual, {"customer": ["c_nationkey"]}, ignored={"customer": ("c_custkey",), "nation": ("n_nationkey",)})
+
+
+_WIDE = "select k::varchar as k, x::double as x0, y::double as y0, x + case when k % 7 = 0 then 1.5 else 1 end as x1, y + 1.0 as y1 from"
+
+
+@query(
+    f"with b as ({_WIDE} ({_CELLS})) select p.k as a, q.k as b from b p join b q on p.k < q.k and p.x0 < q.x1 and q.x0 < p.x1 and p.y0 < q.y1 and q.y0 < p.y1"
+)
+def checks_overlaps(spark, sf_dir):
+    """Every seventh cell of a map reaches into its neighbour."""
+    wide = "x + if(k % 7 = 0, 1.5, 1.0)"
+    square = f"concat('POLYGON ((', x, ' ', y, ', ', {wide}, ' ', y, ', ', {wide}, ' ', y + 1, ', ', x, ' ', y + 1, ', ', x, ' ', y, '))')"
+    return checks.overlaps(_cells(spark, sf_dir).select(F.col("k").cast("string").alias("_oid"), F.expr(square).alias("geometry")))
+
+
+@query(
+    "select 'NOT_UNIQUE' as code, s_nationkey::varchar as key, count(*) as n from supplier where s_nationkey is not null group by 2 having count(*) > 1"
+    " union all select 'NO_TARGET', o_orderkey::varchar, 1 from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer where c_acctbal > 0)"
+    " union all select 'CARDINALITY', c_custkey::varchar, count(o_orderkey) from customer left join orders on o_custkey = c_custkey where c_acctbal > 0 group by 2 having count(o_orderkey) not between 2 and 20"
+)
+def checks_across_objects(spark, sf_dir):
+    supplier, orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "orders", "customer"))
+    orders = orders.select(F.col("o_orderkey").cast("string").alias("_oid"), F.col("o_custkey").cast("string").alias("client"))
+    clients = customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("_oid"))
+    found = checks.not_unique(supplier, ["s_nationkey"]).unionByName(checks.without_target(orders, "client", clients))
+    return found.unionByName(checks.beyond_cardinality(clients, orders, "client", 2, 20))
