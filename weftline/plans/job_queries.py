@@ -261,9 +261,9 @@ def compare_by_signatures(spark, sf_dir):
     customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
 
     def catalog(mark: str, customers: DataFrame) -> Catalog:
-        named = lambda c: F.concat(F.lit(mark), F.col(c).cast("string"))
-        made = Catalog().add(customers.withColumn("c_nationkey", named("c_nationkey")), input_id="t", cls="customer", oid=named("c_custkey"))
-        return made.add(nation, input_id="t", cls="nation", oid=named("n_nationkey"))
+        named = lambda kind, c: F.concat(F.lit(f"{mark}{kind}"), F.col(c).cast("string"))
+        made = Catalog().add(customers.withColumn("c_nationkey", named("n", "c_nationkey")), input_id="t", cls="customer", oid=named("c", "c_custkey"))
+        return made.add(nation, input_id="t", cls="nation", oid=named("n", "n_nationkey"))
 
     expected, actual = catalog("", customer), catalog("x", customer.where("c_custkey <> 1"))
     return compare_signatures(expected, actual, {"customer": ["c_nationkey"]}, ignored={"customer": ("c_custkey",), "nation": ("n_nationkey",)})
