@@ -224,3 +224,27 @@ def _enum_map_strict(c: Context, x: Column, name: str) -> Column:
     found, miss = enums.enum_map_strict(x, c.values(name))
     c.problems.append(("ENUM_STRICT_NO_MATCH", miss, x.cast("string")))
     return found
+
+
+class _AllButFirst:
+    """Places of arguments that are names: all behind the first."""
+
+    def __contains__(self, place: int) -> bool:
+        return place > 0
+
+
+@function("enumResolve", 2, None, raw=_AllButFirst())
+def _enum_resolve(c: Context, x: Column, *names: str) -> Column:
+    """The full name of an enumeration's value; one that isn't among the names stays, and is told."""
+    found = enums.enum_resolve(x.cast("string"), list(names))
+    c.problems.append(("ENUM_UNKNOWN_VALUE", F.coalesce(~found.isin(*names), F.lit(False)), x.cast("string")))
+    return found
+
+
+@function("coordText", 1)
+def _coord_text(c: Context, x: Column) -> Column:
+    """A WKT point of a text 'x y' or a coordinate; a WKT text stays."""
+    if c.df is not None and c.df.select(x).schema[0].dataType.typeName() == "struct":
+        return F.when(x.isNotNull(), F.concat(F.lit("POINT ("), x["x"].cast("string"), F.lit(" "), x["y"].cast("string"), F.lit(")")))
+    given = F.trim(x.cast("string"))
+    return F.when(geometry.coord_of_text(given).isNotNull(), F.concat(F.lit("POINT ("), F.regexp_replace(given, r"\s+", " "), F.lit(")"))).otherwise(given)

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException, ParseException
 
 from weftline.functions.registry import JOINED, REGISTRY, Context, calls_in, column_of, deterministic, expression_of
 from weftline.operators.rules import Bag, Catalog, Create, Join, Loss, Ref, Rule, Source, matched, prepared
+from weftline.plans.model import Model, applied, model_of, sources_of_geometry
 
 OIDS = {"preserve", "integer", "uuid", "deterministicUuid"}
 BASKETS = {"preserve", "generateUuid", "preserveOrGenerateUuid", "byTopic"}
@@ -60,6 +61,7 @@ class Job:
     base: str = field(default="", compare=False)
     #: Mandatory attributes by target class, for coverage checks.
     mandatory: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    model: Model | None = None
 
 
 @dataclass(frozen=True)
@@ -159,7 +161,10 @@ def _inputs(d: dict) -> list[Input]:
 
 
 def job_of(d: dict) -> Job:
-    """A job from its plain form; older field names (input, targetClass, output) are understood."""
+    """A job from its plain form; older field names (input, targetClass, output) are understood. Facts of a `model` (see
+    plans.model) count where the job states nothing else."""
+    model = model_of(d["model"]) if d.get("model") else None
+    d = applied(d, model) if model else d
     job, mapping = d.get("job", {}), d.get("mapping", {})
     oid, basket = mapping.get("oidStrategy") or {}, mapping.get("basketStrategy") or {}
     return Job(
@@ -174,6 +179,7 @@ def job_of(d: dict) -> Job:
         {k: {str(a): str(b) for a, b in v.items()} for k, v in mapping.get("enums", {}).items()},
         _assign(mapping.get("defaults")),
         mandatory={k: tuple(v) for k, v in mapping.get("mandatory", {}).items()},
+        model=model,
     )
 
 
@@ -261,6 +267,24 @@ def check_structure(job: Job) -> list[Diagnostic]:
         rule_order(job.rules)
     except ValueError as e:
         error("MAP-CYCLIC-DEPENDENCY", str(e))
+    return out + (check_model(job) if job.model else [])
+
+
+def check_model(job: Job) -> list[Diagnostic]:
+    """Rules against the model: unknown attributes and roles, roles of another class, identifiers and geometries that don't fit."""
+    out = []
+    for r in job.rules:
+        if r.cls not in job.model.classes:
+            out.append(Diagnostic("MODEL-CLASS", "ERROR", f"no class {r.cls}", r.id))
+            continue
+        fields = job.model.fields(r.cls)
+        bags = [b.attribute for b in r.bags if b.mode == "embed"]
+        for name in dict.fromkeys([*r.assign, *r.defaults, *(x.role for x in r.refs), *bags]):
+            if name not in fields:
+                out.append(Diagnostic("MODEL-ATTRIBUTE", "ERROR", f"{r.cls} has no {name}", r.id))
+        out += [Diagnostic("MODEL-ROLE", "ERROR", f"{x.role} of {r.cls} is no role", r.id) for x in r.refs if x.role in fields and "class" not in fields[x.role].metadata]
+        found = [check_oid_domain(job.oid, job.model.domain(r.cls)), *(check_geometry(a, b) for _, a, b in sources_of_geometry(r, job.model))]
+        out += [replace(f, rule=r.id) for f in found if f]
     return out
 
 
