@@ -5,7 +5,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.sources import formats, geopackage, shapefile, transferfile
+from weftline.functions.geometry import wkb_text
+from weftline.sources import formats, shapefile, transferfile
 from weftline.sources.formats import read_input, write_output
 
 
@@ -68,8 +69,29 @@ def test_geopackage(spark, tmp_path):
         c.execute("create table s (id integer, name text, geom blob)")
         c.executemany("insert into s values (?, ?, ?)", [(1, "a", point), (2, None, None)])
     df = read_input(spark, f"{tmp_path}/m.gpkg", {"table": "s", "schema": "id bigint, name string, geom binary", "geometry": "geom"})
-    got = df.select("id", "name", geopackage.point_of_wkb(df.geom).alias("p"))
-    assert rows(got) == [(1, "a", (1.5, 2.5)), (2, None, None)]
+    got = df.select("id", "name", wkb_text("geom").alias("p"))
+    assert rows(got) == [(1, "a", "POINT (1.5 2.5)"), (2, None, None)]
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    point = lambda i: b"GP\0\1" + struct.pack("<i", 2056) + b"\1\1\0\0\0" + struct.pack("<dd", i, 2.5)
+    with sqlite3.connect(tmp_path / "m.gpkg") as c:
+        c.execute("create table s (id integer, name text, geom blob)")
+        c.executemany("insert into s values (?, ?, ?)", [(i, f"n{i}", point(i) if i % 3 else None) for i in range(5000)])
+        c.execute("delete from s where id between 1000 and 1999")
+        c.execute("create table empty (id integer, name text, geom blob)")
+        c.execute("create view v as select * from s where id < 7")
+    schema = {"schema": "id bigint, name string, geom binary", "geometry": "geom"}
+    read = lambda **o: read_input(spark, f"{tmp_path}/m.gpkg", {**schema, **o})
+    split = read(table="s", recordsPerTask=700)
+    assert split.rdd.getNumPartitions() == 8 and rows(split) == rows(read(table="s")) and split.count() == 4000
+    assert read(table="empty", recordsPerTask=10).count() == 0 and read(table="v", recordsPerTask=2).count() == 7
+    df = spark.range(2500).selectExpr("cast(id as string) as id", "if(id % 5 = 0, null, concat('POINT (', id, '.0 ', id + 1, '.0)')) as geometry")
+    write_output(df.coalesce(1), f"{tmp_path}/p.shp")
+    split, whole = (read_input(spark, f"{tmp_path}/p.shp", {"fields": "id", **o}) for o in ({"recordsPerTask": 600}, {}))
+    assert split.rdd.getNumPartitions() == 5 and rows(split) == rows(whole) and split.count() == 2500
+    with pytest.raises(Exception, match="mounts"):
+        read_input(spark, f"{tmp_path}/none.shp", {"fields": "id", "recordsPerTask": 5}).count()
 
 
 SHAPES = ["POINT (1.0 2.0)", "POINT (3.5 -4.0)", None]

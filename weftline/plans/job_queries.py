@@ -293,3 +293,31 @@ def checks_across_objects(spark, sf_dir):
     clients = customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("_oid"))
     found = checks.not_unique(supplier, ["s_nationkey"]).unionByName(checks.without_target(orders, "client", clients))
     return found.unionByName(checks.beyond_cardinality(clients, orders, "client", 2, 20))
+
+
+@query(
+    "select o_orderkey as k, 'state.' || case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'partly' end as state, c_custkey as client, case when c_custkey is null then 0 else 1 end::bigint as n_clients"
+    " from orders left join customer on o_custkey = c_custkey"
+)
+def job_model_facts(spark, sf_dir):
+    """A job that states no class, cardinality or list of names of its references and enumerations: the model has them."""
+    folder = shared_folder(spark, "job-model")
+    model = {
+        "Party": {"attributes": {"key": {"type": "int", "mandatory": True}}},
+        "Client": {"extends": "Party"},
+        "Sale": {"attributes": {"k": {"type": "bigint"}, "state": {"values": ["state.done", "state.open", "state.partly"]}}, "roles": {"client": {"class": "Party"}, "clients": {"class": "Party", "max": None}}},
+    }
+    rules = [
+        {"id": "clients", "target": {"output": "out", "class": "Client"}, "sources": [{"alias": "c", "class": "C"}], "assign": {"key": "c.c_custkey"}},
+        {
+            "id": "sales", "target": {"output": "out", "class": "Sale"}, "sources": [{"alias": "o", "class": "O"}],
+            "assign": {"k": "o.o_orderkey", "state": {"enumMapDefault": ["o.o_orderstatus", "states", "'partly'"]}},
+            "refs": [{"role": r, "sourceRef": "o.o_custkey", "targetRule": "clients"} for r in ("client", "clients")],
+        },
+    ]
+    job = _job([_input(sf_dir, "customer", "c_custkey", "C"), _input(sf_dir, "orders", "o_orderkey", "O")], folder, rules, "deterministicUuid")
+    job["mapping"]["enums"] = {"states": {"F": "done", "O": "open"}}
+    runner.run(spark, job_of({"model": model, **job}))
+    sale, client = spark.read.parquet(f"{folder}/Sale"), spark.read.parquet(f"{folder}/Client").select(F.col("_oid").alias("c_oid"), "key")
+    rows = sale.join(client, F.col("client") == F.col("c_oid"), "left")
+    return rows.select("k", "state", F.col("key").alias("client"), F.coalesce(F.size("clients"), F.lit(0)).cast("long").alias("n_clients"))

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
@@ -27,10 +26,15 @@ def _open(content: bytes) -> sqlite3.Connection:
 
 
 def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """Options: table, schema (DDL), geometry (its column, given as WKB), fetchSize. A file must fit a task's memory."""
+    """Options: table, schema (DDL), geometry (its column, given as WKB), fetchSize, and recordsPerTask: so many row numbers of
+    a file, which all executors must mount, go to a task. Without it a file is read whole and must fit a task's memory."""
     schema = StructType.fromDDL(options["schema"])
     table, geometry, size = options["table"], options.get("geometry"), int(options.get("fetchSize", 10_000))
     names = schema.fieldNames()
+    if options.get("recordsPerTask"):
+        from weftline.sources import ranges
+
+        return ranges.read(spark, ranges.GeopackageRanges, options["schema"], {"path": path, "records": int(options["recordsPerTask"]), "table": table, "geometry": geometry})
     select = ", ".join(f'"{n}"' for n in names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,20 +50,3 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, schema)
-
-
-def point_of_wkb(wkb):
-    """The coordinate of a little-endian WKB point, in SQL expressions: null for other geometries."""
-    from pyspark.sql.functions import pandas_udf
-
-    from weftline.functions.geometry import COORD
-
-    @pandas_udf(COORD)
-    def point(blobs: pd.Series) -> pd.DataFrame:
-        import struct
-
-        rows = [struct.unpack("<dd", b[5:21]) if b is not None and bytes(b[:5]) == b"\1\1\0\0\0" else (None, None) for b in blobs]
-        return pd.DataFrame(rows, columns=["x", "y"], dtype="float64")
-
-    found = point(wkb)
-    return F.when(found["x"].isNotNull(), found)

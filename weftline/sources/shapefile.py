@@ -23,11 +23,11 @@ def shapes(content: bytes) -> Iterator[str | None]:
     at = HEADER
     while at + 8 <= len(content):
         size = struct.unpack_from(">i", content, at + 4)[0] * 2
-        yield _wkt(content[at + 8 : at + 8 + size])
+        yield wkt_of_record(content[at + 8 : at + 8 + size])
         at += 8 + size
 
 
-def _wkt(record: bytes) -> str | None:
+def wkt_of_record(record: bytes) -> str | None:
     kind = struct.unpack_from("<i", record)[0]
     pair = lambda p: f"{p[0]!r} {p[1]!r}"
     if kind == 0:
@@ -75,27 +75,38 @@ def polygons_of(rings: list) -> list[list]:
     return shells
 
 
-def dbf_records(content: bytes, encoding: str, deleted: str = "error") -> tuple[list[str], Iterator[list[str | None] | None]]:
-    """Field names, and each record's values as text; None for a deleted record that is skipped."""
-    n, start, size = struct.unpack_from("<IHH", content, 4)
+def dbf_fields(content: bytes, encoding: str) -> list[tuple[str, str, int]]:
+    """Name, kind and width of the fields that a .dbf file's head states."""
     fields, at = [], 32
     while content[at] != 0x0D:
         fields.append((content[at : at + 11].split(b"\0")[0].decode(encoding), chr(content[at + 11]), content[at + 16]))
         at += 32
+    return fields
+
+
+def dbf_values(row: bytes, fields: list[tuple[str, str, int]], encoding: str) -> list[str | None]:
+    """A record's values as text."""
+    values, place = [], 1
+    for _, kind, width in fields:
+        values.append(value_text(row[place : place + width].decode(encoding), kind))
+        place += width
+    return values
+
+
+def dbf_records(content: bytes, encoding: str, deleted: str = "error") -> tuple[list[str], Iterator[list[str | None] | None]]:
+    """Field names, and each record's values as text; None for a deleted record that is skipped."""
+    n, start, size = struct.unpack_from("<IHH", content, 4)
+    fields = dbf_fields(content, encoding)
 
     def rows():
         for i in range(n):
-            row, place = content[start + i * size : start + (i + 1) * size], 1
+            row = content[start + i * size : start + (i + 1) * size]
             if row[:1] == b"*":
                 if deleted == "error":
                     raise ValueError(f"record {i} is deleted")
                 yield None
                 continue
-            values = []
-            for _, kind, width in fields:
-                values.append(value_text(row[place : place + width].decode(encoding), kind))
-                place += width
-            yield values
+            yield dbf_values(row, fields, encoding)
 
     return [f[0] for f in fields], rows()
 
@@ -116,13 +127,22 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
 
     `path` names .shp files or .zip archives of one shapefile (option member picks
     one of several). Options: fields (comma-joined DBF names), dbfEncoding,
-    deletedRecordPolicy (error or skip), oidField, column.<FIELD>=<attribute>.
+    deletedRecordPolicy (error or skip), oidField, column.<FIELD>=<attribute>, and
+    recordsPerTask: so many records of a file, which all executors must mount, go to
+    a task; without it a file is read whole.
     """
     fields = [f.strip() for f in options["fields"].split(",")]
     geometry, encoding = options.get("geometryAttribute", "geometry"), options.get("dbfEncoding", "ISO-8859-1")
     deleted, member, oid = options.get("deletedRecordPolicy", "error"), options.get("member"), options.get("oidField")
     names = [options.get(f"column.{f}", f) for f in fields]
 
+    schema = ", ".join(f"`{n}` string" for n in ["_oid", *names, geometry])
+    if options.get("recordsPerTask") and not path.endswith(".zip"):
+        from weftline.sources import ranges
+
+        spec = {"path": path, "records": int(options["recordsPerTask"]), "fields": fields, "encoding": encoding, "deleted": deleted, "oid": oid}
+        return ranges.read(spark, ranges.ShapefileRanges, schema, spec)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shp, dbf in zip(frame["shp"], frame["dbf"]):
@@ -143,7 +163,6 @@ def read(spark: SparkSession, path: str, options: dict) -> DataFrame:
         name = F.regexp_replace("path", r"\.[^.]*$", "")
         side = lambda ext: files.load(f"{stem}.{ext}").select(name.alias(f"{ext}_name"), F.col("content").alias(ext))
         pairs = side("shp").join(side("dbf"), F.col("shp_name") == F.col("dbf_name")).select("shp", "dbf")
-    schema = ", ".join(f"`{n}` string" for n in ["_oid", *names, geometry])
     return pairs.mapInPandas(run, schema)
 
 
