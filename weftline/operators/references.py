@@ -70,13 +70,16 @@ def resolve(refs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def resolve_singletons(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """References to the one object of a rule: resolved where `target_rule` made exactly one."""
-    per_rule = targets.groupBy("rule").agg(F.count("*").alias("n"), F.min("target_oid").alias("only"))
-    joined = refs.join(per_rule, F.col("target_rule") == F.col("rule"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    outcome = F.when(F.col("n") == 1, "RESOLVED").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("required"), "MISSING_MANDATORY").otherwise("UNRESOLVED")
-    return joined.withColumn("outcome", outcome).select(
-        *refs.columns, "outcome", F.when(F.col("n") == 1, F.col("only")).alias("target_oid"), F.col("n").cast("long").alias("n")
-    )
+    """References to the one object of a rule: resolved where `target_rule` made exactly one of the expected class, if one is
+    stated, and the role takes one at least."""
+    per_rule = targets.groupBy(F.col("rule").alias("s_rule"), F.col("target_class").alias("s_class")).agg(F.count("*").alias("n"), F.min("target_oid").alias("only"))
+    fits = (F.col("target_rule") == F.col("s_rule")) & (F.col("expected_class").isNull() | (F.col("expected_class") == F.col("s_class")))
+    per_ref = refs.select("target_rule", "expected_class").distinct().join(per_rule, fits).groupBy(F.col("target_rule").alias("p_rule"), F.col("expected_class").alias("p_class"))
+    counted = per_ref.agg(F.sum("n").alias("n"), F.min("only").alias("only"))
+    joined = refs.join(counted, (F.col("target_rule") == F.col("p_rule")) & F.col("expected_class").eqNullSafe(F.col("p_class")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = (F.col("n") == 1) & F.coalesce(F.col("card_max") > 0, F.lit(True))
+    outcome = F.when(one, "RESOLVED").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("required"), "MISSING_MANDATORY").otherwise("UNRESOLVED")
+    return joined.withColumn("outcome", outcome).select(*refs.columns, "outcome", F.when(one, F.col("only")).alias("target_oid"), F.col("n").cast("long").alias("n"))
 
 
 def report(resolved: DataFrame) -> DataFrame:

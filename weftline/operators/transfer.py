@@ -31,12 +31,12 @@ def inventory_references(catalog: Catalog, references: dict[str, list[str]]) ->
 
 
 def inventory_values(catalog: Catalog, attributes: dict[str, list[str]]) -> DataFrame:
-    """(cls, attribute, value, n) of classification attributes by class; null is a value."""
-    parts = [
-        catalog.records(cls).groupBy(F.col(a).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(cls).alias("cls"), F.lit(a).alias("attribute"), "value", "n")
-        for cls, names in attributes.items()
-        for a in names
-    ]
+    """(cls, attribute, value, n) of classification attributes by class; null is a value. A class is read once for all of them."""
+    parts = []
+    for cls, names in attributes.items():
+        each = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in names))
+        rows = catalog.records(cls).select(F.explode(each).alias("e")).groupBy("e.attribute", "e.value").agg(F.count("*").alias("n"))
+        parts.append(rows.select(F.lit(cls).alias("cls"), "attribute", "value", "n"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -106,6 +106,22 @@ def extract(catalog: Catalog, references: dict[str, list[str]], seeds: DataFrame
     return parts, reached
 
 
+def extract_to(catalog: Catalog, references: dict[str, list[str]], seeds: DataFrame, path: str, *, max_depth: int, max_objects: int | None = None, options: dict | None = None) -> DataFrame:
+    """Write the part of a transfer that `extract` gives as one transfer file at `path` (.xtf or .itf); its provenance."""
+    from weftline.sources.formats import format_of
+
+    parts, reached = extract(catalog, references, seeds, max_depth=max_depth, max_objects=max_objects)
+    by_class: dict[str, DataFrame] = {}
+    for (cls, _), df in parts.items():
+        df = df.drop("_input", "_class", "_ord")
+        by_class[cls] = df if cls not in by_class else by_class[cls].unionByName(df, allowMissingColumns=True)
+    write = format_of(path).write_all
+    if write is None:
+        raise ValueError(f"{path} is no transfer of several classes")
+    write(by_class, path, {"roles": references, **(options or {})})
+    return reached
+
+
 def subgraph(edges: DataFrame, seeds: DataFrame, *, max_depth: int, both_ways: bool = True, max_objects: int | None = None) -> DataFrame:
     """(node, depth): what the seeds reach over `edges` (src, dst) in at most `max_depth` steps.
 

@@ -35,6 +35,8 @@ class Input:
     #: Of a database: how to connect, and the query that gives the class.
     connection: dict = field(default_factory=dict)
     query: dict = field(default_factory=dict)
+    #: Bags whose structures are records too: attribute, and the name of their class.
+    structures: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -144,6 +146,12 @@ def rule_of(d: dict) -> Rule:
     )
 
 
+def _structures(cls: str, d: dict) -> tuple[tuple[str, str], ...]:
+    """Of `structures`, a list of attributes, or the names of classes by attribute; a class is named by its attribute otherwise."""
+    stated = d.get("structures") or {}
+    return tuple((a, (stated.get(a) if isinstance(stated, dict) else None) or f"{cls}.{a}") for a in stated)
+
+
 def _inputs(d: dict) -> list[Input]:
     """An input, or one for each query of a database input and for each class of a transfer."""
     if "queries" in d:
@@ -154,10 +162,10 @@ def _inputs(d: dict) -> list[Input]:
     if "classes" in d:  # several classes of one transfer: each has the input's options and its own
         shared = {"format": d.get("format"), "basket": d.get("basket"), "order": d.get("order"), "oid": d.get("oid", "_oid")}
         return [
-            Input(d["id"], cls, d["path"], own.get("oid", shared["oid"]), shared["format"], own.get("basket", shared["basket"]), own.get("order", shared["order"]), {**d.get("options", {}), "class": cls, **own.get("options", {})})
+            Input(d["id"], cls, d["path"], own.get("oid", shared["oid"]), shared["format"], own.get("basket", shared["basket"]), own.get("order", shared["order"]), {**d.get("options", {}), "class": cls, **own.get("options", {})}, structures=_structures(cls, own))
             for cls, own in d["classes"].items()
         ]
-    return [Input(d["id"], d["class"], d["path"], d["oid"], d.get("format"), d.get("basket"), d.get("order"), dict(d.get("options", {})))]
+    return [Input(d["id"], d["class"], d["path"], d["oid"], d.get("format"), d.get("basket"), d.get("order"), dict(d.get("options", {})), structures=_structures(d["class"], d))]
 
 
 def job_of(d: dict) -> Job:
@@ -213,7 +221,7 @@ def check_structure(job: Job) -> list[Diagnostic]:
         if value not in known:
             error(code, f"{value!r} is none of {sorted(known)}")
     outputs, inputs, rules = {o.id for o in job.outputs}, {i.id for i in job.inputs}, {r.id: r for r in job.rules}
-    classes = {i.cls for i in job.inputs}
+    classes = {i.cls for i in job.inputs} | {name for i in job.inputs for _, name in i.structures}
     for r in job.rules:
         aliases = [s.alias for s in r.sources]
         if not r.sources:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.curves import stroked
-from weftline.operators import areas, checks
+from weftline.operators import areas, checks, transfer
 from weftline.operators.rules import Catalog, lower
 from weftline.operators.signatures import compare_signatures
 from weftline.plans import runner
@@ -321,3 +321,37 @@ def job_model_facts(spark, sf_dir):
     sale, client = spark.read.parquet(f"{folder}/Sale"), spark.read.parquet(f"{folder}/Client").select(F.col("_oid").alias("c_oid"), "key")
     rows = sale.join(client, F.col("client") == F.col("c_oid"), "left")
     return rows.select("k", "state", F.col("key").alias("client"), F.coalesce(F.size("clients"), F.lit(0)).cast("long").alias("n_clients"))
+
+
+@query("select o_custkey as client, o_orderkey as key, o_totalprice as price from orders where o_custkey in (select c_custkey from customer) and o_totalprice > 100000")
+def job_structures(spark, sf_dir):
+    """The structures of a bag as records of a class of their own, with references to the objects that hold them."""
+    folder = shared_folder(spark, "job-structures")
+    source = {"id": "c", "class": "C", "path": _clients_with_orders(spark, sf_dir), "oid": "c_custkey", "format": "parquet", "structures": {"prices": "Price"}}
+    rules = [
+        {"id": "clients", "target": {"output": "out", "class": "Client"}, "sources": [{"alias": "c", "class": "C"}], "assign": {"custkey": "c.c_custkey"}},
+        {
+            "id": "prices", "target": {"output": "out", "class": "Price"}, "sources": [{"alias": "p", "class": "Price"}], "where": "p.price > 100000", "assign": {"key": "p.key", "price": "p.price"},
+            "refs": [{"role": "client", "sourceRef": "p._parent_oid", "targetRule": "clients"}],
+        },
+    ]
+    runner.run(spark, job_of(_job([source], folder, rules)))
+    client = spark.read.parquet(f"{folder}/Client").select(F.col("_oid").alias("c_oid"), "custkey")
+    return spark.read.parquet(f"{folder}/Price").join(client, F.col("client") == F.col("c_oid")).select(F.col("custkey").alias("client"), "key", "price")
+
+
+@query("select 'n' || n_nationkey as oid, 'nation' as cls, n_name as name, 'r' || n_regionkey as region from nation where n_regionkey = 1 union all select 'r1', 'region', r_name, null from region where r_regionkey = 1")
+def extract_to_transfer(spark, sf_dir):
+    """What a region and its nations are, cut out of a transfer, written as one file and read again."""
+    folder = shared_folder(spark, "extract")
+    region, nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier"))
+    c = Catalog().add(region.selectExpr("r_name as name", "concat('r', r_regionkey) as id"), input_id="t", cls="M.T.region", oid="id")
+    c.add(nation.selectExpr("n_name as name", "concat('n', n_nationkey) as id", "concat('r', n_regionkey) as region"), input_id="t", cls="M.T.nation", oid="id")
+    c.add(supplier.selectExpr("s_name as name", "concat('s', s_suppkey) as id", "concat('n', s_nationkey) as nation"), input_id="t", cls="M.T.supplier", oid="id")
+    seeds = spark.createDataFrame([("M.T.region#r1",)], "node string")
+    transfer.extract_to(c, {"M.T.nation": ["region"], "M.T.supplier": ["nation"]}, seeds, f"{folder}/part.xtf", max_depth=1)
+    read = lambda cls, more="": formats.read_input(
+        spark, f"{folder}/part.xtf", {"class": f"M.T.{cls}", "basketTag": "M.T", "oid": "TID", "bid": "BID", "schema": f"name string{more}"}
+    ).withColumn("cls", F.lit(cls))
+    rows = read("nation", ", region struct<_a_REF:string>").unionByName(read("region"), allowMissingColumns=True)
+    return rows.select(F.col("_oid").alias("oid"), "cls", "name", "region")
