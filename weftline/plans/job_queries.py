@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import struct
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.curves import stroked
+from weftline.functions.geometry import wkb_text
 from weftline.operators import areas, checks, transfer
 from weftline.operators.rules import Catalog, lower
 from weftline.operators.signatures import compare_signatures
@@ -15,7 +20,7 @@ from weftline.plans import runner
 from weftline.plans.catalog_queries import registering
 from weftline.plans.job import job_of, rule_of
 from weftline.sources import formats
-from weftline.storage import shared_folder
+from weftline.storage import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -355,3 +360,99 @@ def extract_to_transfer(spark, sf_dir):
     ).withColumn("cls", F.lit(cls))
     rows = read("nation", ", region struct<_a_REF:string>").unionByName(read("region"), allowMissingColumns=True)
     return rows.select(F.col("_oid").alias("oid"), "cls", "name", "region")
+
+
+# Functions of nulls, and sources of jobs
+
+
+@query(
+    "select o_orderkey as k, coalesce(nullif(o_orderstatus, 'F'), nullif(o_orderpriority, '1-URGENT'), 'none') as first, o_orderstatus <> 'F' as has, o_orderstatus = 'F' as lacks,"
+    " o_orderstatus = 'F' as absent, case when o_orderstatus = 'F' then 'x' else o_orderstatus end as filled, null::varchar as nothing, case when o_orderstatus = 'F' then 'd' else o_orderstatus end as named, true as timed from orders"
+)
+def job_null_functions(spark, sf_dir):
+    status = "nullif(o.o_orderstatus, 'F')"
+    assign = {
+        "k": "o.o_orderkey", "first": {"coalesce": [status, "nullif(o.o_orderpriority, '1-URGENT')", "'none'"]}, "has": {"defined": [status]}, "lacks": {"notDefined": [status]},
+        "absent": {"isNull": [status]}, "filled": {"default": [status, "'x'"]}, "nothing": {"null": []}, "named": {"enumDefault": [status, "'d'"]}, "timed": {"defined": [{"now": []}]},
+    }
+    catalog = Catalog().add(spark.read.parquet(f"{sf_dir}/orders.parquet"), input_id="t", cls="O", oid="o_orderkey")
+    rows = lower(rule_of({"id": "r", "output": "out", "targetClass": "T", "sources": [{"alias": "o", "class": "O"}], "assign": assign}), catalog).targets
+    return rows.select(*assign).withColumn("nothing", F.col("nothing").cast("string"))
+
+
+@query("select s_suppkey as id, case when s_suppkey % 3 = 0 then null else 'POINT (' || s_suppkey || ' 2)' end as geom, 'q.' || row_number() over (order by s_suppkey) as oid, s_name as name from supplier")
+def job_jdbc(spark, sf_dir):
+    """A job's input from a database: a query, its columns renamed, geometry as text, objects numbered, read by ranges of a key."""
+    name = uuid.uuid4().hex
+    connection = {"url": f"jdbc:derby:memory:q{name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as K", "s_name as N", "if(s_suppkey % 3 = 0, '', concat('POINT (', s_suppkey, ' 2)')) as G")
+    rows.coalesce(1).write.format("jdbc").options(**connection, dbtable="shops").save()
+    most = rows.agg(F.max("K")).first()[0]
+    sql = {
+        "id": "q", "class": "Shop", "sql": 'select "K" as id, "N" as nm, "G" as shape from shops', "columns": {"ID": "id", "NM": "name"}, "partitionColumn": "ID", "lowerBound": 1, "upperBound": most,
+        "numPartitions": 4, "geometry": [{"column": "shape", "attribute": "geom", "encoding": "wkt"}],
+    }
+    rule = {"id": "r", "target": {"output": "out", "class": "T"}, "sources": [{"alias": "s", "class": "Shop"}], "assign": {"id": "s.id", "geom": "s.geom", "name": "s.name"}}
+    folder = shared_folder(spark, "job-jdbc")
+    runner.run(spark, job_of(_job([{"id": "db", "connection": connection, "queries": [sql]}], folder, [rule], "preserve")))
+    return spark.read.parquet(f"{folder}/T").select("id", "geom", F.col("_oid").alias("oid"), "name")
+
+
+def _local(spark: SparkSession, label: str) -> str:
+    folder = shared_folder(spark, label).removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
+@query(
+    "select s_suppkey::varchar as key, s_name as name, (s_suppkey % 2 = 0)::varchar as even, case when s_suppkey % 5 = 0 then null else 'POLYGON ((' || s_suppkey || '.0 0.0, ' || s_suppkey || '.0 2.0, ' || (s_suppkey + 2) || '.0 2.0, ' || s_suppkey || '.0 0.0))' end as geometry from supplier"
+)
+def format_shapefile(spark, sf_dir):
+    """Polygons, typed fields and missing shapes, written and read back by ranges of records."""
+    x = "cast(s_suppkey as double)"
+    shape = f"concat('POLYGON ((', {x}, ' 0.0, ', {x}, ' 2.0, ', {x} + 2, ' 2.0, ', {x}, ' 0.0))')"
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as supplier_key", "s_name as name", "s_suppkey % 2 = 0 as even", f"if(s_suppkey % 5 = 0, null, {shape}) as geometry")
+    path = f"{_local(spark, 'format-shp')}/s.shp"
+    formats.write_output(rows, path, {"fieldNameStrategy": "truncate", "shapeType": "polygon"})
+    options = {"fields": "supplier_k,name,even", "column.supplier_k": "key", "dbfEncoding": "UTF-8", "recordsPerTask": 40}
+    return formats.read_input(spark, path, options).select("key", "name", "even", "geometry")
+
+
+@query("select s_suppkey as id, s_name as name, 'POINT (' || s_suppkey || ' 2.5)' as geom from supplier where s_suppkey % 4 <> 0")
+def format_geopackage(spark, sf_dir):
+    """A table with gaps in its row numbers, read by ranges of them."""
+    path = f"{_local(spark, 'format-gpkg')}/s.gpkg"
+    with sqlite3.connect(path) as c:
+        c.execute("create table s (id integer primary key, name text, geom blob)")
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name").toLocalIterator()
+        c.executemany("insert into s values (?, ?, ?)", ((k, n, b"GP\0\1" + struct.pack("<i", 2056) + struct.pack("<bidd", 1, 1, k, 2.5)) for k, n in rows))
+        c.execute("delete from s where id % 4 = 0")
+    options = {"table": "s", "schema": "id int, name string, geom binary", "geometry": "geom", "recordsPerTask": 30}
+    return formats.read_input(spark, path, options).select("id", "name", wkb_text("geom").alias("geom"))
+
+
+# Bags, joins and identifiers
+
+
+@query("select c_custkey as k, count(o_orderkey) as n, count(o_orderkey) filter (o_orderstatus = 'F') as unnamed from customer left join orders on o_custkey = c_custkey group by 1")
+def bag_once_and_mandatory(spark, sf_dir):
+    """A record that comes twice is one structure; structures that lack a mandatory field are told by their parent."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    catalog = Catalog().add(spark.read.parquet(f"{sf_dir}/customer.parquet"), input_id="t", cls="C", oid="c_custkey").add(orders.unionByName(orders), input_id="t", cls="O", oid="o_orderkey")
+    bag = {"from": {"class": "O", "alias": "o"}, "parentRef": {"attribute": "o_custkey"}, "assign": {"key": "o.o_orderkey", "status": "nullif(o.o_orderstatus, 'F')"}, "mandatory": ["status"]}
+    f = lower(rule_of({"id": "r", "output": "out", "targetClass": "T", "sources": [{"alias": "c", "class": "C"}], "assign": {"k": "c.c_custkey"}, "bags": {"orders": bag}}), catalog)
+    told = f.full.where(F.size("_problems") > 0).select(F.col("k").alias("t_k"))
+    unnamed = F.size(F.filter("orders", lambda x: x["status"].isNull())).cast("long")
+    rows = f.targets.join(told, F.col("k") == F.col("t_k"), "left").where((unnamed > 0) == F.col("t_k").isNotNull())
+    return rows.select("k", F.size("orders").cast("long").alias("n"), unnamed.alias("unnamed"))
+
+
+@query("select o_orderkey as k, c_custkey as client from orders join customer on o_custkey = c_custkey and o_orderkey % 5 = c_nationkey")
+def join_bound_alias(spark, sf_dir):
+    """A further join between aliases that are bound is a filter; identifiers at random differ."""
+    catalog = Catalog().add(spark.read.parquet(f"{sf_dir}/orders.parquet"), input_id="t", cls="O", oid="o_orderkey").add(spark.read.parquet(f"{sf_dir}/customer.parquet"), input_id="t", cls="C", oid="c_custkey")
+    joins = [{"right": "c", "on": [["o.o_custkey", "c.c_custkey"]]}, {"right": "c", "on": [["o.o_orderkey % 5", "c.c_nationkey"]]}]
+    rule = {"id": "r", "output": "out", "targetClass": "T", "sources": [{"alias": "o", "class": "O"}, {"alias": "c", "class": "C"}], "joins": joins, "assign": {"k": "o.o_orderkey", "client": "c.c_custkey"}}
+    rows = stored(lower(rule_of(rule), catalog, oid="uuid").targets, "join-bound")
+    once = rows.groupBy("_oid").count().where("count = 1")
+    return rows.join(once, "_oid").select("k", "client")
