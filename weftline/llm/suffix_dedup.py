@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import n_partitions, sized, stored
+from weftline.llm._shared import n_partitions, released, sized, stored
 
 U64 = np.uint64
 GRAM = 32
@@ -305,7 +305,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
 
     def rows(with_class: bool) -> DataFrame:
         schema = "h bigint, sig bigint, rid bigint, pack bigint" if with_class else "h bigint"
-        return texts.select("rid", "text").mapInArrow(lambda batches: _anchor_rows(batches, length, with_class), schema)
+        return texts.select("rid", "text").mapInArrow(released(lambda batches: _anchor_rows(batches, length, with_class)), schema)
 
     grams = rows(False).groupBy("h").count().where("count > 1").select(F.col("h").alias("g"))
     met = stored(rows(True).join(stored(grams, "suffix-grams"), F.col("h") == F.col("g")).select(F.col("h").alias("bucket"), "sig", "rid", "pack"), "suffix-anchors")
@@ -318,7 +318,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
         F.collect_list(F.struct(F.col("bucket").alias("h"), "pack", (F.col("kinds") > bucket_limit).alias("large"))).alias("asked")
     )
     joined = texts.join(of_row, F.col("rid") == F.col("a_rid")).select("rid", "text", "asked")
-    contexts = joined.mapInArrow(lambda batches: _context_rows(batches, length), "bucket bigint, rid bigint, pack bigint, bytes binary, large boolean")
+    contexts = joined.mapInArrow(released(lambda batches: _context_rows(batches, length)), "bucket bigint, rid bigint, pack bigint, bytes binary, large boolean")
     contexts = stored(contexts, "suffix-contexts", "zstd")
 
     def sorted_in_tasks(members: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, bucket_limit: int = 1
             members.select("bucket", "rid", "pack", "bytes", "low", "high")
             .repartition(n_partitions(spark), "bucket")
             .sortWithinPartitions("bucket")
-            .mapInArrow(lambda batches: _sorted_buckets(batches, length), "rid bigint, start bigint, end bigint")
+            .mapInArrow(released(lambda batches: _sorted_buckets(batches, length)), "rid bigint, start bigint, end bigint")
         )
 
     spans = spans.union(sorted_in_tasks(contexts.where("not large").withColumns({"low": F.expr(f"{OFFSET} - {WINDOWS}"), "high": F.expr(OFFSET)})))
@@ -391,4 +391,4 @@ def without_repeats(docs: DataFrame, *, length: int = 200, bucket_limit: int = 1
             )
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(released(run), schema)
