@@ -279,11 +279,12 @@ class WordTokens:
 _loaded: dict[str, WordTokens] = {}
 
 
-def _tokens(path: str) -> WordTokens:
+def _tokens(path: str, keep: int) -> WordTokens:
     """Loaded once a worker; its words are forgotten at the end of each task."""
     if path not in _loaded:
         _loaded.clear()
         _loaded[path] = WordTokens(path)
+    _loaded[path].keep = keep
     return _loaded[path]
 
 
@@ -309,8 +310,9 @@ def pack_documents(
     max_segments: int = 256,
     max_loss: int = 2048,
     window: int = 2048,
+    keep_words: int = 150_000,
 ) -> DataFrame:
-    """Tokenize (doc_id, text) and pack; one row per piece.
+    """Tokenize (doc_id, text) and pack; one row per piece. A task keeps the ids of twice `keep_words` words.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A
     null or empty text has the end token only. Every token of a document bears
@@ -322,7 +324,7 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokens(tokenizer_path)
+        words = _tokens(tokenizer_path, keep_words)
         packer = Packer(*limits, sequence=TaskContext.get().partitionId() << 33)
         held: dict[int, list] = {}  # number of a document: its id, ids, and the tokens that have no piece yet
         kind, number = None, 0

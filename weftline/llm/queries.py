@@ -31,7 +31,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_file(), keep_words=240_000)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
