@@ -174,3 +174,26 @@ def test_words_are_forgotten_at_the_end():
     assert "some" in words.young and "x" * 100 not in words.young
     words.forget()
     assert not words.young and not words.old
+
+
+def test_many_latin_texts_are_known_by_their_pieces_alone():
+    texts = [f"Only, only only. ONLY! It's only{end}" for end in ("", ";", "?", "...")] * 60
+    words = P.WordTokens(tokenizer_file())
+    assert words.ids(texts) == direct(texts)
+    assert not words.young and len(words.pieces.hashes) == len(["only", "it", "'s", *",.!;?", "..."])
+    words.forget()
+    assert not len(words.pieces.hashes) and not len(words.pieces.flat)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_pieces_equal_the_tokenizer(collide):
+    """Every Latin-1 character in any order, apostrophes, digits, pieces around 8 and 16 characters; beside texts of other characters."""
+    rng = np.random.default_rng(6)
+    parts = [*map(chr, range(1, 256)), *"  ", "'ll", "'Re", "don't", "l'été", "''s", "a" * 8, "b" * 9, "a" * 16, "a" * 17, "." * 16, "." * 20, "\u0153uvre", "\u2019", "\0"]
+    texts = ["".join(rng.choice(parts[: -3 if k % 5 else None], int(rng.integers(0, 400)))) for k in range(300)] + ODD + ["x" * 5000, "7" * 5000, "<|EndOfText|> a"]
+    words = P.WordTokens(tokenizer_file(), keep=200)
+    if collide:
+        words.pieces.FACTORS = np.zeros(2, np.uint64)
+    got = [ids for k in range(0, len(texts), 40) for ids in words.ids(texts[k : k + 40])]
+    assert got == direct(texts)
+    assert len(words.pieces.hashes) == 1 if collide else len(words.pieces.hashes) > 100

@@ -193,6 +193,112 @@ def _wordwise(tokenizer) -> bool:
     return steps[0].get("normalizers") == WORDWISE_NORMALIZER and WORDWISE_SPLIT in steps[1].get("pretokenizers", [])
 
 
+class Pieces:
+    """Token ids of Latin-1 texts by arrays; of a wordwise tokenizer, whose own steps tell what each character is.
+
+    A piece is known by its characters: as two 64-bit numbers that hold up to 16 of
+    them, and by a hash of both, under which the known ones are sorted. Hits are
+    held against the numbers, so a hash shared by two pieces can't go unseen. Longer
+    pieces are encoded each time.
+    """
+
+    SPACE, LETTER, SIGN, DIGIT = range(4)
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+    def __init__(self, tokenizer, ends: np.ndarray):
+        self.tokenizer, self.ends = tokenizer, ends
+        self.added = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+        def cut(text: str) -> int:
+            return len(tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text)))
+
+        def kind(c: str) -> int:
+            return self.SPACE if not cut(c) else self.DIGIT if cut(c + c) == 2 else self.LETTER if cut("a" + c) == 1 else self.SIGN
+
+        self.kinds = np.array([kind(chr(i)) for i in range(256)], np.uint8)
+        self.lower = bytes(ord(chr(i).lower()) for i in range(256))
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))
+        self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def bytes_of(self, text: str) -> bytes | None:
+        """The text in lower-case Latin-1, or None where it has other characters, NUL or a token of its own."""
+        try:
+            data = text.encode("latin-1").translate(self.lower)
+        except UnicodeEncodeError:
+            return None
+        return None if b"\0" in data or any(t in data for t in self.added) else data
+
+    def ids(self, texts: list[bytes], most: int) -> list[bytes]:
+        """Of each text of `bytes_of`. Over `most` known pieces are forgotten."""
+        if len(self.hashes) > most:
+            self.clear()
+        n = sum(map(len, texts)) + len(texts)
+        data = b" ".join([*texts, bytes(24)])
+        starts, size = self._cut(np.frombuffer(data, np.uint8)[:n])
+        at = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        low, high = at[starts] & self.MASKS[np.minimum(size, 8)], at[starts + 8] & self.MASKS[np.clip(size - 8, 0, 8)]
+        hashes = low * self.FACTORS[0] + high * self.FACTORS[1]
+        short = size <= 16
+        distinct, where, inverse = np.unique(hashes[short], return_index=True, return_inverse=True)
+        where = np.flatnonzero(short)[where]
+        new = where[np.searchsorted(self.hashes, distinct) == np.searchsorted(self.hashes, distinct, "right")]
+        if len(new):
+            ids, count = self._encoded(data, starts[new], size[new])
+            place = np.searchsorted(self.hashes, hashes[new])
+            for name, values in (("low", low[new]), ("high", high[new]), ("first", len(self.flat) + np.cumsum(count) - count), ("count", count), ("hashes", hashes[new])):
+                setattr(self, name, np.insert(getattr(self, name), place, values))
+            self.flat = np.concatenate([self.flat, ids])
+        number = np.searchsorted(self.hashes, distinct)[inverse]
+        # Pieces that are long, or share their hash with another one, are encoded here.
+        same = (self.low[number] == low[short]) & (self.high[number] == high[short])
+        alone = np.concatenate([np.flatnonzero(~short), np.flatnonzero(short)[~same]])
+        first, count, flat = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), self.flat
+        first[short], count[short] = self.first[number], self.count[number]
+        if len(alone):
+            ids, count[alone] = self._encoded(data, starts[alone], size[alone])
+            first[alone] = len(flat) + np.cumsum(count[alone]) - count[alone]
+            flat = np.concatenate([flat, ids])
+        end = np.cumsum(count)
+        out = flat[np.repeat(first - (end - count), count) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        pieces = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        cuts = [0, *(4 * np.r_[0, end][pieces]).tolist()]
+        return [out[a:z] for a, z in zip(cuts, cuts[1:])]
+
+    def _cut(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces start, and their sizes. A lone apostrophe stays with the letters behind it ('s, 'll), if any."""
+        kind = self.kinds[chars]
+        before = np.r_[np.uint8(self.SPACE), kind[:-1]]
+        edge = (kind != before) | (kind == self.DIGIT)
+        quote = np.flatnonzero((chars[:-1] == ord("'")) & edge[:-1] & (kind[1:] == self.LETTER))
+        edge[quote + 1] = False
+        edges = np.flatnonzero(edge)
+        own = kind[edges] != self.SPACE
+        return edges[own], np.diff(np.r_[edges, len(chars)])[own]
+
+    def _encoded(self, data: bytes, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has. Letters are encoded as one text."""
+        pieces = [data[a : a + k].decode("latin-1") for a, k in zip(starts.tolist(), size.tolist())]
+        letters = np.array([p.isalpha() for p in pieces], bool)
+        count = np.zeros(len(pieces), np.int64)
+        simple = [p for p, x in zip(pieces, letters) if x]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(simple):
+            letters[:], ids, last = False, ids[:0], last[:0]
+        count[letters] = np.diff(np.r_[-1, last])
+        other = [p for p, x in zip(pieces, letters) if not x]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        count[~letters] = [len(x) for x in each]
+        out = np.zeros(count.sum(), "<u4")
+        mine = np.repeat(letters, count)
+        out[mine], out[~mine] = ids, np.array([i for x in each for i in x], "<u4")
+        return out, count
+
+
 class WordTokens:
     """Token ids of texts as bytes (little-endian, 32 bits each).
 
@@ -201,10 +307,16 @@ class WordTokens:
     case, then those of the signs. Ids are then kept in two generations of about
     `keep` words, of 64 characters at most each; the older goes when the younger is
     full. Texts of any other tokenizer are encoded whole.
+
+    Many Latin-1 texts at a time are cut into the tokenizer's pieces (runs of
+    letters, runs of signs, single digits) by whole arrays of characters: see
+    `Pieces`. That spares an object for each word.
     """
 
     #: What may follow a word's letters and shares no token with them.
     SIGNS = ".,;:!?#*$%&|<>()[]{}\"'-_/"
+    #: Characters from which on arrays cost less than words.
+    MANY = 4096
 
     def __init__(self, path: str, keep: int = 150_000):
         import os
@@ -217,16 +329,27 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.wordwise = _wordwise(self.tokenizer)
+        self.pieces = Pieces(self.tokenizer, self.ends) if self.wordwise else None
         self.keep, self.young, self.old = keep, {}, {}
 
     def forget(self) -> None:
         """Give the kept words back; the next task of this worker begins without them."""
         self.young, self.old = {}, {}
+        if self.pieces:
+            self.pieces.clear()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text; words that are new are learned together."""
         if not self.wordwise:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [self.pieces.bytes_of(text) for text in texts]
+        if sum(map(len, filter(None, plain))) >= self.MANY:
+            found = iter(self.pieces.ids([x for x in plain if x is not None], 2 * self.keep))
+            others = iter(self._by_words([text for text, x in zip(texts, plain) if x is None]))
+            return [next(others if x is None else found) for x in plain]
+        return self._by_words(texts)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         words = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
