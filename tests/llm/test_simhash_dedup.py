@@ -71,6 +71,28 @@ def test_long_chains_become_one_component(spark):
     assert {r["label"] for r in S.components(links).collect()} == {0}
 
 
+def test_rounds_over_few_links_write_few_files(spark, monkeypatch):
+    """Each file costs a task and, on a local disk, processes that set its permissions."""
+    files, was = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+    def stored(df, label):
+        files.append((label, len((out := stored_before(df, label)).inputFiles())))
+        return out
+
+    stored_before = S.stored
+    monkeypatch.setattr(S, "stored", stored)
+    links = spark.range(1, 2000).select(F.col("id").alias("u"), (F.col("id") - F.col("id") % 10).alias("v"))
+    try:
+        for k, v in zip(was, ("64", "false")):
+            spark.conf.set(k, v)
+        got = {(r["node"], r["label"]) for r in S.components(links).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {(k, k - k % 10) for k in range(2000)}
+    assert len(files) > 4 and max(n for _, n in files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_edge_rows(documents):
     text = "a b c d e f g h i j k l"
     rows = [(None, text), (5, text), (5, text), (7, None), (8, ""), (9, "x"), (10, "word " * 70000), (None, "alone here with nobody else around")]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from weftline.storage import shared_folder, stored
 
-__all__ = ["free_names", "in_blocks", "n_partitions", "released", "shared_folder", "sized", "stored"]
+__all__ = ["few_files", "free_names", "in_blocks", "n_partitions", "released", "shared_folder", "sized", "stored"]
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -51,6 +51,13 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return whole
 
 
+def few_files(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """`df`, of up to `rows` small rows, in no more tasks than hold `each` of them, or run at once: a task writes a file, and small tables would have many."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // each))
+    return df.coalesce(tasks) if tasks < n_partitions(spark) else df
+
+
 #: Bytes of a value by type, and of a row beside its values, when a table is broadcast as a hash table.
 WIDTHS, ROW = {"long": 8, "double": 8, "integer": 4, "boolean": 1}, 32
 

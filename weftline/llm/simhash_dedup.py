@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._shared import free_names, n_partitions, released, sized, stored
+from weftline.llm._shared import few_files, free_names, n_partitions, released, sized, stored
 
 SEED = 42
 SHINGLE = 3
@@ -228,21 +228,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches, by alternating star rounds.
 
     `links` has columns u and v. Every round is written, so lost executors repeat
-    one round at most; rounds grow with the logarithm of the component size.
+    one round at most; rounds grow with the logarithm of the component size. A
+    round never makes more links than it has, so few links are written to few files.
     """
     edges = stored(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components"
     )
-    state = None
+    state, rows = None, edges.count()
+    written = lambda df, label: stored(few_files(df, 2 * rows), label)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "components-low")
+        low = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "components-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "components-large")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
+        large = written(large.where("u <> v").distinct(), "components-large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "components")
+        edges = written(small.distinct(), "components")
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
