@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.registry import JOINED, Call, Context, Expression, calls_in, column_of
 from weftline.operators import bags as nested
-from weftline.operators.bands import band_join
-from weftline.operators.identity import basket, deterministic_uuid, preserved_oid
+from weftline.operators.bands import band_join, fold
+from weftline.operators.identity import basket, deterministic_uuid, numbered_oids, preserved_oid
 from weftline.operators.lookups import first_matches
+from weftline.storage import stored
 
 #: Columns that every source record has, beside its attributes.
 ENVELOPE = ["_input", "_basket", "_class", "_oid", "_ord"]
@@ -86,6 +87,8 @@ class Bag:
     With `band`, a value and two bounds, of which one side is the child's and the
     other the parent's, records belong to all parents that the band joins them to.
     Without `source`: one structure made from the parent itself, where `where` holds.
+    summary: what embed would give, but its length `n` and its `first` structure only, and no array is made. With a band
+    its pairs aren't made either, as far as children are alike in what `where` holds against the parent.
     expand: every structure of the array `items` becomes an object of class `target`,
     numbered, with its parent's identifier as `parent_role`; expressions name the
     structure by `alias`. Bags within it are expanded too. An embedded bag holds
@@ -338,6 +341,10 @@ def with_bag(df: DataFrame, parent: str, bag: Bag, catalog: Catalog, context: Co
     fields = {k: column_of(e, own) for k, e in bag.assign.items()} | {b.attribute: F.col(b.attribute) for b in bag.bags}
     order = F.col(f"{bag.source.alias}._ord") if bag.order is None else column_of(bag.order, own)
     of_parent = F.col(f"{parent}._oid")
+    item = F.struct(order.isNull().alias("last"), order.alias("place"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("item"))
+    name = f"_b_{bag.attribute}"
+    if bag.mode == "summary" and bag.band:
+        return _summarised(df, parent, _band_summary(df, parent, child, bag, where, item, own, context), bag)
     if bag.band:
         parents = df.select(*(F.col(f"{parent}.{c}") for c in df.select(f"{parent}.*").columns)).alias(parent)
         child, key = _banded(parents, child, bag, own), of_parent
@@ -350,15 +357,71 @@ def with_bag(df: DataFrame, parent: str, bag: Bag, catalog: Catalog, context: Co
         except AnalysisException:  # it names the parent as well
             met = df.select(*(F.col(f"{parent}.{c}") for c in df.select(f"{parent}.*").columns)).alias(parent).join(child, key == of_parent)
             child = met.where(as_condition(where, Context(met, context.enums, own.joined)))
-    item = F.struct(order.isNull().alias("last"), order.alias("place"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("item"))
-    name = f"_b_{bag.attribute}"
     rows = child.select(key.alias(name), item.alias("row")).where(F.col(name).isNotNull())
+    if bag.mode == "summary":
+        return _summarised(df, parent, rows.groupBy(name).agg(F.count("*").alias("n"), F.min("row").alias("row")), bag)
     found = rows.groupBy(name).agg(F.transform(F.sort_array(F.collect_list("row")), lambda x: x["item"]).alias(bag.attribute))
     kind = found.schema[bag.attribute].dataType
     joined = df.join(found, of_parent == F.col(name), "left").drop(name)
     return joined.withColumn(bag.attribute, F.coalesce(F.col(bag.attribute), F.array().cast(kind)))
 
 
+def _summarised(df: DataFrame, parent: str, found: DataFrame, bag: Bag) -> DataFrame:
+    """`df` with `found` (key, n, row) as the summary of a bag; none: 0, and no first structure."""
+    name = f"_b_{bag.attribute}"
+    found = found.select(name, F.struct("n", F.col("row.item").alias("first")).alias(bag.attribute))
+    joined = df.join(found, F.col(f"{parent}._oid") == F.col(name), "left").drop(name)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(found.schema[bag.attribute].dataType["first"].dataType).alias("first"))
+    return joined.withColumn(bag.attribute, F.coalesce(F.col(bag.attribute), none))
+
+
+def _band_summary(df: DataFrame, parent: str, child: DataFrame, bag: Bag, where: Expression | None, item: Column, own: Context, context: Context) -> DataFrame:
+    """(key, n, row) of the children that a band, and a condition, join to each parent."""
+    name, alias = f"_b_{bag.attribute}", bag.source.alias
+    parents = df.select(*(F.col(f"{parent}.{c}") for c in df.select(f"{parent}.*").columns), F.col(f"{parent}._oid").alias(name)).where(F.col(name).isNotNull()).alias(parent)
+    value, low, high = (column_of(e, own) for e in bag.band)
+    try:
+        child.select(value)
+        of_children = True
+    except AnalysisException:
+        of_children = False
+    shared: list[str] = []
+    met = lambda rows: rows
+    if where is not None:
+        try:
+            child = child.where(as_condition(where, own))
+        except AnalysisException:  # it names the parent as well
+            met = lambda rows: rows.where(as_condition(where, Context(rows, context.enums, own.joined)))
+            shared = _named_by(met, parents, child)
+    # Children are numbered by their order, so that the first one is the least number.
+    sides = [value] if of_children else [low, high]
+    held = child.select(*(c.alias(f"_s{i}") for i, c in enumerate(sides)), *shared, item.alias("row"))
+    held = stored(numbered_oids(held, ["row"], name="_first").withColumn("_first", F.col("_first").cast("long")), "bag-children")
+    value, low, high = (F.col("_s0"), low, high) if of_children else (value, F.col("_s0"), F.col("_s1"))
+    plain = [c.rpartition(".")[2] for c in shared]
+    found = fold(parents, name, held, value, low, high, of_children=of_children, shared=plain, place="_first", met=met, name=lambda rows: rows.alias(alias))
+    rows = held.select(F.col("_first").alias("_numbered"), "row")
+    return found.join(rows, F.col("_first") == F.col("_numbered")).select(name, "n", "row")
+
+
+def _named_by(met, parents: DataFrame, child: DataFrame) -> list[str]:
+    """The columns of `child` that a condition over it and `parents` reads; all of them where it gives another answer each time."""
+    mine: dict[int, str] = {}
+    output = child._jdf.queryExecution().analyzed().output().iterator()
+    while output.hasNext():
+        a = output.next()
+        mine[a.exprId().id()] = ".".join([*(q for q in a.qualifier().mkString(".").split(".") if q), a.name()])
+    condition = met(parents.crossJoin(child))._jdf.queryExecution().analyzed().condition()
+    if not condition.deterministic():
+        return list(mine.values())
+    read, found = condition.references().iterator(), []
+    while read.hasNext():
+        a = read.next()
+        if a.exprId().id() in mine:
+            found.append(mine[a.exprId().id()])
+    return found
+
+
 def _banded(parents: DataFrame, child: DataFrame, bag: Bag, own: Context) -> DataFrame:
     """Children beside the parents that the bag's band joins them to, whichever side has the value."""
     value, low, high = (column_of(e, own) for e in bag.band)
@@ -444,7 +507,7 @@ def prepared(rule: Rule, source: Source, df: DataFrame, catalog: Catalog, contex
     expressions += [e for b in rule.bags if b.mode == "expand" or b.source is None for e in (*b.assign.values(), b.where) if e is not None]
     df = with_lookups(df, expressions, catalog, context)
     for b in rule.bags:
-        if b.mode == "embed":
+        if b.mode in ("embed", "summary"):
             context.df = df = with_bag(df, source.alias, b, catalog, context)
             for name in b.mandatory:
                 missing = F.array_contains(F.transform(F.col(f"{b.attribute}.{name}"), lambda v: v.isNull()), True)
@@ -493,7 +556,7 @@ def lower(
             own["_oid"].alias("_source_oid"),
         ]
         columns = [as_column(e, context).alias(n) for n, e in attributes.items()]
-        bags = [F.col(b.attribute) for b in rule.bags if b.mode == "embed"]
+        bags = [F.col(b.attribute) for b in rule.bags if b.mode != "expand"]
         refs = F.array(*((F.lit(None) if r.source_oid is None else as_column(r.source_oid, context)).cast("string") for r in rule.refs))
         problems = [F.when(c, F.struct(F.lit(code).alias("code"), key.alias("key"))) for code, c, key in context.problems]
         hidden = [own[f"_{c}"].alias(f"_source_{c}") for c in ("input", "basket", "class")] + [refs.cast("array<string>").alias("_refs")]

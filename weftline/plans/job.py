@@ -97,7 +97,7 @@ def _bag(attribute: str, d: dict) -> Bag:
     return Bag(
         attribute,
         _assign(d.get("assign")),
-        _source(start) if start and mode == "embed" else None,
+        _source(start) if start and mode != "expand" else None,
         mode,
         _maybe(d.get("where")),
         ref,
@@ -256,7 +256,7 @@ def check_structure(job: Job) -> list[Diagnostic]:
                 error("MAP-REF-CLASS", f"rule {x.target_rule} makes {rules[x.target_rule].cls}, reference {x.role} expects {x.expected_class}", r.id)
         for b in r.bags:
             out.extend(_check_bag(r, b, classes))
-        bags = {b.attribute for b in r.bags if b.mode == "embed"}
+        bags = {b.attribute for b in r.bags if b.mode != "expand"}
         if twice := bags & {*r.assign, *r.defaults}:
             error("MAP-DUPLICATE-ATTRIBUTE", f"{sorted(twice)} are bags and have values", r.id)
         for c in (c for e in _expressions(r, job) for c in calls_in(e)):
@@ -286,7 +286,7 @@ def check_model(job: Job) -> list[Diagnostic]:
             out.append(Diagnostic("MODEL-CLASS", "ERROR", f"no class {r.cls}", r.id))
             continue
         fields = job.model.fields(r.cls)
-        bags = [b.attribute for b in r.bags if b.mode == "embed"]
+        bags = [b.attribute for b in r.bags if b.mode != "expand"]
         for name in dict.fromkeys([*r.assign, *r.defaults, *(x.role for x in r.refs), *bags]):
             if name not in fields:
                 out.append(Diagnostic("MODEL-ATTRIBUTE", "ERROR", f"{r.cls} has no {name}", r.id))
@@ -311,7 +311,7 @@ def all_bags(bags: tuple[Bag, ...]):
 
 def _check_bag(r: Rule, b: Bag, classes: set[str]) -> list[Diagnostic]:
     out = []
-    if b.mode not in ("embed", "expand"):
+    if b.mode not in ("embed", "summary", "expand") or b.mode == "summary" and (b.source is None or b.mandatory):
         out.append(Diagnostic("MAP-BAG-MODE", "ERROR", f"bag {b.attribute}: mode {b.mode!r}", r.id))
     if b.source and b.source.cls not in classes:
         out.append(Diagnostic("MAP-UNKNOWN-CLASS", "ERROR", f"bag {b.attribute}: no input has class {b.source.cls!r}", r.id))
@@ -320,7 +320,7 @@ def _check_bag(r: Rule, b: Bag, classes: set[str]) -> list[Diagnostic]:
     if b.mode == "expand" and not b.target:
         out.append(Diagnostic("MAP-BAG-TARGET", "ERROR", f"bag {b.attribute}: an expanded bag names the class of its objects", r.id))
     for x in b.bags:
-        if x.mode != b.mode:
+        if x.mode != b.mode and (x.mode, b.mode) != ("embed", "summary"):
             out.append(Diagnostic("MAP-BAG-MODE", "ERROR", f"bag {x.attribute} within {b.attribute}: mode {x.mode!r} within {b.mode!r}", r.id))
     if b.mode == "expand" and r.joins:
         out.append(Diagnostic("MAP-BAG-JOIN", "ERROR", f"bag {b.attribute}: a rule with joins can't expand a bag", r.id))
