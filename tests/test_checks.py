@@ -103,3 +103,9 @@ def test_interior_points_without_repair(wkt):
 
 def test_no_inside():
     assert interior_point([[(0.0, 0.0), (5.0, 5.0), (0.0, 0.0)]]) is None and interior_point([]) is None
+
+
+def test_shapes_are_not_broadcast(spark):
+    rows = spark.range(50).selectExpr("cast(id as string) as _oid", "concat('POLYGON ((', id, ' 0, ', id + 1, ' 0, ', id + 1, ' 1, ', id, ' 0))') as geometry")
+    plan = checks.overlaps(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -166,7 +166,7 @@ def located(points: DataFrame, shapes: DataFrame) -> DataFrame:
     asked = points.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
     asked = asked.select("map", "point", "x", "y", "level", cell("x").alias("cx"), cell("y").alias("cy"))
-    met = asked.join(cells, ["map", "level", "cx", "cy"]).select("point", "x", "y", "shape").join(shapes.select("shape", "size", "rings"), "shape")
+    met = asked.join(cells, ["map", "level", "cx", "cy"]).select("point", "x", "y", "shape").join(shapes.select("shape", "size", "rings").hint("merge"), "shape")  # stored shapes are far larger in memory
     schema = f"point {dict(points.dtypes)['point']}, shape {dict(shapes.dtypes)['shape']}, size double"
     return met.select("point", "x", "y", "shape", "size", "rings").mapInArrow(_within, schema)
 
@@ -195,8 +195,8 @@ def assembled(objects: DataFrame, lines: DataFrame, geometry: str = "geometry")
     inner = F.split(F.trim(F.regexp_extract(geometry, r"^\s*POINT\s*\((.*)\)\s*$", 1)), r"\s+")
     asked = objects.select(F.lit("").alias("map"), F.col("_oid").alias("point"), *(F.try_element_at(inner, F.lit(i)).try_cast("double").alias(n) for i, n in ((1, "x"), (2, "y"))))
     found = stored(located(asked.where("x is not null and y is not null").distinct(), shapes), "areas-found")
-    wkt = found.join(shapes.select("shape", "rings"), "shape").select(F.col("point").alias("_of"), wkt_of_rings(F.col("rings")).alias(geometry))
-    named = objects.drop(geometry).join(wkt, F.col("_oid") == F.col("_of"), "left").drop("_of")
+    wkt = found.join(shapes.select("shape", "rings").hint("merge"), "shape").select(F.col("point").alias("_of"), wkt_of_rings(F.col("rings")).alias(geometry))
+    named = objects.drop(geometry).join(wkt.hint("merge"), F.col("_oid") == F.col("_of"), "left").drop("_of")
     text = lambda c: F.col(c).cast("string").alias("key")
     missing = objects.join(found, F.col("_oid") == F.col("point"), "left_anti").select(F.lit("AREA_WITHOUT_BOUNDARY").alias("code"), text("_oid"))
     several = found.groupBy("shape").agg(F.count("*").alias("n")).where("n > 1").join(found, "shape").select(F.lit("AREA_WITH_SEVERAL_POINTS").alias("code"), text("point"))

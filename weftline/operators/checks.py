@@ -89,23 +89,25 @@ def overlaps(objects: DataFrame, geometry: str = "geometry") -> DataFrame:
 
     A shape stands in the grid cells of its own size, four at most, and asks in the cells of every larger size that its box
     touches: so each pair meets in cells of the larger one. Pairs whose boxes don't meet are dropped before shapes are read.
+
+    Joins are merges: stored shapes are so much smaller than in memory that a file below the threshold of broadcasts can fill the driver.
     """
     shapes = objects.where(F.col(geometry).isNotNull()).select(F.lit("").alias("map"), F.col("_oid").cast("string").alias("shape"), areas.rings_of_wkt(F.col(geometry)).alias("rings"))
     shapes = stored(shapes.where("rings is not null"), "overlap-shapes")
     shell = F.col("rings")[0]
     x, y = F.transform(shell, lambda p: p["x"]), F.transform(shell, lambda p: p["y"])
     box = shapes.select("shape", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
-    own = stored(areas.cells_of(shapes, "shape", shell).drop("map").join(box, "shape"), "overlap-cells")
+    own = stored(areas.cells_of(shapes, "shape", shell).drop("map").join(box.hint("merge"), "shape"), "overlap-cells")
     levels = sorted(r["level"] for r in own.select("level").distinct().collect())
     if not levels:
         return objects.sparkSession.createDataFrame([], "a string, b string")
     least = own.groupBy("shape").agg(F.min("level").alias("own"))
-    asked = box.join(least, "shape").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).where("level >= own")
+    asked = box.join(least.hint("merge"), "shape").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).where("level >= own")
     cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
     asked = asked.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
     asked = asked.select("level", "cx", "cy", "own", F.col("shape").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "x1", "y0", "y1")))
-    met = own.join(asked, ["level", "cx", "cy"]).where("(own < level or other < shape) and x0 < o_x1 and o_x0 < x1 and y0 < o_y1 and o_y0 < y1 and shape <> other")
+    met = own.join(asked.hint("merge"), ["level", "cx", "cy"]).where("(own < level or other < shape) and x0 < o_x1 and o_x0 < x1 and y0 < o_y1 and o_y0 < y1 and shape <> other")
     pairs = met.select(F.least("shape", "other").alias("a"), F.greatest("shape", "other").alias("b")).distinct()
     rings = lambda n: shapes.select(F.col("shape").alias(n), F.col("rings").alias(f"{n}_rings"))
-    both = pairs.join(rings("a"), "a").join(rings("b"), "b").select("a", "b", "a_rings", "b_rings")
+    both = pairs.join(rings("a").hint("merge"), "a").join(rings("b").hint("merge"), "b").select("a", "b", "a_rings", "b_rings")
     return both.mapInArrow(_overlapping, "a string, b string")
