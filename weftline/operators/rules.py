@@ -175,7 +175,8 @@ class RuleFrames:
 
 
 def _references(owner: str, cls: str, refs: tuple[Ref, ...], objects: DataFrame) -> DataFrame:
-    """A row for each of `refs` of each of `objects`, whose `_refs` has the identifiers that they name."""
+    """A row for each of `refs` of each of `objects`, whose `_refs` has the identifiers that they name; `ref_id` is the
+    `owner`, which tells rows of one object's identifier and place apart."""
     text = lambda v: F.lit(v).cast("string")
     each = [
         F.struct(
@@ -187,8 +188,7 @@ def _references(owner: str, cls: str, refs: tuple[Ref, ...], objects: DataFrame)
     ]
     rows = objects.select("_oid", "_source_basket", F.explode(F.array(*each)).alias("r"))
     return rows.select(
-        F.concat_ws("/", F.lit(owner), F.col("_oid"), F.col("r.ord").cast("string")).alias("ref_id"),
-        F.lit(cls).alias("owner_class"), F.col("_oid").alias("owner_oid"), "r.role", "r.src_input", F.col("_source_basket").alias("src_basket"),
+        F.lit(owner).alias("ref_id"), F.lit(cls).alias("owner_class"), F.col("_oid").alias("owner_oid"), "r.role", "r.src_input", F.col("_source_basket").alias("src_basket"),
         "r.src_class", "r.src_oid", "r.target_rule", "r.expected_class", "r.card_max", "r.required", "r.ord",
     )
 
