@@ -6,6 +6,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from weftline.operators import references
 from weftline.functions.registry import REGISTRY, Call, column_of, expression_of, function
 from weftline.plans import bundle, runner
 from weftline.plans.job import check_geometry, check_oid_domain, check_plans, check_structure, job_of, lineage, load_job, rule_order
@@ -339,3 +340,28 @@ def test_decimal_limits(spark):
     assert value(W.div(F.lit(12345678901), F.lit(10))) == Decimal("1234567890.1")
     assert value(W.div(F.lit(2), F.lit(3))) == Decimal("0.6666666667") and value(W.div(F.lit(1), F.lit(0))) is None
     assert [value(W.number_text(lit(x))) for x in ("0.0001", "100", "12345678901234567890", "-2.50")] == ["0.0001", "100", "12345678901234567890", "-2.5"]
+
+
+def _disk(spark, plain, tmp_path, monkeypatch):
+    """The run's report, and the labels of tables that it left."""
+    made = []
+    monkeypatch.setattr("weftline.storage.shared_folder", lambda spark, label: made.append(f"{tmp_path}/shared/{label}-{len(made)}") or made[-1])
+    report = run(spark, job_of(plain))
+    assert made
+    return report, sorted(p.name for p in (tmp_path / "shared").iterdir())
+
+
+@pytest.mark.parametrize("oid", ["integer", "deterministicUuid", "preserve"])
+def test_a_run_leaves_no_tables_of_its_own(spark, plain, tmp_path, monkeypatch, oid):
+    plain["mapping"]["oidStrategy"] = {"default": oid, "namespace": "ns"}
+    plain["mapping"]["rules"][0]["create"] = [{"class": "Note", "assign": {"k": "o.o_orderkey"}}]
+    report, left = _disk(spark, plain, tmp_path, monkeypatch)
+    assert report["status"] == "COMMITTED" and left == []
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_packed_identifiers(spark):
+    texts = ["0b1e2f3a-0000-4000-8000-0123456789ab", "0B1E2F3A-0000-4000-8000-0123456789AB", "7", "", "ä-1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", references.packed(F.col("t")).alias("b"))
+    assert [r["u"] for r in rows.select(references.unpacked(F.col("b")).alias("u")).collect()] == texts
+    assert rows.select("b").distinct().count() == len(texts) and max(len(r["b"]) for r in rows.where("t like '0b%'").collect()) == 17
