@@ -360,6 +360,30 @@ def test_a_run_leaves_no_tables_of_its_own(spark, plain, tmp_path, monkeypatch,
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_expanded_objects_are_numbered_behind_their_rule(spark, tmp_path, monkeypatch):
+    rows = [(f"k{i:02}", [(j, list(range(j % 3))) for j in range(i % 13)], [j for j in range(i % 4)]) for i in range(60)]
+    spark.createDataFrame(rows, "k string, items array<struct<n:int,more:array<int>>>, notes array<int>").repartition(7).write.parquet(f"{tmp_path}/in.parquet")
+    more = {"mode": "expand", "items": "x.more", "alias": "y", "target": "More", "parentRef": {"role": "item"}, "assign": {"v": "y"}}
+    bags = {
+        "items": {"mode": "expand", "alias": "x", "target": "Item", "parentRef": {"role": "parent"}, "where": "x.n <> 1", "assign": {"n": "x.n"}, "nestedBags": {"more": more}},
+        "notes": {"mode": "expand", "alias": "z", "target": "Text", "parentRef": {"role": "parent"}, "assign": {"v": "z"}},
+    }
+    rule = lambda k, **x: {"id": k, "target": {"output": "o", "class": k}, "sources": [{"alias": "p", "class": "P"}], "assign": {"k": "p.k"}, **x}
+    plain = {
+        "job": {"name": "x", "inputs": [{"id": "i", "class": "P", "path": f"{tmp_path}/in.parquet", "oid": "k"}], "outputs": [{"id": "o", "path": f"{tmp_path}/out"}]},
+        "mapping": {"oidStrategy": {"default": "integer"}, "rules": [rule("First", bags=bags), rule("Last")]},
+    }
+    assert _disk(spark, plain, tmp_path, monkeypatch)[1] == []
+    got = {c: spark.read.parquet(f"{tmp_path}/out/{c}").collect() for c in ("First", "Item", "More", "Text", "Last")}
+    spans = [sorted(int(r["_oid"]) for c in cs for r in got[c]) for cs in (("First",), ("Item", "More", "Text"), ("Last",))]
+    assert sum(spans, []) == list(range(1, sum(map(len, spans)) + 1))
+    of = {r["_oid"]: r["k"] for r in got["First"]}
+    items = {r["_oid"]: (of[r["parent"]], r["n"]) for r in got["Item"]}
+    assert sorted(items.values()) == sorted((k, n) for k, i, _ in rows for n, _ in i if n != 1)
+    assert sorted((*items[r["item"]], r["v"]) for r in got["More"]) == sorted((k, n, v) for k, i, _ in rows for n, m in i if n != 1 for v in m)
+    assert sorted((of[r["parent"]], r["v"]) for r in got["Text"]) == sorted((k, v) for k, _, notes in rows for v in notes)
+
+
 def test_packed_identifiers(spark):
     texts = ["0b1e2f3a-0000-4000-8000-0123456789ab", "0B1E2F3A-0000-4000-8000-0123456789AB", "7", "", "ä-1", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", references.packed(F.col("t")).alias("b"))
