@@ -295,3 +295,30 @@ def test_shapefile_fields_have_types(spark, tmp_path):
         write_output(df.unionByName(df.withColumn("_basket", F.lit("b2"))), f"{tmp_path}/c.shp")
     with pytest.raises(ValueError, match="records"):
         write_output(df.unionByName(df), f"{tmp_path}/d.shp", {"maxRecords": 1})
+
+
+@pytest.mark.parametrize("size", [7, 60, 333])
+def test_transfer_file_is_read_by_ranges(spark, tmp_path, size):
+    """Objects, long values, lines and tables that end anywhere in a range; the whole text read by one task is what must come out."""
+    text = "SCNT\nhead OBJE\n////\nMODL M\n"
+    for topic in "AB":
+        text += f"TOPI {topic}\n"
+        for table in ("One", "Two"):
+            text += f"TABL {table}\n"
+            for i in range(9 if table == "One" else 3):
+                text += f"OBJE {i} grün_{i} @ \\\nCONT {'x' * 40}{i} {i}\r\n"
+                text += "STPT 0 0\n" + "".join(f"{'ARCP' if j % 4 == 1 else 'LIPT'} {j} {i}\n" for j in range(1, 2 * i + 1)) + "ELIN\n" if i % 3 else ""
+            text += "ETAB\n"
+        text += "ETOP\n"
+    for n, t in enumerate((text + "ENDE\n", text.replace("ETOP", "ETOP "), "OBJE 1 early\nETAB\n", "")):
+        (tmp_path / f"{n}.itf").write_bytes(t.encode("ISO-8859-1"))
+    expected = []
+    for p in sorted(tmp_path.glob("*.itf")):
+        expected += [(t, o, *(v + [None] * 4)[:4], g) for t, table, o, v, g in transferfile.objects(p.read_bytes().decode("ISO-8859-1")) if table == "One"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        df = read_input(spark, f"{tmp_path}/*.itf", {"table": "One", "fields": "a,b,c,d"}, "itf")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr) and len(got) == 36
